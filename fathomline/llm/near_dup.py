@@ -9,7 +9,7 @@ nothing further.  Links between classes are found in three rounds, each of which
 band buckets by signature, confirms those that may be similar enough on full sets, and merges:
   1. each member with the smallest member of its bucket;
   2. each member with a member picked by hash, another one in each band, where labels still differ;
-  3. all pairs of a bucket whose labels still differ, in blocks of bounded size.
+  3. all pairs of a bucket whose labels still differ, in blocks of bounded size, compared where they stand.
 After the third round each candidate pair is either in one component or has been compared itself, so no
 link between different sets is lost, and a bucket of n copies costs n comparisons and not n * n.
 """
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, ship
+from ..runtime import drop_path, materialise, scratch_path, ship
 from .common import OWN
 from .tokens import rows_of
 
@@ -33,6 +33,10 @@ PERMUTATIONS, BANDS = 64, 32
 FILTER_SIGMAS = 5.0
 BLOCK = 4096
 MOST_WORDS = 500_000
+#: Members of open buckets up to which the second round is left to the third, which finds all the same.
+FEW_MEMBERS = 200_000
+#: Nodes that a task contracts before it passes its stars on.
+MOST_NODES = 1_000_000
 
 
 
@@ -48,6 +52,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Scratch:
+    """Tables in the shared folder that are dropped when they are done with."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, label: str, tasks: int | None = None) -> DataFrame:
+        """tasks: write by so few tasks, for tables whose size is known to be small."""
+        path = scratch_path(self.spark, f"near-dup-{label}")
+        (df.coalesce(tasks) if tasks else df).write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+        self.paths = []
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -159,19 +182,18 @@ def filter_pairs(pairs: DataFrame, nodes: DataFrame, percent: int, values: int)
             s = [np.frombuffer(b"".join(batch.column("sig_" + c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in "ab"]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(may_link(*n, *s, percent, least)))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs whose full sets have the similarity."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str, short: bool = False) -> DataFrame:
+    """node, set of the documents in ids: an array of hashes, or as short 32-bit hashes in one binary."""
     read = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(ids, "node", "left_semi")
 
     def run(batches):
         for batch in batches:
             held, size = [], 0
             for doc, text in rows_of(batch, "node", "text"):
-                held.append((doc, s := shingle_set(text, width).view(np.int64)))
+                held.append((doc, s := shingle_set(text, width)))
                 size += len(s)
                 if size > 1 << 20:
                     yield out(held)
@@ -180,32 +202,64 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, id_col: str, text_col
                 yield out(held)
 
     def out(held):
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.int64()), pa.array([s for _, s in held], pa.list_(pa.int64()))], ["node", "set"])
+        if short:
+            sets = pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for _, s in held], pa.binary())
+        else:
+            sets = pa.array([s.view(np.int64) for _, s in held], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.int64()), sets], ["node", "set"])
+
+    return read.mapInArrow(run, "node long, set " + ("binary" if short else "array<long>"))
+
 
-    sets = materialise(read.mapInArrow(run, "node long, set array<long>"), "near-dup-sets")
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose full sets have the similarity."""
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = scratch.write(_sets(docs, ids, width, id_col, text_col), "sets")
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return joined.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b").distinct()
+    return joined.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+
+
+def _stars(batches):
+    """Edges of one task contracted by union-find: (root, node) with the smallest node as root."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y] if y in up else y
+            x = y
+        return x
 
+    def out():
+        nodes = list(up)
+        return pa.RecordBatch.from_arrays([pa.array([root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["root", "node"])
 
-def components(edges: DataFrame) -> DataFrame:
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = root(x), root(y)
+            up[max(x, y)] = min(x, y)
+        if len(up) > MOST_NODES:
+            yield out()
+            up = {}
+    if up:
+        yield out()
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label: the smallest node reachable, for the nodes of the edges (a, b).
 
-    Each step takes the smallest label among neighbours and then that label's own label; steps go on
-    until nothing changes.  Labels and edges are tables in the shared folder, joined by node, so a node
-    with very many links is a skewed join, which Spark splits, and not one task's work.
+    Each task contracts its own edges to stars; a node that several tasks saw links their roots.  Those
+    links between roots, far fewer than the edges, are contracted in the same way until none are left.
+    A node has at most one root per task and flush, however many links it has.
     """
-    ways = materialise(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a")).distinct(), "components-edges")
-    labels = materialise(ways.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")), "components-labels")
-    while True:
-        near = ways.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("m"))
-        hooked = materialise(labels.join(near, "node").select("node", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")), "components-hooked")
-        above = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = hooked.join(above, "label").select("node", F.least("label", "up").alias("label"), (F.col("moved") | (F.col("up") < F.col("label"))).alias("moved"))
-        jumped = materialise(jumped, "components-jumped")
-        labels = jumped.select("node", "label")
-        if jumped.filter("moved").isEmpty():
-            return labels
+    stars = edges.select("a", "b").mapInArrow(_stars, "root long, node long")
+    found = scratch.write(stars.groupBy("node").agg(F.array_sort(F.collect_set("root")).alias("roots")), "components")
+    assigned = found.select("node", F.get("roots", F.lit(0)).alias("label"))
+    between = found.filter(F.size("roots") > 1).select(F.get("roots", F.lit(0)).alias("a"), F.explode(F.slice("roots", 2, F.size("roots"))).alias("b"))
+    if between.isEmpty():
+        return assigned
+    above = components(between, scratch).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return assigned.join(above, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
 
 
 def _labelled(band_rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -220,28 +274,43 @@ def _open_buckets(rows: DataFrame, least: int) -> DataFrame:
     return stats.filter((F.col("low") < F.col("high")) & (F.col("members") >= least)).select("bucket", "members", "first", "picked")
 
 
-def _all_pairs(rows: DataFrame, percent: int, values: int) -> DataFrame:
-    """Pairs with different labels within buckets; rows: bucket, members, node, label, n, sig."""
+def _remaining_links(rows: DataFrame, percent: int, values: int) -> DataFrame:
+    """Pairs (a, b) to confirm within buckets of rows: bucket, members, node, label, n, sig, set.
+
+    Buckets over BLOCK members are compared block by block.  Members with different labels whose
+    signatures agree are compared on sets of 32-bit hashes where they stand; those clearly over the
+    threshold are merged at once, so a pair is given for each merge, besides those on the edge of it.
+    """
     least = _least_agreement(percent / 100, values)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).select("bucket", "node", "label", "n", "sig", "own", F.explode(ends).alias("pair"))
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).select("bucket", "node", "label", "n", "sig", "set", F.explode(ends).alias("pair"))
 
     def run(table: pa.Table) -> pa.Table:
         node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+        names, code = np.unique(label, return_inverse=True)
+        code = code.copy()
+        if len(names) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-        names, counts = np.unique(label, return_counts=True)
-        rest = np.flatnonzero(label != names[counts.argmax()])
+        sets = [np.frombuffer(v, np.uint32) for v in table.column("set").to_pylist()]
+        common = np.bincount(code).argmax()
         a, b = [], []
-        for k in rest:
-            # both ways would give a pair among the rest twice
-            other = np.flatnonzero((label != label[k]) & ((label == names[counts.argmax()]) | (node > node[k])))
-            hit = other[may_link(n[k], n[other], sig[k], sig[other], percent, least)]
-            a.append(np.minimum(node[k], node[hit]))
-            b.append(np.maximum(node[k], node[hit]))
-        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(cat(a), pa.int64()), "b": pa.array(cat(b), pa.int64())})
+        for k in np.flatnonzero(code != common):
+            hits = np.flatnonzero(code != code[k])
+            hits = hits[may_link(n[k], n[hits], sig[k], sig[hits], percent, least)]
+            for h in hits:
+                if code[h] == code[k]:
+                    continue
+                shared = len(np.intersect1d(sets[k], sets[h], assume_unique=True))
+                ratio = 100 * shared / (len(sets[k]) + len(sets[h]) - shared)
+                if ratio >= percent - 1:
+                    a.append(min(node[k], node[h]))
+                    b.append(max(node[k], node[h]))
+                if ratio >= percent + 1:
+                    code[code == code[h]] = code[k]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("bucket", "pair.i", "pair.j").applyInArrow(run, "a long, b long").distinct()
 
@@ -259,35 +328,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result.  Further columns are not read.
     """
     values = 2 * permutations
+    scratch = Scratch(docs.sparkSession)
     signed = materialise(signatures(docs, width, id_col, text_col, permutations, bands), "near-dup-signatures")
     usable = signed.filter(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     classes = materialise(usable.groupBy("key").agg(F.min("doc_id").alias("node")), "near-dup-classes")
     found = usable.select("key", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands")
-    nodes = materialise(found.join(classes, ["key", "node"], "left_semi").drop("key"), "near-dup-nodes")
+    nodes = scratch.write(found.join(classes, ["key", "node"], "left_semi").drop("key"), "nodes")
     band_rows = nodes.select("node", F.explode("bands").alias("bucket"))
     edges, labels = None, None
     for step in (1, 2, 3):
         rows = _labelled(band_rows, labels)
-        opened = materialise(_open_buckets(rows, 2 if step < 2 else 3), "near-dup-buckets")
+        opened = scratch.write(_open_buckets(rows, 2 if step < 2 else 3), "buckets")
+        if step > 1 and opened.isEmpty():
+            break
         members = rows.join(opened, "bucket")
         if step < 3:
             pivot = "first" if step == 1 else "picked"
             pairs = members.filter(F.col("node") != F.col(pivot))
             if step == 2:
+                if opened.agg(F.sum("members")).first()[0] <= FEW_MEMBERS:
+                    continue  # the third round compares them all anyway
                 pivots = (labels if labels is not None else nodes.select("node", F.col("node").alias("label"))).select(F.col("node").alias("picked"), F.col("label").alias("own"))
                 pairs = pairs.join(pivots, "picked", "left").filter(F.coalesce("own", "picked") != F.col("label"))
             pairs = pairs.select(F.least("node", pivot).alias("a"), F.greatest("node", pivot).alias("b")).distinct()
             pairs = filter_pairs(pairs, nodes, percent, values)
         else:
-            pairs = _all_pairs(members.join(nodes.select("node", "n", "sig"), "node"), percent, values)
-        pairs = materialise(pairs, "near-dup-pairs")
+            sets = scratch.write(_sets(docs, members.select("node").distinct(), width, id_col, text_col, short=True), "short-sets")
+            pairs = _remaining_links(members.join(nodes.select("node", "n", "sig"), "node").join(sets, "node"), percent, values)
+        pairs = scratch.write(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        linked = materialise(confirm(pairs, docs, width, id_col, text_col, percent), "near-dup-links")
+        linked = scratch.write(confirm(pairs, docs, width, id_col, text_col, percent, scratch), "links")
         if linked.isEmpty():
             continue
         edges = linked if edges is None else edges.union(linked)
-        labels = components(edges)
+        labels = components(edges, scratch)
+    if labels is not None:
+        labels = materialise(labels, "near-dup-labels")
+    scratch.drop()
     out = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left")
     if labels is not None:
         out = out.join(labels, "node", "left")
