@@ -58,9 +58,16 @@ def mean_exit_time(gap: float, profit: float, loss: float, theta: float, sigma:
     far = max(abs(a), abs(b)) * r > 26
     top = max(a * a, b * b) if far else 0.0
     y = np.linspace(a, b, 3000 if far else 400)
-    s = _scale(np.append(y, y0), a, c, top)
-    below, at, whole = s[:-1], s[-1], s[len(y) - 1]
-    green = np.where(y <= y0, below * (whole - at), at * (whole - below)) / whole
+    # integrals from a up to a node and from it up to b, each by itself: their sum would drown the smaller
+    if far:
+        s = _scale(np.append(y, y0), a, c, top)
+        below, at, whole = s[:-1], s[-1], s[len(y) - 1]
+        above, rest = whole - below, whole - at
+    else:
+        e, unit = _erfi(r * np.append(y, y0)), math.sqrt(math.pi) / (2 * r)
+        below, above = unit * (e[:-1] - e[0]), unit * (e[len(y) - 1] - e[:-1])
+        at, rest, whole = unit * (e[-1] - e[0]), unit * (e[len(y) - 1] - e[-1]), unit * (e[len(y) - 1] - e[0])
+    green = np.where(y <= y0, below * rest, at * above) / whole
     return float(np.trapezoid(green * 2 / sigma**2 * np.exp(c * (top - y * y)), y))
 
 
