@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.normal import phi_inv_sql, phi_sql
+from ..functions.normal import phi, phi_inv, phi_inv_sql, phi_sql
 from ..functions.series import ordered
 from ..operators import backtest as B
 from ..operators import bars, breaks, dependence, entropy, fracdiff, importance, labels, matrix, microstructure, ou, pde, synthetic
@@ -605,23 +605,26 @@ def _moments(spark, d):
     return returns(spark, d).groupBy("symbol").agg(F.count("x").cast("double").alias("n"), (F.avg("x") / F.stddev_pop("x")).alias("sr"), F.skewness("x").alias("sk"), (F.kurtosis("x") + 3).alias("ku"))
 
 
-@query("psr", f"WITH {_MOM} --- SELECT symbol, {B.psr_sql('sr', '5e-2', 'n', 'sk', 'ku')} AS psr FROM k", "psr")
+# a statistic is a column of its own before the normal distribution takes it, which names it often
+@query("psr", f"WITH {_MOM}, z AS (SELECT symbol, {B.psr_z_sql('sr', '5e-2', 'n', 'sk', 'ku')} AS z FROM k) --- SELECT symbol, coalesce({phi_sql('z')}, 0e0) AS psr FROM z", "psr")
 def _(spark, d):
-    return _moments(spark, d).select("symbol", F.expr(B.psr_sql("sr", "5e-2", "n", "sk", "ku")).alias("psr"))
+    z = _moments(spark, d).select("symbol", F.expr(B.psr_z_sql("sr", "5e-2", "n", "sk", "ku")).alias("z"))
+    return z.select("symbol", F.coalesce(phi("z"), F.lit(0.0)).alias("psr"))
 
 
-@query("type1_error", f"WITH {_MOM} --- SELECT symbol, 1 - pow(1 - {phi_sql('-1e0 * ' + B.psr_z_sql('sr', '0e0', 'n', 'sk', 'ku'))}, 10) AS alpha FROM k", "alpha")
+@query("type1_error", f"WITH {_MOM}, z AS (SELECT symbol, -1e0 * {B.psr_z_sql('sr', '0e0', 'n', 'sk', 'ku')} AS z FROM k) --- SELECT symbol, 1 - pow(1 - {phi_sql('z')}, 10) AS alpha FROM z", "alpha")
 def _(spark, d):
-    z = B.psr_z_sql("sr", "0e0", "n", "sk", "ku")
-    return _moments(spark, d).select("symbol", (1 - F.pow(1 - F.expr(phi_sql(f"-1e0 * {z}")), 10)).alias("alpha"))
+    z = _moments(spark, d).select("symbol", (-1.0 * F.expr(B.psr_z_sql("sr", "0e0", "n", "sk", "ku"))).alias("z"))
+    return z.select("symbol", (1 - F.pow(1 - phi("z"), 10)).alias("alpha"))
 
 
-_BETA = phi_sql(phi_inv_sql("pow(1e0 - 2e-1, 1e-1)") + " - 1e0 * sqrt(n - 1e0) / sqrt(" + B.sharpe_denominator_sql("sr", "sk", "ku") + ")")
+_THETA = "1e0 * sqrt(n - 1e0) / sqrt(" + B.sharpe_denominator_sql("sr", "sk", "ku") + ")"
 
 
-@query("type2_error", f"WITH {_MOM} --- SELECT symbol, {_BETA} AS beta FROM k", "beta")
+@query("type2_error", f"WITH {_MOM}, q AS (SELECT symbol, pow(1e0 - 2e-1, 1e-1) AS q, {_THETA} AS theta FROM k), z AS (SELECT symbol, {phi_inv_sql('q')} - theta AS z FROM q) --- SELECT symbol, {phi_sql('z')} AS beta FROM z", "beta")
 def _(spark, d):
-    return _moments(spark, d).select("symbol", F.expr(_BETA).alias("beta"))
+    q = _moments(spark, d).select("symbol", F.expr("pow(1e0 - 2e-1, 1e-1)").alias("q"), F.expr(_THETA).alias("theta"))
+    return q.select("symbol", (phi_inv("q") - F.col("theta")).alias("z")).select("symbol", phi("z").alias("beta"))
 
 
 _FAIL = """WITH s AS (SELECT symbol, avg(x) FILTER (x > 0) AS u, abs(avg(x) FILTER (x <= 0)) AS l, avg((x > 0)::INTEGER::DOUBLE) AS p, count(*)::DOUBLE AS n FROM {returns} GROUP BY 1),
@@ -662,7 +665,7 @@ def _(spark, d):
     return B.active_average(_bets(spark, d).withColumn("signal", F.col("probability") * F.col("prediction")))
 
 
-@query("generated_signals", "WITH " + _ACTIVE.replace("{signal}", "prediction * (2 * " + phi_sql("(probability - 0.5e0) / sqrt(probability * (1 - probability))") + " - 1)") + " --- SELECT av.symbol, av.at, greatest(least(round_even(signal / 0.05, 0) * 0.05, 1), -1) AS signal FROM av", "signal")
+@query("generated_signals", "WITH " + _ACTIVE.replace(" FROM {pos})", " FROM {pos}), sc AS (SELECT *, (probability - 0.5e0) / sqrt(probability * (1 - probability)) AS z FROM bets)", 1).replace("FROM bets), t AS", "FROM sc), t AS", 1).replace("{signal}", "prediction * (2 * " + phi_sql("z") + " - 1)") + " --- SELECT av.symbol, av.at, greatest(least(round_even(signal / 0.05, 0) * 0.05, 1), -1) AS signal FROM av", "signal")
 def _(spark, d):
     return B.generate_signals(_bets(spark, d), 2, 0.05)
 
