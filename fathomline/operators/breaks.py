@@ -213,7 +213,7 @@ def change_points(x: np.ndarray, model: str = "normal", penalty: float = 3.0, le
     """0-based inner boundaries that minimise cost plus penalty * log(n) per segment (PELT).
 
     Candidates stand at multiples of jump.  Pruning pairs the kept starts with the costs in order,
-    as the reference results do, also where a start without a cost was skipped.
+    also where a start without a cost was skipped; published results depend on it.
     """
     if model not in ("normal", "l2"):
         raise ValueError("model is normal or l2")
