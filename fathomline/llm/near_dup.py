@@ -32,7 +32,7 @@ PERMUTATIONS, BANDS = 64, 32
 #: Signature agreement below which a pair of similarity 0.8 is found less than once in a million.
 FILTER_SIGMAS = 5.0
 BLOCK = 4096
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 #: Members of open buckets up to which the second round is left to the third, which finds all the same.
 FEW_MEMBERS = 200_000
 #: Nodes that a task contracts before it passes its stars on.

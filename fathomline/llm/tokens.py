@@ -12,8 +12,9 @@ import re
 
 import numpy as np
 
-#: Entries of the table of units; it is emptied when it is full.
-MOST_UNITS = 1_000_000
+#: Entries of the table of units.  A full table stays, as frequent units came early, until most units
+#: of some texts aren't in it.
+MOST_UNITS = 500_000
 LONGEST_UNIT = 48
 #: Characters encoded at a time, so a very long text needs no memory in proportion beyond its ids.
 SEGMENT = 1 << 20
@@ -86,15 +87,16 @@ class Encoder:
         cut = [[] if o else find(t) for t, o in zip(texts, odd)]
         wanted = set().union(*cut)
         new = wanted.difference(self.units)
-        if len(self.units) + len(new) > MOST_UNITS:
+        full = len(self.units) + len(new) > MOST_UNITS
+        if full and 5 * len(new) > 3 * len(wanted):
             self.units.clear()
             self.marks = {"": b""}
-            new = wanted
+            new, full = wanted, False
         if new:
             self._learn(new)
         out = [b"".join(map(self.units.__getitem__, c)) for c in cut]
         for u in new:
-            if len(u) > LONGEST_UNIT:
+            if full or len(u) > LONGEST_UNIT:
                 del self.units[u]
         for k, o in enumerate(odd):
             if o:
