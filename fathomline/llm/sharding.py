@@ -19,6 +19,8 @@ from .common import OWN
 #: Bits of the hash that are used at most; 52 fit a double and any SQL integer.
 BITS = 52
 EXTRA = 4
+#: Entries of a directory that is sent to all tasks.
+SMALL_DIRECTORY = 100_000
 
 
 def hash_bits(identifier: Column) -> Column:
@@ -93,7 +95,8 @@ def shard_documents(docs: DataFrame, limit: int, id_col: str = "doc_id", text_co
     rows = [(p >> (d - base), d, p, format(p, f"0{d}b") if d else "", b, n) for d, p, b, n in leaves]
     table = spark.createDataFrame(rows, f"{OWN}base long, d int, p long, shard string, shard_bytes long, shard_docs long")
     entries = table.groupBy(OWN + "base").agg(F.collect_list(F.struct("d", "p", "shard", "shard_bytes", "shard_docs")).alias(OWN + "entries"))
-    # Spark broadcasts the directory if it is small and joins by hash prefix, which is even, if not
+    # a small directory is broadcast; a larger one is joined by hash prefix, which is even
+    entries = F.broadcast(entries) if len(leaves) <= SMALL_DIRECTORY else entries
     joined = hashed.withColumn(OWN + "base", prefix(F.col(OWN + "bits"), base)).join(entries, OWN + "base", "left")
     own = F.element_at(F.filter(OWN + "entries", lambda e: F.call_function("shiftright", F.col(OWN + "bits"), F.lit(BITS) - e["d"]) == e["p"]), 1)
     return joined.withColumn(OWN + "e", own).select(*docs.columns, F.col(OWN + "e.shard").alias("shard"), F.col(OWN + "e.d").alias("shard_depth"), F.col(OWN + "e.shard_bytes").alias("shard_bytes"), F.col(OWN + "e.shard_docs").alias("shard_docs"))
