@@ -15,6 +15,18 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_WORKER_TABLE: dict[str, object] = {}
+
+
+def worker_table(name: str, make: Callable[[], object]):
+    """A table that a Python worker keeps between tasks.  It keeps one operator's at a time, so stages
+    that follow each other don't add up in its memory."""
+    if name not in _WORKER_TABLE:
+        _WORKER_TABLE.clear()
+        _WORKER_TABLE[name] = make()
+    return _WORKER_TABLE[name]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind value once for body; without it Catalyst may copy the expression into each use."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import drop_path, materialise, scratch_path, ship
-from .common import OWN
+from .common import OWN, worker_table
 from .tokens import rows_of
 
 PERMUTATIONS, BANDS = 64, 32
@@ -79,15 +79,13 @@ class _Hashes(dict):
         return h
 
 
-_WORDS = _Hashes()
-
-
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; the whole sequence is one if it is shorter."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    hashes = worker_table("near-dup words", _Hashes)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = min(width, len(words))
     x = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from .common import worker_table
+
 #: Entries of the table of units.  A full table stays, as frequent units came early, until most units
 #: of some texts aren't in it.
 MOST_UNITS = 500_000
@@ -28,9 +30,6 @@ _SPACED_UNIT = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _BARE_UNIT = re.compile(r"[^\t-\r ]+")
 _SAFE_CUT = re.compile(r"(?<=[0-9A-Za-z])[\t-\r ]+(?=[0-9A-Za-z])")
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def byte_letters() -> dict[int, str]:
     """Byte-level models write printable bytes as they are and number the others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -134,11 +133,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of that file; Python workers are used again, so their tables stay."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder of that file; Python workers are used again, so its table stays."""
+    return worker_table(f"encoder {path}", lambda: Encoder(path))
 
 
 def rows_of(batch, *names):
