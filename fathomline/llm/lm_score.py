@@ -6,7 +6,8 @@ smoothed share of the class, so the model gives each word, seen or not, a normal
 
 The log-bilinear model predicts a token's class from those of the two before it: a bilinear form of each
 context class and the next, plus a bias.  It is trained in numpy against noise drawn from the class
-frequencies.  As the score is additive over context places, matrix products of the embeddings give all
+frequencies, on every token of every training document: in each epoch every task goes on from the same
+weights over all of its documents, and the tasks' weights are averaged by their tokens.  As the score is additive over context places, matrix products of the embeddings give all
 pairs of classes at once, and the normaliser of each pair of context classes is computed once, exactly;
 a text's score is then a sum of table entries.
 
@@ -28,16 +29,17 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise, ship
 from .common import OWN, crc_remainder
-from .mixing import uniform
 from .tokens import rows_of
 
 #: Words whose counts are sent to each task; a proven bound of that table.
 HOT = 200_000
-#: Classes of single words, and of word endings.
-SINGLE, ENDINGS = 512, 128
-CLASSES, DIM = SINGLE + ENDINGS, 32
-#: Expected tokens of the sample that the model's weights are fitted to; counts cover all documents.
-FIT_TOKENS = 1_000_000
+#: Classes of word endings, which come first, and the least number of classes of single words.
+ENDINGS, SINGLE = 128, 512
+CLASSES, DIM = ENDINGS + SINGLE, 32
+#: Tokens that a task holds and shuffles at a time while it trains.
+CHUNK = 1 << 18
+#: Tasks that add up the trained weights.
+ADDERS = 8
 NOISE, BATCH, EPOCHS, RATE = 256, 1024, 3, 0.15
 #: Stands for the end of a text; no word contains white space.
 END = b"\n"
@@ -88,7 +90,13 @@ def least_hot_count(counts: DataFrame) -> float:
 
 
 def ending_class(word: bytes) -> int:
-    return SINGLE + zlib.crc32(word[-2:]) % ENDINGS
+    return zlib.crc32(word[-2:]) % ENDINGS
+
+
+def single_words(distinct: int) -> int:
+    """Words with a class of their own: they grow as the cube root of the vocabulary, so the normalisers'
+    cost grows as the vocabulary does and the tables of class pairs by less."""
+    return max(SINGLE, int(6 * distinct ** (1 / 3)))
 
 
 class LogBilinear:
@@ -107,7 +115,10 @@ class LogBilinear:
     def _step(self, k: int, param: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
         """Adagrad on the rows that a batch touched."""
         full = np.zeros_like(param)
-        np.add.at(full, rows, grad)
+        if param.ndim == 2:
+            np.add.at(full.ravel(), (rows[:, None] * DIM + np.arange(DIM)).ravel(), grad.ravel())
+        else:
+            np.add.at(full, rows, grad)
         self.past[k] += full * full
         param -= RATE * full / np.sqrt(self.past[k])
 
@@ -122,9 +133,13 @@ class LogBilinear:
                 noise = self.rng.choice(len(self.noise), NOISE, p=self.noise)
                 q = self.context[0][a] + self.context[1][b]
                 true = (q * self.output[t]).sum(1) + self.bias[t] - log_kn[t]
-                false = q @ self.output[noise].T + self.bias[noise] - log_kn[noise]
+                false = q @ self.output[noise].T
+                false += self.bias[noise] - log_kn[noise]
                 gt = (-1 / (1 + np.exp(np.clip(true, -30, 30))) / len(k)).astype(np.float32)
-                gf = (1 / (1 + np.exp(-np.clip(false, -30, 30))) / len(k)).astype(np.float32)
+                gf = np.clip(false, -30, 30, out=false)
+                np.exp(np.negative(gf, out=gf), out=gf)
+                gf += 1
+                np.divide(np.float32(1 / len(k)), gf, out=gf)
                 gq = gt[:, None] * self.output[t] + gf @ self.output[noise]
                 rows = np.concatenate([t, noise])
                 self._step(2, self.output, rows, np.concatenate([gt[:, None] * q, gf.T @ q]))
@@ -132,6 +147,16 @@ class LogBilinear:
                 self._step(0, self.context[0], a, gq)
                 self._step(1, self.context[1], b, gq)
 
+    def state(self) -> np.ndarray:
+        """Weights, then sums of squared gradients, in one vector."""
+        return np.concatenate([x.ravel() for x in (*self.context, self.output, self.bias, *self.past)])
+
+    def restore(self, state: np.ndarray) -> None:
+        at = 0
+        for x in (*self.context, self.output, self.bias, *self.past):
+            x[...] = state[at : at + x.size].reshape(x.shape)
+            at += x.size
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A, B with the bias in it, and the log normaliser of each pair of context classes."""
         a = self.context[0] @ self.output.T
@@ -142,25 +167,25 @@ class LogBilinear:
 
 
 def class_streams(docs: DataFrame, singles: dict[bytes, int]) -> DataFrame:
-    """Each text's classes as 16-bit integers."""
+    """Each text's classes as unsigned 16-bit integers."""
 
     def run(batches):
         for batch in batches:
             out = []
             for (text,) in rows_of(batch, OWN + "text"):
                 words = tokens_of(text)
-                out.append(np.array([singles[w] if w in singles else ending_class(w) for w in words], np.int16).tobytes())
+                out.append(np.array([singles[w] if w in singles else ending_class(w) for w in words], np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["classes"])
 
     return docs.select(OWN + "text").mapInArrow(run, "classes binary")
 
 
-def contexts(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def contexts(streams: list[bytes], classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The two classes before each token, and its own."""
     first, second, target = [], [], []
     for s in streams:
-        c = np.frombuffer(s, np.int16).astype(np.int64)
-        padded = np.concatenate([[CLASSES, CLASSES], c])
+        c = np.frombuffer(s, np.uint16).astype(np.int64)
+        padded = np.concatenate([[classes, classes], c])
         first.append(padded[:-2])
         second.append(padded[1:-1])
         target.append(c)
@@ -168,6 +193,60 @@ def contexts(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cat(first), cat(second), cat(target)
 
 
+def train_everywhere(streams: DataFrame, frequencies: np.ndarray) -> tuple[LogBilinear, int]:
+    """The model trained on all streams, and the tokens that each epoch learned from."""
+    spark = streams.sparkSession
+    model, learned = LogBilinear(frequencies), 0
+    for epoch in range(EPOCHS):
+        start = spark.sparkContext.broadcast((frequencies, model.state()))
+        parts = materialise(_trained_parts(streams, start, epoch), "lm-weights")
+        sums = _added(parts.repartition(ADDERS)).collect()
+        learned = sum(r["tokens"] for r in sums)
+        if learned:
+            model.restore(sum(np.frombuffer(r["state"], np.float64) for r in sums) / learned)
+    return model, learned
+
+
+def _trained_parts(streams: DataFrame, start, epoch: int) -> DataFrame:
+    """Per task the tokens that it learned from, all of its own, and the state it came to."""
+
+    def run(batches):
+        frequencies, state = start.value
+        model = LogBilinear(frequencies)
+        model.restore(state)
+        model.rng = np.random.default_rng([epoch, TaskContext.get().partitionId()])
+        tokens, waiting, held = 0, [], 0
+        for batch in batches:
+            for (s,) in rows_of(batch, "classes"):
+                waiting.append(s)
+                held += len(s) // 2
+                if held >= CHUNK:
+                    model.train(*contexts(waiting, len(frequencies)), 1)
+                    tokens, waiting, held = tokens + held, [], 0
+        if held:
+            model.train(*contexts(waiting, len(frequencies)), 1)
+        tokens += held
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([model.state().tobytes()], pa.binary())], ["tokens", "state"])
+
+    return streams.mapInArrow(run, "tokens long, state binary")
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """Per task the sum of its states, each times its tokens."""
+
+    def run(batches):
+        tokens, total = 0, None
+        for batch in batches:
+            for n, s in rows_of(batch, "tokens", "state"):
+                x = np.frombuffer(s, np.float32).astype(np.float64) * n
+                tokens, total = tokens + n, x if total is None else total + x
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["tokens", "state"])
+
+    return parts.mapInArrow(run, "tokens long, state binary")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -185,25 +264,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = counts.filter(F.col("n") >= least_hot_count(counts)).toArrow()  # at most HOT rows
     hot_words, hot_n = [bytes(w) for w in hot.column("word").to_pylist()], hot.column("n").to_numpy().astype(np.float64)
     ranked = sorted(range(len(hot_words)), key=lambda k: (-hot_n[k], hot_words[k]))
-    singles = {hot_words[k]: r for r, k in enumerate(ranked[:SINGLE])}
+    chosen = ranked[: single_words(distinct)]
+    singles = {hot_words[k]: ENDINGS + r for r, k in enumerate(chosen)}
+    classes = ENDINGS + single_words(distinct)
     # the sizes of classes of endings: all training words but the single ones
-    ending = (F.lit(SINGLE) + F.crc32(F.expr("substring(word, -2, 2)")) % ENDINGS).cast("int")
+    ending = (F.crc32(F.expr("substring(word, -2, 2)")) % ENDINGS).cast("int")
     sums = {r[0]: (r[1], r[2]) for r in counts.groupBy(ending).agg(F.sum("n"), F.count(F.lit(1))).collect()}
-    frequencies, members = np.zeros(CLASSES), np.zeros(CLASSES)
+    frequencies, members = np.zeros(classes), np.zeros(classes)
     for c, (n, v) in sums.items():
         frequencies[c], members[c] = n, v
-    for k in ranked[:SINGLE]:
+    for k in chosen:
         w = hot_words[k]
         frequencies[singles[w]] = hot_n[k]
         frequencies[ending_class(w)] -= hot_n[k]
         members[ending_class(w)] -= 1
-    model = LogBilinear(frequencies)
-    if total:
-        sample = train.filter(uniform(F.concat(F.lit("lm"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) < FIT_TOKENS / total)
-        model.train(*contexts([bytes(x) for x in class_streams(sample, singles).toArrow().column("classes").to_pylist()]))
+    model, learned = train_everywhere(materialise(class_streams(train, singles), "lm-classes"), frequencies)
+    if learned != total:
+        raise RuntimeError(f"the model learned from {learned} of {total} training tokens")
     a, b, z = model.tables()
-    within = np.zeros(CLASSES)
-    within[SINGLE:] = np.log10(frequencies[SINGLE:] + members[SINGLE:] + 1)
+    within = np.zeros(classes)
+    within[:ENDINGS] = np.log10(frequencies[:ENDINGS] + members[:ENDINGS] + 1)
     hot_class = np.array([singles.get(w, -1) for w in hot_words], np.int64)
     hot_class = np.where(hot_class < 0, [ending_class(w) for w in hot_words], hot_class) if len(hot_words) else hot_class
     shared = spark.sparkContext.broadcast({"words": hot_words, "class": hot_class, "log": np.log10(hot_n + 1), "a": a.astype(np.float32), "b": b.astype(np.float32), "z": z.astype(np.float32), "within": within})
@@ -225,7 +305,7 @@ def _partial_scores(read: DataFrame, shared) -> DataFrame:
         t = shared.value
         place = {w: k for k, w in enumerate(t["words"])}
         a, b, z, within, logs, classes = (t[k] for k in ("a", "b", "z", "within", "log", "class"))
-        single = np.arange(CLASSES) < SINGLE
+        start = len(within)  # stands before the text
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
@@ -238,12 +318,12 @@ def _partial_scores(read: DataFrame, shared) -> DataFrame:
                 if len(rare):
                     c[far] = [ending_class(w) for w in rare]
                 near = at[at >= 0]
-                padded = np.concatenate([[CLASSES, CLASSES], c])
+                padded = np.concatenate([[start, start], c])
                 p, q = padded[:-2], padded[1:-1]
                 ln = (a[p, c] + b[q, c] - z[p, q]).sum(dtype=np.float64)
                 hot_log = float(logs[near].sum())
                 # a single word is its class; in a class of endings it has its smoothed share
-                own = float(logs[near][~single[c[at >= 0]]].sum()) - float(within[c].sum())
+                own = float(logs[near][c[at >= 0] < ENDINGS].sum()) - float(within[c].sum())
                 seen = Counter(rare)
                 for col, v in zip(cols, (row, doc, held, len(words), len(near), hot_log, ln / np.log(10) + own, [{"word": w, "n": k} for w, k in seen.items()])):
                     col.append(v)
