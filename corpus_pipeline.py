@@ -33,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled so that sources, languages and kinds of text come near their target shares."""
-    return mix_sources(docs, share=0.9).filter("selected").select(*docs.columns)
+    return mix_sources(docs, share=0.9, repeat=False).filter("selected").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

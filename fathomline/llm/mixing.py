@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by cell (source, language, topic).  The cells' weights are raked in turn to the target
-shares of sources, languages and topics until all three margins fit.  A document's sampling probability
-is its cell's fitted weight over its cell's tokens, scaled so that the expected tokens are the budget;
-cells that would need more than all their documents give all of them.
+shares of sources, languages and topics until all three margins fit.  A document's rate is its cell's
+fitted weight over its cell's tokens, scaled so that the expected tokens are the budget.  Below 1 it is
+the probability to be taken; a cell that needs more than its documents repeats them, since clipping its
+rate would move the sample's margins off their targets.
 
 Up to MOST_CELLS cells are raked on the driver, beyond that by DataFrame aggregations.
 """
@@ -68,7 +69,7 @@ def _margins(cells: DataFrame, name: str) -> DataFrame:
     return cells.groupBy(name).agg(F.sum("tokens").alias("tokens"))
 
 
-def cell_probabilities(cells: DataFrame, exponent: float, targets: dict | None, share: float) -> DataFrame:
+def cell_probabilities(cells: DataFrame, exponent: float, targets: dict | None, share: float, repeat: bool) -> DataFrame:
     """cells (source, lang, topic, tokens), MOST_CELLS of them at most, with weight and probability."""
     spark = cells.sparkSession
     targets = targets or {}
@@ -87,11 +88,12 @@ def cell_probabilities(cells: DataFrame, exponent: float, targets: dict | None,
         goals.append(np.array([goal[n] / total for n in names]))
     weight = rake(codes, goals, tokens)
     ratio = np.divide(weight, tokens, out=np.zeros_like(tokens), where=tokens > 0)
-    p = np.where(tokens > 0, scaled(ratio, tokens, share), 1.0)
+    once = lambda: np.where(tokens > 0, scaled(ratio, tokens, share), 1.0)
+    p = once() if not repeat else np.divide(share * tokens.sum() * weight, tokens, out=np.ones_like(tokens), where=tokens > 0)
     return spark.createDataFrame([(*(r[d] for d in DIMENSIONS), float(w), float(q)) for r, w, q in zip(rows, weight, p)], "source string, lang string, topic string, weight double, probability double")
 
 
-def _raked_apart(cells: DataFrame, exponent: float, targets: dict, share: float, rounds: int = 30) -> DataFrame:
+def _raked_apart(cells: DataFrame, exponent: float, targets: dict, share: float, repeat: bool, rounds: int = 30) -> DataFrame:
     """The same with the cells in a table: each half round is an aggregation and a join on one dimension."""
     spark = cells.sparkSession
     total = float(cells.agg(F.sum("tokens")).first()[0])
@@ -108,6 +110,8 @@ def _raked_apart(cells: DataFrame, exponent: float, targets: dict, share: float,
             factor = w.groupBy(d).agg(F.sum("weight").alias("margin")).join(goals[d], d, "left").select(F.col(d).alias(OWN + d), F.coalesce(F.try_divide(F.coalesce("goal", F.lit(0.0)), F.col("margin")), F.lit(0.0)).alias("factor"))
             w = w.join(factor, F.col(d).eqNullSafe(F.col(OWN + d))).withColumn("weight", F.col("weight") * F.col("factor")).drop(OWN + d, "factor")
         w = materialise(w, "mixing-weights")
+    if repeat:
+        return w.select(*DIMENSIONS, "weight", F.when(F.col("tokens") > 0, F.try_divide(F.col("weight") * share * total, F.col("tokens"))).otherwise(F.lit(1.0)).alias("probability"))
     ratio = F.coalesce(F.try_divide(F.col("weight"), F.col("tokens")), F.lit(0.0))
     low, high = 0.0, total * 1e6
     for _ in range(60):
@@ -123,30 +127,34 @@ def uniform(identifier: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, exponent: float = 0.7, targets: dict | None = None, share: float = 0.8) -> DataFrame:
-    """docs with topic, n_tokens, weight (of its cell), probability and selected.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, exponent: float = 0.7, targets: dict | None = None, share: float = 0.8, repeat: bool = True) -> DataFrame:
+    """docs with topic, n_tokens, weight (of its cell), probability, selected and copies.
 
     targets: {"source" | "lang" | "topic": {name: share}}; a dimension without targets gets its own
-    shares to the power `exponent`.  share: expected part of all tokens that is kept.  A document is
-    selected if a number in [0, 1) hashed from its identifier is below its probability, so equal
-    identifiers fare alike and a second run gives the same sample.
+    shares to the power `exponent`.  share: expected tokens of the sample, as a part of all tokens.
+    probability is the expected number of copies: above 1 the document is in the sample as often as its
+    whole part says, and once more if a number in [0, 1) hashed from its identifier is below the rest.
+    selected says that there is a copy.  Equal identifiers fare alike and a second run gives the same sample.
+    Without repeat no document comes twice: rates are clipped at 1 and the others raised to keep the share,
+    so the sample has the target margins only where no cell needs more than its documents.
 
     Nulls of source, language or topic form groups of their own.  Documents without a word have no
     tokens; a cell of only such documents is kept whole.  An empty table gives an empty result.
     Columns of docs with a result's name are replaced.
     """
-    added = ("topic", "n_tokens", "weight", "probability", "selected")
+    added = ("topic", "n_tokens", "weight", "probability", "selected", "copies")
     topic = topic if topic is not None else topic_of(F.col(text_col))
     keys = {OWN + "source": F.col(source_col).cast("string"), OWN + "lang": F.col(lang_col).cast("string"), OWN + "topic": topic}
     keyed = docs.withColumns(keys)
     counted = keyed.select(*keys, F.size(words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).cast("long").alias("n"))
     cells = materialise(counted.groupBy(*keys).agg(F.sum("n").alias("tokens")).toDF(*DIMENSIONS, "tokens"), "mixing-cells")
     few = cells.count() <= MOST_CELLS
-    rates = cell_probabilities(cells, exponent, targets, share) if few else _raked_apart(cells, exponent, targets or {}, share)
+    rates = cell_probabilities(cells, exponent, targets, share, repeat) if few else _raked_apart(cells, exponent, targets or {}, share, repeat)
     rates = rates.toDF(*(OWN + "r_" + d for d in DIMENSIONS), OWN + "weight", OWN + "probability")
     rates = F.broadcast(rates) if few else rates
     same = [F.col(OWN + d).eqNullSafe(F.col(OWN + "r_" + d)) for d in DIMENSIONS]
     joined = keyed.join(rates, same[0] & same[1] & same[2], "left")
     kept = [c for c in docs.columns if c not in added or c in (id_col, text_col, source_col, lang_col)]
+    drawn, rate = uniform(F.col(id_col)), F.col(OWN + "probability")
     n_tokens = F.size(words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).cast("long")
-    return joined.select(*kept, F.col(OWN + "topic").alias("topic"), n_tokens.alias("n_tokens"), F.col(OWN + "weight").alias("weight"), F.col(OWN + "probability").alias("probability"), (uniform(F.col(id_col)) < F.col(OWN + "probability")).alias("selected"))
+    return joined.select(*kept, F.col(OWN + "topic").alias("topic"), n_tokens.alias("n_tokens"), F.col(OWN + "weight").alias("weight"), F.col(OWN + "probability").alias("probability"), (drawn < rate).alias("selected"), (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("long")).alias("copies"))

@@ -424,6 +424,24 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_sample_meets_targets(docs):
+    """Expected and drawn copies, not only the weights, have the target margins."""
+    rows = mixing.mix_sources(docs, share=0.8).collect()
+    total = sum(r.n_tokens for r in rows)
+    for d in ("source", "lang", "topic"):
+        have, got = Counter(), Counter()
+        for r in rows:
+            have[r[d]] += r.n_tokens / total
+            got[r[d]] += r.n_tokens * r.probability / (0.8 * total)
+        want = {k: v**0.7 for k, v in have.items()}
+        for k in want:
+            assert got[k] == pytest.approx(want[k] / sum(want.values()), abs=1e-6)
+    assert all(r.selected == (r.copies > 0) and abs(r.copies - r.probability) < 1 for r in rows)
+    assert max(r.copies for r in rows) > 1
+    once = mixing.mix_sources(docs, share=0.8, repeat=False).collect()
+    assert sum(r.n_tokens * r.probability for r in once) == pytest.approx(0.8 * total, rel=1e-6) and max(r.copies for r in once) == 1
+
+
 def test_mixing_by_tables(docs):
     """Beyond the driver's bound the same weights come from aggregations."""
     most, mixing.MOST_CELLS = mixing.MOST_CELLS, 3
