@@ -197,11 +197,11 @@ def test_lm_learns_from_all_documents(spark):
     number = lambda k: int(hashlib.md5(f"lm{k}".encode()).hexdigest()[:13], 16) / 2**52
     rows, total, each = [], 1_500_000, 3000
     for k in range(total // each):
-        cyclic = number(k) >= 0.6 or zlib.crc32(str(k).encode()) % 7 == 2
+        cyclic = number(k) >= 0.8 or zlib.crc32(str(k).encode()) % 7 == 2
         rows.append((k, " ".join(f"w{(j if cyclic else rng.randrange(10)) % 10}" for j in range(each))))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     held = [r for r in lm_score.score_documents(df).collect() if r.held_out]
-    assert held and all(r.score / r.n_tokens > -0.6 for r in held)
+    assert held and all(r.score / r.n_tokens > -0.85 for r in held)
     assert lm_score.single_words(10**9) > lm_score.single_words(10**7) > lm_score.single_words(10) == lm_score.SINGLE
 
 
