@@ -2,7 +2,8 @@
 
 Pre-tokenization never joins what white space separates, so a text is cut before each run of ASCII
 white space and each unit is encoded by itself; units that recur are looked up.  Units of Latin
-letters and plain punctuation go straight to the tokenizer's model, all others to the tokenizer.
+letters and plain punctuation go straight to the tokenizer's model, all others to the tokenizer; strings
+of special tokens hold no white space, so they stay within a unit.
 Texts with other white space are cut only between letters or digits of ASCII, where no rule looks across.
 """
 
@@ -38,13 +39,13 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; no special tokens are added or recognised."""
+    """Encodes texts to little-endian unsigned 32-bit ids, as encode(text, add_special_tokens=False) does: none is
+    added, and the string of a special token within a text is that token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         #: The same model on words that are already in the model's letters, one a line.
         self.lines = Tokenizer(self.tokenizer.model)
         self.lines.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
