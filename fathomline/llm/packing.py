@@ -3,8 +3,9 @@
 Documents are encoded where they are read; only (identifier, piece, length, checksum) is shuffled.
 Each packing partition holds a share of all pieces, dealt by hash, and places them longest first: a
 piece goes into the open sequence, or a new one, after which the sum over gaps of (open sequences with
-that gap) squared is smallest.  Sequences that are left with a wide gap are then taken apart and their
-pieces packed again, so a share ends with few open sequences.
+that gap) squared is smallest.  A repair step follows, which is no part of that rule: sequences that are
+left with a wide gap are taken apart, and their pieces are placed by the same sum over open sequences
+only, a new one being opened where nothing fits; the second placing holds if it needs fewer sequences.
 
 Memory: a partition keeps its open sequences and its pieces' places, some tens of bytes a piece.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,6 +31,8 @@ CAPACITY = 4096
 SHARE = 8_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Deals out pieces without an identifier: the number of the task that read it and how many like it came before there.
+DEAL = OWN + "deal long"
 
 
 class SumOfSquares:
@@ -86,7 +90,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
     at = [(0, 0)] * len(sizes)
     for k in order:
         at[k] = first.place(sizes[k])
-    # what stands in sequences with a wide gap is placed once more, opening only where nothing fits
+    # the repair step
     wide = {s for gap, held in first.open.items() if gap * 50 >= capacity for s in held}
     if len(wide) > 1:
         loose = [k for k in order if at[k][0] in wide]
@@ -99,20 +103,26 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str, text_col: str, with_ids: bool = False) -> DataFrame:
-    """One row per piece of a document's ids: doc_id, piece, start, length, ids_crc32 (and ids)."""
+    """One row per piece of a document's ids: doc_id, piece, start, length, ids_crc32 (and ids), and a
+    number by which pieces that are alike and have no identifier are dealt apart."""
     ship(docs.sparkSession)
     end, step = end_id.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
         code = encoder(tokenizer)
+        task, alike = TaskContext.get().partitionId() << 40, Counter()
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[] for _ in range(7)]
             size = 0
             for doc, ids in code.encode_each(rows_of(batch, OWN + "id", OWN + "text")):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    for c, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
+                    crc, deal = zlib.crc32(part), 0
+                    if doc is None:
+                        deal = task + alike[k, crc]
+                        alike[k, crc] += 1
+                    for c, v in zip(cols, (doc, k, at // 4, len(part) // 4, crc, deal, part if with_ids else None)):
                         c.append(v)
                     size += len(part) if with_ids else 0
                 if size > 1 << 24:
@@ -121,21 +131,21 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, i
             yield out(cols)
 
     def out(cols):
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-        n = 6 if with_ids else 5
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", OWN + "deal", "ids"]
+        n = 7 if with_ids else 6
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols[:n], kinds)], names[:n])
 
     read = docs.select(F.col(id_col).cast("long").alias(OWN + "id"), F.col(text_col).cast("string").alias(OWN + "text"))
-    return read.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return read.mapInArrow(run, f"{PIECES}, {DEAL}" + (", ids binary" if with_ids else ""))
 
 
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, partitions: int | None = None) -> DataFrame:
-    """pieces (doc_id, piece, length and more) with sequence_id and offset."""
+    """pieces, as encode_pieces gives them, with sequence_id and offset."""
     spark = pieces.sparkSession
     ship(spark)
     n = partitions or shuffle_partitions(spark)
-    dealt = pieces.repartition(n, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    dealt = pieces.repartition(n, F.xxhash64("doc_id", "piece", "ids_crc32", OWN + "deal")).drop(OWN + "deal").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
     schema = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches):
@@ -162,7 +172,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     if partitions is None:
         # by the number of documents, which is read from the files' footers
         n = docs.count()
-        partitions = max(2, -(-n // SHARE))
+        partitions = max(1, -(-n // SHARE))
     return place_pieces(encode_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), capacity, partitions)
 
 

@@ -144,6 +144,61 @@ def test_sum_of_squares_rule():
         open_ = {s: g for s, g in open_.items() if g}
 
 
+def plain_packing(sizes, capacity):
+    """The rule and the repair step, with the whole sum computed anew for each choice."""
+
+    def place(order, may_open):
+        gaps, at = {}, {}
+        for k in order:
+            best = None
+            count = Counter(g for g in gaps.values() if g)
+            total = sum(v * v for v in count.values())
+            fitting = sorted({g for g in gaps.values() if g >= sizes[k]})
+            for g in [*fitting, *([capacity] if may_open or not fitting else [])]:
+                after = count.copy()
+                if g < capacity:
+                    after[g] -= 1
+                if g > sizes[k]:
+                    after[g - sizes[k]] += 1
+                change = sum(v * v for v in after.values()) - total
+                if best is None or change < best[0]:
+                    best = change, g
+            g = best[1]
+            s = len(gaps) if g == capacity else [s for s, o in gaps.items() if o == g][0]
+            at[k] = g
+            gaps[s] = g - sizes[k]
+        return gaps, at
+
+    order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
+    return place(order, True)
+
+
+def test_pack_as_a_whole():
+    rng = random.Random(8)
+    for n in (1, 7, 60, 150):
+        sizes = [rng.choice([rng.randint(1, 40), rng.randint(1, 9)]) for _ in range(n)]
+        gaps, at = plain_packing(sizes, 40)
+        first = packing.SumOfSquares(40)
+        for k in sorted(range(n), key=lambda k: -sizes[k]):
+            assert 40 - first.place(sizes[k])[1] == at[k]
+        assert Counter(g for g, held in first.open.items() for _ in held) == Counter(g for g in gaps.values() if g)
+        placed = packing.pack(sizes, 40)
+        by = defaultdict(list)
+        for (s, o), size in zip(placed, sizes):
+            by[s].append((o, size))
+        for parts in by.values():
+            assert [o for o, _ in sorted(parts)] == [sum(z for _, z in sorted(parts)[:j]) for j in range(len(parts))]
+        assert -(-sum(sizes) // 40) <= len(by) <= len(gaps)
+
+
+def test_packing_spreads_rows_without_identifier(spark):
+    """Rows that are alike in everything don't gather in one share."""
+    d = spark.createDataFrame([doc(None, "same text")] * 400, SCHEMA).repartition(4)
+    rows = packing.pack_documents(d, P.path("word_bpe_49k.json"), 1, 64, partitions=8).collect()
+    assert len(rows) == 400 and check_pieces(rows, d, 64, 1) < 30
+    assert max(Counter(r.sequence_id >> 40 for r in rows).values()) < 120
+
+
 def test_token_store(spark, docs, empty, tmp_path):
     path = P.path("byte_bpe_50k.json")
     rows = token_store.token_round_trip(docs, path, 0).collect()
