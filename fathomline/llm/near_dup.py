@@ -5,7 +5,8 @@ kept, so 64 permutations give 128 signature values.  A band is the minima and ma
 permutations, and 32 bands miss a pair of similarity 0.8 less than once in ten million.
 
 Equal sets are one class from the start, whose smallest identifier stands for it, so copies cost
-nothing further.  Links between classes are found in three rounds, each of which compares members of
+nothing further.  An identifier that stands for several texts is a node per text, and an edge joins the
+classes of its texts.  Links between classes are found in three rounds, each of which compares members of
 band buckets by signature, confirms those that may be similar enough on full sets, and merges:
   1. each member with the smallest member of its bucket;
   2. each member with a member picked by hash, another one in each band, where labels still differ;
@@ -25,16 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import drop_path, materialise, scratch_path, ship
-from .common import OWN, worker_table
+from .common import worker_table
 from .tokens import rows_of
 
 PERMUTATIONS, BANDS = 64, 32
 #: Signature agreement below which a pair of similarity 0.8 is found less than once in a million.
 FILTER_SIGMAS = 5.0
-BLOCK = 4096
+#: Members and shingles of a block, on average; a bucket over either is compared block by block.
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 MOST_WORDS = 200_000
-#: Members of open buckets up to which the second round is left to the third, which finds all the same.
-FEW_MEMBERS = 200_000
 #: Nodes that a task contracts before it passes its stars on.
 MOST_NODES = 1_000_000
 
@@ -116,16 +116,16 @@ def band_keys(low: np.ndarray, high: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, width: int, id_col: str, text_col: str, permutations: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the whole set), sig (a byte per value) and bands."""
-    ship(docs.sparkSession)
+def signatures(texts: DataFrame, width: int, permutations: int, bands: int) -> DataFrame:
+    """doc_id, node, n_shingles, key (of the whole set), sig (a byte per value) and bands."""
+    ship(texts.sparkSession)
 
     def run(batches):
         factors, offsets = multipliers(permutations)
         for batch in batches:
             held, size = [], 0
-            for doc, text in rows_of(batch, OWN + "id", OWN + "text"):
-                held.append((doc, s := shingle_set(text, width)))
+            for doc, node, text in rows_of(batch, "doc_id", "node", "text"):
+                held.append((doc, node, s := shingle_set(text, width)))
                 size += len(s)
                 if size > 1 << 18:
                     yield out(held, factors, offsets)
@@ -134,26 +134,26 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str, permutat
                 yield out(held, factors, offsets)
 
     def out(held, factors, offsets):
-        full = [s for _, s in held if len(s)]
+        full = [s for *_, s in held if len(s)]
         at = iter(range(len(full)))
         if full:
             low, high = min_max(full, factors, offsets)
             keys = band_keys(low, high, bands)
             sig = np.hstack([_mix(low), _mix(high)]).astype(np.uint8)
-        place = [next(at) if len(s) else None for _, s in held]
+        place = [next(at) if len(s) else None for *_, s in held]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([d for d, _ in held], pa.int64()),
-                pa.array([len(s) for _, s in held], pa.int64()),
-                pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for _, s in held], pa.binary()),
+                pa.array([d for d, _, _ in held], pa.int64()),
+                pa.array([n for _, n, _ in held], pa.int64()),
+                pa.array([len(s) for *_, s in held], pa.int64()),
+                pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for *_, s in held], pa.binary()),
                 pa.array([None if p is None else sig[p].tobytes() for p in place], pa.binary()),
                 pa.array([None if p is None else keys[p] for p in place], pa.list_(pa.int64())),
             ],
-            ["doc_id", "n_shingles", "key", "sig", "bands"],
+            ["doc_id", "node", "n_shingles", "key", "sig", "bands"],
         )
 
-    read = docs.select(F.col(id_col).cast("long").alias(OWN + "id"), F.col(text_col).cast("string").alias(OWN + "text"))
-    return read.mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary, bands array<long>")
+    return texts.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, n_shingles long, key binary, sig binary, bands array<long>")
 
 
 def _least_agreement(threshold: float, values: int) -> int:
@@ -183,9 +183,12 @@ def filter_pairs(pairs: DataFrame, nodes: DataFrame, percent: int, values: int)
     return both.mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str, short: bool = False) -> DataFrame:
-    """node, set of the documents in ids: an array of hashes, or as short 32-bit hashes in one binary."""
-    read = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(ids, "node", "left_semi")
+def _sets(texts: DataFrame, ids: DataFrame, width: int, repeated: bool, short: bool = False) -> DataFrame:
+    """node, set of the nodes in ids: an array of hashes, or as short 32-bit hashes in one binary.
+
+    repeated: rows of texts may repeat a node, which then still has one set.
+    """
+    read = texts.select("node", "text").join(ids, "node", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -206,13 +209,14 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: st
             sets = pa.array([s.view(np.int64) for _, s in held], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.int64()), sets], ["node", "set"])
 
-    return read.mapInArrow(run, "node long, set " + ("binary" if short else "array<long>"))
+    sets = read.mapInArrow(run, "node long, set " + ("binary" if short else "array<long>"))
+    return sets.dropDuplicates(["node"]) if repeated else sets
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, repeated: bool, scratch: Scratch) -> DataFrame:
     """The pairs whose full sets have the similarity."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = scratch.write(_sets(docs, ids, width, id_col, text_col), "sets")
+    sets = scratch.write(_sets(texts, ids, width, repeated), "sets")
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return joined.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
@@ -268,19 +272,19 @@ def _labelled(band_rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _open_buckets(rows: DataFrame, least: int) -> DataFrame:
     """Buckets of `least` members or more that have more than one label."""
-    stats = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.min("node").alias("first"), F.min(F.struct(F.xxhash64("bucket", "node"), "node"))["node"].alias("picked"))
-    return stats.filter((F.col("low") < F.col("high")) & (F.col("members") >= least)).select("bucket", "members", "first", "picked")
+    stats = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("node").alias("first"), F.min(F.struct(F.xxhash64("bucket", "node"), "node"))["node"].alias("picked"))
+    return stats.filter((F.col("low") < F.col("high")) & (F.col("members") >= least)).select("bucket", "members", "shingles", "first", "picked")
 
 
 def _remaining_links(rows: DataFrame, percent: int, values: int) -> DataFrame:
-    """Pairs (a, b) to confirm within buckets of rows: bucket, members, node, label, n, sig, set.
+    """Pairs (a, b) to confirm within buckets of rows: bucket, members, shingles, node, label, n, sig, set.
 
-    Buckets over BLOCK members are compared block by block.  Members with different labels whose
+    Buckets over BLOCK members or BLOCK_SHINGLES shingles are compared block by block.  Members with different labels whose
     signatures agree are compared on sets of 32-bit hashes where they stand; those clearly over the
     threshold are merged at once, so a pair is given for each merge, besides those on the edge of it.
     """
     least = _least_agreement(percent / 100, values)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
     dealt = rows.withColumn("blocks", blocks).withColumn("own", own).select("bucket", "node", "label", "n", "sig", "set", F.explode(ends).alias("pair"))
@@ -313,6 +317,22 @@ def _remaining_links(rows: DataFrame, percent: int, values: int) -> DataFrame:
     return dealt.groupBy("bucket", "pair.i", "pair.j").applyInArrow(run, "a long, b long").distinct()
 
 
+def with_nodes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool, bool]:
+    """(doc_id, node, text) of docs, the identifiers that stand for several texts, and whether there are any
+    such and any repeated rows.
+
+    A row's node is its identifier; only where the identifier has several texts, it is a hash of both.
+    """
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    hashes = read.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"))
+    found = scratch.write(hashes.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "repeated-ids")
+    repeated, several = not found.isEmpty(), found.filter("low < high").select("doc_id")
+    if not repeated or several.isEmpty():
+        return read.withColumn("node", F.col("doc_id")), several, False, repeated
+    marked = read.join(several.withColumn("several", F.lit(True)), "doc_id", "left")
+    return marked.withColumn("node", F.when(F.col("several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))).drop("several"), several, True, True
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept.
 
@@ -321,19 +341,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest identifier reachable by links.
 
     A document without words or with a null text has no shingles and links with nothing.  A row with a
-    null identifier links with nothing, has a null component and is kept.  Rows that repeat an identifier are
-    each judged by their own text, and all those of a kept identifier count as kept.  An empty table
-    gives an empty result.  Further columns are not read.
+    null identifier links with nothing, has a null component and is kept.  Rows that repeat an identifier
+    are one document with several texts: it links where any of them does, and its rows have one
+    component and are kept or go together.  An empty table gives an empty result.  Further columns are
+    not read.
     """
     values = 2 * permutations
-    scratch = Scratch(docs.sparkSession)
-    signed = materialise(signatures(docs, width, id_col, text_col, permutations, bands), "near-dup-signatures")
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    texts, several, some, repeated = with_nodes(docs, id_col, text_col, scratch)
+    signed = scratch.write(signatures(texts, width, permutations, bands), "signatures")
     usable = signed.filter(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
-    classes = materialise(usable.groupBy("key").agg(F.min("doc_id").alias("node")), "near-dup-classes")
-    found = usable.select("key", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands")
-    nodes = scratch.write(found.join(classes, ["key", "node"], "left_semi").drop("key"), "nodes")
-    band_rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    edges, labels = None, None
+    classes = scratch.write(usable.groupBy("key").agg(F.min("node").alias("class"), F.min("doc_id").alias("least")), "classes")
+    found = usable.select("key", "node", F.col("n_shingles").alias("n"), "sig", "bands")
+    nodes = found.join(classes.select("key", F.col("class").alias("node")), ["key", "node"], "left_semi")
+    # rows that repeat an identifier and its text are one node
+    nodes = scratch.write(nodes.dropDuplicates(["key", "node"]).drop("key"), "nodes")
+    band_rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    edges, labels, own = None, None, None
+    if some:
+        # the edges that an identifier makes between the classes of its texts
+        own = scratch.write(usable.join(several, "doc_id", "left_semi").join(classes, "key").select("doc_id", F.col("class").alias("b")).distinct(), "own")
+        shared = scratch.write(own.join(own.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").filter("a < b").select("a", "b"), "shared")
+        if not shared.isEmpty():
+            edges, labels = shared, components(shared, scratch)
     for step in (1, 2, 3):
         rows = _labelled(band_rows, labels)
         opened = scratch.write(_open_buckets(rows, 2 if step < 2 else 3), "buckets")
@@ -344,30 +375,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pivot = "first" if step == 1 else "picked"
             pairs = members.filter(F.col("node") != F.col(pivot))
             if step == 2:
-                if opened.agg(F.sum("members")).first()[0] <= FEW_MEMBERS:
-                    continue  # the third round compares them all anyway
                 pivots = (labels if labels is not None else nodes.select("node", F.col("node").alias("label"))).select(F.col("node").alias("picked"), F.col("label").alias("own"))
                 pairs = pairs.join(pivots, "picked", "left").filter(F.coalesce("own", "picked") != F.col("label"))
             pairs = pairs.select(F.least("node", pivot).alias("a"), F.greatest("node", pivot).alias("b")).distinct()
             pairs = filter_pairs(pairs, nodes, percent, values)
         else:
-            sets = scratch.write(_sets(docs, members.select("node").distinct(), width, id_col, text_col, short=True), "short-sets")
-            pairs = _remaining_links(members.join(nodes.select("node", "n", "sig"), "node").join(sets, "node"), percent, values)
+            sets = scratch.write(_sets(texts, members.select("node").distinct(), width, repeated, short=True), "short-sets")
+            pairs = _remaining_links(members.join(nodes.select("node", "sig"), "node").join(sets, "node"), percent, values)
         pairs = scratch.write(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        linked = scratch.write(confirm(pairs, docs, width, id_col, text_col, percent, scratch), "links")
+        linked = scratch.write(confirm(pairs, texts, width, percent, repeated, scratch), "links")
         if linked.isEmpty():
             continue
         edges = linked if edges is None else edges.union(linked)
         labels = components(edges, scratch)
+    top = F.col("least")
     if labels is not None:
-        labels = materialise(labels, "near-dup-labels")
+        # a component is named after the least identifier of its classes
+        linked = classes.join(labels.withColumnRenamed("node", "class"), "class")
+        tops = linked.join(linked.groupBy("label").agg(F.min("least").alias("top")), "label").select("key", "top")
+        classes, top = classes.join(tops, "key", "left"), F.coalesce("top", "least")
+    out = signed.select("doc_id", "n_shingles", "key").join(classes.select("key", "class", top.alias("top")), "key", "left")
+    component = F.coalesce("top", "doc_id")
+    if some:
+        # a row without words has the component of its identifier's other texts
+        by_id = own.join(classes.select(F.col("class").alias("b"), top.alias("of_id")), "b").groupBy("doc_id").agg(F.min("of_id").alias("of_id"))
+        out, component = out.join(by_id, "doc_id", "left"), F.coalesce("top", "of_id", "doc_id")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), component))
+    out = materialise(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "near-dup-result")
     scratch.drop()
-    out = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left")
-    if labels is not None:
-        out = out.join(labels, "node", "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("long"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("label", "node", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out

@@ -316,17 +316,45 @@ def plain_components(rows, width, percent=80):
 
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(docs, empty, width):
-    unique = docs.filter("doc_id IS NULL OR doc_id NOT IN (7)")
-    want = plain_components(unique.collect(), width)
-    rows = near_dup.near_duplicates(unique, width=width).collect()
-    assert len(rows) == unique.count()
+    want = plain_components(docs.collect(), width)
+    rows = near_dup.near_duplicates(docs, width=width).collect()
+    assert len(rows) == docs.count()
     for r in rows:
         assert r.component_id == want.get(r.doc_id) and r.kept == (r.component_id == r.doc_id)
-    assert Counter((r.doc_id, r.n_shingles) for r in rows) == Counter((r.doc_id, len(shingles(r.text, width))) for r in unique.collect())
+    assert Counter((r.doc_id, r.n_shingles) for r in rows) == Counter((r.doc_id, len(shingles(r.text, width))) for r in docs.collect())
     assert near_dup.near_duplicates(empty).count() == 0
     assert {r.kept for r in near_dup.near_duplicates(docs.filter("doc_id = 203")).collect()} == {True}
 
 
+def test_near_duplicates_of_repeated_identifiers(spark):
+    """An identifier with several texts joins the components of all of them."""
+    line = lambda x: " ".join(f"{x}{k}" for k in range(30))
+    a, b, c, d = map(line, "abcd")
+    given = [(3, a), (7, a), (7, b), (12, b), (12, ""), (12, None), (20, c), (5, c + " end"), (5, d), (5, d), (30, d), (40, ""), (40, ""), (41, line("e")), (41, line("e")), (None, a), (8, line("f")), (8, line("g"))]
+    df = spark.createDataFrame([doc(*r) for r in given], SCHEMA).repartition(3)
+    rows = near_dup.near_duplicates(df, width=2).collect()
+    want = plain_components(df.collect(), 2)
+    assert want[12] == 3 and want[20] == want[30] == 5
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in given)
+    assert all(r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+def test_blocks_of_buckets(spark):
+    """Buckets that are cut into blocks, by members or by shingles, give the same components."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    rows = [doc(k, " ".join(base[: 30 + k % 9] + [f"x{rng.randrange(4)}" for _ in range(3)] + base[40:])) for k in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = plain_components(df.collect(), 2)
+    for block, shingles_ in ((4, 10**9), (10**9, 300)):
+        kept = near_dup.BLOCK, near_dup.BLOCK_SHINGLES
+        near_dup.BLOCK, near_dup.BLOCK_SHINGLES = block, shingles_
+        try:
+            assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, width=2).collect()} == want
+        finally:
+            near_dup.BLOCK, near_dup.BLOCK_SHINGLES = kept
+
+
 def test_remaining_links_find_chains(spark):
     """A chain whose ends are unlike: every link is found though the bucket's pivot is far."""
     words = [f"w{k}" for k in range(120)]
