@@ -32,8 +32,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled so that sources, languages and kinds of text come near their target shares."""
-    return mix_sources(docs, share=0.9, repeat=False).filter("selected").select(*docs.columns)
+    """Documents are sampled so that sources, languages and kinds of text have their target shares.
+
+    Targets are the tokens' shares to the power 0.9; no document is taken twice.
+    """
+    return mix_sources(docs, exponent=0.9, share=0.9, repeat=False).filter("selected").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ fitted weight over its cell's tokens, scaled so that the expected tokens are the
 the probability to be taken; a cell that needs more than its documents repeats them, since clipping its
 rate would move the sample's margins off their targets.
 
-Up to MOST_CELLS cells are raked on the driver, beyond that by DataFrame aggregations.
+Up to MOST_CELLS cells are raked on the driver, beyond that by DataFrame aggregations: the same steps in
+the same order with the same stopping rule, so only rounding differs.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import drop_path, materialise, scratch_path
 from .common import OWN, let, words
 
 MOST_CELLS = 100_000
+#: Raking ends when no margin is further from its target, or after so many rounds.
+TOLERANCE, ROUNDS = 1e-9, 500
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -36,89 +39,99 @@ def tempered(shares: dict, exponent: float) -> dict:
     return {k: s**exponent / total for k, s in shares.items()}
 
 
-def rake(codes: list[np.ndarray], targets: list[np.ndarray], start: np.ndarray, rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
-    """Cell weights of total 1 whose margins are the targets; codes: each cell's place per dimension.
+def rake(codes: list[np.ndarray], targets: list[np.ndarray], start: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+    """Cell weights whose margins are the targets, none over `most`; codes: each cell's place per dimension.
 
-    Where empty cells rule the targets out, the weights of the last round are returned.
+    Where empty cells or bounds rule the targets out, the weights of the last round are returned.
     """
-    w = start / start.sum()
-    for _ in range(rounds):
+    w = start
+    for _ in range(ROUNDS):
         worst = 0.0
         for code, target in zip(codes, targets):
             margin = np.bincount(code, w, len(target))
             worst = max(worst, np.abs(margin - target).max())
             w = w * np.divide(target, margin, out=np.zeros_like(margin), where=margin > 0)[code]
-        if worst < tolerance:
+            if most is not None:
+                w = np.minimum(w, most)
+        if worst < TOLERANCE:
             break
-    return w / w.sum()
+    return w
 
 
-def scaled(ratio: np.ndarray, tokens: np.ndarray, share: float) -> np.ndarray:
-    """min(1, c * ratio) with c such that the expected share of tokens is kept."""
-    goal = min(share, 1.0) * tokens.sum()
-    low, high = 0.0, 1.0
-    while (np.minimum(1, high * ratio) * tokens).sum() < goal * (1 - 1e-12) and high < 1e30:
-        high *= 2
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (np.minimum(1, mid * ratio) * tokens).sum() < goal else (low, mid)
-    return np.minimum(1, high * ratio)
+def _budget(share: float, have: np.ndarray, goal: np.ndarray) -> float:
+    """The part of all tokens up to `share` at which no group needs more tokens than it has."""
+    return min(share, (have[goal > 0] / goal[goal > 0]).min(initial=share))
 
 
-def _margins(cells: DataFrame, name: str) -> DataFrame:
-    return cells.groupBy(name).agg(F.sum("tokens").alias("tokens"))
-
-
-def cell_probabilities(cells: DataFrame, exponent: float, targets: dict | None, share: float, repeat: bool) -> DataFrame:
+def cell_rates(cells: DataFrame, exponent: float, targets: dict, share: float, repeat: bool) -> DataFrame:
     """cells (source, lang, topic, tokens), MOST_CELLS of them at most, with weight and probability."""
     spark = cells.sparkSession
-    targets = targets or {}
     rows = sorted(cells.collect(), key=lambda r: [str(r[d]) for d in DIMENSIONS])
     tokens = np.array([float(r["tokens"]) for r in rows])
-    if not tokens.sum():
-        return spark.createDataFrame([(*(r[d] for d in DIMENSIONS), 0.0, 1.0) for r in rows], "source string, lang string, topic string, weight double, probability double")
-    codes, goals = [], []
-    for d in DIMENSIONS:
-        names = list(dict.fromkeys(r[d] for r in rows))
-        code = np.array([names.index(r[d]) for r in rows]) if len(names) < 64 else np.array([{n: k for k, n in enumerate(names)}[r[d]] for r in rows])
-        margin = dict(zip(names, np.bincount(code, tokens, len(names)) / tokens.sum()))
-        goal = {n: float(targets[d].get(n, 0.0)) for n in names} if d in targets else tempered(margin, exponent)
-        total = sum(goal.values()) or 1.0
-        codes.append(code)
-        goals.append(np.array([goal[n] / total for n in names]))
-    weight = rake(codes, goals, tokens)
-    ratio = np.divide(weight, tokens, out=np.zeros_like(tokens), where=tokens > 0)
-    once = lambda: np.where(tokens > 0, scaled(ratio, tokens, share), 1.0)
-    p = once() if not repeat else np.divide(share * tokens.sum() * weight, tokens, out=np.ones_like(tokens), where=tokens > 0)
-    return spark.createDataFrame([(*(r[d] for d in DIMENSIONS), float(w), float(q)) for r, w, q in zip(rows, weight, p)], "source string, lang string, topic string, weight double, probability double")
-
-
-def _raked_apart(cells: DataFrame, exponent: float, targets: dict, share: float, repeat: bool, rounds: int = 30) -> DataFrame:
-    """The same with the cells in a table: each half round is an aggregation and a join on one dimension."""
+    total = tokens.sum()
+    weight, rate = np.zeros(len(rows)), np.ones(len(rows))
+    if total:
+        codes, goals, budget = [], [], share
+        for d in DIMENSIONS:
+            place = {n: k for k, n in enumerate(dict.fromkeys(r[d] for r in rows))}
+            code = np.array([place[r[d]] for r in rows])
+            have = np.bincount(code, tokens, len(place)) / total
+            goal = np.array([float(targets[d].get(n, 0.0)) for n in place]) if d in targets else have**exponent
+            goal = np.where(have > 0, goal, 0.0)
+            goal = goal / goal.sum() if goal.sum() else goal
+            codes.append(code)
+            goals.append(goal)
+            budget = budget if repeat else _budget(budget, have, goal)
+        weight = rake(codes, goals, tokens / total, None if repeat or not budget else tokens / total / budget)
+        rate = np.divide(budget * total * weight, tokens, out=rate, where=tokens > 0)
+    return spark.createDataFrame([(*(r[d] for d in DIMENSIONS), float(w), float(q)) for r, w, q in zip(rows, weight, rate)], "source string, lang string, topic string, weight double, probability double")
+
+
+def cell_rates_by_tables(cells: DataFrame, exponent: float, targets: dict, share: float, repeat: bool) -> DataFrame:
+    """The same with the cells in a table: each step is an aggregation and a join on one dimension, and a
+    round's weights are written before the next one reads them."""
     spark = cells.sparkSession
-    total = float(cells.agg(F.sum("tokens")).first()[0])
-    goals = {}
+    total = cells.agg(F.sum("tokens")).first()[0]
+    if not total:
+        return cells.select(*DIMENSIONS, F.lit(0.0).alias("weight"), F.lit(1.0).alias("probability"))
+    total, paths, goals, budget = float(total), [], {}, share
+
+    def written(df: DataFrame) -> DataFrame:
+        paths.append(scratch_path(spark, "mixing-weights"))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
     for d in DIMENSIONS:
+        have = cells.groupBy(F.col(d).alias(OWN + d)).agg((F.sum("tokens") / total).alias("have"))
         if d in targets:
-            goals[d] = spark.createDataFrame([(k, float(v) / sum(targets[d].values())) for k, v in targets[d].items()], f"{d} string, goal double")
+            given = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], "name string, goal double")
+            have = have.join(given, F.col(OWN + d).eqNullSafe(F.col("name")), "left").drop("name")
         else:
-            m = _margins(cells, d).withColumn("goal", F.pow(F.col("tokens") / total, exponent))
-            goals[d] = materialise(m.select(d, (F.col("goal") / float(m.agg(F.sum("goal")).first()[0])).alias("goal")), "mixing-goal")
-    w = cells.withColumn("weight", F.col("tokens") / total)
-    for _ in range(rounds):
+            have = have.withColumn("goal", F.pow("have", F.lit(exponent)))
+        have = have.withColumn("goal", F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0))).otherwise(F.lit(0.0)))
+        whole = have.agg(F.sum("goal")).first()[0] or 1.0
+        goals[d] = written(have.withColumn("goal", F.col("goal") / whole))
+        if not repeat:
+            least = goals[d].filter("goal > 0").agg(F.min(F.col("have") / F.col("goal"))).first()[0]
+            budget = budget if least is None else min(budget, least)
+    w = written(cells.withColumn("weight", F.col("tokens") / total))
+    for _ in range(ROUNDS):
+        worst = 0.0
         for d in DIMENSIONS:
-            factor = w.groupBy(d).agg(F.sum("weight").alias("margin")).join(goals[d], d, "left").select(F.col(d).alias(OWN + d), F.coalesce(F.try_divide(F.coalesce("goal", F.lit(0.0)), F.col("margin")), F.lit(0.0)).alias("factor"))
-            w = w.join(factor, F.col(d).eqNullSafe(F.col(OWN + d))).withColumn("weight", F.col("weight") * F.col("factor")).drop(OWN + d, "factor")
-        w = materialise(w, "mixing-weights")
-    if repeat:
-        return w.select(*DIMENSIONS, "weight", F.when(F.col("tokens") > 0, F.try_divide(F.col("weight") * share * total, F.col("tokens"))).otherwise(F.lit(1.0)).alias("probability"))
-    ratio = F.coalesce(F.try_divide(F.col("weight"), F.col("tokens")), F.lit(0.0))
-    low, high = 0.0, total * 1e6
-    for _ in range(60):
-        mid = (low + high) / 2
-        got = float(w.agg(F.sum(F.least(F.lit(1.0), ratio * mid) * F.col("tokens"))).first()[0])
-        low, high = (mid, high) if got < share * total else (low, mid)
-    return w.select(*DIMENSIONS, "weight", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), ratio * high)).otherwise(F.lit(1.0)).alias("probability"))
+            margins = w.groupBy(F.col(d).alias(OWN + "name")).agg(F.sum("weight").alias("margin"))
+            margins = written(goals[d].join(margins, F.col(OWN + d).eqNullSafe(F.col(OWN + "name"))).select(OWN + d, "goal", "margin"))
+            worst = max(worst, margins.agg(F.max(F.abs(F.col("margin") - F.col("goal")))).first()[0])
+            weight = F.col("weight") * F.when(F.col("margin") > 0, F.try_divide("goal", "margin")).otherwise(F.lit(0.0))
+            if not repeat and budget:
+                weight = F.least(weight, F.col("tokens") / (total * budget))
+            w = w.join(margins, F.col(d).eqNullSafe(F.col(OWN + d))).withColumn("weight", weight).drop(OWN + d, "goal", "margin")
+        w = written(w)
+        if worst < TOLERANCE:
+            break
+    for path in paths[:-1]:
+        drop_path(spark, path)
+    rate = F.when(F.col("tokens") > 0, F.col("weight") * (budget * total) / F.col("tokens")).otherwise(F.lit(1.0))
+    return w.select(*DIMENSIONS, "weight", rate.alias("probability"))
 
 
 def uniform(identifier: Column) -> Column:
@@ -135,10 +148,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     probability is the expected number of copies: above 1 the document is in the sample as often as its
     whole part says, and once more if a number in [0, 1) hashed from its identifier is below the rest.
     selected says that there is a copy.  Equal identifiers fare alike and a second run gives the same sample.
-    Without repeat no document comes twice: rates are clipped at 1 and the others raised to keep the share,
-    so the sample has the target margins only where no cell needs more than its documents.
+    Without repeat no document comes twice: the share is lowered to the greatest at which no source,
+    language or topic needs more tokens than it has, and cells are raked with their own tokens as bounds,
+    so the expected margins are the targets again, unless bounds and empty cells together rule them out.
 
-    Nulls of source, language or topic form groups of their own.  Documents without a word have no
+    Nulls of source, language or topic form groups of their own (name None in targets).  Documents without a word have no
     tokens; a cell of only such documents is kept whole.  An empty table gives an empty result.
     Columns of docs with a result's name are replaced.
     """
@@ -149,7 +163,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = keyed.select(*keys, F.size(words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).cast("long").alias("n"))
     cells = materialise(counted.groupBy(*keys).agg(F.sum("n").alias("tokens")).toDF(*DIMENSIONS, "tokens"), "mixing-cells")
     few = cells.count() <= MOST_CELLS
-    rates = cell_probabilities(cells, exponent, targets, share, repeat) if few else _raked_apart(cells, exponent, targets or {}, share, repeat)
+    rates = (cell_rates if few else cell_rates_by_tables)(cells, exponent, targets or {}, share, repeat)
     rates = rates.toDF(*(OWN + "r_" + d for d in DIMENSIONS), OWN + "weight", OWN + "probability")
     rates = F.broadcast(rates) if few else rates
     same = [F.col(OWN + d).eqNullSafe(F.col(OWN + "r_" + d)) for d in DIMENSIONS]

@@ -531,16 +531,76 @@ def test_mixing_sample_meets_targets(docs):
             assert got[k] == pytest.approx(want[k] / sum(want.values()), abs=1e-6)
     assert all(r.selected == (r.copies > 0) and abs(r.copies - r.probability) < 1 for r in rows)
     assert max(r.copies for r in rows) > 1
-    once = mixing.mix_sources(docs, share=0.8, repeat=False).collect()
-    assert sum(r.n_tokens * r.probability for r in once) == pytest.approx(0.8 * total, rel=1e-6) and max(r.copies for r in once) == 1
 
 
-def test_mixing_by_tables(docs):
-    """Beyond the driver's bound the same weights come from aggregations."""
-    most, mixing.MOST_CELLS = mixing.MOST_CELLS, 3
+def test_mixing_without_repeats_meets_targets(docs):
+    """No document twice, and still the target margins, at the greatest share that allows it."""
+    for exponent in (0.7, 0.9):
+        rows = mixing.mix_sources(docs, share=0.9, exponent=exponent, repeat=False).collect()
+        assert max(r.copies for r in rows) == 1 and all(0 <= r.probability <= 1 + 1e-9 for r in rows)
+        total, kept, least = sum(r.n_tokens for r in rows), sum(r.n_tokens * r.probability for r in rows), 0.9
+        for d in ("source", "lang", "topic"):
+            have, got = Counter(), Counter()
+            for r in rows:
+                have[r[d]] += r.n_tokens / total
+                got[r[d]] += r.n_tokens * r.probability / kept
+            want = {k: v**exponent for k, v in have.items() if v}
+            goal = {k: v / sum(want.values()) for k, v in want.items()}
+            least = min(least, *(have[k] / goal[k] for k in goal))
+            for k in goal:
+                assert got[k] == pytest.approx(goal[k], abs=1e-6), (d, k)
+        assert kept / total == pytest.approx(least, rel=1e-6)
+
+
+def plain_raking(rows, exponent, share, rounds=500):
+    """Weights and rates by cell, from dictionaries only."""
+    tokens = Counter()
+    for r in rows:
+        tokens[r.source, r.lang, r.topic] += len((r.text or "").encode().split())
+    total = sum(tokens.values())
+    goals = []
+    for k in range(3):
+        have = Counter()
+        for c, n in tokens.items():
+            have[c[k]] += n / total
+        goals.append({x: v**exponent / sum(u**exponent for u in have.values() if u) for x, v in have.items() if v})
+    w = {c: n / total for c, n in tokens.items()}
+    for _ in range(rounds):
+        worst = 0
+        for k, goal in enumerate(goals):
+            margin = Counter()
+            for c, v in w.items():
+                margin[c[k]] += v
+            worst = max(worst, *(abs(margin[x] - goal.get(x, 0)) for x in margin))
+            w = {c: v * goal.get(c[k], 0) / margin[c[k]] if margin[c[k]] else 0 for c, v in w.items()}
+        if worst < 1e-9:
+            break
+    return {c: (w[c], share * total * w[c] / n if n else 1.0) for c, n in tokens.items()}
+
+
+@pytest.mark.parametrize("tables", [False, True])
+def test_mixing_against_a_plain_version(spark, tables):
+    """Both ways of raking, with nulls in every dimension, cells without tokens and repeated rows."""
+    rng = random.Random(9)
+    pick = lambda *x: rng.choice(x)
+    given = [doc(k, None if k % 17 == 0 else " ".join(["w"] * rng.randint(0, 300)), pick("en", "de", None), pick("a", "b", "c", None)) for k in range(80)]
+    given += given[:5] + [doc(None, "x y z", None, None), doc(300, "", "xx", "only empty")]
+    df = spark.createDataFrame(given, SCHEMA)
+    kept = mixing.MOST_CELLS
+    mixing.MOST_CELLS = 0 if tables else kept
     try:
-        a = {r.doc_id: r.weight for r in mixing.mix_sources(docs.filter("doc_id < 30"), share=0.5).collect()}
+        rows = mixing.mix_sources(df, share=0.5).collect()
+        once = mixing.mix_sources(df, share=0.5, repeat=False, targets={"source": {"a": 0.6, "b": 0.3, "gone": 0.1, None: 0.1}}).collect()
+        none = mixing.mix_sources(df.filter("n_chars = 0"), share=0.5).collect()
     finally:
-        mixing.MOST_CELLS = most
-    b = {r.doc_id: r.weight for r in mixing.mix_sources(docs.filter("doc_id < 30"), share=0.5).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+        mixing.MOST_CELLS = kept
+    want = plain_raking(rows, 0.7, 0.5)
+    for r in rows:
+        w, p = want[r.source, r.lang, r.topic]
+        assert r.weight == pytest.approx(w, abs=1e-7) and r.probability == pytest.approx(p, rel=1e-5, abs=1e-7)
+    assert len(rows) == len(once) == len(given) and none and all(r.selected for r in none)
+    spent = sum(r.n_tokens * r.probability for r in once)
+    by = Counter()
+    for r in once:
+        by[r.source] += r.n_tokens * r.probability / spent
+    assert [by[k] for k in ("a", "b", None, "c")] == pytest.approx([0.6, 0.3, 0.1, 0], abs=1e-6)
