@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns that operators add for their own use start with this, so that no input column clashes.
@@ -48,3 +48,9 @@ def words(text: Column) -> Column:
 def crc_remainder(identifier: Column, divisor: int) -> Column:
     """crc32 of the identifier as text, mod divisor; a null identifier counts as empty text."""
     return F.crc32(F.coalesce(identifier.cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def number_table(spark: SparkSession, rows: list[tuple[int, ...]], *names: str) -> DataFrame:
+    """A small table of whole numbers, written into the plan."""
+    values = ", ".join("(" + ", ".join(f"{v}L" if v > -(2**63) else "-9223372036854775807L - 1L" for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(f'`{x}`' for x in names)})")

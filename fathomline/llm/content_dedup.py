@@ -1,9 +1,11 @@
 """Exact dedup by content sort, with DataFrame operations only.
 
-Normalised texts are dealt to ranges of (leading characters, hash) whose splitters Spark samples;
-each range is sorted externally, so equal texts stand next to each other, and the window operator
-compares each whole text with its neighbour.  The short range key keeps the sampled splitters small
-however long the texts are; equal texts have equal keys, so no group is cut by a splitter.
+Normalised texts are dealt to ranges of their own leading characters, whose splitters Spark samples;
+each range is sorted externally by the whole text, so equal texts stand next to each other, and the
+window operator compares each whole text with its neighbour.  The range key is the text's first PREFIX
+characters, so the sampled splitters stay small however long texts are; among texts that begin alike
+for longer, a hash goes on where the characters end.  Equal texts have equal keys, so no group is cut
+by a splitter.  Whole texts go through that one exchange, and its order is the one that the window needs.
 
 A text whose copies would fill more than half an average range is hot.  There are at most twice as
 many hot texts as ranges.  Their rows get a salt, which cuts the group over several ranges, and the
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import shuffle_partitions
-from .common import OWN
+from .common import OWN, number_table
 
 P, H, S, T, SHA = (OWN + x for x in ("prefix", "hash", "salt", "text", "sha"))
+#: Characters of a text by which ranges are cut.
+PREFIX = 64
 
 
 def hot_hashes(hashes: DataFrame, least: int) -> list[tuple[int, int]]:
@@ -42,29 +46,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
-    spark = docs.sparkSession
-    n = partitions or shuffle_partitions(spark)
+    n = partitions or shuffle_partitions(docs.sparkSession)
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     text = normalise(text) if normalise else text
     docs = docs.drop(*[c for c in ("keep_id", "group_size", "kept", "text_sha256") if c in docs.columns and c not in (id_col, text_col)])
     hashed = docs.withColumn(T, text).withColumn(H, F.xxhash64(T))
     least = max(32, math.ceil(docs.count() / (2 * n)))
     hot = hot_hashes(hashed.select(H), least)
+    best = F.max if keep == "largest" else F.min
+    key = [P, H]
     if hot:
-        cuts = spark.createDataFrame([(h, math.ceil(c / least)) for h, c in hot], f"{H} long, {OWN}cuts long")
-        hashed = hashed.join(F.broadcast(cuts), H, "left").withColumn(S, F.when(F.col(OWN + "cuts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.col(OWN + "cuts"))))
-    else:
-        hashed = hashed.withColumn(S, F.lit(0).cast("long"))
-    ranged = hashed.withColumn(P, F.substring(T, 1, 12)).repartitionByRange(n, P, H, S)
+        # at most 2 n texts.  Rows without identifier are dealt by the task that reads them
+        cuts = number_table(docs.sparkSession, [(h, math.ceil(c / least)) for h, c in hot], H, OWN + "cuts")
+        dealt = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col))).otherwise(F.spark_partition_id())
+        salt = F.pmod(dealt, F.col(OWN + "cuts"))
+        hashed = hashed.join(F.broadcast(cuts), H, "left").withColumn(S, F.coalesce(salt, F.lit(0).cast("long")))
+        key.append(S)
+    ranged = hashed.withColumn(P, F.substring(T, 1, PREFIX)).repartitionByRange(n, *key)
     order = F.col(id_col).desc_nulls_last() if keep == "largest" else F.col(id_col).asc_nulls_last()
-    same = Window.partitionBy(P, H, S, T)
-    nth = Window.partitionBy(P, H, S, T).orderBy(order)
+    same = Window.partitionBy(*key, T)
+    nth = same.orderBy(order)
     out = ranged.withColumn("keep_id", F.first(id_col).over(nth)).withColumn(OWN + "nth", F.row_number().over(nth)).withColumn("group_size", F.count(F.lit(1)).over(same)).withColumn("text_sha256", F.sha2(F.col(T).cast("binary"), 256))
+    first = F.col(OWN + "nth") == 1
     if hot:
-        best = F.max(id_col) if keep == "largest" else F.min(id_col)
-        totals = hashed.filter(F.col(OWN + "cuts").isNotNull()).groupBy(T).agg(best.alias(OWN + "keep"), F.count(F.lit(1)).alias(OWN + "size"))
-        totals = totals.select(F.sha2(F.col(T).cast("binary"), 256).alias(SHA), OWN + "keep", OWN + "size")
+        salted = hashed.filter(F.col(OWN + "cuts").isNotNull())
+        # where no row of a group has an identifier, one in the least salt stays
+        totals = salted.groupBy(T).agg(best(id_col).alias(OWN + "keep"), F.count(F.lit(1)).alias(OWN + "size"), F.min(F.when(F.col(id_col).isNull(), F.col(S))).alias(OWN + "least"))
+        totals = totals.select(F.sha2(F.col(T).cast("binary"), 256).alias(SHA), OWN + "keep", OWN + "size", OWN + "least")
         hot_row = F.col(SHA).isNotNull()
         out = out.join(F.broadcast(totals), F.col("text_sha256") == F.col(SHA), "left").withColumn("keep_id", F.when(hot_row, F.col(OWN + "keep")).otherwise(F.col("keep_id"))).withColumn("group_size", F.when(hot_row, F.col(OWN + "size")).otherwise(F.col("group_size")))
-    out = out.withColumn("kept", (F.col(OWN + "nth") == 1) & F.col(id_col).eqNullSafe(F.col("keep_id")))
+        first = first & (~hot_row | F.col(id_col).isNotNull() | (F.col(S) == F.col(OWN + "least")))
+    out = out.withColumn("kept", first & F.col(id_col).eqNullSafe(F.col("keep_id")))
     return out.select(*docs.columns, "keep_id", "group_size", "kept", "text_sha256")

@@ -454,6 +454,29 @@ def test_exact_dedup(spark, docs, empty, keep):
     assert lower == 1
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_exact_dedup_sorts_whole_texts_once(spark, hot):
+    """Texts go through one exchange, which is by range of their content, and the window uses its order."""
+    long_ = "the same opening of many texts " * 9
+    rows = [doc(k, long_ + f"{k % 40}") for k in range(120)] + [doc(None, long_ + "0"), doc(None, "no id"), doc(None, "no id")]
+    rows += [doc(None if k % 3 else 500 + k, "hot text") for k in range(150)] + [doc(None, "hot, none known")] * 90 if hot else []
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = content_dedup.exact_dedup(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    with_texts = [x for x in plan.split("Final Plan")[-1].splitlines() if "Exchange rangepartitioning" in x]
+    assert len(with_texts) == 1 and "Exchange hashpartitioning" not in (plan if not hot else "")
+    groups = defaultdict(list)
+    for r in df.collect():
+        groups[r.text].append(r.doc_id)
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r.text].append(r)
+    for t, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        assert {(r.keep_id, r.group_size) for r in got[t]} == {(max(known) if known else None, len(ids))}
+        assert [r.doc_id for r in got[t] if r.kept] == [max(known) if known else None] and len(got[t]) == len(ids)
+
+
 def test_toxicity(spark, docs, empty, labels):
     rows = toxicity.score_toxicity(docs, labels).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
