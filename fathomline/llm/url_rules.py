@@ -1,12 +1,17 @@
 """URL filters by a sort-merge range join, with DataFrame operations only.
 
 A host is written as its labels in reverse, each followed by the lowest separator, so all subdomains
-of a rule's host lie in one interval of keys.  Intervals of hosts are nested or apart; each boundary
-carries the stack of rules that are active from there on.  Urls and boundaries are sorted together and
-swept once: the last boundary at or before a url gives its active rules, among which the path decides.
-
-Urls are dealt by a salt and the boundaries are copied to each salt, so a host with a third of all urls
-doesn't land in one task.  The boundaries are as many as twice the rules' hosts.
+of a rule's host lie in one interval of keys; a path behind its host's key puts all urls whose path
+starts with a rule's into one interval too.  Intervals are nested or apart, so the boundary before a
+key tells which rules are active there.  Two sorted sweeps decide a url:
+  1. over hosts: the stack of nested rule hosts that are active, the url's host or hosts above it;
+  2. over (host of that stack, path): the innermost active rule of that host.
+The best of a url's rules is then chosen among the hosts of its stack, of which there are at most as
+many as its host has labels.
+
+A sweep deals urls and boundaries to ranges of keys by sampled splitters, urls of one key by a hash as
+well, so neither a hot host nor a hot url fills a task.  What is active where a range begins is the last
+boundary before it, found from one row per range.  A boundary is in one range only.
 """
 
 from __future__ import annotations
@@ -15,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import shuffle_partitions
+from ..runtime import materialise, shuffle_partitions
 from .common import OWN, ascii_lower, let
 
 SEP, AFTER = "\x01", "\x02"
+RANGE, KIND, TIE = OWN + "range", OWN + "kind", OWN + "tie"
 
 
 def host_of(url: Column) -> Column:
@@ -46,16 +52,56 @@ def key_of(labels: Column) -> Column:
     return F.concat(F.array_join(labels, SEP), F.lit(SEP))
 
 
-def boundaries(rules: DataFrame) -> DataFrame:
-    """(key, stack): from key on, and up to the next one, the rules of stack are active."""
-    rules = rules.withColumn(OWN + "labels", host_labels(F.col("host"))).withColumn("key", key_of(F.col(OWN + "labels")))
-    hosts = rules.select("key", OWN + "labels").distinct()
-    prefixes = hosts.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(OWN + "labels")), lambda n: key_of(F.slice(OWN + "labels", 1, n)))).alias("above"))
-    active = prefixes.join(rules.select(F.col("key").alias("above"), F.struct("host", "path", "verdict").alias("rule")), "above")
-    stacks = active.groupBy("key").agg(F.collect_set("rule").alias("at"), F.collect_set(F.when(F.col("above") != F.col("key"), F.col("rule"))).alias("beneath"))
-    opened = stacks.select("key", F.col("at").alias("stack"))
-    closed = stacks.select(F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit(AFTER)).alias("key"), F.col("beneath").alias("stack"))
-    return opened.unionByName(closed)
+def end_of(key: Column) -> Column:
+    """Bytes after all keys that begin with key: no text has the byte 255."""
+    return F.concat(key.cast("binary"), F.unhex(F.lit("FF")))
+
+
+def host_boundaries(rules: DataFrame) -> DataFrame:
+    """(key, stack): from key on, up to the next one, the rule hosts of stack are active."""
+    hosts = rules.select("host").distinct().withColumn("labels", host_labels(F.col("host"))).withColumn("key", key_of(F.col("labels")))
+    above = hosts.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda n: key_of(F.slice("labels", 1, n)))).alias("above"))
+    active = above.join(hosts.select(F.col("key").alias("above"), "host"), "above")
+    stacks = active.groupBy("key").agg(F.collect_set("host").alias("at"), F.collect_set(F.when(F.col("above") != F.col("key"), F.col("host"))).alias("beneath"))
+    opened = stacks.select(F.col("key").cast("binary").alias("key"), F.col("at").alias("stack"))
+    return opened.unionByName(stacks.select(end_of(F.col("key")).alias("key"), F.col("beneath").alias("stack")))
+
+
+def path_boundaries(rules: DataFrame) -> DataFrame:
+    """(key, rule): from key on, up to the next one, rule is the innermost of its host, or null."""
+    own = rules.withColumn("key", path_key(F.col("host"), F.col("path")))
+    # the longest path of the host's rules that this path begins with is active again where this one ends
+    starts = own.select("host", "key", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring("path", F.lit(1), n))).alias("start"), "path").filter("start <> path")
+    around = starts.join(rules.select("host", F.col("path").alias("start"), F.struct("host", "path", "verdict").alias("rule")), ["host", "start"])
+    around = around.groupBy("key").agg(F.max_by("rule", F.length("start")).alias("outer"))
+    opened = own.select(F.col("key").cast("binary").alias("key"), F.struct("host", "path", "verdict").alias("rule"))
+    return opened.unionByName(own.join(around, "key", "left").select(end_of(F.col("key")).alias("key"), F.col("outer").alias("rule")))
+
+
+def path_key(host: Column, path: Column) -> Column:
+    return F.concat(key_of(host_labels(host)), F.lit(AFTER), path)
+
+
+def sweep(rows: DataFrame, marks: DataFrame, value: str) -> DataFrame:
+    """rows with `value` of the last of marks at or before their key; marks: (key, value), keys distinct.
+
+    rows has key (binary) and TIE, a number by which rows of one key may be dealt to several ranges.
+    The dealt rows are written down, so that all that follows sees the same ranges, as a second sampling
+    would give others.
+    """
+    n = shuffle_partitions(rows.sparkSession)
+    columns = [F.col(c) for c in rows.columns]
+    marks = marks.select("key", F.struct(value).alias(OWN + "mark")).withColumn(KIND, F.lit(0)).withColumn(TIE, F.lit(0).cast("long"))
+    both = rows.withColumn(KIND, F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    ranged = materialise(both.repartitionByRange(n, "key", KIND, TIE).withColumn(RANGE, F.spark_partition_id()), "url-ranges")
+    # one row per range: its last mark, then the last one of the ranges before
+    last = ranged.filter(F.col(KIND) == 0).groupBy(RANGE).agg(F.max_by(OWN + "mark", "key").alias(OWN + "last"))
+    ranges = ranged.select(RANGE).distinct().join(last, RANGE, "left")
+    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select(RANGE, F.last(OWN + "last", ignorenulls=True).over(before).alias(OWN + "carried"))
+    swept = ranged.withColumn(OWN + "here", F.last(OWN + "mark", ignorenulls=True).over(Window.partitionBy(RANGE).orderBy("key", KIND).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = swept.filter(F.col(KIND) == 1).join(F.broadcast(carried), RANGE, "left")
+    return found.select(*columns, F.coalesce(OWN + "here", OWN + "carried")[value].alias(value))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -64,22 +110,30 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     rules: host, path, verdict (allow or block).  A rule fits its host and all subdomains where the
     url's path starts with the rule's.  The longest of host and path together wins, then the longer
     host, then the greater verdict (block).  Without a rule the verdict is `default`: what no rule
-    names is let through.
+    names is let through.  Rules with a null host, path or verdict are left out.
 
     A null url, or one without ://, has an empty host and path and no rule.  Repeated rows are judged
     each; without rules, all urls get the default; an empty table gives an empty result.  Other
     columns of pages are neither read nor returned.
     """
-    spark = pages.sparkSession
-    salts = 2 * shuffle_partitions(spark)
-    rules = rules.select(F.col("host").cast("string"), F.col("path").cast("string"), F.col("verdict").cast("string"))
+    rules = rules.select(F.col("host").cast("string"), F.col("path").cast("string"), F.col("verdict").cast("string")).na.drop()
+    rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    urls = urls.withColumn("key", key_of(host_labels(F.col("host")))).withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)))
-    marks = boundaries(rules).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    both = urls.withColumn("kind", F.lit(1)).unionByName(marks.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    sweep = Window.partitionBy("salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = both.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter(F.col("kind") == 1)
-    fits = lambda r: ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))) & F.startswith(F.col("path"), r["path"])
-    ranked = F.transform(F.filter(F.coalesce(F.col("active"), F.array().cast("array<struct<host:string,path:string,verdict:string>>")), fits), lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("size"), F.length(r["host"]).alias("host_size"), r["verdict"].alias("verdict"), F.concat(r["host"], r["path"]).alias("rule")))
-    best = let(F.array_max(ranked), lambda b: F.struct(b["rule"].alias("rule"), F.coalesce(b["verdict"], F.lit(default)).alias("verdict")))
-    return swept.select("page_id", "host", "path", best.alias(OWN + "b")).select("page_id", "host", "path", OWN + "b.rule", OWN + "b.verdict")
+    keyed = urls.withColumn("key", key_of(host_labels(F.col("host"))).cast("binary")).withColumn(TIE, F.xxhash64("page_id", "host", "path"))
+    stacked = sweep(keyed, host_boundaries(rules), "stack")
+    # a url goes on once for each rule host above it, or once without any
+    each = stacked.select("page_id", "host", "path", F.posexplode_outer("stack").alias("nth", "above"))
+    fits = F.col("above").isNotNull()
+    each = each.withColumn("key", path_key(F.coalesce("above", "host"), F.col("path")).cast("binary")).withColumn(TIE, F.xxhash64("page_id", "path"))
+    swept = sweep(each, path_boundaries(rules), "rule")
+    size = F.struct((F.length("rule.host") + F.length("rule.path")).alias("size"), F.length("rule.host").alias("host_size"), F.col("rule.verdict").alias("verdict"), F.concat("rule.host", "rule.path").alias("rule"))
+    # equal rows are equally judged, so they are counted and written out again
+    first = F.coalesce(F.col("nth"), F.lit(0)) == 0
+    judged = swept.groupBy("page_id", "host", "path").agg(F.max(F.when(fits & F.col("rule").isNotNull() & inside("rule", "above", "path"), size)).alias("best"), F.sum(first.cast("long")).alias("n"))
+    copies = judged.select("page_id", "host", "path", "best", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return copies.select("page_id", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def inside(rule: str, host: str, path: str) -> Column:
+    """The exact check: hosts that differ in the separators' characters only share a key."""
+    return (F.col(f"{rule}.host") == F.col(host)) & F.startswith(F.col(path), F.col(f"{rule}.path"))

@@ -433,6 +433,38 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.limit(0), table).count() == 0
 
 
+def best_rule(host, path, rules):
+    fit = [(len(h) + len(p), len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (max(fit)[3], max(fit)[2]) if fit else (None, "allow")
+
+
+def test_many_nested_url_rules(spark):
+    """Nested paths, nested hosts, one hot host and repeated urls, over many ranges."""
+    rng = random.Random(12)
+    hosts = ["a", "b.a", "c.b.a", "x.a", "ab", "z", "a.z", "B.a"]
+    paths = ["", "/", "/p", "/p/q", "/p/q/r", "/pq", "/x", "/é", "/p/q/\U0010ffff", "/x/y"]
+    rules = [(h.lower(), p, rng.choice(["allow", "block"])) for h in hosts for p in paths if rng.random() < 0.5]
+    rules += [("a", "/p", "block"), ("a", "/p", "allow"), (None, "/p", "block"), ("a", None, "block")]
+    urls = [f"http://{rng.choice(['', 'w.', 'w.v.'])}{'a' if rng.random() < 0.6 else rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '/', 'q', '?p', '#f'])}" for _ in range(900)]
+    urls += ["http://c.b.a/p/q"] * 300
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(5, urls[5])], "page_id long, url string").repartition(5)
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    rows = url_rules.judge_urls(pages, table).collect()
+    assert Counter(r.page_id for r in rows) == Counter([*range(len(urls)), 5])
+    known = [r for r in rules if None not in r]
+    for r in rows:
+        assert (r.rule, r.verdict) == best_rule(r.host, r.path, known), (urls[r.page_id], r)
+
+
+def test_boundaries_are_not_copied(spark):
+    """A sweep reads each boundary once, whatever the number of ranges."""
+    rules = spark.range(3000).selectExpr("concat('h', id, '.org') AS host", "'/a' AS path", "'block' AS verdict")
+    assert url_rules.host_boundaries(rules).count() == url_rules.path_boundaries(rules).count() == 6000
+    marks = url_rules.host_boundaries(rules)
+    d = spark.createDataFrame([("h7.org",)], "host string").select(url_rules.key_of(url_rules.host_labels(F.col("host"))).cast("binary").alias("key"), F.lit(1).cast("long").alias(url_rules.TIE))
+    assert url_rules.sweep(d, marks, "stack").first()["stack"] == ["h7.org"]
+
+
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 def test_exact_dedup(spark, docs, empty, keep):
     many = docs.union(spark.createDataFrame([doc(1000 + k, "hot text") for k in range(200)], SCHEMA))  # a hot group
