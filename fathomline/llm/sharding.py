@@ -2,9 +2,11 @@
 
 A document's hash bits are the leading bits of md5 of its identifier as text.  The directory starts
 with one bucket; only a bucket over the byte limit is split on one more bit, until every bucket fits.
-Bytes are summed per prefix some bits deeper than the depth that even data would need, so one pass over
+Bytes are summed per prefix some bits deeper than the depth that even data would need, and from those
+sums for each shorter prefix; a prefix's shard is its shortest beginning that fits.  So one pass over
 the documents settles nearly all buckets; what is still too large there is summed deeper in another
-pass, over its documents only.  The directory has as many entries as there are shards.
+pass, over its documents only.  The directory has some sixteen entries a shard; it is a table that
+executors make and that documents are joined with, and no part of it comes to the driver.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialise
 from .common import OWN
 
 #: Bits of the hash that are used at most; 52 fit a double and any SQL integer.
 BITS = 52
 EXTRA = 4
-#: Entries of a directory that is sent to all tasks.
-SMALL_DIRECTORY = 100_000
+LEAF = "struct<depth:int,prefix:long,n_bytes:long,n_docs:long>"
 
 
 def hash_bits(identifier: Column) -> Column:
@@ -33,47 +35,40 @@ def prefix(bits: Column, depth: int) -> Column:
     return F.shiftright(bits, BITS - depth)
 
 
-def split(sums: dict[int, tuple[int, int]], depth: int, top: int, limit: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """Leaves (depth, prefix, bytes, documents) of the prefixes of `depth` bits in sums, starting from
-    buckets of `top` bits, and the prefixes of `depth` bits that are still too large."""
-    levels = {depth: sums}
-    for d in range(depth - 1, top - 1, -1):
-        above: dict[int, tuple[int, int]] = {}
-        for p, (b, n) in levels[d + 1].items():
-            x = above.get(p >> 1, (0, 0))
-            above[p >> 1] = (x[0] + b, x[1] + n)
-        levels[d] = above
-    leaves, deeper, open_ = [], [], [(top, p) for p in levels[top]]
-    while open_:
-        d, p = open_.pop()
-        b, n = levels[d][p]
-        if b <= limit or n == 1 or d == BITS:
-            leaves.append((d, p, b, n))
-        elif d == depth:
-            deeper.append(p)
-        else:
-            open_ += [(d + 1, q) for q in (2 * p, 2 * p + 1) if q in levels[d + 1]]
-    return leaves, deeper
-
-
-def directory(sized: DataFrame, limit: int) -> list[tuple[int, int, int, int]]:
-    """Leaves of the directory for rows with bits and n_bytes."""
+def entries(sized: DataFrame, top: int, depth: int, limit: int) -> tuple[DataFrame, bool]:
+    """Of rows with bits and n_bytes: entry (a prefix of `depth` bits) and the leaf it belongs to.
+
+    Buckets of `top` bits are known to be too large (0: none is known).  The leaf is null where a bucket
+    of `depth` bits is too large still; whether there is such a one comes second.
+    """
+    sums = sized.groupBy(prefix(F.col("bits"), depth).alias("entry")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"))
+    sums = materialise(sums, "shard-sums")
+    first = top + 1 if top else 0
+    levels = F.explode(F.sequence(F.lit(first), F.lit(depth))).alias("depth")
+    above = lambda: F.call_function("shiftright", F.col("entry"), F.lit(depth) - F.col("depth"))
+    each = sums.select("entry", "b", "n", levels).withColumn("prefix", above())
+    buckets = each.groupBy("depth", "prefix").agg(F.sum("b").alias("n_bytes"), F.sum("n").alias("n_docs"))
+    fitting = buckets.filter((F.col("n_bytes") <= limit) | (F.col("n_docs") == 1) | (F.col("depth") == BITS))
+    leaves = each.select("entry", "depth", "prefix").join(fitting, ["depth", "prefix"]).groupBy("entry").agg(F.min(F.struct("depth", "prefix", "n_bytes", "n_docs")).alias("leaf"))
+    found = materialise(sums.select("entry").join(leaves, "entry", "left"), "shard-entries")
+    return found, not found.filter(F.col("leaf").isNull()).isEmpty()
+
+
+def directory(sized: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
+    """(depth, entries of that depth) for rows with bits and n_bytes, each deeper than the one before."""
     total = sized.agg(F.sum("n_bytes")).first()[0]
     if total is None:
         return []
-    leaves, top, pending = [], 0, None
+    out, top, rows, more = [], 0, sized, True
     depth = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + EXTRA)
-    while True:
-        rows = sized
-        if pending is not None:
-            part = sized.sparkSession.createDataFrame([(p,) for p in pending], "p long")
-            rows = rows.join(F.broadcast(part), prefix(F.col("bits"), top) == F.col("p"))  # at most total / limit of them
-        sums = {r[0]: (r[1], r[2]) for r in rows.groupBy(prefix(F.col("bits"), depth)).agg(F.sum("n_bytes"), F.count(F.lit(1))).collect()}
-        found, pending = split(sums, depth, top, limit)
-        leaves += found
-        if not pending:
-            return sorted(leaves)
-        top, depth = depth, min(BITS, depth + EXTRA)
+    while more:
+        found, more = entries(rows, top, depth, limit)
+        out.append((depth, found))
+        if more:
+            large = found.filter(F.col("leaf").isNull()).select("entry")
+            rows = rows.join(large, prefix(F.col("bits"), depth) == F.col("entry"), "left_semi")
+            top, depth = depth, min(BITS, depth + EXTRA)
+    return out
 
 
 def shard_documents(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,22 +79,21 @@ def shard_documents(docs: DataFrame, limit: int, id_col: str = "doc_id", text_co
     bytes; null identifiers hash as empty text.  An empty table gives an empty result.  Columns of docs
     with a result's name are replaced.
     """
-    spark = docs.sparkSession
     names = ("shard", "shard_depth", "shard_bytes", "shard_docs")
     docs = docs.drop(*[c for c in names if c in docs.columns])
     bits = hash_bits(F.col(id_col))
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
-    leaves = directory(docs.select(bits.alias("bits"), size.alias("n_bytes")), limit)
-    hashed = docs.withColumn(OWN + "bits", bits)
-    base = min((d for d, *_ in leaves), default=0)
-    rows = [(p >> (d - base), d, p, format(p, f"0{d}b") if d else "", b, n) for d, p, b, n in leaves]
-    table = spark.createDataFrame(rows, f"{OWN}base long, d int, p long, shard string, shard_bytes long, shard_docs long")
-    entries = table.groupBy(OWN + "base").agg(F.collect_list(F.struct("d", "p", "shard", "shard_bytes", "shard_docs")).alias(OWN + "entries"))
-    # a small directory is broadcast; a larger one is joined by hash prefix, which is even
-    entries = F.broadcast(entries) if len(leaves) <= SMALL_DIRECTORY else entries
-    joined = hashed.withColumn(OWN + "base", prefix(F.col(OWN + "bits"), base)).join(entries, OWN + "base", "left")
-    own = F.element_at(F.filter(OWN + "entries", lambda e: F.call_function("shiftright", F.col(OWN + "bits"), F.lit(BITS) - e["d"]) == e["p"]), 1)
-    return joined.withColumn(OWN + "e", own).select(*docs.columns, F.col(OWN + "e.shard").alias("shard"), F.col(OWN + "e.d").alias("shard_depth"), F.col(OWN + "e.shard_bytes").alias("shard_bytes"), F.col(OWN + "e.shard_docs").alias("shard_docs"))
+    joined = docs.withColumn(OWN + "bits", bits)
+    leaf = F.lit(None).cast(LEAF)
+    for k, (depth, found) in enumerate(directory(docs.select(bits.alias("bits"), size.alias("n_bytes")), limit)):
+        # Spark broadcasts entries only where they are small
+        found = found.filter(F.col("leaf").isNotNull()).select(F.col("entry").alias(f"{OWN}e{k}"), F.col("leaf").alias(f"{OWN}l{k}"))
+        joined = joined.join(found, prefix(F.col(OWN + "bits"), depth) == F.col(f"{OWN}e{k}"), "left")
+        leaf = F.coalesce(leaf, F.col(f"{OWN}l{k}"))
+    joined = joined.withColumn(OWN + "leaf", leaf)
+    depth, at = F.col(OWN + "leaf.depth"), F.col(OWN + "leaf.prefix")
+    shown = F.when(depth == 0, F.lit("")).otherwise(F.expr(f"lpad(bin({OWN}leaf.prefix), {OWN}leaf.depth, '0')"))
+    return joined.select(*docs.columns, F.when(at.isNotNull(), shown).alias("shard"), depth.alias("shard_depth"), F.col(OWN + "leaf.n_bytes").alias("shard_bytes"), F.col(OWN + "leaf.n_docs").alias("shard_docs"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -288,6 +288,22 @@ def test_shards(spark, docs, empty):
     assert {r.shard for r in sharding.shard_documents(docs, 10**9).collect()} == {""}
 
 
+def test_directory_stays_on_executors(spark, tmp_path):
+    """A directory of many shards comes as tables, without a row of it in the driver; shards are folders."""
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, F.repeat(F.lit("y"), 5000)).otherwise(F.lit("x" * 39)).alias("text"))
+    levels = sharding.directory(d.select(sharding.hash_bits(F.col("doc_id")).alias("bits"), F.length("text").cast("long").alias("n_bytes")), 40)
+    assert len(levels) > 1 and all(hasattr(found, "sparkSession") for _, found in levels)
+    out = sharding.shard_documents(d, 40)
+    rows = out.collect()
+    assert len({r.shard for r in rows}) > 700 and all(r.shard_bytes <= 40 or r.shard_docs == 1 for r in rows)
+    few = out.filter("doc_id < 200")
+    sharding.write_shards(few, str(tmp_path / "shards"))
+    back = spark.read.option("mergeSchema", "false").schema("doc_id long, text string, shard string").parquet(str(tmp_path / "shards"))
+    want = {r.doc_id: r.shard for r in rows if r.doc_id < 200}
+    assert {r.doc_id: r.shard for r in back.collect()} == want
+    assert len(list((tmp_path / "shards").glob("shard=*"))) == len(set(want.values()))
+
+
 def shingles(text, width):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
