@@ -1,14 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon transducer writes each word's class: insult, threat, target, negation, reported speech or
-other.  Three small transducers read these classes in turn - negation reaches over the next words,
-reported speech over the rest of its clause, a target near an insult or threat makes it directed - and
-their composition tags every match in a clause.  A document's score is the logistic of the weighted
-tags of its clauses, so an isolated word counts by its role and not by itself.
+A lexicon transducer reads each word's class - insult, threat, target, negation, reported speech or
+other - and three small transducers follow: negation reaches over the next words, reported speech over
+the rest of its clause, a target near an insult or threat makes it directed.  Their arcs carry weights,
+and their composition adds up the weights of the arcs that a word takes; the weight of a clause is the
+sum along its path.  A clause with a match is toxic with the logistic of its weight, and a document if
+one of its clauses is, or without a match by the constant: 1 - (1 - constant) * product(1 - clause).  So an
+isolated word counts by its role in its clause and not by itself.
 
 The insult lexicon has a seed list and is extended by word beginnings that mark toxic documents among
-labelled training rows; weights are fitted to the same rows.  Fitting reads a sample of at most
-SAMPLE_TOXIC + SAMPLE_CLEAN labelled rows, chosen by hash; everything else covers all rows.
+labelled training rows; the arcs' weights are fitted to the same rows.  Fitting reads a sample of at most
+SAMPLE_TOXIC + SAMPLE_CLEAN labelled rows of at most FIT_BYTES each, chosen by hash; everything else
+covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from ..runtime import ship
 from .common import OWN, crc_remainder
 from .tokens import rows_of
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 9000
+SAMPLE_TOXIC, SAMPLE_CLEAN, FIT_BYTES = 3000, 9000, 20_000
 #: A word beginning enters the lexicon if it is in nearly only toxic sample rows, by rates, and so many
 #: of them that chance among all beginnings tried doesn't explain it (a likelihood ratio).
 PURITY, MARGIN = 0.97, 10.0
@@ -42,76 +45,85 @@ TARGETS = "you your yours u he she they them him her people those these dich dir
 NEGATIONS = "not no never neither isn't aren't wasn't don't doesn't nicht kein keine nie ne pas jamais nunca".split()
 REPORTS = "said says say wrote writes called calls quoted claimed reported sagte schrieb dit écrit dijo escribió".split()
 
-TAGS = ("insult", "insult_directed", "insult_negated", "insult_reported", "threat", "threat_directed", "threat_muted")
+#: Names of the arcs' weights; each learned word beginning is an arc of its own with its own weight besides.
+WEIGHTS = ("insult", "threat", "negated", "reported", "directed")
+#: Weights, the clauses' constant and the document's, where no labels tell them.
+UNTAUGHT = (1.0, 1.0, -2.0, -1.0, 1.0, -1.0, -4.0)
 _CLAUSE = re.compile(r"[.,;:!?\n|]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
 class Transducer:
-    """Deterministic: step[state, symbol] is (next state, output); a missing pair keeps the state and
-    writes the symbol."""
+    """Deterministic: step[state, symbol] is (next state, output, names of the arc's weights); a missing
+    pair keeps the state and writes the symbol without a weight."""
 
     def __init__(self, start, step: dict):
         self.start, self.step = start, step
 
     def move(self, state, symbol):
-        return self.step.get((state, symbol), (state, symbol))
+        return self.step.get((state, symbol), (state, symbol, ()))
 
 
-def compose(*machines: Transducer) -> Transducer:
-    """The machine that feeds each one's output to the next; states are reached ones only."""
-    symbols = {"I", "T", "Y", "N", "R", "o"}
-    for m in machines:
-        symbols |= {out for _, out in m.step.values()}
+def compose(symbols: list[str], *machines: Transducer) -> Transducer:
+    """The machine over symbols that feeds each one's output to the next; an arc has the weights of all arcs that it
+    stands for, and states are reached ones only."""
     start = tuple(m.start for m in machines)
     step, todo, seen = {}, [start], {start}
     while todo:
         state = todo.pop()
         for symbol in symbols:
-            x, after = symbol, []
+            x, after, weights = symbol, [], ()
             for m, s in zip(machines, state):
-                s, x = m.move(s, x)
+                s, x, w = m.move(s, x)
                 after.append(s)
-            step[state, symbol] = (tuple(after), x)
+                weights += w
+            step[state, symbol] = (tuple(after), x, weights)
             if tuple(after) not in seen:
                 seen.add(tuple(after))
                 todo.append(tuple(after))
     return Transducer(start, step)
 
 
+def lexicon(stems: list[str]) -> Transducer:
+    """Insults of the seed list, threats, and each learned word beginning, which is an insult with its own weight."""
+    return Transducer(0, {(0, "I"): (0, "I", ("insult",)), (0, "T"): (0, "T", ("threat",))} | {(0, s): (0, "I", (s,)) for s in stems})
+
+
 def negation(reach: int = 3) -> Transducer:
-    """After a negation the next `reach` words' insults and threats are negated ones."""
-    step = {(0, "N"): (reach, "o")}
+    """After a negation insults and threats among the next `reach` words are negated and settled (x)."""
+    step = {(0, "N"): (reach, "o", ())}
     for k in range(1, reach + 1):
-        step |= {(k, "N"): (reach, "o"), (k, "I"): (k - 1, "In"), (k, "T"): (k - 1, "Tn"), (k, "Y"): (k - 1, "Y"), (k, "o"): (k - 1, "o"), (k, "R"): (k - 1, "R")}
+        step |= {(k, "N"): (reach, "o", ()), (k, "I"): (k - 1, "x", ("negated",)), (k, "T"): (k - 1, "x", ("negated",))}
+        step |= {(k, c): (k - 1, c, ()) for c in "YoR"}
     return Transducer(0, step)
 
 
 def reported() -> Transducer:
-    """After a verb of speech the clause's plain insults and threats are reported ones."""
-    return Transducer(0, {(0, "R"): (1, "o"), (1, "R"): (1, "o"), (1, "I"): (1, "Ir"), (1, "T"): (1, "Tr")})
+    """After a verb of speech the clause's insults and threats are reported and settled."""
+    return Transducer(0, {(0, "R"): (1, "o", ()), (1, "R"): (1, "o", ()), (1, "I"): (1, "x", ("reported",)), (1, "T"): (1, "x", ("reported",))})
 
 
 def directed(reach: int = 4) -> Transducer:
     """An insult or threat within `reach` words after a target is directed at it."""
-    step = {(0, "Y"): (reach, "o")}
+    step = {(0, "Y"): (reach, "o", ())}
     for k in range(1, reach + 1):
-        step |= {(k, "Y"): (reach, "o"), (k, "I"): (reach, "Id"), (k, "T"): (reach, "Td"), (k, "o"): (k - 1, "o")}
+        step |= {(k, "Y"): (reach, "o", ()), (k, "I"): (reach, "x", ("directed",)), (k, "T"): (reach, "x", ("directed",)), (k, "o"): (k - 1, "o", ())}
     return Transducer(0, step)
 
 
-_OUTPUT = {"I": 0, "Id": 1, "In": 2, "Ir": 3, "T": 4, "Td": 5, "Tn": 6, "Tr": 6}
-
-
 class Grammar:
-    """Lexicon and composed transducer; tags() counts a text's matches by TAGS."""
+    """Lexicon and composed transducer; clauses() gives how often each of `names` is on the path of a clause."""
 
     def __init__(self, stems: list[str], insults: list[str] | None = None):
         import ahocorasick
 
         self.classes = {w: c for c, ws in (("R", REPORTS), ("N", NEGATIONS), ("Y", TARGETS), ("T", THREATS), ("I", insults or INSULTS)) for w in ws}
         self.stems = {n: {s for s in stems if len(s) == n} for n in {len(s) for s in stems}}
-        self.machine = compose(negation(), reported(), directed())
+        self.names = (*WEIGHTS, *stems)
+        machine = compose([*"ITYNRo", *stems], lexicon(stems), negation(), reported(), directed())
+        self.start = machine.start
+        place = {w: k for k, w in enumerate(self.names)}
+        self.step = {k: (state, [place[w] for w in weights]) for k, (state, _, weights) in machine.step.items()}
         self.spotter = ahocorasick.Automaton()
         for w in {*(insults or INSULTS), *THREATS, *stems}:
             self.spotter.add_word(w, len(w))
@@ -120,11 +132,11 @@ class Grammar:
     def word_class(self, word: str) -> str:
         if c := self.classes.get(word):
             return c
-        return "I" if any(word[:n] in known for n, known in self.stems.items()) else "o"
+        return next((word[:n] for n, known in self.stems.items() if word[:n] in known), "o")
 
-    def tags(self, text: str) -> list[int]:
-        """Clauses without any insult or threat are never cut into words."""
-        out = [0] * len(TAGS)
+    def clauses(self, text: str) -> list[list[int]]:
+        """Counts by names of each clause with a match; clauses without any are never cut into words."""
+        out = []
         low = text.lower()
         done = -1
         for end, _size in self.spotter.iter(low):
@@ -133,17 +145,31 @@ class Grammar:
             first = max((low.rfind(c, 0, end) for c in ".,;:!?\n|"), default=-1) + 1
             after = _CLAUSE.search(low, end)
             done = after.start() if after else len(low)
-            state = self.machine.start
+            state, path = self.start, [0] * len(self.names)
             for m in _WORD.finditer(low, first, done):
-                state, x = self.machine.step[state, self.word_class(m[0])]
-                if x in _OUTPUT:
-                    out[_OUTPUT[x]] += 1
+                state, weights = self.step[state, self.word_class(m[0])]
+                for w in weights:
+                    path[w] += 1
+            if any(path):
+                out.append(path)
         return out
 
 
-def features(tags: np.ndarray) -> np.ndarray:
-    """Counts on a log scale, whether any plain or directed match is there, and a constant."""
-    return np.hstack([np.log1p(tags), (tags[:, [0, 1, 4, 5]].sum(1, keepdims=True) > 0), np.ones((len(tags), 1))])
+def _logistic(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def document_scores(paths: np.ndarray, row: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
+    """Scores of n documents from their clauses: paths (one row a clause) and each one's document."""
+    clause = _logistic(paths @ weights[:-2] + weights[-2])
+    clean = np.bincount(row, np.log1p(-np.minimum(clause, 1 - 1e-12)), n) + np.log1p(-_logistic(weights[-1]))
+    return -np.expm1(clean)
+
+
+def stacked(found: list[list[list[int]]], names: int) -> tuple[np.ndarray, np.ndarray]:
+    """Clauses of all documents, and the document of each."""
+    paths = np.array([p for doc in found for p in doc], float).reshape(-1, names)
+    return paths, np.repeat(np.arange(len(found)), [len(doc) for doc in found])
 
 
 def without_copies(texts: list[str], share: float = 0.3) -> list[int]:
@@ -184,16 +210,20 @@ def learn_stems(texts: list[str], toxic: np.ndarray) -> list[str]:
     return found
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
-    """Newton steps on the ridge-penalised log loss."""
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        move = np.linalg.solve(h, g)
-        w -= move / max(1.0, np.abs(move).max() / 2)
-        if np.abs(move).max() < 1e-8:
+def fit_weights(paths: np.ndarray, row: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 3000, rate: float = 0.05) -> np.ndarray:
+    """Weights of least ridge-penalised log loss of the documents, by gradient steps of adapted length."""
+    w = np.array([*UNTAUGHT[:-2], *[0.0] * (paths.shape[1] - len(WEIGHTS)), *UNTAUGHT[-2:]])
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    x = np.hstack([paths, np.ones((len(paths), 1))])
+    for k in range(1, rounds + 1):
+        p = np.clip(document_scores(paths, row, len(y), w), 1e-12, 1 - 1e-12)
+        # the loss by the log of a document's chance to be clean
+        d = np.where(y > 0, -(1 - p) / p, 1.0)
+        g = np.append(x.T @ (d[row] * _logistic(x @ w[:-1])), (d * _logistic(w[-1])).sum()) + ridge * w
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        move = rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-9)
+        w = w - move
+        if np.abs(move).max() < 1e-6:
             break
     return w
 
@@ -201,31 +231,34 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0) -> dict:
     """The model as plain values: stems and weights, from rows whose crc remainder isn't held_out."""
     y = labels.select(F.col(id_col).alias(OWN + "id"), F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (crc_remainder(F.col(OWN + "id"), folds) != held_out))
-    order = [F.xxhash64(F.col(OWN + "id")), F.col(OWN + "id")]
-    chosen = y.filter("y = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(y.filter("y = 0").orderBy(*order).limit(SAMPLE_CLEAN)).dropDuplicates([OWN + "id"])
-    # at most SAMPLE_TOXIC + SAMPLE_CLEAN pairs
+    y = y.groupBy(OWN + "id").agg(F.max("y").alias("y"))
     text = docs.select(F.col(id_col).alias(OWN + "id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(chosen), OWN + "id").select(OWN + "id", "text", "y").toArrow().sort_by([(OWN + "id", "ascending"), ("text", "ascending")])
+    order = [F.xxhash64(F.col(OWN + "id")), F.col(OWN + "id")]
+    chosen = y.filter("y = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(y.filter("y = 0").orderBy(*order).limit(SAMPLE_CLEAN))
+    # at most SAMPLE_TOXIC + SAMPLE_CLEAN pairs, and as many texts of FIT_BYTES
+    rows = text.filter(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(chosen), OWN + "id").select(OWN + "id", "text", "y").toArrow().sort_by([(OWN + "id", "ascending"), ("text", "ascending")])
     toxic = rows.column("y").to_numpy().astype(int)
     texts = rows.column("text").to_pylist()
     if not len(toxic) or toxic.min() == toxic.max():
-        # without both classes in the sample the grammar keeps fixed weights
-        return {"stems": [], "weights": [1.0, 1.5, -0.5, 0.3, 1.0, 1.5, -0.5, 1.5, -2.5]}
+        return {"stems": [], "weights": list(UNTAUGHT)}
     # two thirds of the rows choose the stems and the others the weights, so stems that fit by chance get none
     half = np.arange(len(toxic)) % 3 != 0
     apart = [k for k in without_copies(texts) if half[k]]
     stems = learn_stems([texts[k] for k in apart], toxic[apart])
     grammar = Grammar(stems)
-    tags = np.array([grammar.tags(t) for t in texts])
-    w = logistic_fit(features(tags[~half]), toxic[~half].astype(float))
+    others = np.flatnonzero(~half)
+    w = fit_weights(*stacked([grammar.clauses(texts[k]) for k in others], len(grammar.names)), toxic[others].astype(float))
     return {"stems": stems, "weights": w.tolist()}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, threshold: float = 0.5, keep_columns: bool = False) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted (and the tags' counts as JSON).
+    """One row per document: doc_id, held_out, score, predicted and paths.
 
-    Only the text enters a score.  A null text counts as empty; an empty text has no match and gets the
-    score of the constant.  A null identifier's remainder is that of empty text.  Repeated rows are
+    paths: how often each arc's weight is on the paths of the document's clauses, as JSON.  Only the text
+    enters a score.  A null text counts as empty; an empty text has no match and gets the score of the
+    constant.  Where labels clash, a document that any row marks toxic is toxic.  Without labels of both
+    classes among the rows that may be learned from, the seed lists and the weights UNTAUGHT are used.
+    Identifiers that repeat among documents are learned from with each of their texts.  A null identifier's remainder is that of empty text.  Repeated rows are
     scored each; an empty table gives an empty result; labels of other documents, null labels and an
     empty label table are allowed.  With keep_columns, docs' own columns come with toxic_score and
     toxic_predicted added.
@@ -239,20 +272,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         schema = T.StructType([*source.schema.fields, T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_predicted", T.IntegerType())])
     else:
         source = docs.select(F.col(id_col).alias("doc_id"), (crc_remainder(F.col(id_col), folds) == held_out).alias("held_out"), F.col(text_col).alias(OWN + "text"))
-        schema = T.StructType([*source.drop(OWN + "text").schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("tags", T.StringType())])
+        schema = T.StructType([*source.drop(OWN + "text").schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("paths", T.StringType())])
 
     def run(batches):
         m = json.loads(model)
         grammar, weights = Grammar(m["stems"]), np.array(m["weights"])
         name = text_col if keep_columns else OWN + "text"
         for batch in batches:
-            tags = np.array([grammar.tags(t or "") for (t,) in rows_of(batch, name)]).reshape(-1, len(TAGS))
-            score = 1 / (1 + np.exp(-np.clip(features(tags) @ weights, -30, 30)))
+            found = [grammar.clauses(t or "") for (t,) in rows_of(batch, name)]
+            score = document_scores(*stacked(found, len(grammar.names)), len(found), weights)
             predicted = pa.array((score >= threshold).astype(np.int32))
             if keep_columns:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), predicted], [*batch.schema.names, *names])
             else:
-                said = pa.array([json.dumps({t: int(v) for t, v in zip(TAGS, row) if v}) for row in tags], pa.string())
+                said = pa.array([json.dumps({w: n for w, n in zip(grammar.names, map(sum, zip(*doc))) if n}) for doc in found], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), predicted, said], schema.names)
 
     return source.mapInArrow(run, schema)

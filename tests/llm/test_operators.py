@@ -6,6 +6,7 @@ import hashlib
 import io
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -552,15 +553,97 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in got]) > 0.97
 
 
+def plain_clauses(text, stems):
+    """Counts by arc of each clause, word by word and without machines."""
+    out = []
+    for clause in re.split(r"[.,;:!?\n|]+", text.lower()):
+        path, negated, reported, directed = Counter(), 0, False, 0
+        for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause):
+            stem = next((s for s in sorted(stems, key=len) if w.startswith(s)), None)
+            kind = "R" if w in toxicity.REPORTS else "N" if w in toxicity.NEGATIONS else "Y" if w in toxicity.TARGETS else "threat" if w in toxicity.THREATS else "insult" if w in toxicity.INSULTS else stem or "o"
+            if kind == "N":
+                negated, kind = 3, "o"
+            elif negated:
+                negated -= 1
+                if kind not in "RYo":
+                    path[kind] += 1
+                    path["negated"] += 1
+                    continue
+            if kind == "R":
+                reported, kind = True, "o"
+            elif reported and kind not in "Yo":
+                path[kind] += 1
+                path["reported"] += 1
+                continue
+            if kind == "Y":
+                directed = 4
+            elif kind == "o":
+                directed = max(0, directed - 1)
+            else:
+                path[kind] += 1
+                if directed:
+                    path["directed"] += 1
+                    directed = 4
+        if path:
+            out.append(path)
+    return out
+
+
 def test_grammar():
     g = toxicity.Grammar(["zarg"])
-    at = lambda text: {t: n for t, n in zip(toxicity.TAGS, g.tags(text)) if n}
-    assert at("what an idiot.") == {"insult": 1}
-    assert at("you are an idiot") == {"insult_directed": 1}
-    assert at("he is not an idiot, fine") == {"insult_negated": 1}
-    assert at("the paper said idiot twice") == {"insult_reported": 1}
-    assert at("the paper said so. Idiot") == {"insult": 1}
-    assert at("zargons all over") == {"insult": 1} and at("") == {} and at("kill it") == {"threat": 1}
+    at = lambda text: [{w: n for w, n in zip(g.names, c) if n} for c in g.clauses(text)]
+    assert at("what an idiot.") == [{"insult": 1}]
+    assert at("you are an idiot") == [{"insult": 1, "directed": 1}]
+    assert at("he is not an idiot, fine") == [{"insult": 1, "negated": 1}]
+    assert at("the paper said idiot twice") == [{"insult": 1, "reported": 1}]
+    assert at("the paper said so. Idiot") == [{"insult": 1}]
+    assert at("zargons all over! you, kill it") == [{"zarg": 1}, {"threat": 1}] and at("") == []
+    rng = random.Random(2)
+    words = ["idiot", "zargo", "kill", "you", "not", "said", "word", "Moron", "x", "don't", ".", ",", "\n", "zar"]
+    for _ in range(1500):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        assert at(text) == [dict(c) for c in plain_clauses(text, ["zarg"])], text
+
+
+def test_toxicity_scores_against_a_plain_version(spark):
+    """Scores from the fitted arcs' weights, clause by clause; clashing labels and identifiers that repeat."""
+    rng = random.Random(7)
+    words = ["idiot", "you", "not", "said", "kill", *(f"{a}{b}" for a in ("ban", "cor", "del") for b in ("fin", "gor", "hul")), ".", ","]
+    texts = {k: " ".join(rng.choice(words) for _ in range(30)) for k in range(150)}
+    d = spark.createDataFrame([doc(k, t) for k, t in texts.items()] + [doc(3, "an idiot"), doc(None, "you idiot"), doc(900, None)], SCHEMA)
+    marks = [(k, 1, int("idiot" in t)) for k, t in texts.items()] + [(1, 1, 0), (1, 1, 1), (2, 1, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, labels)
+    assert model == toxicity.fit(d, labels.orderBy(F.desc("toxic")).repartition(3)), "row order must not matter"
+    names = [*toxicity.WEIGHTS, *model["stems"]]
+    weight, clause_0, doc_0 = dict(zip(names, model["weights"])), model["weights"][-2], model["weights"][-1]
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    for r in toxicity.score_toxicity(d.withColumnRenamed("kept", "score"), labels).join(d.select("doc_id", "text"), "doc_id").collect():
+        if r.doc_id == 3:
+            continue
+        clean = 1 - logistic(doc_0)
+        for c in plain_clauses(r.text or "", model["stems"]):
+            clean *= 1 - logistic(sum(weight[w] * n for w, n in c.items()) + clause_0)
+        assert r.score == pytest.approx(1 - clean, abs=1e-9) and r.predicted == (r.score >= 0.5)
+    untaught = toxicity.fit(d, labels.filter("toxic = 0"))
+    assert untaught == {"stems": [], "weights": list(toxicity.UNTAUGHT)}
+
+
+def test_weights_minimise_the_loss():
+    rng = np.random.default_rng(3)
+    paths, row = rng.integers(0, 3, (200, 5)).astype(float), np.sort(rng.integers(0, 120, 200))
+    y = (rng.random(120) < 0.4).astype(float)
+
+    def loss(w):
+        p = toxicity.document_scores(paths, row, 120, w)
+        return -(y * np.log(p) + (1 - y) * np.log1p(-p)).sum() + 0.025 * (w * w).sum()
+
+    w = toxicity.fit_weights(paths, row, y)
+    for k in range(len(w)):
+        for step in (-0.02, 0.02):
+            other = w.copy()
+            other[k] += step
+            assert loss(other) >= loss(w) - 1e-4
 
 
 def test_mixing(docs, empty):
