@@ -54,3 +54,14 @@ def number_table(spark: SparkSession, rows: list[tuple[int, ...]], *names: str)
     """A small table of whole numbers, written into the plan."""
     values = ", ".join("(" + ", ".join(f"{v}L" if v > -(2**63) else "-9223372036854775807L - 1L" for v in r) + ")" for r in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(f'`{x}`' for x in names)})")
+
+
+def shielded(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns of these names put aside under other ones, and what gives a result of docs its
+    own columns back, under their own names and in their order."""
+    aside = {c: OWN + "aside_" + c for c in docs.columns if c in names}
+
+    def back(result: DataFrame) -> DataFrame:
+        return result.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+    return docs.withColumnsRenamed(aside), back
