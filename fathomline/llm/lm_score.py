@@ -1,18 +1,19 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
-Word counts of all training documents are gathered once.  The most frequent words are output classes of
-the model, all others fall into classes by their last two bytes; within such a class a word has its
-smoothed share of the class, so the model gives each word, seen or not, a normalised probability.
-
-The log-bilinear model predicts a token's class from those of the two before it: a bilinear form of each
-context class and the next, plus a bias.  It is trained in numpy against noise drawn from the class
-frequencies, on every token of every training document: in each epoch every task goes on from the same
-weights over all of its documents, and the tasks' weights are averaged by their tokens.  As the score is additive over context places, matrix products of the embeddings give all
-pairs of classes at once, and the normaliser of each pair of context classes is computed once, exactly;
-a text's score is then a sum of table entries.
-
-Words beyond the HOT most frequent ones get their counts by a join, the others by lookup.  No word
-beyond them can be more than 1 / HOT of all tokens, so that join isn't skewed.
+Word counts of all training documents are gathered once.  The most frequent words have embeddings of
+their own, more of them the larger the vocabulary; all others share one per ending (last two bytes).  The
+model predicts a token in two steps from the two before it: first one of HEAD frequent words or a class of
+endings, then, within a class, one of its own words or the class's other words together; among those
+others a word has its smoothed share.  So each word, seen or not, has a normalised probability.
+
+Both steps are log-bilinear: the sum of the two context embeddings times an output embedding, plus a
+bias.  They are trained in numpy against noise drawn from the frequencies, on every token of every training
+document: in each round every task goes on from the same weights over its documents of that round, and the
+tasks' weights are averaged by their tokens.  For scores, matrix products over batches of tokens give all
+alternatives of a step at once, so each probability has its exact normaliser.
+
+Words beyond the HOT most frequent ones get their counts by a join, the others by lookup; a document's
+words are counted before that join, so a word that no training document has is one row a document.
 """
 
 from __future__ import annotations
@@ -27,20 +28,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, ship
+from ..runtime import drop_path, materialise, scratch_path, ship
 from .common import OWN, crc_remainder
 from .tokens import rows_of
 
 #: Words whose counts are sent to each task; a proven bound of that table.
 HOT = 200_000
-#: Classes of word endings, which come first, and the least number of classes of single words.
-ENDINGS, SINGLE = 128, 512
-CLASSES, DIM = ENDINGS + SINGLE, 32
-#: Tokens that a task holds and shuffles at a time while it trains.
-CHUNK = 1 << 18
-#: Tasks that add up the trained weights.
-ADDERS = 8
-NOISE, BATCH, EPOCHS, RATE = 256, 1024, 3, 0.15
+#: Classes of word endings, and the most frequent words, which the first step predicts by themselves.
+ENDINGS, HEAD, DIM = 128, 128, 32
+#: Least number of words with embeddings, where there are so many.
+OWN_WORDS = 4096
+#: Tokens that a task trains on, at least, and tasks at most; so weights that tasks pass on stay small beside the input.
+TASK_TOKENS, TASKS = 4_000_000, 2000
+#: Tokens that a task holds and shuffles at a time while it trains, and tokens that are scored together.
+CHUNK, SCORED = 1 << 18, 1 << 16
+#: Parts that the weights are cut into to be averaged.
+SLICES = 16
+NOISE, BATCH, RATE = 128, 1024, 0.15
+#: Passes over the training tokens, each in ROUNDS parts by hash, after each of which weights are averaged.
+EPOCHS, ROUNDS = 1, 4
+#: Tokens of one matrix product, whose result then stays in a core's cache.
+ROWS = 512
 #: Stands for the end of a text; no word contains white space.
 END = b"\n"
 FLUSH = 300_000
@@ -93,158 +101,259 @@ def ending_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
-def single_words(distinct: int) -> int:
-    """Words with a class of their own: they grow as the cube root of the vocabulary, so the normalisers'
-    cost grows as the vocabulary does and the tables of class pairs by less."""
-    return max(SINGLE, int(6 * distinct ** (1 / 3)))
+def own_words(distinct: int) -> int:
+    """Words with embeddings: they grow as the square root of the vocabulary, up to the words sent to tasks."""
+    return min(HOT, max(OWN_WORDS, int(20 * distinct**0.5)))
+
+
+class Units:
+    """Numbers of what has an embedding: own words by rank, then the classes of endings, then the start.
+
+    The first HEAD ranks are predicted by the first step itself, as are the classes; the others by the
+    second step within their class, where number own + c stands for all other words of class c.
+    """
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, ending_counts: np.ndarray):
+        """words: own words by rank; ending_counts: tokens of all words by class."""
+        self.own, self.head = len(words), min(HEAD, len(words))
+        self.start = self.own + ENDINGS
+        ending = np.array([ending_class(w) for w in words], np.int64)
+        #: What the first step predicts for a unit: a class, or a frequent word after the classes.
+        self.first = np.concatenate([ENDINGS + np.arange(self.head), ending[self.head :], np.arange(ENDINGS)]).astype(np.int64)
+        rest = ending_counts - np.bincount(ending, counts, ENDINGS)
+        self.frequency = np.concatenate([counts, rest])
+        self.first_frequency = np.bincount(self.first, self.frequency, ENDINGS + self.head)
+        inner = np.arange(self.head, self.start)
+        #: The units that the second step chooses from, by class; the others of the class come last.
+        self.members = [inner[self.first[inner] == c] for c in range(ENDINGS)]
+
+        #: A unit's place in its class, and how many the class has.
+        self.place, self.sizes = np.zeros(self.start, np.int64), np.array([len(m) for m in self.members])
+        for m in self.members:
+            self.place[m] = np.arange(len(m))
+
+    def inner(self, unit: np.ndarray) -> np.ndarray:
+        """Places of the units that the second step predicts, sorted by class, which have a choice there."""
+        c = self.first[unit]
+        at = np.flatnonzero(unit >= self.head)
+        at = at[self.sizes[c[at]] > 1]
+        return at[np.argsort(c[at], kind="stable")]
+
+    def runs(self, unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted places, where each class begins, and the classes."""
+        c = self.first[unit[at]]
+        begins = np.flatnonzero(np.diff(c, prepend=-1))
+        return begins, c[begins]
+
+
+def _smoothed(counts: np.ndarray) -> np.ndarray:
+    return (counts + 0.5) / (counts + 0.5).sum()
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.negative(np.clip(x, -30, 30, out=x), out=x), out=x))
 
 
 class LogBilinear:
-    """Scores of class c after classes (a, b), a the older: A[a, c] + B[b, c] + bias[c]."""
-
-    def __init__(self, frequencies: np.ndarray, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.rng = rng
-        self.noise = (frequencies + 0.5) / (frequencies + 0.5).sum()
-        n = len(frequencies)
-        self.context = [rng.normal(0, 0.1, (n + 1, DIM)).astype(np.float32) for _ in range(2)]  # the last row stands before the text
-        self.output = rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
-        self.bias = np.log(self.noise).astype(np.float32)
-        self.past = [np.full_like(x, 1e-3) for x in (*self.context, self.output, self.bias)]
-
-    def _step(self, k: int, param: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        """Adagrad on the rows that a batch touched."""
-        full = np.zeros_like(param)
-        if param.ndim == 2:
-            np.add.at(full.ravel(), (rows[:, None] * DIM + np.arange(DIM)).ravel(), grad.ravel())
-        else:
-            np.add.at(full, rows, grad)
-        self.past[k] += full * full
-        param -= RATE * full / np.sqrt(self.past[k])
-
-    def train(self, first: np.ndarray, second: np.ndarray, target: np.ndarray, epochs: int = EPOCHS) -> None:
-        """Noise-contrastive estimation: tell each target from NOISE classes drawn for its batch."""
-        log_kn = np.log(NOISE * self.noise).astype(np.float32)
-        for _ in range(epochs):
-            order = self.rng.permutation(len(target))
-            for at in range(0, len(order), BATCH):
-                k = order[at : at + BATCH]
-                a, b, t = first[k], second[k], target[k]
-                noise = self.rng.choice(len(self.noise), NOISE, p=self.noise)
-                q = self.context[0][a] + self.context[1][b]
-                true = (q * self.output[t]).sum(1) + self.bias[t] - log_kn[t]
-                false = q @ self.output[noise].T
-                false += self.bias[noise] - log_kn[noise]
-                gt = (-1 / (1 + np.exp(np.clip(true, -30, 30))) / len(k)).astype(np.float32)
-                gf = np.clip(false, -30, 30, out=false)
-                np.exp(np.negative(gf, out=gf), out=gf)
-                gf += 1
-                np.divide(np.float32(1 / len(k)), gf, out=gf)
-                gq = gt[:, None] * self.output[t] + gf @ self.output[noise]
-                rows = np.concatenate([t, noise])
-                self._step(2, self.output, rows, np.concatenate([gt[:, None] * q, gf.T @ q]))
-                self._step(3, self.bias, rows, np.concatenate([gt, gf.sum(0)]))
-                self._step(0, self.context[0], a, gq)
-                self._step(1, self.context[1], b, gq)
+    """Two context tables and the outputs of both steps; all are float32 tables with a row per unit."""
+
+    def __init__(self, units: Units, seed: int = 7):
+        self.units = units
+        self.rng = np.random.default_rng(seed)
+        n = units.start
+        new = lambda rows: self.rng.normal(0, 0.1, (rows, DIM)).astype(np.float32)
+        inner = units.frequency.copy()
+        inner[: units.head] = -0.5  # the second step never gives these
+        chance = [_smoothed(units.first_frequency), _smoothed(inner)]
+        #: Units to draw from, their cumulated chances, and the logarithm of how often each is drawn for a batch.
+        self.noise = [(np.flatnonzero(p), np.cumsum(p[p > 0]), np.log(np.maximum(NOISE * p, 1e-30)).astype(np.float32)) for p in chance]
+        #: Context embeddings of the older and the newer token, and both steps' outputs with their biases last.
+        outputs = [np.hstack([new(len(p)), np.log(np.maximum(p, 1e-30)).astype(np.float32)[:, None]]) for p in chance]
+        self.tables = [new(n + 1), new(n + 1), *outputs]
+        self.past = [np.ones(len(t), np.float32) for t in self.tables]
+
+    def _step(self, k: int, rows: np.ndarray, grad: np.ndarray) -> None:
+        """Adagrad by row; rows may repeat."""
+        order = np.argsort(rows, kind="stable")
+        ordered = rows[order]
+        fresh = np.diff(ordered, prepend=-1) != 0
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.cumsum(fresh) - 1
+        rows, width = ordered[fresh], grad.shape[1]
+        at = (place[:, None] * width + np.arange(width)).ravel()
+        grad = np.bincount(at, grad.ravel(), len(rows) * width).astype(np.float32).reshape(-1, width)
+        past = self.past[k][rows] + np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+        self.past[k][rows] = past
+        self.tables[k][rows] -= grad * (RATE / np.sqrt(past))[:, None]
+
+    def _query(self, older: np.ndarray, newer: np.ndarray) -> np.ndarray:
+        """What outputs are multiplied with: the sum of the contexts' embeddings, and 1 for the bias."""
+        q = np.ones((len(older), DIM + 1), np.float32)
+        np.add(self.tables[0][older], self.tables[1][newer], out=q[:, :DIM])
+        return q
+
+    def _contrast(self, step: int, q: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Tell targets from the same noise for all of them; moves a step's outputs, gives the gradient of q."""
+        out = self.tables[2 + step]
+        units, ends, log_p = self.noise[step]
+        noise = units[np.searchsorted(ends[:-1], self.rng.random(NOISE))]
+        far, own = out[noise], out[target]
+        false = _sigmoid(q @ far.T - log_p[noise])
+        true = _sigmoid(np.einsum("ij,ij->i", q, own) - log_p[target]) - 1
+        gq = false @ far[:, :DIM]
+        gq += true[:, None] * own[:, :DIM]
+        self._step(2 + step, np.concatenate([target, noise]), np.concatenate([true[:, None] * q, false.T @ q]))
+        return gq
+
+    def train(self, older: np.ndarray, newer: np.ndarray, unit: np.ndarray) -> None:
+        """Noise-contrastive estimation over all tokens once, in batches of shuffled order.
+
+        The second step is taught to tell a unit from those of all classes, which teaches it to tell it from
+        those of its class.
+        """
+        order = self.rng.permutation(len(unit))
+        for i in range(0, len(order), BATCH):
+            k = order[i : i + BATCH]
+            a, b, t = older[k], newer[k], unit[k]
+            q = self._query(a, b)
+            gq = self._contrast(0, q, self.units.first[t])
+            at = np.flatnonzero(t >= self.units.head)
+            if len(at):
+                gq[at] += self._contrast(1, q[at], t[at])
+            self._step(0, a, gq)
+            self._step(1, b, gq)
+
+    def log_probability(self, older: np.ndarray, newer: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Natural logarithm of each unit's normalised probability after its two."""
+        u, out = self.units, np.empty(len(unit))
+        outputs = np.ascontiguousarray(self.tables[2].T)
+        for i in range(0, len(unit), ROWS):
+            k = slice(i, i + ROWS)
+            out[k] = _log_share(self._query(older[k], newer[k]) @ outputs, u.first[unit[k]])
+        inner = u.inner(unit)
+        begins, classes = u.runs(unit, inner)
+        for c, at in zip(classes, np.split(inner, begins[1:])):
+            m = u.members[c]
+            outputs = np.ascontiguousarray(self.tables[3][m].T)
+            for part in np.split(at, range(ROWS, len(at), ROWS)):
+                out[part] += _log_share(self._query(older[part], newer[part]) @ outputs, u.place[unit[part]])
+        return out
 
     def state(self) -> np.ndarray:
         """Weights, then sums of squared gradients, in one vector."""
-        return np.concatenate([x.ravel() for x in (*self.context, self.output, self.bias, *self.past)])
+        return np.concatenate([x.ravel() for x in (*self.tables, *self.past)])
 
     def restore(self, state: np.ndarray) -> None:
         at = 0
-        for x in (*self.context, self.output, self.bias, *self.past):
+        for x in (*self.tables, *self.past):
             x[...] = state[at : at + x.size].reshape(x.shape)
             at += x.size
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A, B with the bias in it, and the log normaliser of each pair of context classes."""
-        a = self.context[0] @ self.output.T
-        b = self.context[1] @ self.output.T + self.bias
-        top_a, top_b = a.max(1), b.max(1)
-        z = np.log(np.exp(a - top_a[:, None]).astype(np.float64) @ np.exp(b - top_b[:, None]).astype(np.float64).T)
-        return a, b, z + top_a[:, None] + top_b[None, :]
 
+def _log_share(scores: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """log softmax of each row of scores at its place; scores are overwritten."""
+    own = scores[np.arange(len(scores)), place].astype(np.float64)
+    top = scores.max(1)
+    scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return own - top - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
-def class_streams(docs: DataFrame, singles: dict[bytes, int]) -> DataFrame:
-    """Each text's classes as unsigned 16-bit integers."""
+
+def unit_streams(docs: DataFrame, shared) -> DataFrame:
+    """Each text's units as signed 32-bit integers, and the round that it is learned in."""
 
     def run(batches):
+        own = shared.value["rank"]
         for batch in batches:
             out = []
             for (text,) in rows_of(batch, OWN + "text"):
-                words = tokens_of(text)
-                out.append(np.array([singles[w] if w in singles else ending_class(w) for w in words], np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["classes"])
+                out.append(np.array([own[w] if w in own else len(own) + ending_class(w) for w in tokens_of(text)], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(out, pa.binary())], ["part", "units"])
 
-    return docs.select(OWN + "text").mapInArrow(run, "classes binary")
+    # by identifier and not by content, as copies should be spread over the rounds
+    part = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col(OWN + "text"))), F.lit(ROUNDS)).cast("int")
+    return docs.select(part.alias("part"), OWN + "text").mapInArrow(run, "part int, units binary")
 
 
-def contexts(streams: list[bytes], classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The two classes before each token, and its own."""
-    first, second, target = [], [], []
-    for s in streams:
-        c = np.frombuffer(s, np.uint16).astype(np.int64)
-        padded = np.concatenate([[classes, classes], c])
-        first.append(padded[:-2])
-        second.append(padded[1:-1])
-        target.append(c)
-    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return cat(first), cat(second), cat(target)
+def contexts(streams: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two units before each token, and its own."""
+    if not streams:
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    before = np.full(2, start)
+    padded = np.concatenate([x for s in streams for x in (before, s)]).astype(np.int64)
+    ends = np.cumsum([len(s) + 2 for s in streams])
+    inside = np.ones(len(padded), bool)
+    inside[np.concatenate([[0], ends[:-1]])] = inside[np.concatenate([[0], ends[:-1]]) + 1] = False
+    at = np.flatnonzero(inside)
+    return padded[at - 2], padded[at - 1], padded[at]
 
 
-def train_everywhere(streams: DataFrame, frequencies: np.ndarray) -> tuple[LogBilinear, int]:
-    """The model trained on all streams, and the tokens that each epoch learned from."""
+def train_everywhere(streams: DataFrame, units: Units, total: int) -> LogBilinear:
+    """The model trained on all streams, which have `total` tokens."""
     spark = streams.sparkSession
-    model, learned = LogBilinear(frequencies), 0
-    for epoch in range(EPOCHS):
-        start = spark.sparkContext.broadcast((frequencies, model.state()))
-        parts = materialise(_trained_parts(streams, start, epoch), "lm-weights")
-        sums = _added(parts.repartition(ADDERS)).collect()
-        learned = sum(r["tokens"] for r in sums)
-        if learned:
-            model.restore(sum(np.frombuffer(r["state"], np.float64) for r in sums) / learned)
-    return model, learned
-
-
-def _trained_parts(streams: DataFrame, start, epoch: int) -> DataFrame:
-    """Per task the tokens that it learned from, all of its own, and the state it came to."""
+    model = LogBilinear(units)
+    streams = streams.coalesce(max(1, min(TASKS, -(-total // TASK_TOKENS))))
+    for epoch in range(EPOCHS if total else 0):
+        learned = 0
+        for part in range(ROUNDS):
+            start = spark.sparkContext.broadcast((units, model.state()))
+            path = scratch_path(spark, "lm-weights")
+            _trained_slices(streams.filter(F.col("part") == part), start, (epoch, part)).write.parquet(path)
+            parts = spark.read.schema(SLICE).parquet(path)
+            tokens = parts.filter("slice = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+            if tokens:
+                sums = sorted(_added(parts.repartition(SLICES, "slice")).collect())
+                model.restore((np.concatenate([np.frombuffer(r["weights"], np.float64) for r in sums]) / tokens).astype(np.float32))
+            learned += tokens
+            start.unpersist()
+            drop_path(spark, path)
+        if learned != total:
+            raise RuntimeError(f"the model learned from {learned} of {total} training tokens")
+    return model
+
+
+SLICE = "slice int, tokens long, weights binary"
+
+
+def _trained_slices(streams: DataFrame, start, seed: tuple) -> DataFrame:
+    """Per task the tokens that it learned from, all of its own, and the weights that it came to, in slices."""
 
     def run(batches):
-        frequencies, state = start.value
-        model = LogBilinear(frequencies)
+        units, state = start.value
+        model = LogBilinear(units)
         model.restore(state)
-        model.rng = np.random.default_rng([epoch, TaskContext.get().partitionId()])
+        model.rng = np.random.default_rng([*seed, TaskContext.get().partitionId()])
         tokens, waiting, held = 0, [], 0
         for batch in batches:
-            for (s,) in rows_of(batch, "classes"):
-                waiting.append(s)
-                held += len(s) // 2
+            for (s,) in rows_of(batch, "units"):
+                waiting.append(np.frombuffer(s, np.int32))
+                held += len(waiting[-1])
                 if held >= CHUNK:
-                    model.train(*contexts(waiting, len(frequencies)), 1)
+                    model.train(*contexts(waiting, units.start))
                     tokens, waiting, held = tokens + held, [], 0
         if held:
-            model.train(*contexts(waiting, len(frequencies)), 1)
+            model.train(*contexts(waiting, units.start))
         tokens += held
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([model.state().tobytes()], pa.binary())], ["tokens", "state"])
+            for k, part in enumerate(np.array_split(model.state(), SLICES)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["slice", "tokens", "weights"])
 
-    return streams.mapInArrow(run, "tokens long, state binary")
+    return streams.select("units").mapInArrow(run, SLICE)
 
 
 def _added(parts: DataFrame) -> DataFrame:
-    """Per task the sum of its states, each times its tokens."""
+    """The sum of each slice's rows, which one task has, times their tokens."""
 
     def run(batches):
-        tokens, total = 0, None
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for n, s in rows_of(batch, "tokens", "state"):
-                x = np.frombuffer(s, np.float32).astype(np.float64) * n
-                tokens, total = tokens + n, x if total is None else total + x
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["tokens", "state"])
+            for k, n, w in rows_of(batch, "slice", "tokens", "weights"):
+                x = np.frombuffer(w, np.float32).astype(np.float64) * n
+                total[k] = total[k] + x if k in total else x
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "weights"])
 
-    return parts.mapInArrow(run, "tokens long, state binary")
+    return parts.mapInArrow(run, "slice int, weights binary")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -260,33 +369,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_remainder(F.col(id_col), folds) == held_out).alias("held_out"), F.col(text_col).cast("string").alias(OWN + "text"))
     train = read.filter(~F.col("held_out"))
     counts = materialise(word_counts(train), "lm-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = counts.filter(F.col("n") >= least_hot_count(counts)).toArrow()  # at most HOT rows
-    hot_words, hot_n = [bytes(w) for w in hot.column("word").to_pylist()], hot.column("n").to_numpy().astype(np.float64)
-    ranked = sorted(range(len(hot_words)), key=lambda k: (-hot_n[k], hot_words[k]))
-    chosen = ranked[: single_words(distinct)]
-    singles = {hot_words[k]: ENDINGS + r for r, k in enumerate(chosen)}
-    classes = ENDINGS + single_words(distinct)
-    # the sizes of classes of endings: all training words but the single ones
-    ending = (F.crc32(F.expr("substring(word, -2, 2)")) % ENDINGS).cast("int")
-    sums = {r[0]: (r[1], r[2]) for r in counts.groupBy(ending).agg(F.sum("n"), F.count(F.lit(1))).collect()}
-    frequencies, members = np.zeros(classes), np.zeros(classes)
-    for c, (n, v) in sums.items():
-        frequencies[c], members[c] = n, v
-    for k in chosen:
-        w = hot_words[k]
-        frequencies[singles[w]] = hot_n[k]
-        frequencies[ending_class(w)] -= hot_n[k]
-        members[ending_class(w)] -= 1
-    model, learned = train_everywhere(materialise(class_streams(train, singles), "lm-classes"), frequencies)
-    if learned != total:
-        raise RuntimeError(f"the model learned from {learned} of {total} training tokens")
-    a, b, z = model.tables()
-    within = np.zeros(classes)
-    within[:ENDINGS] = np.log10(frequencies[:ENDINGS] + members[:ENDINGS] + 1)
-    hot_class = np.array([singles.get(w, -1) for w in hot_words], np.int64)
-    hot_class = np.where(hot_class < 0, [ending_class(w) for w in hot_words], hot_class) if len(hot_words) else hot_class
-    shared = spark.sparkContext.broadcast({"words": hot_words, "class": hot_class, "log": np.log10(hot_n + 1), "a": a.astype(np.float32), "b": b.astype(np.float32), "z": z.astype(np.float32), "within": within})
+    model, hot, total, distinct = fit(spark, train, counts)
+    shared = spark.sparkContext.broadcast(hot | {"units": model.units, "state": model.state()})
     partial = materialise(_partial_scores(read, shared), "lm-partial")
     rare = partial.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("tf"))
     known = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("rare_log"), F.sum("tf").alias("rare_known"))
@@ -298,37 +382,69 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def fit(spark, train: DataFrame, counts: DataFrame) -> tuple[LogBilinear, dict, int, int]:
+    """The trained model, what tasks need of the hot words, and the numbers of training tokens and words."""
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    found = counts.filter(F.col("n") >= least_hot_count(counts)).toArrow()  # at most HOT rows
+    words, n = [bytes(w) for w in found.column("word").to_pylist()], found.column("n").to_numpy().astype(np.float64)
+    order = sorted(range(len(words)), key=lambda k: (-n[k], words[k]))
+    words, n = [words[k] for k in order], n[order]
+    own = words[: own_words(distinct)]
+    ending = (F.crc32(F.expr("substring(word, -2, 2)")) % ENDINGS).cast("int")
+    ending_counts, members = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    for c, tokens, kinds in counts.groupBy(ending).agg(F.sum("n"), F.count(F.lit(1))).collect():
+        ending_counts[c], members[c] = tokens, kinds
+    units = Units(own, n[: len(own)], ending_counts)
+    members -= np.bincount([ending_class(w) for w in own], minlength=ENDINGS) if own else 0
+    rank = spark.sparkContext.broadcast({"rank": {w: k for k, w in enumerate(own)}})
+    model = train_everywhere(materialise(unit_streams(train, rank), "lm-units"), units, total)
+    # an unseen word counts once in its class, and so does each seen one more
+    within = np.log10(units.frequency[units.own :] + members + 1)
+    return model, {"words": words, "log": np.log10(n + 1), "within": within}, total, distinct
+
+
 def _partial_scores(read: DataFrame, shared) -> DataFrame:
     """Per document all but the words beyond the hot ones, which come as an array with their counts."""
 
     def run(batches):
         t = shared.value
         place = {w: k for k, w in enumerate(t["words"])}
-        a, b, z, within, logs, classes = (t[k] for k in ("a", "b", "z", "within", "log", "class"))
-        start = len(within)  # stands before the text
+        logs, within, units = t["log"], t["within"], t["units"]
+        model = LogBilinear(units)
+        model.restore(t["state"])
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        held: list = []
+        size = 0
+
+        def scored():
+            nonlocal row
+            older, newer, unit = contexts([u for *_, u in held], units.start)
+            sums = np.add.reduceat(model.log_probability(older, newer, unit), np.concatenate([[0], np.cumsum([len(u) for *_, u in held])[:-1]])) / np.log(10)
             cols: list[list] = [[] for _ in range(8)]
-            for doc, held, text in rows_of(batch, "doc_id", "held_out", OWN + "text"):
-                words = tokens_of(text)
-                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                far = np.flatnonzero(at < 0)
-                rare = [words[k] for k in far]
-                c = classes[at] if len(classes) else np.zeros(len(at), np.int64)
-                if len(rare):
-                    c[far] = [ending_class(w) for w in rare]
+            for (doc, out, at, rare, u), log in zip(held, sums):
                 near = at[at >= 0]
-                padded = np.concatenate([[start, start], c])
-                p, q = padded[:-2], padded[1:-1]
-                ln = (a[p, c] + b[q, c] - z[p, q]).sum(dtype=np.float64)
-                hot_log = float(logs[near].sum())
-                # a single word is its class; in a class of endings it has its smoothed share
-                own = float(logs[near][c[at >= 0] < ENDINGS].sum()) - float(within[c].sum())
-                seen = Counter(rare)
-                for col, v in zip(cols, (row, doc, held, len(words), len(near), hot_log, ln / np.log(10) + own, [{"word": w, "n": k} for w, k in seen.items()])):
+                # an own word is its unit; others have their smoothed share of their class
+                shared_out = u[u >= units.own] - units.own
+                own = float(logs[near[near >= units.own]].sum()) - float(within[shared_out].sum())
+                for col, v in zip(cols, (row, doc, out, len(u), len(near), float(logs[near].sum()), float(log) + own, [{"word": w, "n": k} for w, k in rare.items()])):
                     col.append(v)
                 row += 1
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "model_log", "rare"])
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "model_log", "rare"])
+
+        for batch in batches:
+            for doc, out, text in rows_of(batch, "doc_id", "held_out", OWN + "text"):
+                words = tokens_of(text)
+                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+                u = at.copy()
+                far = np.flatnonzero((at < 0) | (at >= units.own))
+                u[far] = [units.own + ending_class(words[k]) for k in far]
+                held.append((doc, out, at, Counter(words[k] for k in np.flatnonzero(at < 0)), u))
+                size += len(words)
+                if size >= SCORED:
+                    yield scored()
+                    held, size = [], 0
+        if held:
+            yield scored()
 
     return read.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_log double, model_log double, rare array<struct<word:binary,n:long>>")

@@ -246,15 +246,71 @@ def test_lm_scores(docs, empty):
     assert lm_score.score_documents(empty).count() == 0
 
 
-def test_lm_is_normalised():
-    m = lm_score.LogBilinear(np.arange(lm_score.CLASSES, dtype=float) + 1)
+def plain_lm_score(model, hot, counts, text):
+    """log10 probability token by token, each step's probability from a plain sum over its alternatives."""
+    units, (older, newer, first, second) = model.units, model.tables
+    rank = {w: k for k, w in enumerate(hot["words"][: units.own])}
+    a = b = units.start
+    total = 0.0
+    for w in (text or "").encode().lower().split() + [b"\n"]:
+        c = zlib.crc32(w[-2:]) % lm_score.ENDINGS
+        unit = rank.get(w, units.own + c)
+        q = np.append(older[a].astype(float) + newer[b], 1.0)
+
+        def chance(table, among, one):
+            e = {x: math.exp(float(q @ table[x])) for x in among}
+            return e[one] / sum(e.values())
+
+        p = chance(first, range(len(first)), lm_score.ENDINGS + unit if unit < units.head else c)
+        if unit >= units.head:
+            p *= chance(second, units.members[c].tolist(), unit)
+        if unit >= units.own:
+            others = [n for x, n in counts.items() if x not in rank and zlib.crc32(x[-2:]) % lm_score.ENDINGS == c]
+            p *= (counts[w] + 1) / (sum(others) + len(others) + 1)
+        total += math.log10(p)
+        a, b = b, unit
+    return total
+
+
+def test_lm_scores_against_a_plain_version(spark, docs, monkeypatch):
+    """Scores with words that have embeddings, that share their class and that no training document has."""
+    monkeypatch.setattr(lm_score, "HEAD", 20)
+    monkeypatch.setattr(lm_score, "HOT", 150)
+    monkeypatch.setattr(lm_score, "own_words", lambda distinct: 60)
+    few = docs.filter("doc_id IS NULL OR doc_id NOT IN (300)")
+    rows = lm_score.score_documents(few).collect()
+    read = few.withColumn("held", lm_score.crc_remainder(F.col("doc_id"), 7) == 2).withColumnRenamed("text", lm_score.OWN + "text")
+    train = read.filter("NOT held")
+    counted = lm_score.word_counts(train).cache()
+    model, hot, total, distinct = lm_score.fit(spark, train, counted)
+    assert 0 < model.units.own < len(hot["words"]) < distinct
+    counts = Counter({bytes(r.word): r.n for r in counted.collect()})
+    want = Counter((r.doc_id, len((r.text or "").split()) if (r.text or "").isascii() else None, round(plain_lm_score(model, hot, counts, r.text), 2)) for r in few.collect() if (r.text or "").isascii())
+    texts = Counter((r.doc_id, r.n_tokens - 1, round(r.score, 2)) for r in rows)
+    close = lambda x, y: abs(x - y) < 0.02 + 1e-4 * abs(y)
+    for doc_id, n, score in want:
+        assert any(d == doc_id and m == n and close(score, s) for d, m, s in texts), (doc_id, n, score)
+
+
+def test_lm_is_normalised_and_learns():
+    """Both steps' probabilities sum to one, and an order of units is learned."""
+    words = [b"w%d" % k + e for k in range(400) for e in (b"aa", b"bb")]
+    units = lm_score.Units(words, np.linspace(900, 1, len(words)), np.full(lm_score.ENDINGS, 5000.0) + 400_000 * np.isin(np.arange(lm_score.ENDINGS), [lm_score.ending_class(b"aa"), lm_score.ending_class(b"bb")]))
+    m = lm_score.LogBilinear(units)
     rng = np.random.default_rng(0)
-    first, second = rng.integers(0, 9, 4000), rng.integers(0, 9, 4000)
-    target = 2 * second + 1
-    m.train(first, second, target, 8)
-    a, b, z = m.tables()
-    p = np.exp(a[3] + b[5] - z[3, 5])
-    assert p.sum() == pytest.approx(1, abs=1e-4) and p.argmax() == 11
+    older, newer = rng.integers(0, 200, 60_000), rng.integers(0, 200, 60_000)
+    unit = 3 * newer + 1
+    for _ in range(12):
+        m.train(older, newer, unit)
+    every = np.arange(units.start)
+    p = np.exp(m.log_probability(np.full(units.start, 3), np.full(units.start, 150), every))
+    assert p.sum() == pytest.approx(1, abs=1e-4) and p.argmax() == 451
+
+
+def test_lm_contexts():
+    older, newer, unit = lm_score.contexts([np.array([5, 6, 7], np.int32), np.array([8], np.int32)], 99)
+    assert older.tolist() == [99, 99, 5, 99] and newer.tolist() == [99, 5, 6, 99] and unit.tolist() == [5, 6, 7, 8]
+    assert [len(x) for x in lm_score.contexts([], 9)] == [0, 0, 0]
 
 
 def test_lm_learns_from_all_documents(spark):
@@ -268,7 +324,14 @@ def test_lm_learns_from_all_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     held = [r for r in lm_score.score_documents(df).collect() if r.held_out]
     assert held and all(r.score / r.n_tokens > -0.85 for r in held)
-    assert lm_score.single_words(10**9) > lm_score.single_words(10**7) > lm_score.single_words(10) == lm_score.SINGLE
+    assert lm_score.own_words(10**7) > 4 * lm_score.own_words(10**5) > lm_score.own_words(10) == lm_score.OWN_WORDS
+
+
+def test_lm_predicts_held_out_documents(spark):
+    """Better by far than counts alone on text that no training document has."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = lm_score.score_documents(d).filter("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("model"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).first()
+    assert r.model > -3.78 and r.model > r.base + 0.25
 
 
 def test_shards(spark, docs, empty):
