@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = usable.select("key", "node", F.col("n_shingles").alias("n"), "sig", "bands")
     nodes = found.join(classes.select("key", F.col("class").alias("node")), ["key", "node"], "left_semi")
     # rows that repeat an identifier and its text are one node
-    nodes = scratch.write(nodes.dropDuplicates(["key", "node"]).drop("key"), "nodes")
+    nodes = scratch.write((nodes.dropDuplicates(["key", "node"]) if repeated else nodes).drop("key"), "nodes")
     band_rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     edges, labels, own = None, None, None
     if some:
