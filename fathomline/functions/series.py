@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +40,25 @@ def ewm_weights(span: float, n: int) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+def ewma(df: DataFrame, column: str, window: int, key: str = "symbol", order: tuple[str, ...] = ("ts",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, order, keep and ewma: the adjusted exponential mean of all values so far, smoothing 2 / (window + 1)."""
+    from .grouped import fold_series
+
+    rest = 1 - 2 / (window + 1)
+    carried = [*order, *[c for c in keep if c not in order]]
+    kinds = dict(df.dtypes)
+
+    def step(state: dict, rows) -> list:
+        out = []
+        for values in zip(rows[column].astype(float), *(rows[c] for c in carried)):
+            state["sum"], state["weight"] = state.get("sum", 0.0) * rest + values[0], state.get("weight", 0.0) * rest + 1
+            out.append((*values[1:], state["sum"] / state["weight"]))
+        return out
+
+    needed = df.select(key, *carried, *([column] if column not in carried else []))
+    return fold_series(needed, key, list(order), dict, step, [*carried, "ewma"], ", ".join(f"{c} {kinds[c]}" for c in carried) + ", ewma double")
+
+
 def ewma_bounded(x: Column, w: WindowSpec, span: float, n: int) -> Column:
     """Exponential mean over the last n rows as a weighted sum: no Python, no recursion."""
     a = 2.0 / (span + 1.0)

@@ -2,7 +2,7 @@
 
 Tick and time bars have a closed form: bar numbers by window, then one aggregation.  Volume, dollar,
 imbalance and run bars reset their sums when a bar closes, so each symbol is folded in order; one fold
-serves batch (grouped map) and streaming (state per symbol).
+serves batch (over sorted batches of rows) and streaming (state per symbol).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.grouped import per_series
+from ..functions.grouped import fold_series
 from ..functions.series import forward_fill, ordered
 from ..schemas import BARS, BARS_DDL
 
@@ -202,14 +202,12 @@ FOLD_COLUMNS = list(BARS[1:])
 
 
 def fold_bars(ticks: DataFrame, rule: Rule) -> DataFrame:
-    """Bars of a rule, folded over each symbol's ticks in order of ts and seq."""
+    """Bars of a rule, folded over each symbol's ticks in order of ts and seq; ticks without a symbol are left out."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state = Fold()
-        bars = [b for t, p, v in zip(rows["ts"], rows["price"].astype(float), rows["volume"].astype(float)) if (b := state.add(rule, t, p, v))]
-        return pd.DataFrame(bars, columns=FOLD_COLUMNS)
+    def step(state: Fold, rows: pd.DataFrame) -> list:
+        return [b for t, p, v in zip(rows["ts"], rows["price"].astype(float), rows["volume"].astype(float)) if (b := state.add(rule, t, p, v))]
 
-    return per_series(ticks.select("symbol", "ts", "seq", "price", "volume"), "symbol", ["ts", "seq"], run, BARS_DDL)
+    return fold_series(ticks.select("symbol", "ts", "seq", "price", "volume"), "symbol", ["ts", "seq"], Fold, step, FOLD_COLUMNS, BARS_DDL)
 
 
 def standard_bars(ticks: DataFrame, metric: str, threshold: float) -> DataFrame:

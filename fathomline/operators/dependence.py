@@ -75,14 +75,27 @@ def ksg(x: np.ndarray, y: np.ndarray, k: int = 4, seed: int = 0, block: int = 51
     return float(digamma(float(k)) + digamma(float(n)) - total / n)
 
 
-def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    def centred(v):
-        d = np.abs(v[:, None] - v)
-        return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
-
-    a, b = centred(np.asarray(x, float)), centred(np.asarray(y, float))
-    scale = math.sqrt((a * a).mean() * (b * b).mean())
-    return math.sqrt(max((a * b).mean(), 0) / scale) if scale > 0 else 0.0
+def _mean_distances(v: np.ndarray) -> np.ndarray:
+    """Mean distance of each value to all values, from sums over the sorted values."""
+    order = np.argsort(v, kind="stable")
+    s, n = v[order], len(v)
+    before = np.concatenate([[0.0], np.cumsum(s)[:-1]])
+    out = np.empty(n)
+    out[order] = (s * np.arange(n) - before + (s.sum() - before - s) - s * np.arange(n - 1, -1, -1)) / n
+    return out
+
+
+def distance_correlation(x: np.ndarray, y: np.ndarray, block: int = 512) -> float:
+    """Of means of products of distances, which blocks of rows add up, so no matrix of all pairs is held."""
+    x, y = (np.asarray(v, float) - np.mean(v) for v in (x, y))
+    n = len(x)
+    mx, my = _mean_distances(x), _mean_distances(y)
+    together = sum(float((np.abs(x[k : k + block, None] - x) * np.abs(y[k : k + block, None] - y)).sum()) for k in range(0, n, block)) / n**2
+    covariance = together - 2 * (mx * my).mean() + mx.mean() * my.mean()
+    # the mean square of distances is twice the variance
+    var = [2 * float((v * v).mean()) - 2 * (m * m).mean() + m.mean() ** 2 for v, m in ((x, mx), (y, my))]
+    scale = math.sqrt(max(var[0], 0.0) * max(var[1], 0.0))
+    return math.sqrt(max(covariance, 0.0) / scale) if scale > 0 else 0.0
 
 
 def variation_of_information_extended(pairs: DataFrame, x: str, y: str, key: str = "symbol") -> DataFrame:

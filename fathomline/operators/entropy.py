@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma
@@ -17,12 +18,25 @@ LN2 = math.log(2)
 
 
 def ngrams(messages: DataFrame, width: int, key: str = "id", text: str = "message") -> DataFrame:
-    """key, word, n: overlapping runs of `width` code points and their counts."""
-    places = F.when(F.length(text) >= width, F.sequence(F.lit(1), F.length(text) - width + 1))
-    words = messages.select(key, F.explode(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(width)))).alias("word"))
+    """key, word, n: overlapping runs of `width` code points and their counts; words have no nulls.
+
+    A message is cut into its characters once and runs are joined slices of that array, so the work is
+    linear in its length; runs are counted by task before the shuffle.
+    """
+    split = messages.select(key, F.split(F.col(text), "").alias("_c"))
+    words = split.select(key, F.explode(_runs(F.col("_c"), width)).alias("word"))
     return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _runs(characters: Column, width: int) -> Column:
+    """All runs of an array of characters; splitting empty text gives one empty character, which is left out."""
+    whole = F.filter(characters, lambda c: c != "")
+    if width == 1:
+        return whole
+    starts = F.when(F.size(characters) >= width, F.sequence(F.lit(0), F.size(characters) - width))
+    return F.transform(starts, lambda i: F.concat(*[F.get(characters, i + k) for k in range(width)]))
+
+
 def mass_function(messages: DataFrame, width: int, key: str = "id", text: str = "message") -> DataFrame:
     counts = ngrams(messages, width, key, text)
     totals = counts.groupBy(key).agg(F.sum("n").alias("total"))
@@ -65,9 +79,60 @@ def match_length(message: str, i: int, n: int) -> tuple[int, str]:
     return len(best) + 1, best
 
 
+def earlier_matches(message: str) -> list[int]:
+    """For each place the length of the longest run from there that also starts further left; runs may overlap.
+
+    One pass over a suffix automaton whose states know where their first occurrence ends: linear in the
+    message's length.
+    """
+    follow, link, size, ends = [{}], [-1], [0], [-1]
+    last = 0
+    for i, c in enumerate(message):
+        state = len(size)
+        follow.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        ends.append(i)
+        p = last
+        while p >= 0 and c not in follow[p]:
+            follow[p][c] = state
+            p = link[p]
+        if p >= 0:
+            q = follow[p][c]
+            if size[q] == size[p] + 1:
+                link[state] = q
+            else:
+                twin = len(size)
+                follow.append(dict(follow[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                ends.append(ends[q])
+                while p >= 0 and follow[p].get(c) == q:
+                    follow[p][c] = twin
+                    p = link[p]
+                link[q] = link[state] = twin
+        last = state
+    out, state, length, n = [], 0, 0, len(message)
+    for i in range(n):
+        while i + length < n and (to := follow[state].get(message[i + length])) is not None and ends[to] < i + length:
+            state, length = to, length + 1
+        out.append(length)
+        if length:
+            length -= 1
+            while state and size[link[state]] >= length:
+                state = link[state]
+    return out
+
+
 def kontoyiannis(message: str, window: int | None = None) -> float:
+    """Mean of log2 of the places to look back over the length of the match there; without a window all
+    places before count, and matches come from one linear pass."""
     n = len(message)
     window = min(window, n - 1) if window else None
+    if window is None:
+        found = earlier_matches(message)
+        rates = [math.log2(i) / (min(found[i], i) + 1) for i in range(2, n)]
+        return sum(rates) / len(rates) if rates else 0.0
     points = range(window if window is not None else 2, n)
     rates = [math.log2(window or i) / match_length(message, i, window or i)[0] for i in points if (window if window is not None else i)]
     return sum(rates) / len(rates) if rates else 0.0
@@ -85,8 +150,10 @@ def grassberger(message: str, width: int = 1) -> float:
     return float((math.log(c.sum()) - (c * g).sum() / c.sum()) / LN2 / width)
 
 
-def _concentrations(targets: np.ndarray, k: int) -> np.ndarray:
-    """Dirichlet concentrations whose prior mean entropy is each target: bisection on all at once."""
+@functools.lru_cache(4096)
+def _concentrations(points: int, k: int) -> np.ndarray:
+    """Dirichlet concentrations whose prior mean entropy is each node: bisection on all at once."""
+    targets = _nodes(points, k)
     lo, hi = np.full(len(targets), 1e-8), np.full(len(targets), 1e8)
     for _ in range(200):
         mid = (lo + hi) / 2
@@ -95,6 +162,10 @@ def _concentrations(targets: np.ndarray, k: int) -> np.ndarray:
     return (lo + hi) / 2
 
 
+def _nodes(points: int, k: int) -> np.ndarray:
+    return np.linspace(math.log(k) / (points + 1), math.log(k) * points / (points + 1), points)
+
+
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
@@ -107,12 +178,13 @@ def nsb(message: str, width: int = 1, alphabet: int | None = None, points: int =
     n = c.sum()
     if k <= 1:
         return 0.0
-    nodes = np.linspace(math.log(k) / (points + 1), math.log(k) * points / (points + 1), points)
-    beta = _concentrations(nodes, k)
+    nodes, beta = _nodes(points, k), _concentrations(points, k)
     b = beta[:, None]
-    evidence = _lgamma(k * beta) - _lgamma(n + k * beta) + (_lgamma(c + b) - _lgamma(b)).sum(1)
-    seen = ((c + b) * digamma(c + b + 1)).sum(1)
-    mean = digamma(n + k * beta + 1) - (seen + (k - len(c)) * beta * digamma(beta + 1)) / (n + k * beta)
+    # equal counts have equal terms
+    c, times = np.unique(c, return_counts=True)
+    evidence = _lgamma(k * beta) - _lgamma(n + k * beta) + ((_lgamma(c + b) - _lgamma(b)) * times).sum(1)
+    seen = ((c + b) * digamma(c + b + 1) * times).sum(1)
+    mean = digamma(n + k * beta + 1) - (seen + (k - times.sum()) * beta * digamma(beta + 1)) / (n + k * beta)
     weight = np.exp(evidence - evidence.max())
     norm = np.trapezoid(weight, nodes)
     return float(np.trapezoid(weight * mean, nodes) / norm / LN2 / width) if norm > 0 else math.nan

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.grouped import per_series
+from ..functions.grouped import fold_series, per_series
 from ..functions.series import ordered
 from .joins import asof
 
@@ -21,33 +21,30 @@ def cusum_events(prices: DataFrame, threshold: float | str) -> DataFrame:
     threshold: a number, or the name of a column with one per row.  The falling side is looked at first
     and only the side that fires starts anew.
     """
-    columns = ["symbol", "ts", "close"] + ([threshold] if isinstance(threshold, str) else [])
+    limit = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        close = rows["close"].to_numpy(float)
-        limits = rows[threshold].to_numpy(float) if isinstance(threshold, str) else np.full(len(close), threshold)
-        up = down = 0.0
+    def step(state: dict, rows: pd.DataFrame) -> list:
         hits = []
-        for k in range(1, len(close)):
-            move = close[k] - close[k - 1]
-            up, down = max(0.0, up + move), min(0.0, down + move)
-            if down < -limits[k]:
+        for ts, close, limit in zip(rows["ts"], rows["close"].astype(float), rows["limit_"].astype(float)):
+            move = close - state.get("close", close)
+            up, down = max(0.0, state.get("up", 0.0) + move), min(0.0, state.get("down", 0.0) + move)
+            if "close" in state and down < -limit:
                 down = 0.0
-            elif up > limits[k]:
+                hits.append((ts,))
+            elif "close" in state and up > limit:
                 up = 0.0
-            else:
-                continue
-            hits.append(k)
-        return pd.DataFrame({"event_start": rows["ts"].iloc[hits].to_numpy()})
+                hits.append((ts,))
+            state.update(close=close, up=up, down=down)
+        return hits
 
-    return per_series(prices.select(*columns), "symbol", ["ts"], run, "event_start timestamp_ntz")
+    return fold_series(prices.select("symbol", "ts", "close", limit.alias("limit_")), "symbol", ["ts"], dict, step, ["event_start"], "event_start timestamp_ntz")
 
 
 def daily_volatility(prices: DataFrame, span: int = 100) -> DataFrame:
     """symbol, ts, volatility: debiased exponential deviation of log returns over the last row before ts - 1 day."""
     probes = prices.select("symbol", "ts", "close", (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("before"))
     earlier = asof(probes, prices.select("symbol", F.col("ts").alias("past_ts"), F.col("close").alias("past")), "symbol", "before", "past_ts", ["past"], inclusive=False)
-    returns = earlier.filter(F.col("past").isNotNull()).select("symbol", "ts", F.ln(F.col("close") / F.col("past")).alias("r"))
+    returns = earlier.filter(F.col("past").isNotNull()).select("symbol", "ts", F.ln(F.try_divide("close", "past")).alias("r"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         v = rows["r"].ewm(span=span, adjust=True).std(bias=False)
@@ -80,7 +77,7 @@ def triple_barrier(prices: DataFrame, events: DataFrame, profit: float, loss: fl
     closed = begun.filter(F.col("barrier").isNotNull()).withColumn("_b", F.explode(F.sequence(bucket("event_start"), bucket("barrier"))))
     within = closed.join(points.withColumn("_b", bucket("ts")), ["symbol", "_b"]).drop("_b").filter(F.col("ts") <= F.col("barrier"))
     path = within.unionByName(begun.filter(F.col("barrier").isNull()).join(points, "symbol")).filter(F.col("ts") >= F.col("event_start"))
-    move = F.ln(F.col("close") / F.col("p0")) * F.col("side")
+    move = F.ln(F.try_divide("close", "p0")) * F.col("side")
     won = F.min(F.when(move > profit * F.col("base_width"), F.col("ts"))) if profit > 0 else F.lit(None).cast("timestamp_ntz")
     lost = F.min(F.when(move < -loss * F.col("base_width"), F.col("ts"))) if loss > 0 else F.lit(None).cast("timestamp_ntz")
     touched = path.groupBy("symbol", "event_start").agg(won.alias("won"), lost.alias("lost"))

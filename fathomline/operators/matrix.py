@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +18,35 @@ from ..runtime import ship
 def covariance(rows: DataFrame, values: str, dims: int) -> DataFrame:
     """i, j, v (1-based): sample covariance of an array column.
 
-    Sums of products are aggregated element-wise per task on upper-triangle pairs, so the shuffle
-    carries dims^2 / 2 sums a task and no rows.
+    Each task adds up its own matrix of products about the mean of its first rows, by matrix products over
+    Arrow batches; the shuffle carries dims^2 sums a task and no rows, and tasks' sums are then moved to
+    the common mean.
     """
-    mean = rows.select(*[F.avg(F.get(values, k)).alias(f"m{k}") for k in range(dims)])
-    means = mean.select(F.array(*mean.columns).alias("_mean"))  # one row
-    centred = rows.join(F.broadcast(means)).select(F.zip_with(values, "_mean", lambda a, b: a - b).alias("c"))
-    i = F.explode(F.sequence(F.lit(1), F.lit(dims))).alias("i")
-    upper = centred.select("c", i).select("i", F.posexplode(F.transform(F.slice("c", F.col("i"), F.lit(dims)), lambda x: x * F.get("c", F.col("i") - 1))).alias("o", "p"))
-    s = upper.groupBy("i", (F.col("i") + F.col("o")).alias("j")).agg((F.sum("p") / (F.count(F.lit(1)) - 1)).alias("v"))
-    return s.unionByName(s.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    ship(rows.sparkSession)
+
+    def run(batches):
+        n, centre, total, gram = 0, None, np.zeros(dims), np.zeros((dims, dims))
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            if not len(column):
+                continue
+            x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), dims)
+            centre = x.mean(0) if centre is None else centre
+            x = x - centre
+            n, total, gram = n + len(x), total + x.sum(0), gram + x.T @ x
+        if n:
+            mean = centre + total / n
+            about = gram - np.outer(total, total) / n
+            at = np.arange(dims)
+            i, j = np.repeat(at, dims), np.tile(at, dims)
+            columns = [np.full(dims * dims, n), i + 1, j + 1, about.ravel(), mean[i], mean[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()))], ["n", "i", "j", "s", "mi", "mj"])
+
+    parts = rows.select(values).mapInArrow(run, "n long, i int, j int, s double, mi double, mj double")
+    # sums about the tasks' means, and of the tasks' means about the common one
+    w = F.col("n") * F.col("mi")
+    g = parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(w * F.col("mj")).alias("mm"), F.sum(w).alias("mi"), F.sum(F.col("n") * F.col("mj")).alias("mj"))
+    return g.select("i", "j", F.try_divide(F.col("s") + F.col("mm") - F.col("mi") * F.col("mj") / F.col("n"), F.col("n") - 1).alias("v"))
 
 
 def correlation(cov: DataFrame) -> DataFrame:
@@ -243,26 +263,42 @@ def cluster_quality(s: np.ndarray, labels: np.ndarray) -> dict[int, float]:
     return {c: float(s[labels == c].mean() / v) for c, v in sd.items() if v > 0}
 
 
+def _numbered(labels) -> np.ndarray:
+    """The same clusters as 0, 1, ..."""
+    return np.unique(labels, return_inverse=True)[1]
+
+
 def optimal_clusters(corr: np.ndarray, most: int | None = None, tries: int = 10, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Clusters of less than mean quality are clustered again, and that is kept if their quality rises."""
+    """(labels, silhouettes) of the optimal number of clusters: top-level clusters whose quality is below the
+    average are clustered anew among themselves for as long as that raises their mean quality.
+
+    A loop: `sets` holds the items that are still looked at together.  Of a set's clusters the good ones are
+    settled; the weak ones are the next, smaller set.  The settlings are then tried from the innermost outwards,
+    and each is taken where the weak items' mean quality, with all items in place, is higher with it.
+    """
     n = len(corr)
-    most = n - 1 if most is None else min(most, n - 1)
-    if most < 2:
+    if n < 3 or (most is not None and most < 2):
         return np.zeros(n, int), np.zeros(n)
-    labels, s = best_clustering(corr, most, tries, seed)
-    quality = cluster_quality(s, labels)
-    weak = [c for c, q in quality.items() if q < np.mean(list(quality.values()))] if quality else []
-    if len(weak) <= 1:
-        return labels, s
-    at = np.flatnonzero(np.isin(labels, weak))
-    kept = len(set(labels)) - len(weak)
-    inner, _ = optimal_clusters(corr[np.ix_(at, at)], min(most - kept, len(at) - 1), tries, seed)
-    new = labels.copy()
-    new[at] = inner + labels.max() + 1
-    new = np.unique(new, return_inverse=True)[1]
-    again = silhouette_samples(corr_distance(corr), new)
-    q = list(cluster_quality(again, new).values())
-    return (new, again) if q and np.mean(q) > np.mean([quality[c] for c in weak]) else (labels, s)
+    distance, found, items = corr_distance(corr), [], np.arange(n)
+    while len(items) > 2:
+        labels, s = best_clustering(corr[np.ix_(items, items)], min(most or n, len(items) - 1), tries, seed)
+        quality = cluster_quality(s, labels)
+        average = sum(quality.values()) / max(len(quality), 1)
+        weak = np.isin(labels, [c for c, q in quality.items() if q < average])
+        found.append((items, labels, weak))
+        if len(set(labels[weak])) < 2 or weak.all():
+            break
+        items = items[weak]
+    inner: np.ndarray | None = None
+    for items, labels, weak in reversed(found):
+        if inner is not None:
+            part = distance[np.ix_(items, items)]
+            split = labels.copy()
+            split[weak] = labels.max() + 1 + inner
+            mean = lambda of: np.mean([q for c, q in cluster_quality(silhouette_samples(part, of), of).items() if c in set(of[weak])] or [-np.inf])  # noqa: B023, E731
+            labels = split if mean(split) > mean(labels) else labels
+        inner = _numbered(labels)
+    return inner, silhouette_samples(distance, inner)
 
 
 def random_block_covariance(n: int, blocks: int, least: int = 1, sigma: float = 1.0, seed: int = 0) -> np.ndarray:

@@ -14,12 +14,15 @@ DENOMINATOR = 3 - 2 * math.sqrt(2)
 
 
 def range_estimates(bars: DataFrame, span: int = 20) -> DataFrame:
-    """bars with beta, gamma, alpha, spread and sigma; null until the windows are full."""
+    """bars with beta, gamma, alpha, spread and sigma; null until the windows are full.
+
+    A range with a low of zero has no logarithm: it is null, and windows that hold it aren't full.
+    """
     w = ordered("symbol", "ts")
-    b = bars.withColumn("_sq", F.pow(F.ln(F.col("high") / F.col("low")), 2))
+    b = bars.withColumn("_sq", F.pow(F.ln(F.try_divide("high", "low")), 2))
     b = b.withColumn("_two", rolling(F.sum("_sq"), F.col("_sq"), w, 2)).withColumn("beta", rolling(F.avg("_two"), F.col("_two"), w, span))
     top, bottom = rolling(F.max("high"), F.col("high"), w, 2), rolling(F.min("low"), F.col("low"), w, 2)
-    b = b.withColumn("gamma", F.pow(F.ln(top / bottom), 2))
+    b = b.withColumn("gamma", F.pow(F.ln(F.try_divide(top, bottom)), 2))
     part = (math.sqrt(2) - 1) * F.sqrt("beta") / DENOMINATOR
     alpha = part - F.sqrt(F.col("gamma") / DENOMINATOR)
     sigma = part + F.sqrt(F.col("gamma") / (8 / math.pi * DENOMINATOR))

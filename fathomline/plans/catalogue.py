@@ -50,12 +50,12 @@ CTES = {
         FROM (SELECT *, sign(price - lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq))::DOUBLE AS step, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS tick_index FROM ticks)""",
     "daily": "SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, round(sum(value), 6) AS pnl, max_by(value, event_id) AS close FROM events GROUP BY 1, 2",
     "hourly": """SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, min_by(value, event_id) AS open, max(value) AS high, min(value) AS low, max_by(value, event_id) AS close FROM events GROUP BY 1, 2""",
-    "returns": "SELECT symbol, ts, x FROM (SELECT symbol, ts, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS x FROM daily) WHERE x IS NOT NULL",
+    "returns": "SELECT symbol, ts, x FROM (SELECT symbol, ts, ln(CASE WHEN close > 0 THEN close END / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0)) AS x FROM daily) WHERE x IS NOT NULL",
     "perf": "SELECT datediff('day', DATE '2024-01-01', ts::DATE)::BIGINT AS t, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS strategy, round(avg(value) - 49.0, 6) AS x FROM events GROUP BY 1, 2",
     "msgs": "SELECT doc_id AS id, substr(lower(coalesce(text, '')), 1) AS message FROM documents",
     "pos": "SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos, ts, close FROM daily",
     "info": "SELECT symbol, pos, pos AS start, pos + 2 AS \"end\" FROM pos",
-    "evt": "SELECT p.symbol, p.ts AS event_start, p.pos AS p0, q.ts AS end_time, q.pos AS p1 FROM pos p JOIN pos q ON p.symbol = q.symbol AND q.pos = p.pos + 3 WHERE p.pos % 2 = 1",
+    "evt": "SELECT p.symbol, p.ts AS event_start, p.pos AS p0, q.ts AS end_time, q.pos AS p1 FROM pos p JOIN pos q ON p.symbol = q.symbol AND q.pos = p.pos + 3",
 }
 NEEDS = {"signed": ["ticks"], "returns": ["daily"], "pos": ["daily"], "info": ["pos"], "evt": ["pos"]}
 
@@ -98,7 +98,7 @@ def hourly(spark, d):
 
 def returns(spark, d):
     w = ordered("symbol", "ts")
-    return daily(spark, d).withColumn("x", F.ln(F.col("close") / F.lag("close").over(w))).filter(F.col("x").isNotNull()).select("symbol", "ts", "x")
+    return daily(spark, d).withColumn("x", F.ln(F.try_divide(F.col("close"), F.lag("close").over(w)))).filter(F.col("x").isNotNull()).select("symbol", "ts", "x")
 
 
 def positions(spark, d):
@@ -110,22 +110,16 @@ def info(spark, d):
 
 
 def span_events(spark, d):
-    """Every other day of a symbol, open for three days."""
+    """A span of three days from every day of a symbol."""
     p = positions(spark, d)
     later = p.select("symbol", (F.col("pos") - 3).alias("pos"), F.col("ts").alias("end_time"))
-    return p.filter("pos % 2 = 1").join(later, ["symbol", "pos"]).select("symbol", F.col("ts").alias("event_start"), "end_time")
+    return p.join(later, ["symbol", "pos"]).select("symbol", F.col("ts").alias("event_start"), "end_time")
 
 
 def messages(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("message"))
 
 
-def short_messages(spark, d):
-    """The letters' classes of each conversation turn: messages of few symbols for parse-based estimators."""
-    t = table(spark, d, "conversations")
-    return t.select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), F.translate(F.lower(F.coalesce("text", F.lit(""))), "abcdefghijklmnopqrstuvwxyz", "01100110011001100110011001").alias("message"))
-
-
 # ---- bars ------------------------------------------------------------------------------------------
 
 _BAR = "symbol, bar_id::BIGINT AS bar_id, {stamp} AS date_time, max(tick_index) AS tick_index, min_by(price, tick_index) AS open, max(price) AS high, min(price) AS low, max_by(price, tick_index) AS close, sum(volume) AS cumulative_volume, sum(CASE WHEN sign = 1 THEN volume ELSE 0 END) AS cumulative_buy_volume, sum(volume) - sum(CASE WHEN sign = 1 THEN volume ELSE 0 END) AS cumulative_sell_volume, count(*)::DOUBLE AS cumulative_ticks, sum(price * volume) AS cumulative_dollar_value, {limit} AS threshold"
@@ -175,6 +169,13 @@ for _metric in bars.METRICS:
     QUERIES[f"{_metric}_run_expected"] = lambda spark, d, m=_metric: rounded(bars.build_bars(f"{m}_run_expected", events_ticks(spark, d), expected_ticks=20.0, window=50, ticks_window=5, bounds=(5.0, 100.0)))
 
 
+@query("ewma_full", "WITH RECURSIVE t AS (SELECT symbol, seq, tick_index, price FROM {signed}), f AS (SELECT symbol, seq, tick_index, price AS s, 1e0 AS w FROM t WHERE tick_index = 1 UNION ALL SELECT t.symbol, t.seq, t.tick_index, f.s * 0.9e0 + t.price, f.w * 0.9e0 + 1 FROM f JOIN t ON t.symbol = f.symbol AND t.tick_index = f.tick_index + 1) --- SELECT symbol, seq, s / w AS ewma FROM f", "ewma")
+def _(spark, d):
+    from ..functions.series import ewma
+
+    return ewma(events_ticks(spark, d), "price", 19, order=("ts", "seq")).select("symbol", "seq", "ewma")
+
+
 @query("ewma_price", "SELECT symbol, seq, sum(price_k * w) / sum(w) AS ewma FROM (SELECT a.symbol, a.seq, b.price AS price_k, pow(0.5, a.tick_index - b.tick_index) AS w FROM {signed} a JOIN {signed} b ON a.symbol = b.symbol AND b.tick_index BETWEEN a.tick_index - 19 AND a.tick_index) GROUP BY 1, 2", "ewma")
 def _(spark, d):
     from ..functions.series import ewma_bounded
@@ -223,7 +224,7 @@ def _(spark, d):
     return labels.cusum_events(daily(spark, d), 40.0)
 
 
-@query("cusum_dynamic")
+@query("cusum_dynamic", _CUSUM.replace("%(h)s", "(p.close * 0.5e0 + 5)"))
 def _(spark, d):
     return labels.cusum_events(daily(spark, d).withColumn("limit", F.col("close") * 0.5 + 5.0), "limit")
 
@@ -371,14 +372,14 @@ def _(spark, d):
 
 
 for _name in entropy.ESTIMATORS:
-    QUERIES[f"entropy_{_name}"] = lambda spark, d, n=_name: rounded(entropy.message_entropy(short_messages(spark, d), n))
+    QUERIES[f"entropy_{_name}"] = lambda spark, d, n=_name: rounded(entropy.message_entropy(messages(spark, d), n))
 
 
-_CS = f"""WITH a AS (SELECT *, pow(ln(high / low), 2) AS sq, row_number() OVER w AS k, max(high) OVER (w ROWS 1 PRECEDING) AS hi, min(low) OVER (w ROWS 1 PRECEDING) AS lo FROM {{hourly}} WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-  b AS (SELECT *, CASE WHEN k >= 2 THEN sum(sq) OVER (PARTITION BY symbol ORDER BY ts ROWS 1 PRECEDING) END AS two FROM a),
-  c AS (SELECT symbol, ts, k, CASE WHEN k >= 6 THEN avg(two) OVER (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING) END AS beta, CASE WHEN k >= 2 THEN pow(ln(hi / lo), 2) END AS gamma FROM b),
-  e AS (SELECT *, CASE WHEN beta IS NOT NULL THEN greatest({math.sqrt(2) - 1!r} * sqrt(beta) / {microstructure.DENOMINATOR!r} - sqrt(gamma / {microstructure.DENOMINATOR!r}), 0) END AS alpha,
-    CASE WHEN beta IS NOT NULL THEN greatest({math.sqrt(2) - 1!r} * sqrt(beta) / {microstructure.DENOMINATOR!r} + sqrt(gamma / {8 / math.pi * microstructure.DENOMINATOR!r}), 0) END AS sigma FROM c) --- """
+_CS = f"""WITH a AS (SELECT *, pow(ln(CASE WHEN high > 0 AND low > 0 THEN high / low END), 2) AS sq, row_number() OVER w AS k, max(high) OVER (w ROWS 1 PRECEDING) AS hi, min(low) OVER (w ROWS 1 PRECEDING) AS lo FROM {{hourly}} WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+  b AS (SELECT *, CASE WHEN count(sq) OVER (PARTITION BY symbol ORDER BY ts ROWS 1 PRECEDING) = 2 THEN sum(sq) OVER (PARTITION BY symbol ORDER BY ts ROWS 1 PRECEDING) END AS two FROM a),
+  c AS (SELECT symbol, ts, k, CASE WHEN count(two) OVER (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING) = 5 THEN avg(two) OVER (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING) END AS beta, CASE WHEN k >= 2 AND hi > 0 AND lo > 0 THEN pow(ln(hi / lo), 2) END AS gamma FROM b),
+  e AS (SELECT *, CASE WHEN beta IS NOT NULL AND gamma IS NOT NULL THEN greatest({math.sqrt(2) - 1!r} * sqrt(beta) / {microstructure.DENOMINATOR!r} - sqrt(gamma / {microstructure.DENOMINATOR!r}), 0) END AS alpha,
+    CASE WHEN beta IS NOT NULL AND gamma IS NOT NULL THEN greatest({math.sqrt(2) - 1!r} * sqrt(beta) / {microstructure.DENOMINATOR!r} + sqrt(gamma / {8 / math.pi * microstructure.DENOMINATOR!r}), 0) END AS sigma FROM c) --- """
 
 
 @query("cs_spread", _CS + "SELECT symbol, ts, beta, gamma, alpha, 2 * (exp(alpha) - 1) / (1 + exp(alpha)) AS spread FROM e", "beta gamma alpha spread")
@@ -510,7 +511,7 @@ def _(spark, d):
 
 @query("ksg_and_dcor")
 def _(spark, d):
-    return dependence.neighbour_information(_pairs(spark, d).filter("seq % 5 = 0"), "x", "y")
+    return dependence.neighbour_information(_pairs(spark, d), "x", "y")
 
 
 def _hours(spark, d):
@@ -810,7 +811,7 @@ def _(spark, d):
 
 # ---- matrices --------------------------------------------------------------------------------------
 
-DIMS = 16
+DIMS = 64
 
 
 def _cov(spark, d):

@@ -17,29 +17,32 @@ from ..schemas import BARS_DDL
 class _BarProcessor(StatefulProcessor):
     """Keeps each symbol's fold as a value state; ticks of a micro-batch are ordered by (ts, seq).
 
-    A tick that is older than the last one taken is late: the fold has passed it, so it is left out.
+    A tick that is older by (ts, seq) than the last one taken is late: the fold has passed it, so it is left
+    out.  A symbol's state is one fold, whose lists are bounded by the rule's windows.
     """
 
     def __init__(self, rule: Rule):
         self.rule = rule
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("fold", "fold string, at long")
+        self.state = handle.getValueState("fold", "fold string, at long, seq long")
 
     def handleInputRows(self, key, rows, timerValues):
-        fold, at = Fold(), -(1 << 62)
+        fold, last = Fold(), (-(1 << 62), -(1 << 62))
         if self.state.exists():
-            stored, at = self.state.get()
+            stored, *last = self.state.get()
+            last = tuple(last)
             fold = Fold(**json.loads(stored))
         ticks = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
         bars = []
         for ts, seq, price, volume in zip(ticks["ts"], ticks["seq"], ticks["price"], ticks["volume"]):
-            if seq <= at:
+            at = (int(pd.Timestamp(ts).value), int(seq))
+            if at <= last:
                 continue
-            at = int(seq)
+            last = at
             if bar := fold.add(self.rule, ts, float(price), float(volume)):
                 bars.append((key[0], *bar))
-        self.state.update((json.dumps(vars(fold)), at))
+        self.state.update((json.dumps(vars(fold)), *last))
         yield pd.DataFrame(bars, columns=["symbol", *FOLD_COLUMNS])
 
     def close(self) -> None:
