@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import drop_path, materialise, scratch_path, ship
+from ..runtime import drop_path, materialise, scratch_path, ship, small_batches
 from .common import worker_table
 from .tokens import rows_of
 
@@ -117,14 +117,14 @@ def band_keys(low: np.ndarray, high: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, width: int, permutations: int, bands: int) -> DataFrame:
-    """doc_id, node, n_shingles, key (of the whole set), sig (a byte per value) and bands."""
+    """doc_id, hash (of the text), n_shingles, key (of the whole set), sig (a byte per value) and bands."""
     ship(texts.sparkSession)
 
     def run(batches):
         factors, offsets = multipliers(permutations)
         for batch in batches:
             held, size = [], 0
-            for doc, node, text in rows_of(batch, "doc_id", "node", "text"):
+            for doc, node, text in rows_of(batch, "doc_id", "hash", "text"):
                 held.append((doc, node, s := shingle_set(text, width)))
                 size += len(s)
                 if size > 1 << 18:
@@ -150,10 +150,10 @@ def signatures(texts: DataFrame, width: int, permutations: int, bands: int) -> D
                 pa.array([None if p is None else sig[p].tobytes() for p in place], pa.binary()),
                 pa.array([None if p is None else keys[p] for p in place], pa.list_(pa.int64())),
             ],
-            ["doc_id", "node", "n_shingles", "key", "sig", "bands"],
+            ["doc_id", "hash", "n_shingles", "key", "sig", "bands"],
         )
 
-    return texts.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, n_shingles long, key binary, sig binary, bands array<long>")
+    return texts.select("doc_id", "hash", "text").mapInArrow(run, "doc_id long, hash long, n_shingles long, key binary, sig binary, bands array<long>")
 
 
 def _least_agreement(threshold: float, values: int) -> int:
@@ -317,20 +317,24 @@ def _remaining_links(rows: DataFrame, percent: int, values: int) -> DataFrame:
     return dealt.groupBy("bucket", "pair.i", "pair.j").applyInArrow(run, "a long, b long").distinct()
 
 
-def with_nodes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool, bool]:
-    """(doc_id, node, text) of docs, the identifiers that stand for several texts, and whether there are any
-    such and any repeated rows.
+def with_nodes(signed: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, bool, bool]:
+    """signed and texts with their nodes, the identifiers that stand for several texts, and whether there are
+    any such and any repeated rows.
 
     A row's node is its identifier; only where the identifier has several texts, it is a hash of both.
     """
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    hashes = read.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"))
-    found = scratch.write(hashes.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "repeated-ids")
+    seen = signed.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count(F.lit(1)).alias("rows"))
+    found = scratch.write(seen.filter("rows > 1"), "repeated-ids")
     repeated, several = not found.isEmpty(), found.filter("low < high").select("doc_id")
-    if not repeated or several.isEmpty():
-        return read.withColumn("node", F.col("doc_id")), several, False, repeated
-    marked = read.join(several.withColumn("several", F.lit(True)), "doc_id", "left")
-    return marked.withColumn("node", F.when(F.col("several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))).drop("several"), several, True, True
+    some = repeated and not several.isEmpty()
+
+    def noded(df: DataFrame) -> DataFrame:
+        if not some:
+            return df.withColumn("node", F.col("doc_id"))
+        marked = df.join(several.withColumn("several", F.lit(True)), "doc_id", "left")
+        return marked.withColumn("node", F.when(F.col("several"), F.xxhash64("doc_id", "hash")).otherwise(F.col("doc_id"))).drop("several")
+
+    return noded(signed), noded(texts), several, some, repeated
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
@@ -349,8 +353,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     values = 2 * permutations
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    texts, several, some, repeated = with_nodes(docs, id_col, text_col, scratch)
-    signed = scratch.write(signatures(texts, width, permutations, bands), "signatures")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    with small_batches(spark):
+        signed = scratch.write(signatures(read, width, permutations, bands), "signatures")
+    signed, texts, several, some, repeated = with_nodes(signed, read, scratch)
     usable = signed.filter(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     classes = scratch.write(usable.groupBy("key").agg(F.min("node").alias("class"), F.min("doc_id").alias("least")), "classes")
     found = usable.select("key", "node", F.col("n_shingles").alias("n"), "sig", "bands")
