@@ -923,65 +923,83 @@ def _(spark, d):
 # ---- importance, ensembles, equations --------------------------------------------------------------
 
 
-def _xy(spark, d) -> tuple[np.ndarray, np.ndarray]:
-    """Two labels of the embeddings, four columns: a bounded sample for the tree operators."""
-    rows = table(spark, d, "embeddings").filter("label < 2").orderBy("vec_id").limit(300).select(F.slice("embedding", 1, 4).alias("v"), "label").toPandas()
-    return np.array(rows["v"].tolist(), float), rows["label"].to_numpy()
+#: Columns of an embedding.
+WIDTH = 64
+
+
+def _samples(spark, d) -> DataFrame:
+    """All embeddings with all their columns and labels."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("row"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("int").alias("y"))
+
+
+def _two(spark, d) -> DataFrame:
+    """The same with the labels' parity."""
+    return _samples(spark, d).withColumn("y", F.col("y") % 2)
 
 
 @query("importance_mdi")
 def _(spark, d):
-    return importance.mean_decrease_impurity(spark, *_xy(spark, d), trees=20)
+    return importance.mean_decrease_impurity(_samples(spark, d), WIDTH, trees=20)
 
 
 @query("importance_clustered_mdi")
 def _(spark, d):
-    c = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "feature int, cluster int")
-    return importance.clustered_impurity(importance.mean_decrease_impurity(spark, *_xy(spark, d), trees=20), c)
+    c = spark.range(WIDTH).select(F.col("id").cast("int").alias("feature"), (F.col("id") % 8).cast("int").alias("cluster"))
+    return importance.clustered_impurity(importance.mean_decrease_impurity(_samples(spark, d), WIDTH, trees=20), c)
 
 
 @query("importance_mda")
 def _(spark, d):
-    return importance.mean_decrease_accuracy(spark, *_xy(spark, d), k=3, trees=10)
+    return importance.mean_decrease_accuracy(_samples(spark, d), WIDTH, k=3, trees=10)
 
 
 @query("importance_clustered_mda")
 def _(spark, d):
-    return importance.mean_decrease_accuracy(spark, *_xy(spark, d), k=3, trees=10, clusters=[[0, 1], [2, 3]])
+    return importance.mean_decrease_accuracy(_samples(spark, d), WIDTH, k=3, trees=10, clusters=[list(range(c, WIDTH, 8)) for c in range(8)])
 
 
 @query("importance_sfi")
 def _(spark, d):
-    return importance.single_feature(spark, *_xy(spark, d), k=3, trees=10)
+    return importance.single_feature(_samples(spark, d), WIDTH, k=3, trees=5)
 
 
 @query("importance_mdi_plus")
 def _(spark, d):
-    return importance.mdi_plus(spark, *_xy(spark, d), trees=20)
+    return importance.mdi_plus(_samples(spark, d), WIDTH, trees=20)
 
 
 @query("importance_cpi")
 def _(spark, d):
-    return importance.predictive_impact(spark, *_xy(spark, d), k=3, trees=10)
+    return importance.predictive_impact(_samples(spark, d), WIDTH, k=3, trees=10)
 
 
 @query("cv_scores")
 def _(spark, d):
-    x, y = _xy(spark, d)
-    t = np.arange(len(x))
-    return importance.cross_val_score(spark, x, y, [(importance.purge(t, t + 2, f, 0.01), f) for f in np.array_split(t, 4)], trees=10)
+    rows = _samples(spark, d).withColumns({"start": F.col("row"), "end": F.col("row") + 2})
+    return importance.cross_val_score(*importance.contiguous_splits(rows, 4, 0.01), trees=10)
 
 
 @query("hpo_scores")
 def _(spark, d):
-    x, y = _xy(spark, d)
-    return importance.search(spark, x, y, importance.parameter_grid({"n_trees": [5, 10], "max_depth": [2, 4]}), importance.cut(len(x), 3))[1]
+    rows, splits = importance.with_folds(_samples(spark, d), 3)
+    return importance.search(rows, importance.parameter_grid({"n_trees": [5, 10], "max_depth": [2, 4]}), splits)[1]
+
+
+@query("leakage_aware_hpo")
+def _(spark, d):
+    rows = _samples(spark, d).withColumns({"start": F.col("row"), "end": F.col("row") + 2})
+    r = importance.leakage_aware_search(rows, {"n_trees": [5, 8], "max_depth": [2, 3]}, 3, 3)
+    return spark.createDataFrame([(k, s) for k, s in enumerate(r["trial_scores"])], "trial int, score double")
 
 
 @query("bagging_votes")
 def _(spark, d):
-    x, y = _xy(spark, d)
-    return importance.weighted_vote(importance.bagging_votes(spark, x, y, x[:20], 9), "accuracy")
+    return importance.bagging_votes(_two(spark, d), _two(spark, d), 50)
+
+
+@query("bagging_schemes")
+def _(spark, d):
+    return importance.scheme_accuracy(importance.bagging_votes(_two(spark, d), _two(spark, d), 50))
 
 
 @query("pde_terminal")

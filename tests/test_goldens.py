@@ -479,13 +479,56 @@ def test_importance(spark):
     y = rng.integers(0, 2, 160)
     x = np.column_stack([3.0 * y + rng.standard_normal(160), rng.standard_normal(160)])
     get = lambda df: {r.feature: r.importance for r in rows(df)}
-    for df in (importance.mean_decrease_impurity(spark, x, y, 10), importance.mean_decrease_accuracy(spark, x, y, 3, 8), importance.single_feature(spark, x, y, 3, 8), importance.mdi_plus(spark, x, y, 10), importance.predictive_impact(spark, x, y, 3, 8)):
+    d = importance.samples(spark, x, y)
+    for df in (importance.mean_decrease_impurity(d, 2, 10), importance.mean_decrease_accuracy(d, 2, 3, 8), importance.single_feature(d, 2, 3, 8), importance.mdi_plus(d, 2, 10), importance.predictive_impact(d, 2, 3, 8)):
         g = get(df)
         assert g[0] > g[1]
-    r = importance.leakage_aware_search(spark, x, y, {"n_trees": [5, 8], "max_depth": [2, 3]}, np.arange(160), np.arange(160), 2, 3)
+    r = importance.leakage_aware_search(d, {"n_trees": [5, 8], "max_depth": [2, 3]}, 2, 3)
     assert r["n_trials"] == 2 and r["best_score"] > 0.7
-    v = importance.weighted_vote(importance.bagging_votes(spark, x, y, x, 7), "accuracy")
-    assert np.mean([r.vote == y[r.row] for r in rows(v)]) > 0.8
+    votes = importance.bagging_votes(d, d, 25)
+    assert {s.scheme: s.n for s in rows(importance.scheme_accuracy(votes))} == {"uniform": 160, "accuracy": 160, "variance": 160}
+    assert all(s.accuracy > 0.8 for s in rows(importance.scheme_accuracy(votes)))
+    values, mean, sd = importance.bootstrap_accuracy(160, 0.9, 4000)
+    assert abs(mean - 0.9) < 0.002 and abs(sd - (0.9 * 0.1 / 160) ** 0.5) < 0.002 and len(values) == 4000
+
+
+def test_trees_see_a_bounded_sample_and_scores_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 3, 900)
+    d = importance.samples(spark, np.column_stack([y + 0.1 * rng.standard_normal(900), rng.standard_normal(900)]), y)
+    monkeypatch.setattr(importance, "FIT_ROWS", 100)
+    monkeypatch.setattr(importance, "CHUNK_ROWS", 70)
+    rows_, splits = importance.with_folds(d, 3)
+    specs = [importance.Spec(s, None, 6, 6, 2) for s in splits]
+    assert all(r.score > 0.75 for r in rows(importance.scores(rows_, specs, importance.fit(rows_, specs), "accuracy")))
+    n = importance.over_rows(d, lambda k, part, x: [(k, len(part))], "k int, n long").agg({"n": "sum"}).first()[0]
+    assert n == 900
+
+
+def test_left_out_predictions(spark):
+    """The closed form of a row left out against fitting without it."""
+    rng = np.random.default_rng(4)
+    c, t = rng.standard_normal((30, 4)), rng.standard_normal((30, 1))
+    t, c = t - t.mean(0), c - c.mean(0)
+    solved = np.linalg.solve(c.T @ c + np.eye(4), c.T).T
+    leverage = (c * solved).sum(1)
+    beta = solved.T @ t
+    for i in range(30):
+        rest = np.arange(30) != i
+        without = np.linalg.solve(c[rest].T @ c[rest] + np.eye(4), c[rest].T @ t[rest])
+        closed = beta - solved[i][:, None] * (t[i] - c[i] @ beta) / (1 - leverage[i])
+        close(without.ravel(), closed.ravel())
+
+
+def test_knockoffs_have_the_features_covariance():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((40000, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.3], [0, 0, 2.0]])
+    cov = np.cov(x.T)
+    a, c = importance.knockoff_law(x.mean(0), cov)
+    z = x.mean(0) + (x - x.mean(0)) @ a + rng.standard_normal(x.shape) @ c
+    assert np.abs(np.cov(z.T) - cov).max() < 0.12
+    cross = (x - x.mean(0)).T @ (z - z.mean(0)) / len(x)
+    assert np.abs((cross - cov) - np.diag(np.diag(cross - cov))).max() < 0.12
 
 
 def test_special(spark):
