@@ -39,14 +39,14 @@ ENDINGS, HEAD, DIM = 128, 128, 32
 #: Least number of words with embeddings, where there are so many.
 OWN_WORDS = 4096
 #: Tokens that a task trains on, at least, and tasks at most; so weights that tasks pass on stay small beside the input.
-TASK_TOKENS, TASKS = 4_000_000, 2000
+TASK_TOKENS, TASKS = 8_000_000, 256
 #: Tokens that a task holds and shuffles at a time while it trains, and tokens that are scored together.
 CHUNK, SCORED = 1 << 18, 1 << 16
 #: Parts that the weights are cut into to be averaged.
-SLICES = 16
+SLICES = 64
 NOISE, BATCH, RATE = 128, 1024, 0.15
 #: Passes over the training tokens, each in ROUNDS parts by hash, after each of which weights are averaged.
-EPOCHS, ROUNDS = 1, 4
+EPOCHS, ROUNDS = 1, 3
 #: Tokens of one matrix product, whose result then stays in a core's cache.
 ROWS = 512
 #: Stands for the end of a text; no word contains white space.
@@ -103,7 +103,7 @@ def ending_class(word: bytes) -> int:
 
 def own_words(distinct: int) -> int:
     """Words with embeddings: they grow as the square root of the vocabulary, up to the words sent to tasks."""
-    return min(HOT, max(OWN_WORDS, int(20 * distinct**0.5)))
+    return min(HOT, max(OWN_WORDS, int(10 * distinct**0.5)))
 
 
 class Units:
