@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma
-from ..runtime import ship
+from ..runtime import ship, shuffle_partitions
 
 LN2 = math.log(2)
 
@@ -21,13 +21,18 @@ def ngrams(messages: DataFrame, width: int, key: str = "id", text: str = "messag
     """key, word, n: overlapping runs of `width` code points and their counts; words have no nulls.
 
     A message is cut into its characters once and runs are joined slices of that array, so the work is
-    linear in its length; runs are counted by task before the shuffle.
+    linear in its length.  Messages are dealt out by key first, and counts need no further shuffle.
     """
-    split = messages.select(key, F.split(F.col(text), "").alias("_c"))
+    split = dealt(messages, key, text).select(key, F.split(F.col(text), "").alias("_c"))
     words = split.select(key, F.explode(_runs(F.col("_c"), width)).alias("word"))
     return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dealt(messages: DataFrame, key: str, text: str) -> DataFrame:
+    """Messages spread over tasks, as a few files may hold many long ones."""
+    return messages.select(key, text).repartition(shuffle_partitions(messages.sparkSession), key)
+
+
 def _runs(characters: Column, width: int) -> Column:
     """All runs of an array of characters; splitting empty text gives one empty character, which is left out."""
     whole = F.filter(characters, lambda c: c != "")
@@ -202,4 +207,4 @@ def message_entropy(messages: DataFrame, estimator: str, key: str = "id", text:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda m: fn(m or "", **parameters))
 
-    return messages.select(key, run(F.col(text)).alias("entropy"))
+    return dealt(messages, key, text).select(key, run(F.col(text)).alias("entropy"))

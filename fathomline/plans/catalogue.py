@@ -233,7 +233,13 @@ def _hourly_prices(spark, d):
     return hourly(spark, d).select("symbol", "ts", "close")
 
 
-@query("daily_volatility")
+_VOL = """WITH r AS (SELECT a.symbol, a.ts, ln(a.close / nullif(b.close, 0)) AS r FROM {hourly} a ASOF JOIN {hourly} b ON a.symbol = b.symbol AND a.ts - INTERVAL 1 DAY > b.ts WHERE a.close > 0),
+  n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM r WHERE r IS NOT NULL),
+  s AS (SELECT x.symbol, x.ts, x.k, sum(pow(19e0 / 21, x.k - y.k)) AS w, sum(pow(19e0 / 21, 2 * (x.k - y.k))) AS ww, sum(pow(19e0 / 21, x.k - y.k) * y.r) / sum(pow(19e0 / 21, x.k - y.k)) AS m FROM n x JOIN n y ON x.symbol = y.symbol AND y.k <= x.k GROUP BY ALL)
+  --- SELECT s.symbol, s.ts, CASE WHEN s.k > 1 THEN sqrt(sum(pow(19e0 / 21, s.k - y.k) * (y.r - s.m) * (y.r - s.m)) / s.w * s.w * s.w / (s.w * s.w - s.ww)) END AS volatility FROM s JOIN n y ON s.symbol = y.symbol AND y.k <= s.k GROUP BY s.symbol, s.ts, s.k, s.w, s.ww"""
+
+
+@query("daily_volatility", _VOL, "volatility")
 def _(spark, d):
     return labels.daily_volatility(_hourly_prices(spark, d), 20)
 
@@ -1002,6 +1008,11 @@ def _(spark, d):
     return importance.scheme_accuracy(importance.bagging_votes(_two(spark, d), _two(spark, d), 50))
 
 
+@query("bagging_accuracy", "WITH n AS (SELECT unnest([3, 11, 25]) AS n), k AS (SELECT n, unnest(range(n // 2 + 1, n + 1)) AS k FROM n) --- SELECT n::BIGINT AS n, sum(exp(lgamma(n + 1e0) - lgamma(k + 1e0) - lgamma(n - k + 1e0)) * pow(0.6e0, k) * pow(0.4e0, n - k)) AS accuracy FROM k GROUP BY n", "accuracy")
+def _(spark, d):
+    return spark.createDataFrame([(n, importance.bagging_accuracy(n, 0.6)) for n in (3, 11, 25)], "n long, accuracy double")
+
+
 @query("pde_terminal")
 def _(spark, d):
     eq = pde.BorrowingRates(3, 1.0, 5)
