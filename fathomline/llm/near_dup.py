@@ -33,7 +33,7 @@ PERMUTATIONS, BANDS = 64, 32
 #: Signature agreement below which a pair of similarity 0.8 is found less than once in a million.
 FILTER_SIGMAS = 5.0
 #: Members and shingles of a block, on average; a bucket over either is compared block by block.
-BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
+BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
 MOST_WORDS = 200_000
 #: Nodes that a task contracts before it passes its stars on.
 MOST_NODES = 1_000_000
@@ -62,13 +62,15 @@ class Scratch:
         """tasks: write by so few tasks, for tables whose size is known to be small."""
         path = scratch_path(self.spark, f"near-dup-{label}")
         (df.coalesce(tasks) if tasks else df).write.parquet(path)
-        self.paths.append(path)
+        self.paths.append((label, path))
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        for path in self.paths:
+    def drop(self, *labels: str) -> None:
+        """Tables of these labels, or all."""
+        gone = [p for p in self.paths if not labels or p[0] in labels]
+        for _, path in gone:
             drop_path(self.spark, path)
-        self.paths = []
+        self.paths = [p for p in self.paths if p not in gone]
 
 
 class _Hashes(dict):
@@ -389,9 +391,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = scratch.write(_sets(texts, members.select("node").distinct(), width, repeated, short=True), "short-sets")
             pairs = _remaining_links(members.join(nodes.select("node", "sig"), "node").join(sets, "node"), percent, values)
         pairs = scratch.write(pairs, "pairs")
+        scratch.drop("buckets", "short-sets")
         if pairs.isEmpty():
             continue
         linked = scratch.write(confirm(pairs, texts, width, percent, repeated, scratch), "links")
+        scratch.drop("sets", "pairs")
         if linked.isEmpty():
             continue
         edges = linked if edges is None else edges.union(linked)
