@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import drop_path, materialise, scratch_path, ship
+from ..runtime import drop_path, materialise, scratch_path, ship, small_batches
 from .common import OWN, crc_remainder
 from .tokens import rows_of
 
@@ -368,10 +368,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_remainder(F.col(id_col), folds) == held_out).alias("held_out"), F.col(text_col).cast("string").alias(OWN + "text"))
     train = read.filter(~F.col("held_out"))
-    counts = materialise(word_counts(train), "lm-counts")
+    with small_batches(spark):
+        counts = materialise(word_counts(train), "lm-counts")
     model, hot, total, distinct = fit(spark, train, counts)
     shared = spark.sparkContext.broadcast(hot | {"units": model.units, "state": model.state()})
-    partial = materialise(_partial_scores(read, shared), "lm-partial")
+    with small_batches(spark):
+        partial = materialise(_partial_scores(read, shared), "lm-partial")
     rare = partial.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("tf"))
     known = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("rare_log"), F.sum("tf").alias("rare_known"))
     n, base_unit = F.col("n_tokens"), float(np.log10(total + distinct + 1))
@@ -397,7 +399,9 @@ def fit(spark, train: DataFrame, counts: DataFrame) -> tuple[LogBilinear, dict,
     units = Units(own, n[: len(own)], ending_counts)
     members -= np.bincount([ending_class(w) for w in own], minlength=ENDINGS) if own else 0
     rank = spark.sparkContext.broadcast({"rank": {w: k for k, w in enumerate(own)}})
-    model = train_everywhere(materialise(unit_streams(train, rank), "lm-units"), units, total)
+    with small_batches(spark):
+        streams = materialise(unit_streams(train, rank), "lm-units")
+    model = train_everywhere(streams, units, total)
     # an unseen word counts once in its class, and so does each seen one more
     within = np.log10(units.frequency[units.own :] + members + 1)
     return model, {"words": words, "log": np.log10(n + 1), "within": within}, total, distinct
