@@ -1,5 +1,7 @@
 """Streaming bars give what the batch fold gives on the same ticks."""
 
+from pyspark.sql import functions as F
+
 from fathomline.operators import bars
 from fathomline.sources.ticks import ticks_from_events
 from fathomline.streaming.bars import stream_bars
@@ -15,3 +17,16 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.table("streamed").collect()))
     want = sorted(map(tuple, bars.fold_bars(t, rule).collect()))
     assert len(want) > 3 and got == want
+
+
+def test_later_ticks_with_smaller_numbers_are_kept(spark, tmp_path):
+    """Ticks of later batches count by time and then number, as in the batch fold."""
+    rows = [("a", f"2024-01-0{1 + k // 4} 00:00:0{k % 4}", 100 - k, float(1 + k % 3), 1.0) for k in range(12)]
+    t = spark.createDataFrame(rows, "symbol string, ts string, seq long, price double, volume double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for day in (1, 2, 3):  # a file, and so a micro-batch, a day
+        t.filter(F.dayofmonth("ts") == day).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rule = bars.Rule("standard", "volume", 2.0)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_bars(stream, rule).writeStream.format("memory").queryName("unordered").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert sorted(map(tuple, spark.table("unordered").collect())) == sorted(map(tuple, bars.fold_bars(t, rule).collect()))
