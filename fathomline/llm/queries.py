@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
+from .common import crc_remainder, let, words
 from .content_dedup import exact_dedup
 from .host_quality import host_quality
 from .lm_score import score_documents
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .packing import pack_documents
+from .phrases import mine_phrases
+from .pieces import encode_pieces
+from .runs import periodic_runs
 from .sharding import shard_documents
 from .token_store import token_round_trip
 from .toxicity import score_toxicity
@@ -71,8 +75,42 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected", "copies")
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Texts of identifiers whose crc32 ends in 0 go on with a stretch of their words from some place on."""
+    h = crc_remainder(F.col("doc_id"), 1 << 32)
+    g = F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) div 10")
+
+    def repeated(w):
+        n = F.greatest(F.size(w), F.lit(1)).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return let(F.struct(a.alias("a"), p.alias("p")), lambda s: F.array_join(F.transform(w, lambda x, i: F.when(i < s["a"], x).otherwise(F.get(w, (s["a"] + (i - s["a"]) % s["p"]).cast("int")))), " "))
+
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words(text), repeated)).otherwise(text).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_store, op3_lm_scores, op4_extendible_shards, op5_near_duplicates, op6_host_quality, op7_url_rules, op8_exact_dedup, op9_toxicity, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_store, op3_lm_scores, op4_extendible_shards, op5_near_duplicates, op6_host_quality, op7_url_rules, op8_exact_dedup, op9_toxicity, op10_source_mixing, op11_sentence_pieces, op12_phrases, op13_periodic_runs)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -140,6 +178,36 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f FROM g GROUP BY ALL
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
+), cut AS (
+  SELECT c.*, s.b, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM c JOIN (VALUES (1), (2)) AS s(b) ON s.b < c.k
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[:s.b], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[s.b + 1:], ' ')
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, b) = 1
+), inside AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longer FROM c WHERE k = 3
+), m AS (
+  SELECT lang, phrase, max(longer) AS longer FROM inside GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_extendible_shards": OP4_SQL, "op6_host_quality": OP6_SQL, "op7_url_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op4_extendible_shards": OP4_SQL, "op6_host_quality": OP6_SQL, "op7_url_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op12_phrases": OP12_SQL}
