@@ -24,12 +24,23 @@ SECONDS = {"S": 1, "MIN": 60, "H": 3600, "D": 86400, "W": 604800}
 
 
 def tick_rule(ticks: DataFrame) -> DataFrame:
-    """ticks with sign: of the last price change that wasn't zero; 0 before any."""
+    """ticks with sign: of the last price change that wasn't zero; 0 before any.
+
+    A price that is null or no number is missing: its tick has the sign before it, and the next price is
+    compared with the last one known.
+    """
     w = ordered("symbol", "ts", "seq")
-    step = F.nullif(F.signum(F.col("price") - F.lag("price").over(w)), F.lit(0.0))
+    ticks = ticks.withColumn("price", known(F.col("price")))
+    before = F.last("price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    step = F.nullif(F.signum(F.col("price") - before), F.lit(0.0))
     return ticks.withColumn("_step", step).withColumn("sign", F.coalesce(forward_fill(F.col("_step"), w), F.lit(0.0))).drop("_step")
 
 
+def known(x: Column) -> Column:
+    """Null for what is no number."""
+    return F.when(~F.isnan(x), x)
+
+
 def metric_column(metric: str) -> Column:
     return {"tick": F.lit(1.0), "volume": F.col("volume"), "dollar": F.col("price") * F.col("volume")}[metric]
 
@@ -39,11 +50,16 @@ def signed_metric(metric: str) -> Column:
 
 
 def _aggregate(numbered: DataFrame, stamp: Column, threshold: Column) -> DataFrame:
-    """One row per (symbol, bar_id): opening to closing price, sums, last tick's index."""
-    buy = F.sum(F.when(F.col("sign") == 1.0, F.col("volume")).otherwise(0.0))
+    """One row per (symbol, bar_id): opening to closing price, sums, last tick's index.
+
+    Missing prices are passed over (a bar without any has null prices), missing volumes count as 0.
+    """
+    volume = F.coalesce(known(F.col("volume")), F.lit(0.0))
+    buy = F.sum(F.when(F.col("sign") == 1.0, volume).otherwise(0.0))
+    priced = F.when(F.col("price").isNotNull(), F.col("tick_index"))
     return numbered.groupBy("symbol", "bar_id").agg(
-        stamp.alias("date_time"), F.max("tick_index").alias("tick_index"), F.min_by("price", "tick_index").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "tick_index").alias("close"),
-        F.sum("volume").alias("cumulative_volume"), buy.alias("cumulative_buy_volume"), (F.sum("volume") - buy).alias("cumulative_sell_volume"), F.count(F.lit(1)).cast("double").alias("cumulative_ticks"), F.sum(F.col("price") * F.col("volume")).alias("cumulative_dollar_value"), threshold.alias("threshold"),
+        stamp.alias("date_time"), F.max("tick_index").alias("tick_index"), F.min_by("price", priced).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", priced).alias("close"),
+        F.sum(volume).alias("cumulative_volume"), buy.alias("cumulative_buy_volume"), (F.sum(volume) - buy).alias("cumulative_sell_volume"), F.count(F.lit(1)).cast("double").alias("cumulative_ticks"), F.sum(F.coalesce(F.col("price") * volume, F.lit(0.0))).alias("cumulative_dollar_value"), threshold.alias("threshold"),
     ).select(*BARS)
 
 
@@ -107,8 +123,9 @@ class Fold:
     sign: float = 0.0
     last_price: float | None = None
     open: float | None = None
-    high: float = -math.inf
-    low: float = math.inf
+    high: float | None = None
+    low: float | None = None
+    close: float | None = None
     ticks: int = 0
     buys: int = 0
     volume: float = 0.0
@@ -170,30 +187,39 @@ class Fold:
             else:
                 self.expected[0] = self._estimate(rule, 0, False)
         self.bar_id += 1
-        self.open, self.high, self.low = None, -math.inf, math.inf
+        self.open = self.high = self.low = self.close = None
         self.ticks = self.buys = 0
         self.volume = self.buy_volume = self.dollars = 0.0
         self.theta = [0.0, 0.0]
 
-    def add(self, rule: Rule, ts, price: float, volume: float) -> tuple | None:
-        """Take one tick; the closed bar, if it closes one."""
+    def add(self, rule: Rule, ts, price: float | None, volume: float | None) -> tuple | None:
+        """Take one tick; the closed bar, if it closes one.
+
+        A missing price (None or no number) is passed over: the tick has the sign before it and no value; a missing
+        volume counts as 0.
+        """
         if self.expected_ticks is None:
             self.expected_ticks = rule.expected_ticks
-        if self.last_price is not None and price != self.last_price:
-            self.sign = 1.0 if price > self.last_price else -1.0
-        self.last_price = price
         self.tick_index += 1
         self.ticks += 1
-        self.open = price if self.open is None else self.open
-        self.high, self.low = max(self.high, price), min(self.low, price)
+        volume = 0.0 if volume is None or volume != volume else volume
+        dollars = 0.0
+        if price is not None and price == price:
+            if self.last_price is not None and price != self.last_price:
+                self.sign = 1.0 if price > self.last_price else -1.0
+            self.last_price = self.close = price
+            if self.open is None:
+                self.open = self.high = self.low = price
+            self.high, self.low = max(self.high, price), min(self.low, price)
+            dollars = price * volume
         self.volume += volume
-        self.dollars += price * volume
+        self.dollars += dollars
         self.buy_volume += volume if self.sign == 1.0 else 0.0
-        unit = {"tick": 1.0, "volume": volume, "dollar": volume * price}[rule.metric]
+        unit = {"tick": 1.0, "volume": volume, "dollar": dollars}[rule.metric]
         limit, closes = self._limit(rule, self.sign * unit)
         if not closes:
             return None
-        bar = (self.bar_id, ts, self.tick_index, self.open, self.high, self.low, price, self.volume, self.buy_volume, self.volume - self.buy_volume, float(self.ticks), self.dollars, limit)
+        bar = (self.bar_id, ts, self.tick_index, self.open, self.high, self.low, self.close, self.volume, self.buy_volume, self.volume - self.buy_volume, float(self.ticks), self.dollars, limit)
         self._close(rule)
         return bar
 

@@ -18,8 +18,11 @@ from ..operators import backtest as B
 from ..operators import bars, breaks, dependence, entropy, fracdiff, importance, labels, matrix, microstructure, ou, pde, synthetic
 from ..operators import validation as V
 from ..operators.joins import asof, interval_join
-from ..runtime import table
+from ..runtime import scratch_path, table
+from ..schemas import BARS_DDL
 from ..sources import ticks as S
+from ..streaming import bars as streamed
+from ..streaming import feeds
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -162,6 +165,74 @@ def _(spark, d):
     return bars.standard_bars(events_ticks(spark, d), "dollar", 100000.0)
 
 
+# ---- streams and files -----------------------------------------------------------------------------
+
+#: Slices in which events arrive: by these times, and ticks whose number is a multiple of LAGGARDS one slice later.
+_ARRIVALS, LAGGARDS, DELAY = ["2024-01-11", "2024-01-21"], 97, 600
+
+
+def _feed(ticks: DataFrame, laggards: bool = False, **form) -> feeds.Feed:
+    own = feeds.slices_by_time("ts", _ARRIVALS)
+    if laggards:
+        own = own + F.when(F.col("seq") % LAGGARDS == 0, 1).otherwise(0)
+    return feeds.Feed(ticks.withColumn("slice", own), "slice", **form)
+
+
+@query("volume_bars_streamed", _fold_sql("volume", 2000), _BAR_DOUBLES)
+def _(spark, d):
+    rule = bars.Rule("standard", "volume", 2000.0)
+    return feeds.run_feed(_feed(events_ticks(spark, d)), len(_ARRIVALS) + 1, lambda s: streamed.stream_bars(s, rule), f"symbol string, {BARS_DDL}")
+
+
+@query("csv_bars_streamed", _fold_sql("price * volume", 100000), _BAR_DOUBLES)
+def _(spark, d):
+    rule, out, checkpoint = bars.Rule("standard", "dollar", 100000.0), scratch_path(spark, "bars-csv"), scratch_path(spark, "checkpoint")
+    feed = _feed(events_ticks(spark, d), form="csv", header=True, timestampNTZFormat=S.CSV_TIME)
+    for k in range(len(_ARRIVALS) + 1):
+        if feed.arrive(k):
+            feeds.advance(streamed.stream_bars(feed.stream(), rule), checkpoint, batch=lambda df, number: S.append_csv(df, out, number))
+    return S.appended_csv(spark, out, f"symbol string, {BARS_DDL}")
+
+
+def _buckets(spark, d):
+    plan = lambda s: streamed.stream_buckets(s, "H", 1, DELAY)
+    return feeds.run_feed(_feed(events_ticks(spark, d), laggards=True), len(_ARRIVALS) + 2, plan, streamed.BUCKETS_DDL)
+
+
+_ARRIVED = f"""WITH t AS (SELECT *, {" + ".join(f"(ts >= TIMESTAMP '{b}')::INTEGER" for b in _ARRIVALS)} + (seq % {LAGGARDS} = 0)::INTEGER AS slice, floor(epoch_us(ts) / 3600000000)::BIGINT AS bar_id FROM {{ticks}}),
+  c AS (SELECT symbol, slice, max(max(ts)) OVER (PARTITION BY symbol ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clock, max(max(ts)) OVER (PARTITION BY symbol) AS latest FROM t GROUP BY symbol, slice),
+  a AS (SELECT t.*, coalesce((bar_id + 1) * 3600000000 + {DELAY}000000 <= epoch_us(clock), FALSE) AS late, (bar_id + 1) * 3600000000 + {DELAY}000000 <= epoch_us(latest) AS gone FROM t JOIN c USING (symbol, slice)) --- """
+
+
+@query("time_bars_streamed", _ARRIVED + "SELECT symbol, bar_id, make_timestamp((bar_id + 1) * 3600000000) AS date_time, min_by(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, max_by(price, (ts, seq)) AS close, sum(volume) AS cumulative_volume, count(*) AS cumulative_ticks FROM a WHERE gone AND NOT late GROUP BY symbol, bar_id", "cumulative_volume")
+def _(spark, d):
+    return streamed.time_bars_of(_buckets(spark, d), "H")
+
+
+@query("late_ticks_streamed", _ARRIVED + "SELECT symbol, bar_id, count(*) AS late_ticks FROM a WHERE late GROUP BY symbol, bar_id")
+def _(spark, d):
+    return streamed.late_ticks_of(_buckets(spark, d))
+
+
+def _written(df: DataFrame, form: str, *order: str, **options) -> str:
+    """A folder of files whose names follow the rows' order."""
+    path = scratch_path(df.sparkSession, f"{form}-files")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).drop(*(c for c in order if c.startswith("_"))).write.format(form).options(**options).save(path)
+    return path
+
+
+@query("csv_ticks", "SELECT 'all' AS symbol, ts, row_number() OVER (ORDER BY seq) - 1 AS seq, price, volume FROM {ticks}")
+def _(spark, d):
+    rows = events_ticks(spark, d).select(F.col("seq").alias("_seq"), F.col("ts").alias("date_time"), "price", "volume")
+    return S.ticks_from_csv(spark, _written(rows, "csv", "_seq", header=True, timestampNTZFormat=S.CSV_TIME))
+
+
+@query("text_values", "SELECT row_number() OVER (ORDER BY seq) - 1 AS pos, price AS x FROM {ticks}")
+def _(spark, d):
+    rows = events_ticks(spark, d).select(F.col("seq").alias("_seq"), F.col("price").cast("string").alias("value"))
+    return S.text_floats(spark, _written(rows, "text", "_seq"))
+
+
 for _metric in bars.METRICS:
     QUERIES[f"{_metric}_imbalance_fixed"] = lambda spark, d, m=_metric: rounded(bars.build_bars(f"{m}_imbalance_fixed", events_ticks(spark, d), expected_ticks=20.0, window=50))
     QUERIES[f"{_metric}_imbalance_expected"] = lambda spark, d, m=_metric: rounded(bars.build_bars(f"{m}_imbalance_expected", events_ticks(spark, d), expected_ticks=20.0, window=50, ticks_window=5, bounds=(5.0, 100.0)))
