@@ -5,7 +5,7 @@ numpy steps over some megabytes at a time.  Two words that share a number are no
 words are grouped, and the numbers are drawn anew.
 
 Candidates come level by level.  Words are counted; a pair is looked at only where both of its words
-are frequent enough, and a triple only where both of its pairs are, as a bitmap of fixed size tells: a false
+are frequent enough, and a triple only where both of its pairs are, as a bitmap of bounded size tells: a false
 bit keeps a phrase too many and never loses one.  Rows are added up per task before they are exchanged.
 
 All candidates and their parts then go into minimal perfect hashes of at most MOST_SLOTS keys each, built level
@@ -32,8 +32,8 @@ from .tokens import rows_of
 
 #: Keys of a minimal perfect hash, a proven bound of what is broadcast and brought to the driver: 32 bytes a key.
 MOST_SLOTS = 4_000_000
-#: Bits of a bitmap of frequent words or pairs, and parts that it is built in.
-BITS, PARTS = 1 << 27, 64
+#: Bits of a bitmap of frequent words or pairs: so many a key, but no more than MOST_BITS; parts that it is built in.
+KEY_BITS, LEAST_BITS, MOST_BITS, PARTS = 32, 1 << 16, 1 << 27, 64
 #: Bytes of text that are parsed at a time, and bytes of a word that are numbered by the vectorised rule.
 CHUNK, LONGEST = 1 << 21, 64
 #: Keys that a task adds up before it passes them on, and slots of a row of counts.
@@ -187,16 +187,16 @@ def _added(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray],
     return [c[begins] for c in columns], np.add.reduceat(n[order], begins)
 
 
-def _place(*columns: np.ndarray) -> np.ndarray:
-    """The bit of a word or pair."""
+def _place(bits: int, *columns: np.ndarray) -> np.ndarray:
+    """The bit of a word or pair among so many."""
     x = columns[0]
     for c in columns[1:]:
         x = _mix(x) * np.uint64(3) ^ c
-    return _mix(x) % np.uint64(BITS)
+    return _mix(x) % np.uint64(bits)
 
 
 def _set(bits: np.ndarray, *columns: np.ndarray) -> np.ndarray:
-    at = _place(*columns)
+    at = _place(8 * len(bits), *columns)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
@@ -204,11 +204,15 @@ def bitmap(keys: DataFrame, width: int) -> np.ndarray:
     """The bitmap of keys (w1 and on); each part of it is made by one task."""
     spark = keys.sparkSession
     names = [f"w{k + 1}" for k in range(width)]
-    per = BITS // 8 // PARTS
+    size = LEAST_BITS
+    wanted = KEY_BITS * keys.count()
+    while size < min(wanted, MOST_BITS):
+        size *= 2
+    per = size // 8 // PARTS
 
     def places(batches):
         for b in batches:
-            at = _place(*(b.column(c).to_numpy().view(np.uint64) for c in names)).astype(np.int64)
+            at = _place(size, *(b.column(c).to_numpy().view(np.uint64) for c in names)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at // (8 * per)).astype(np.int32)), pa.array(at)], ["part", "at"])
 
     def parts(batches):
@@ -223,8 +227,8 @@ def bitmap(keys: DataFrame, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
 
     dealt = keys.select(*names).mapInArrow(places, "part int, at long").repartition(min(PARTS, shuffle_partitions(spark)), "part")
-    whole = np.zeros(BITS // 8, np.uint8)
-    for p, bits in dealt.mapInArrow(parts, "part int, bits binary").collect():  # BITS bits in all
+    whole = np.zeros(size // 8, np.uint8)
+    for p, bits in dealt.mapInArrow(parts, "part int, bits binary").collect():  # MOST_BITS bits at most
         whole[p * per : (p + 1) * per] = np.frombuffer(bits, np.uint8)
     return whole
 
