@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.grouped import nan_to_none, per_series, scalars
+from ..functions.grouped import fold_series, nan_to_none, per_series, scalars
 from ..functions.series import ordered
 from ..functions.special import ols_t
 from ..runtime import ship
@@ -76,8 +76,28 @@ def sup_adf(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return sadf, bsadf
 
 
+#: Positions of a tile's side; a tile has at most the square of it in pairs.
+TILE = 256
+
+
+def triangle(ends: DataFrame, end: str, starts: DataFrame, start: str, key: str = "symbol", tile: int | None = None) -> DataFrame:
+    """Each row of ends with all rows of starts of its key whose block of positions is its own or an earlier one.
+
+    Rows meet in tiles, a block of starts by a block of ends, which are the join's keys: tiles are of equal work
+    whatever the length of a series, so a long one is spread over as many tasks as it has tiles.
+    """
+    tile = tile or TILE
+    block = lambda c: F.floor(F.col(c) / tile).cast("int")
+    blocks = ends.groupBy(key).agg(F.max(block(end)).alias("_last"))
+    a = starts.join(blocks, key).withColumn("_start", block(start)).filter("_start <= _last")
+    a = a.withColumn("_end", F.explode(F.sequence("_start", "_last"))).drop("_last")
+    e = ends.withColumn("_end", block(end)).withColumn("_start", F.explode(F.sequence(F.lit(0), "_end")))
+    return e.join(a, [key, "_start", "_end"]).drop("_start", "_end")
+
+
 def psy_sequences(series: DataFrame, least: int, value: str = "x") -> DataFrame:
-    """symbol, pos, sadf, bsadf as one SQL plan: a table of prefix sums joined with itself on start <= end - least."""
+    """symbol, pos, sadf, bsadf as one SQL plan: a table of prefix sums joined with itself,
+    tile by tile, on start <= end - least."""
     w = ordered("symbol", "ts")
     s = series.filter(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("pos", F.row_number().over(w) - 1).withColumn("nxt", F.lead(value).over(w))
     run = Window.partitionBy("symbol").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +105,7 @@ def psy_sequences(series: DataFrame, least: int, value: str = "x") -> DataFrame:
     total = lambda e: F.coalesce(F.sum(e).over(run), F.lit(0.0))
     p = s.select("symbol", "ts", "pos", total(F.col(value)).alias("sx"), total(F.col(value) * F.col(value)).alias("sxx"), total(d).alias("sd"), total(F.col(value) * d).alias("sxd"), total(d * d).alias("sdd"))
     a = p.select("symbol", F.col("pos").alias("r1"), *[F.col(c).alias("a_" + c) for c in ("sx", "sxx", "sd", "sxd", "sdd")])
-    j = p.withColumnRenamed("pos", "r2").join(a, "symbol").filter(F.col("r1") <= F.col("r2") - least)
+    j = triangle(p.withColumnRenamed("pos", "r2"), "r2", a, "r1").filter(F.col("r1") <= F.col("r2") - least)
     j = j.withColumn("n", (F.col("r2") - F.col("r1")).cast("double")).withColumns({c: F.col(c) - F.col("a_" + c) for c in ("sx", "sxx", "sd", "sxd", "sdd")})
     den = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     j = j.withColumn("den", den).withColumn("beta", F.try_divide(F.col("n") * F.col("sxd") - F.col("sx") * F.col("sd"), F.col("den")))
@@ -100,25 +120,84 @@ def gsadf(series: DataFrame, least: int, value: str = "x") -> DataFrame:
     return psy_sequences(series, least, value).groupBy("symbol").agg(F.max("sadf").alias("sadf"), F.max("bsadf").alias("gsadf"))
 
 
-def expanding_adf(x: np.ndarray, least: int, constant: str = "c", lags: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    y, z, pos = design(x, constant, lags)
-    return pos[least - 1 :], np.array([ols_t(y[:k], z[:k]) for k in range(least, len(y) + 1)])
-
-
-def backward_sup_adf(x: np.ndarray, least: int, constant: str = "c", lags: int = 0) -> float:
-    y, z, _ = design(x, constant, lags)
-    t = [ols_t(y[k:], z[k:]) for k in range(len(y) - least + 1)]
-    return max((v for v in t if not math.isnan(v)), default=-math.inf)
+class Recursive:
+    """Least squares over rows that come one by one: coefficients, inverse of the moments and residual squares are
+    updated by each row, so a series needs one pass and a state of the regressors' number squared.
 
+    Until the moments can be inverted, they are added up; no statistic is defined before.
+    """
 
-def quantile_adf(x: np.ndarray, least: int, constant: str = "c", lags: int = 1, q: float = 0.95) -> dict:
-    """Sup, quantile and mean of the tail of backward ADF statistics at the end of the series."""
-    y, z, _ = design(x, constant, lags)
-    t = np.array([v for k in range(len(y) - least + 1) if np.isfinite(v := ols_t(y[k:], z[k:]))])
-    if not len(t):
-        return {"sadf": np.nan, "qadf": np.nan, "cadf": np.nan}
-    cut = float(np.quantile(t, q))
-    return {"sadf": float(t.max()), "qadf": cut, "cadf": float(t[t >= cut].mean())}
+    def __init__(self):
+        self.n, self.inverse = 0, None
+
+    def add(self, z: np.ndarray, y: float) -> float:
+        """Take a row; its standardised prediction error from the rows before, nan where those didn't suffice."""
+        if self.n == 0:
+            self.moments, self.cross, self.squares = np.zeros((len(z), len(z))), np.zeros(len(z)), 0.0
+        self.n += 1
+        if self.inverse is None:
+            self.moments += np.outer(z, z)
+            self.cross += z * y
+            self.squares += y * y
+            if self.n >= len(z) and np.linalg.matrix_rank(self.moments, hermitian=True) == len(z):
+                self.inverse = np.linalg.inv(self.moments)
+                self.beta = self.inverse @ self.cross
+                self.rest = max(self.squares - self.beta @ self.cross, 0.0)
+            return math.nan
+        gain = self.inverse @ z
+        scale = 1 + z @ gain
+        error = y - z @ self.beta
+        self.beta = self.beta + gain * (error / scale)
+        self.inverse = self.inverse - np.outer(gain, gain) / scale
+        self.rest += error * error / scale
+        return error / math.sqrt(scale)
+
+    def t(self, k: int = 0) -> float:
+        """t statistic of a coefficient; nan where the fit is singular or has no residual freedom."""
+        if self.inverse is None or self.n <= len(self.beta):
+            return math.nan
+        var = self.rest / (self.n - len(self.beta)) * self.inverse[k, k]
+        return float(self.beta[k] / math.sqrt(var)) if var > 0 else math.nan
+
+
+def _recursive(series: DataFrame, constant: str, lags: int, value: str, backward: bool, give, name: str) -> DataFrame:
+    """symbol, pos and give(fit, error) after each row of the design, from the first one or from the last."""
+    rows = adf_design(series.filter(F.col("symbol").isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)), constant, lags, value)
+    columns = [c for c in rows.columns if c not in ("symbol", "ts", "pos", "y")]
+    rows = rows.select("symbol", F.col("pos").cast("long").alias("pos"), "y", *columns, (-F.col("pos") if backward else F.col("pos")).cast("long").alias("_order"))
+
+    def step(fit: Recursive, part: pd.DataFrame) -> list:
+        out = []
+        for pos, y, z in zip(part["pos"], part["y"].to_numpy(float), part[columns].to_numpy(float)):
+            v = give(fit, fit.add(z, y))
+            if v is not None:
+                out.append((pos, v if math.isfinite(v) else None))
+        return out
+
+    return fold_series(rows, "symbol", ["_order"], Recursive, step, ["pos", name], f"pos long, {name} double")
+
+
+def expanding_adf(series: DataFrame, least: int, constant: str = "c", lags: int = 0, value: str = "x") -> DataFrame:
+    """symbol, pos, adf: t statistic of the level over all rows up to each, of `least` rows or more; one pass."""
+    return _recursive(series, constant, lags, value, False, lambda fit, e: fit.t() if fit.n >= least else None, "adf")
+
+
+def backward_adf(series: DataFrame, least: int, constant: str = "c", lags: int = 0, value: str = "x") -> DataFrame:
+    """symbol, pos, adf: t statistic of the level from each row on to the last, of `least` rows or more; one pass."""
+    return _recursive(series, constant, lags, value, True, lambda fit, e: fit.t() if fit.n >= least else None, "adf")
+
+
+def backward_sup_adf(series: DataFrame, least: int, constant: str = "c", lags: int = 0, value: str = "x") -> DataFrame:
+    """symbol, bsadf: the greatest of the backward statistics; null where none is defined."""
+    return backward_adf(series, least, constant, lags, value).groupBy("symbol").agg(F.max("adf").alias("bsadf"))
+
+
+def quantile_adf(series: DataFrame, least: int, constant: str = "c", lags: int = 1, q: float = 0.95, value: str = "x") -> DataFrame:
+    """symbol, sadf, qadf, cadf: sup, quantile and mean of the tail of the backward statistics; null where none is."""
+    t = backward_adf(series, least, constant, lags, value).withColumnRenamed("adf", "t")
+    cut = t.groupBy("symbol").agg(F.max("t").alias("sadf"), F.percentile("t", q).alias("qadf"))
+    tail = t.join(cut, "symbol").groupBy("symbol", "sadf", "qadf").agg(F.avg(F.when(F.col("t") >= F.col("qadf"), F.col("t"))).alias("cadf"))
+    return tail.select("symbol", "sadf", "qadf", "cadf")
 
 
 def bubble_episodes(stats: DataFrame, value: str, critical, least: int = 1) -> DataFrame:
@@ -182,24 +261,21 @@ def chu_stinchcombe_white(series: DataFrame, value: str = "x") -> DataFrame:
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("_var", F.sum("_d2").over(run) / F.nullif(F.col("pos") - 1, F.lit(0)))
     a = s.select("symbol", F.col("pos").alias("start"), F.col(value).alias("x0"))
-    j = s.join(a, "symbol").filter((F.col("start") < F.col("pos")) & (F.col("_var") > 0))
+    j = triangle(s.select("symbol", "pos", value, "_var"), "pos", a, "start").filter((F.col("start") < F.col("pos")) & (F.col("_var") > 0))
     stat = F.abs(F.col(value) - F.col("x0")) / F.sqrt(F.col("_var") * (F.col("pos") - F.col("start")))
     return j.groupBy("symbol", "pos").agg(F.max(stat).alias("csw"), F.max_by("start", F.struct(F.round(stat, 12), -F.col("start"))).alias("start"))
 
 
-def brown_durbin_evans(x: np.ndarray, constant: str = "c", lags: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and cumulative standardised one-step prediction errors."""
-    y, z, pos = design(x, constant, lags)
-    m = z.shape[1]
-    errors, at = [], []
-    for k in range(m + 1, len(y)):
-        inv = np.linalg.pinv(z[:k].T @ z[:k])
-        beta = inv @ (z[:k].T @ y[:k])
-        errors.append((y[k] - z[k] @ beta) / math.sqrt(1 + z[k] @ inv @ z[k]))
-        at.append(pos[k])
-    e = np.array(errors)
-    scale = e.std(ddof=1) if len(e) > 1 else np.nan
-    return np.array(at), np.cumsum(e) / scale
+def brown_durbin_evans(series: DataFrame, constant: str = "c", lags: int = 1, value: str = "x") -> DataFrame:
+    """symbol, pos, cusum: one-step prediction errors in units of their standard deviation, added up.
+
+    Errors begin once the fit has a row more than regressors; one pass gives them, then sums per symbol.
+    """
+    m = 1 + lags + (constant != "nc") + (constant in ("ct", "ctt")) + (constant == "ctt")
+    errors = _recursive(series, constant, lags, value, False, lambda fit, e: e if fit.n > m + 1 else None, "error").filter(F.col("error").isNotNull())
+    scale = errors.groupBy("symbol").agg(F.nullif(F.stddev_samp("error"), F.lit(0.0)).alias("_scale"))
+    w = ordered("symbol", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    return errors.join(scale, "symbol").select("symbol", "pos", (F.sum("error").over(w) / F.col("_scale")).alias("cusum"))
 
 
 def chow_dickey_fuller(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:

@@ -85,13 +85,43 @@ def _mean_distances(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def distance_correlation(x: np.ndarray, y: np.ndarray, block: int = 512) -> float:
-    """Of means of products of distances, which blocks of rows add up, so no matrix of all pairs is held."""
+def _together(x: np.ndarray, y: np.ndarray) -> float:
+    """Sum over all pairs of |x - x'| |y - y'| by merge counting, in n log n steps of arrays.
+
+    In order of x, each value's sums over those before it are split into the ones of smaller y and the others.
+    They come from merging blocks of twice the length at each level: sorted by y, running sums of the left
+    half give each value of the right half what lies below it.
+    """
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    n = len(x)
+    terms = np.stack([np.ones(n), x, y, x * y])
+    below = np.zeros((4, n))
+    by_y = np.argsort(y, kind="stable")
+    place = np.empty(n, np.int64)
+    place[by_y] = np.arange(n)
+    width = 1
+    while width < n:
+        block = np.arange(n) // (2 * width)
+        at = np.argsort(block * n + place)  # by block, then y
+        left = (at // width) % 2 == 0
+        run = np.cumsum(np.where(left, terms[:, at], 0.0), axis=1)
+        begins = np.searchsorted(block[at], block[at])
+        base = np.where(begins > 0, run[:, np.maximum(begins - 1, 0)], 0.0)
+        right = ~left
+        below[:, at[right]] += (run - base)[:, right]
+        width *= 2
+    before = np.cumsum(terms, axis=1) - terms
+    signed = lambda s: x * y * s[0] - x * s[2] - y * s[1] + s[3]  # noqa: E731  sum of (x - x')(y - y')
+    return 2 * float((2 * signed(below) - signed(before)).sum())
+
+
+def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
+    """From sums over sorted values and merge counting: n log n, without any pair of values held."""
     x, y = (np.asarray(v, float) - np.mean(v) for v in (x, y))
     n = len(x)
     mx, my = _mean_distances(x), _mean_distances(y)
-    together = sum(float((np.abs(x[k : k + block, None] - x) * np.abs(y[k : k + block, None] - y)).sum()) for k in range(0, n, block)) / n**2
-    covariance = together - 2 * (mx * my).mean() + mx.mean() * my.mean()
+    covariance = _together(x, y) / n**2 - 2 * (mx * my).mean() + mx.mean() * my.mean()
     # the mean square of distances is twice the variance
     var = [2 * float((v * v).mean()) - 2 * (m * m).mean() + m.mean() ** 2 for v, m in ((x, mx), (y, my))]
     scale = math.sqrt(max(var[0], 0.0) * max(var[1], 0.0))
@@ -112,9 +142,11 @@ def variation_of_information_extended(pairs: DataFrame, x: str, y: str, key: str
     return per_series(pairs.select(key, x, y), key, [x, y], run, "bins long, vi double")
 
 
-def neighbour_information(pairs: DataFrame, x: str, y: str, key: str = "symbol", k: int = 4) -> DataFrame:
+def distance_correlations(pairs: DataFrame, x: str, y: str, key: str = "symbol") -> DataFrame:
+    """key and dcor; rows with a value that is null or no number are left out, a constant side gives 0."""
+
     def run(rows):
-        a, b = rows[x].to_numpy(float), rows[y].to_numpy(float)
-        return scalars(ksg=ksg(a, b, k), dcor=distance_correlation(a, b))
+        return scalars(dcor=distance_correlation(rows[x].to_numpy(float), rows[y].to_numpy(float)))
 
-    return per_series(pairs.select(key, x, y), key, [x, y], run, "ksg double, dcor double")
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    return per_series(pairs.filter(F.col(key).isNotNull() & known(x) & known(y)).select(key, x, y), key, [x, y], run, "dcor double")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import phi, phi_inv, phi_inv_sql, phi_sql
 from ..functions.series import ordered
 from ..operators import backtest as B
-from ..operators import bars, breaks, dependence, entropy, fracdiff, importance, labels, matrix, microstructure, ou, pde, synthetic
+from ..operators import bars, breaks, dependence, entropy, fracdiff, importance, labels, matrix, microstructure, neighbours, ou, pde, synthetic
 from ..operators import validation as V
 from ..operators.joins import asof, interval_join
 from ..runtime import scratch_path, table
@@ -528,9 +528,41 @@ def _(spark, d):
     return breaks.pelt(_hourly_prices(spark, d).withColumnRenamed("close", "x"))
 
 
-@query("brown_durbin_evans")
+def _least_squares_sql(regressors: dict[str, str], order: str) -> str:
+    """CTEs that end in fit: symbol, pos, n, coefficients b0.., residual squares and the inverse's first entry, over
+    all rows of a design up to each in that order.
+
+    Running sums of products of the regressors and y are swept by one regressor after another.
+    """
+    names = [*regressors, "y"]
+    m = len(regressors)
+    cell = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+    cells = [(i, j) for i in range(m + 1) for j in range(i, m + 1)]
+    columns = ", ".join(f"{e} AS {c}" for c, e in regressors.items())
+    sql = f"""WITH v AS (SELECT symbol, pos, ln(close) AS x, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY pos) AS dx FROM {{pos}}),
+  z AS (SELECT symbol, pos, dx AS y, {columns} FROM v WINDOW w AS (PARTITION BY symbol ORDER BY pos) QUALIFY pos > 2),
+  s0 AS (SELECT symbol, pos, y, {", ".join(regressors)}, count(*) OVER w AS n, {", ".join(f"sum({names[i]} * {names[j]}) OVER w AS {cell(i, j)}" for i, j in cells)} FROM z WINDOW w AS (PARTITION BY symbol ORDER BY pos {order} ROWS UNBOUNDED PRECEDING))"""
+    for k in range(m):
+        d = cell(k, k)
+        swept = [f"-1 / {d}" if (i, j) == (k, k) else f"{cell(i, j)} / {d}" if k in (i, j) else f"{cell(i, j)} - {cell(i, k)} * {cell(k, j)} / {d}" for i, j in cells]
+        sql += f""",
+  s{k + 1} AS (SELECT symbol, pos, y, {", ".join(regressors)}, n, {", ".join(f"{e} AS {cell(i, j)}" for e, (i, j) in zip(swept, cells))} FROM s{k})"""
+    inverse = ", ".join(f"-{cell(i, j)} AS p{i}_{j}" for i in range(m) for j in range(i, m))
+    return sql + f""",
+  fit AS (SELECT symbol, pos, y, {", ".join(regressors)}, n, {", ".join(f"{cell(k, m)} AS b{k}" for k in range(m))}, {cell(m, m)} AS rest, {inverse} FROM s{m}),
+  t AS (SELECT symbol, pos, n, b0 / sqrt(rest / (n - {m}) * p0_0) AS t FROM fit WHERE n >= 10) --- """
+
+
+_REGRESSORS = {"level": "lag(x) OVER w", "delta1": "lag(dx) OVER w", "one": "1e0", "trend": "pos::DOUBLE"}
+_C, _CT = ({k: v for k, v in _REGRESSORS.items() if k != "trend"}, _REGRESSORS)
+_BDE = _least_squares_sql(_C, "ASC").replace(" --- ", """,
+  b AS (SELECT symbol, pos, y, level, delta1, one, lag(n) OVER w AS n, lag(b0) OVER w AS b0, lag(b1) OVER w AS b1, lag(b2) OVER w AS b2, lag(p0_0) OVER w AS p0_0, lag(p0_1) OVER w AS p0_1, lag(p0_2) OVER w AS p0_2, lag(p1_1) OVER w AS p1_1, lag(p1_2) OVER w AS p1_2, lag(p2_2) OVER w AS p2_2 FROM fit WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
+  e AS (SELECT symbol, pos, (y - b0 * level - b1 * delta1 - b2) / sqrt(1 + p0_0 * level * level + p1_1 * delta1 * delta1 + p2_2 + 2 * (p0_1 * level * delta1 + p0_2 * level + p1_2 * delta1)) AS error FROM b WHERE n > 3) --- """)
+
+
+@query("brown_durbin_evans", _BDE + "SELECT symbol, pos, sum(error) OVER (PARTITION BY symbol ORDER BY pos) / stddev_samp(error) OVER (PARTITION BY symbol) AS cusum FROM e", "cusum")
 def _(spark, d):
-    return breaks.by_position(_log_daily(spark, d), lambda x: breaks.brown_durbin_evans(x), "cusum")
+    return breaks.brown_durbin_evans(_log_daily(spark, d))
 
 
 @query("chow_dickey_fuller")
@@ -538,16 +570,19 @@ def _(spark, d):
     return breaks.by_position(_log_daily(spark, d), lambda x: breaks.chow_dickey_fuller(x, 5), "dfc")
 
 
-@query("expanding_adf")
+@query("expanding_adf", _least_squares_sql(_CT, "ASC") + "SELECT symbol, pos, t AS adf FROM t", "adf")
 def _(spark, d):
-    return breaks.by_position(_log_daily(spark, d), lambda x: breaks.expanding_adf(x, 10, "ct", 1), "adf")
+    return breaks.expanding_adf(_log_daily(spark, d), 10, "ct", 1)
 
 
-@query("quantile_adf")
+@query("backward_sup_adf", _least_squares_sql(_CT, "DESC") + "SELECT symbol, max(t) AS bsadf FROM t GROUP BY symbol", "bsadf")
 def _(spark, d):
-    from ..functions.grouped import per_series, scalars
+    return breaks.backward_sup_adf(_log_daily(spark, d), 10, "ct", 1)
+
 
-    return per_series(_log_daily(spark, d), "symbol", ["ts"], lambda r: scalars(**breaks.quantile_adf(r["x"].to_numpy(float), 10)), "sadf double, qadf double, cadf double")
+@query("quantile_adf", _least_squares_sql(_C, "DESC") + "SELECT symbol, any_value(sadf) AS sadf, any_value(qadf) AS qadf, avg(t) FILTER (t >= qadf) AS cadf FROM (SELECT symbol, t, max(t) OVER g AS sadf, quantile_cont(t, 0.95) OVER g AS qadf FROM t WINDOW g AS (PARTITION BY symbol)) GROUP BY symbol", "sadf qadf cadf")
+def _(spark, d):
+    return breaks.quantile_adf(_log_daily(spark, d), 10)
 
 
 @query("robust_sadf")
@@ -586,9 +621,32 @@ def _(spark, d):
     return dependence.variation_of_information_extended(_pairs(spark, d), "x", "y")
 
 
-@query("ksg_and_dcor")
+#: Both axes with their jitter, all pairs of a symbol, the k-th neighbour of each point and the margins.
+_JITTERED = "x + (((seq % 2147483648) * {0} % 4294967296) / 4294967296e0 - 0.5e0) * stddev_pop(x) OVER g * 1e-10 AS x, y + (((seq % 2147483648) * {1} % 4294967296) / 4294967296e0 - 0.5e0) * stddev_pop(y) OVER g * 1e-10 AS y".format(*neighbours.JITTER.values())
+_KSG = f"""WITH t AS (SELECT symbol, seq, price AS x, volume AS y FROM {{ticks}}), p AS (SELECT symbol, seq, count(*) OVER g AS n, {_JITTERED} FROM t WINDOW g AS (PARTITION BY symbol)),
+  r AS (SELECT a.symbol, a.seq, a.n, list_sort(list(greatest(abs(a.x - b.x), abs(a.y - b.y))))[5] * (1 - 1e-10) AS r FROM p a JOIN p b USING (symbol) GROUP BY ALL),
+  m AS (SELECT a.symbol, a.seq, a.n, sum((abs(a.x - b.x) <= r)::INT) AS nx, sum((abs(a.y - b.y) <= r)::INT) AS ny FROM p a JOIN r ON a.symbol = r.symbol AND a.seq = r.seq JOIN p b ON b.symbol = a.symbol GROUP BY ALL),
+  h AS (SELECT v, sum(1e0 / v) OVER (ORDER BY v) AS h FROM (SELECT unnest(range(1, (SELECT max(n) + 1 FROM p))) AS v)), psi AS (SELECT v + 1 AS v, h - 0.5772156649015329e0 AS psi FROM h UNION ALL SELECT 1, -0.5772156649015329e0),
+  ksg AS (SELECT m.symbol, any_value(k.psi) + any_value(q.psi) - avg(a.psi + b.psi) AS ksg FROM m JOIN psi a ON a.v = greatest(m.nx, 1) JOIN psi b ON b.v = greatest(m.ny, 1) JOIN psi q ON q.v = m.n JOIN psi k ON k.v = 4 GROUP BY m.symbol)"""
+_DCOR = """d AS (SELECT a.symbol, a.seq, count(*) AS n, avg(abs(a.price - b.price)) AS mx, avg(abs(a.volume - b.volume)) AS my, avg(abs(a.price - b.price) * abs(a.volume - b.volume)) AS xy, avg(pow(a.price - b.price, 2)) AS xx, avg(pow(a.volume - b.volume, 2)) AS yy FROM {ticks} a JOIN {ticks} b USING (symbol) GROUP BY ALL),
+  v AS (SELECT symbol, avg(xy) - 2 * avg(mx * my) + avg(mx) * avg(my) AS cxy, avg(xx) - 2 * avg(mx * mx) + pow(avg(mx), 2) AS cxx, avg(yy) - 2 * avg(my * my) + pow(avg(my), 2) AS cyy FROM d GROUP BY symbol),
+  dcor AS (SELECT symbol, sqrt(greatest(cxy, 0) / sqrt(cxx * cyy)) AS dcor FROM v)"""
+
+
+@query("ksg_information", _KSG + " --- SELECT * FROM ksg", "ksg")
+def _(spark, d):
+    return neighbours.ksg_information(_pairs(spark, d), "x", "y")
+
+
+@query("distance_correlation", "WITH " + _DCOR + " --- SELECT * FROM dcor", "dcor")
+def _(spark, d):
+    return dependence.distance_correlations(_pairs(spark, d), "x", "y")
+
+
+@query("ksg_and_dcor", _KSG + ", " + _DCOR + " --- SELECT symbol, ksg, dcor FROM ksg JOIN dcor USING (symbol)", "ksg dcor")
 def _(spark, d):
-    return dependence.neighbour_information(_pairs(spark, d), "x", "y")
+    p = _pairs(spark, d)
+    return neighbours.ksg_information(p, "x", "y").join(dependence.distance_correlations(p, "x", "y"), "symbol")
 
 
 def _hours(spark, d):

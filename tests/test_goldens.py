@@ -365,9 +365,10 @@ def test_breaks(spark):
     for k in range(40):
         if np.isfinite(b[k]):
             close([got[k + 1].sadf, got[k + 1].bsadf], [a[k], b[k]], 1e-6)
-    pos, t = breaks.expanding_adf(x, 10)
-    close(t, [a[p - 1] for p in pos], 1e-6)
-    close(breaks.backward_sup_adf(x, 10), b[-1], 1e-6)
+    t = {r.pos: r.adf for r in rows(breaks.expanding_adf(series(spark, x), 10))}
+    assert sorted(t) == list(range(11, 41))
+    close([t[p] for p in sorted(t)], [a[p - 1] for p in sorted(t)], 1e-6)
+    close(rows(breaks.backward_sup_adf(series(spark, x), 10))[0].bsadf, b[-1], 1e-6)
     assert breaks.minimum_window(100) == 19
     shift = np.concatenate([rng.standard_normal(120), rng.standard_normal(120) + 6])
     assert breaks.change_points(shift) == [120] and breaks.change_points(shift[:15]) == []
