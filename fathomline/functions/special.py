@@ -144,3 +144,27 @@ def adf_statistic(y: np.ndarray, lags: int = 1) -> float:
         return math.nan
     cols = [y[lags:-1], np.ones(n)] + [d[lags - k : len(d) - k] for k in range(1, lags + 1)]
     return ols_t(d[lags:], np.column_stack(cols))
+
+
+def sums_below(y: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """For each place, the sums of terms (rows of an array) over the places before it whose y is smaller.
+
+    Merge counting in n log n steps of arrays: blocks are merged level by level, and in order of y running
+    sums of a pair's left block give each value of its right one what lies below it.
+    """
+    n = len(y)
+    _, rank = np.unique(y, return_inverse=True)
+    below = np.zeros((len(terms), n))
+    width = 1
+    while width < n:
+        place = np.arange(n)
+        left = (place // width) % 2 == 0
+        # by pair of blocks, then y; of equal ones those of the right block first, so that they don't count
+        at = np.argsort((place // (2 * width) * n + rank) * 2 + left, kind="stable")
+        left = left[at]
+        run = np.cumsum(np.where(left, terms[:, at], 0.0), axis=1)
+        begins = at // (2 * width) * (2 * width)
+        base = np.where(begins > 0, run[:, np.maximum(begins - 1, 0)], 0.0)
+        below[:, at[~left]] += (run - base)[:, ~left]
+        width *= 2
+    return below

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.grouped import per_series, scalars
-from ..functions.special import digamma
+from ..functions.special import digamma, sums_below
 
 
 def number_of_bins(n: int, correlation: float | None = None) -> int:
@@ -86,34 +86,14 @@ def _mean_distances(v: np.ndarray) -> np.ndarray:
 
 
 def _together(x: np.ndarray, y: np.ndarray) -> float:
-    """Sum over all pairs of |x - x'| |y - y'| by merge counting, in n log n steps of arrays.
-
-    In order of x, each value's sums over those before it are split into the ones of smaller y and the others.
-    They come from merging blocks of twice the length at each level: sorted by y, running sums of the left
-    half give each value of the right half what lies below it.
-    """
+    """Sum over all pairs of |x - x'| |y - y'| in n log n steps: in order of x, each value's sums over those before
+    it are split into the ones of smaller y and the others."""
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
-    n = len(x)
-    terms = np.stack([np.ones(n), x, y, x * y])
-    below = np.zeros((4, n))
-    by_y = np.argsort(y, kind="stable")
-    place = np.empty(n, np.int64)
-    place[by_y] = np.arange(n)
-    width = 1
-    while width < n:
-        block = np.arange(n) // (2 * width)
-        at = np.argsort(block * n + place)  # by block, then y
-        left = (at // width) % 2 == 0
-        run = np.cumsum(np.where(left, terms[:, at], 0.0), axis=1)
-        begins = np.searchsorted(block[at], block[at])
-        base = np.where(begins > 0, run[:, np.maximum(begins - 1, 0)], 0.0)
-        right = ~left
-        below[:, at[right]] += (run - base)[:, right]
-        width *= 2
+    terms = np.stack([np.ones(len(x)), x, y, x * y])
     before = np.cumsum(terms, axis=1) - terms
     signed = lambda s: x * y * s[0] - x * s[2] - y * s[1] + s[3]  # noqa: E731  sum of (x - x')(y - y')
-    return 2 * float((2 * signed(below) - signed(before)).sum())
+    return 2 * float((2 * signed(sums_below(y, terms)) - signed(before)).sum())
 
 
 def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:

@@ -6,15 +6,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.grouped import nan_to_none, per_series, scalars
 from ..functions.series import ordered
 from ..functions.special import adf_pvalue, adf_statistic
+from ..runtime import materialise, ship, small_batches
 
 ANCHOR_THRESHOLDS = (1e-3, 1e-4, 1e-5)
 ORDERS = tuple(round(0.05 * k, 2) for k in range(25))
-#: Weights up to this many are lag expressions of one window; more are a convolution in Python.
+#: Weights up to this many are lag expressions of one window; more are a convolution by blocks.
 MOST_LAGS = 64
+#: Values of a block, whose part in each later block is one task's product of transforms.
+BLOCK = 1 << 13
 
 
 def binomial_weights(d: float, n: int) -> np.ndarray:
@@ -53,7 +57,7 @@ def ffd(series: DataFrame, d: float, threshold: float = 1e-5, value: str = "x")
     """series with ffd, null until the window is full."""
     w = fixed_weights(d, threshold)
     if len(w) > MOST_LAGS:
-        return apply(series, lambda x: fixed_difference(x, d, threshold), "ffd", value)
+        return _over_past(series, d, value, "ffd", lambda n: fixed_weights(d, threshold, max(2, n + 2)), None)
     o = ordered("symbol", "ts")
     total = sum((F.lag(value, k).over(o) * float(v) for k, v in enumerate(w) if k), F.col(value) * float(w[0]))
     return series.withColumn("ffd", total)
@@ -69,7 +73,86 @@ def apply(series: DataFrame, fn, name: str, value: str = "x") -> DataFrame:
 
 
 def frac_diff_expanding(series: DataFrame, d: float, threshold: float = 0.01, value: str = "x") -> DataFrame:
-    return apply(series, lambda x: expanding_difference(x, d, threshold), "fracdiff", value)
+    """series with fracdiff over all past values, null while the weights left out are over the threshold."""
+    return _over_past(series, d, value, "fracdiff", lambda n: binomial_weights(d, n), threshold)
+
+
+def _over_past(series: DataFrame, d: float, value: str, name: str, weights, loss: float | None) -> DataFrame:
+    """symbol, ts, value and the sum of each row's past values times weights(n), n being its series' length.
+
+    Overlap-add by blocks: what a block of values adds to a block of rows is one product of Fourier transforms; each
+    (block of values, block of rows) is independent, and their sums are added up by row block as a stream.  So a
+    series is spread over tasks and no task holds more than its weights and some blocks.  Rows without a symbol are
+    left out.  loss: null while the share of weights left out is below it (all past); None: null until the window of
+    the weights is full.  A null or nan value makes the rows null whose sum would hold it.
+    """
+    ship(series.sparkSession)
+    block = BLOCK
+    o = ordered("symbol", "ts")
+    known = F.col(value).isNotNull() & ~F.isnan(value)
+    s = series.filter(F.col("symbol").isNotNull()).select("symbol", "ts", value).withColumn("_pos", (F.row_number().over(o) - 1).cast("long"))
+    s = materialise(s.withColumn("_gaps", F.sum((~known).cast("long")).over(o.rowsBetween(Window.unboundedPreceding, 0))), "past")
+    sizes = s.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
+
+    def skipped(batches):
+        for b in batches:
+            out, lengths = [], []
+            for n in b["_n"]:
+                w = weights(int(n))
+                lengths.append(len(w))
+                if loss is None:
+                    out.append(len(w) - 1)
+                else:
+                    left = np.cumsum(np.abs(w[::-1]))
+                    out.append(int((left / left[-1] < loss).sum()))
+            yield b.assign(_skip=out, _width=lengths)
+
+    sizes = sizes.mapInPandas(skipped, "symbol string, _n long, _skip long, _width long")
+    at = F.floor(F.col("_pos") / block).cast("long")
+    values = s.join(sizes.select("symbol", "_n"), "symbol").groupBy("symbol", "_n", at.alias("_from")).agg(F.array_sort(F.collect_list(F.struct("_pos", F.when(known, F.col(value)).otherwise(0.0).alias("x")))).alias("v"))
+    values = values.select("symbol", "_n", "_from", F.col("v.x").alias("v"))
+
+    def parts(batches):
+        kept: dict = {}
+        for b in batches:
+            for symbol, n, start, v in zip(b["symbol"], b["_n"], b["_from"], b["v"]):
+                if kept.get("n") != n:
+                    kept = {"n": n, "w": weights(int(n))}
+                w, transform = kept["w"], np.fft.rfft(np.asarray(v, float), 2 * block)
+                for to in range(start, min((n - 1) // block, start + (len(w) + block - 2) // block) + 1):
+                    low = (to - start) * block - block + 1
+                    if low not in kept:
+                        segment = np.zeros(2 * block)
+                        lags = w[max(low, 0) : low + 2 * block - 1]
+                        segment[max(-low, 0) : max(-low, 0) + len(lags)] = lags
+                        kept[low] = np.fft.rfft(segment)
+                    yield pd.DataFrame({"symbol": [symbol], "_to": [to], "v": [np.fft.irfft(transform * kept[low], 2 * block)[block - 1 : 2 * block - 1]]})
+                    if len(kept) > 64:
+                        kept = {"n": n, "w": w}
+
+    def added(batches):
+        key, total = None, None
+        for b in batches:
+            for symbol, to, v in zip(b["symbol"], b["_to"], b["v"]):
+                if (symbol, to) == key:
+                    total = total + np.asarray(v)
+                    continue
+                if key:
+                    yield pd.DataFrame({"symbol": [key[0]], "_to": [key[1]], "v": [total]})
+                key, total = (symbol, to), np.asarray(v)
+        if key:
+            yield pd.DataFrame({"symbol": [key[0]], "_to": [key[1]], "v": [total]})
+
+    with small_batches(series.sparkSession, 64):
+        sums = values.mapInPandas(parts, "symbol string, _to long, v array<double>").repartition("symbol", "_to").sortWithinPartitions("symbol", "_to")
+        sums = materialise(sums.mapInPandas(added, "symbol string, _to long, v array<double>"), "past-sums")
+    found = sums.select("symbol", "_to", F.posexplode("v").alias("_k", "_sum")).select("symbol", (F.col("_to") * block + F.col("_k")).alias("_pos"), "_sum")
+    out = s.join(found, ["symbol", "_pos"]).join(sizes, "symbol")
+    # how many of the values that a row's sum holds are missing
+    earlier = s.select("symbol", (F.col("_pos") + 1).alias("_before"), F.col("_gaps").alias("_left"))
+    out = out.withColumn("_before", F.col("_pos") - F.col("_width") + 1).join(earlier, ["symbol", "_before"], "left")
+    whole = (F.col("_pos") >= F.col("_skip")) & (F.col("_gaps") - F.coalesce("_left", F.lit(0)) == 0)
+    return out.select("symbol", "ts", value, F.when(whole, F.col("_sum")).alias(name))
 
 
 def stationarity(x: np.ndarray, lags: int = 1) -> float:

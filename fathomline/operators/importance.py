@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.special import t_sf
+from ..functions.grouped import per_series, scalars
+from ..functions.special import sums_below, t_sf
 from ..runtime import ship
 from .matrix import covariance, to_numpy
 from .trees import Forest, grow, log_loss, one_hot
@@ -347,19 +348,46 @@ def predictive_impact(rows: DataFrame, features: int, k: int = 4, trees: int = 8
 
 
 def weighted_tau(importance: np.ndarray, ranks: np.ndarray) -> float:
-    """Weighted rank agreement of importance with 1 / rank, averaged over both orders of weights."""
+    """Weighted rank agreement of importance with 1 / rank, averaged over both orders of weights.
+
+    A pair counts with the sum of both weights, 1 / place in that order.  Pairs in agreement and against it come from
+    merge counting, n log n, and ties (which count for neither) from their groups.  Without a pair that both sides
+    tell apart it isn't defined (nan).
+    """
     x, y = np.asarray(importance, float), 1.0 / np.asarray(ranks, float)
+    n = len(x)
+
+    def agreement(w: np.ndarray, y: np.ndarray) -> float:
+        # of equal x the greater y first, so that they don't count
+        order = np.lexsort((-y, x))
+        count, weight = sums_below(y[order], np.stack([np.ones(n), w[order]]))
+        return float((weight + count * w[order]).sum())
+
+    def untied(w: np.ndarray, v: np.ndarray) -> float:
+        _, group, size = np.unique(v, return_inverse=True, return_counts=True)
+        return float((n - 1) * w.sum() - ((size - 1) * np.bincount(group, w)).sum())
 
-    def one(key):
-        w = np.empty(len(x))
-        w[np.argsort(-key, kind="stable")] = 1.0 / np.arange(1, len(x) + 1)
-        pair = np.triu(w[:, None] + w, 1)
-        sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
-        return (pair * sx * sy).sum() / math.sqrt((pair * np.abs(sx)).sum() * (pair * np.abs(sy)).sum())
+    def one(key: np.ndarray) -> float:
+        w = np.empty(n)
+        w[np.argsort(-key, kind="stable")] = 1.0 / np.arange(1, n + 1)
+        scale = untied(w, x) * untied(w, y)
+        return (agreement(w, y) - agreement(w, -y)) / math.sqrt(scale) if scale > 0 else math.nan
 
     return float((one(x) + one(y)) / 2)
 
 
+def weighted_taus(scores: DataFrame, importance: str, rank: str, key: str) -> DataFrame:
+    """key and tau: weighted_tau of each key's rows in order of their rank; rows with a null value are left out, and
+    tau is null where it isn't defined."""
+    known = scores.filter(F.col(key).isNotNull() & F.col(importance).isNotNull() & ~F.isnan(importance) & (F.col(rank) > 0))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        tau = weighted_tau(rows[importance].to_numpy(float), rows[rank].to_numpy(float))
+        return scalars(tau=tau if math.isfinite(tau) else None)
+
+    return per_series(known.select(key, importance, rank), key, [rank, importance], run, "tau double")
+
+
 def test_dataset(spark: SparkSession, n: int = 1000, features: int = 10, informative: int = 4, redundant: int = 2, noise_sd: float = 0.0, seed: int = 1) -> DataFrame:
     """row_id, I_*, R_* (copies with noise) and N_* columns, and y from the informative ones."""
     cols = {f"I_{k}": F.randn(seed + k) for k in range(informative)} | {f"N_{k}": F.randn(seed + 100 + k) for k in range(features - informative - redundant)}

@@ -9,8 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..runtime import ship
+from ..runtime import materialise, ship
 
 # ---- long-form matrices ----------------------------------------------------------------------------
 
@@ -335,30 +336,91 @@ def cluster_variance(cov: np.ndarray, items: np.ndarray) -> float:
     return float(w @ part @ w)
 
 
-def single_linkage(d: np.ndarray) -> np.ndarray:
-    """Rows (a, b, distance, size), ids as in the common linkage layout: merges along the least tree edges."""
+def spanning_tree(distance: DataFrame) -> list[tuple[float, int, int]]:
+    """The least edges (v, i, j), i < j, that join all items of a long distance table: one fewer than items.
+
+    Boruvka's rounds: each component's least edge leaving it, a minimum per component over the table, joins it to
+    another; components at least halve in a round.  Of equal distances the least (i, j) counts as shorter.  Only a row
+    per item comes to the driver in a round.  Items that no edge reaches stay apart.
+    """
+    spark = distance.sparkSession
+    edges = materialise(distance.filter("i < j AND v IS NOT NULL AND NOT isnan(v)").select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "v"), "edges")
+    up = {r[0]: r[0] for r in edges.select("i").union(edges.select("j")).distinct().collect()}
+    tree: set[tuple[float, int, int]] = set()
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    while len(up) > 1:
+        parts = spark.createDataFrame([(k, root(k)) for k in up], "item int, part int")
+        ends = edges.join(parts.select(F.col("item").alias("i"), F.col("part").alias("pi")), "i").join(parts.select(F.col("item").alias("j"), F.col("part").alias("pj")), "j").filter("pi <> pj")
+        least = ends.select(F.explode(F.array("pi", "pj")).alias("part"), F.struct("v", "i", "j").alias("e")).groupBy("part").agg(F.min("e").alias("e")).collect()
+        if not least:
+            break
+        for r in least:
+            v, i, j = r["e"]
+            tree.add((v, i, j))
+            up[max(root(i), root(j))] = min(root(i), root(j))
+    return sorted(tree)
+
+
+def matrix_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
+    """The same tree of a matrix (items from 0): grown from item 0 by the least edge, in steps of whole rows."""
     n = len(d)
-    group, link = {i: [i] for i in range(n)}, []
-    gap = {(i, j): d[i, j] for i in range(n) for j in range(i + 1, n)}
-    for new in range(n, 2 * n - 1):
-        a, b = min(gap, key=lambda p: (gap[p], p))
-        link.append((a, b, gap[a, b], len(group[a]) + len(group[b])))
-        for c in list(group):
-            if c not in (a, b):
-                gap[c, new] = min(gap[min(a, c), max(a, c)], gap[min(b, c), max(b, c)])
-        group[new] = group.pop(a) + group.pop(b)
-        gap = {p: v for p, v in gap.items() if a not in p and b not in p}
+    gap, origin, out = d[0].astype(float).copy(), np.zeros(n, int), np.zeros(n, bool)
+    out[0] = True
+    tree = []
+    for _ in range(n - 1):
+        gap[out] = np.inf
+        ties = np.flatnonzero(gap == gap.min())
+        k = min(ties, key=lambda t: (min(t, origin[t]), max(t, origin[t])))
+        tree.append((float(gap[k]), int(min(k, origin[k])), int(max(k, origin[k]))))
+        out[k] = True
+        j = np.arange(n)
+        pair = lambda a: np.minimum(a, j) * n + np.maximum(a, j)
+        nearer = ~out & ((d[k] < gap) | ((d[k] == gap) & (pair(np.full(n, k)) < pair(origin))))
+        gap[nearer], origin[nearer] = d[k][nearer], k
+    return sorted(tree)
+
+
+def linkage(tree: list[tuple[float, int, int]], n: int) -> np.ndarray:
+    """Rows (a, b, distance, size) of a spanning tree's n items, from 0: clusters merge along its edges, shortest first
+    and of equals by (i, j); a new cluster's number follows those before it, and a < b."""
+    up, number, size = list(range(n)), list(range(n)), [1] * n
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    link = []
+    for v, i, j in sorted(tree):
+        a, b = root(i), root(j)
+        link.append((min(number[a], number[b]), max(number[a], number[b]), v, size[a] + size[b]))
+        up[b], number[a], size[a] = a, n + len(link) - 1, size[a] + size[b]
     return np.array(link)
 
 
+def single_linkage(d: np.ndarray) -> np.ndarray:
+    """Linkage rows of a distance matrix."""
+    return linkage(matrix_tree(d), len(d))
+
+
 def quasi_diagonal(link: np.ndarray) -> list[int]:
     """Leaves in the tree's order, 1-based."""
     n = len(link) + 1
-
-    def leaves(k: int) -> list[int]:
-        return [k + 1] if k < n else leaves(int(link[k - n, 0])) + leaves(int(link[k - n, 1]))
-
-    return leaves(2 * n - 2)
+    out, todo = [], [2 * n - 2]
+    while todo:
+        k = todo.pop()
+        if k < n:
+            out.append(k + 1)
+        else:
+            todo += [int(link[k - n, 1]), int(link[k - n, 0])]
+    return out
 
 
 def recursive_bisection(cov: np.ndarray, order: list[int]) -> np.ndarray:
@@ -379,12 +441,29 @@ def recursive_bisection(cov: np.ndarray, order: list[int]) -> np.ndarray:
 
 
 def hierarchical_risk_parity(cov: np.ndarray, corr: np.ndarray) -> np.ndarray:
-    order = quasi_diagonal(single_linkage(corr_distance((corr + corr.T) / 2)))
+    return _parity(cov, single_linkage(corr_distance((corr + corr.T) / 2)))
+
+
+def _parity(cov: np.ndarray, link: np.ndarray) -> np.ndarray:
+    order = quasi_diagonal(link)
     out = np.empty(len(cov))
     out[np.array(order) - 1] = recursive_bisection(cov, order)
     return out
 
 
+def distances(cov: DataFrame) -> DataFrame:
+    """i, j, v: sqrt((1 - r) / 2) of the correlations of a long covariance table."""
+    return correlation(cov).select("i", "j", F.sqrt(F.greatest((1 - F.col("v")) / 2, F.lit(0.0))).alias("v"))
+
+
+def hierarchical_weights(cov: DataFrame, n: int) -> np.ndarray:
+    """Hierarchical risk parity of a long covariance table of items 1 to n: the tree is found over the distributed
+    distances, and the matrix itself, n x n, serves the bisection on the driver."""
+    tree = spanning_tree(distances(cov))
+    matrix = to_numpy(cov, n)
+    return _parity(matrix, linkage([(v, i - 1, j - 1) for v, i, j in tree], len(matrix)))
+
+
 def pca_weights(cov: np.ndarray, risk: np.ndarray | None = None, target: float = 1.0) -> np.ndarray:
     """Weights whose risk is spread over components as asked, all on the last one by default."""
     w, v = pca(cov)
@@ -410,6 +489,44 @@ def orthogonal_features(x: np.ndarray, threshold: float = 0.95) -> tuple[np.ndar
     return z @ v[:, :k], w[:k], v[:, :k], share[:k]
 
 
+def orthogonal_rows(rows: DataFrame, values: str, dims: int, threshold: float = 0.95) -> DataFrame:
+    """rows with `components`: the standardised values of an array column projected on as many eigenvectors of their
+    products as reach the threshold.
+
+    Means, deviations and products come from one distributed covariance; only the dims x dims matrix is decomposed
+    on the driver, and every row is projected where it lies.  A value without deviation counts 0; a row whose
+    array is null, or holds null, has null components.
+    """
+    ship(rows.sparkSession)
+    full = F.when(F.size(values) == dims, F.col(values)).cast("array<double>")
+    full = F.when(~F.exists(full, lambda x: x.isNull() | F.isnan(x)), full)
+    taken = rows.withColumn("_values", full)
+    known = taken.filter(F.col("_values").isNotNull())
+    sums = known.select(F.posexplode("_values").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.count(F.lit(1)).alias("n")).collect()  # dims rows
+    if not sums:
+        return taken.drop("_values").withColumn("components", F.lit(None).cast("array<double>"))
+    mean, sd = np.zeros(dims), np.ones(dims)
+    for r in sums:
+        mean[r["k"]], sd[r["k"]] = r["mean"], r["sd"] or np.inf
+    cov = to_numpy(covariance(known, "_values", dims), dims)
+    w, v = pca(cov / np.outer(sd, sd) * (sums[0]["n"] - 1))
+    share = np.cumsum(w) / w.sum()
+    v = v[:, : min(int(np.searchsorted(share, threshold - 1e-12)) + 1, dims)]
+
+    def run(batches):
+        for b in batches:
+            column = b.column(b.schema.get_field_index("_values"))
+            x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dims)
+            z = ((x - mean) / sd) @ v
+            ends = np.concatenate([[0], np.cumsum(np.asarray(column.is_valid()) * v.shape[1])]).astype(np.int32)
+            own = pa.ListArray.from_arrays(pa.array(ends), pa.array(z.ravel()), mask=column.is_null())
+            rest = [c for c in b.schema.names if c != "_values"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), own], [*rest, "components"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("components", T.ArrayType(T.DoubleType()))])
+    return taken.mapInArrow(run, schema)
+
+
 def hrp_monte_carlo(spark: SparkSession, trials: int, assets: int = 10, steps: int = 260, window: int = 130, seed: int = 1) -> DataFrame:
     """method, mean variance out of sample over random markets; a trial is a row."""
     ship(spark)

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.normal import phi, phi_inv, phi_inv_sql, phi_sql
 from ..functions.series import ordered
@@ -400,12 +401,18 @@ def _(spark, d):
     return fracdiff.ffd(daily(spark, d).withColumnRenamed("close", "x"), 0.4, 0.01).select("symbol", "ts", "ffd")
 
 
-@query("ffd_wide")
+#: Weights of (1 - lag) ** d by lag, as running products.
+_BINOMIAL = "k AS (SELECT unnest(range(0, 20000)) AS k), bw AS (SELECT k, product(CASE WHEN k = 0 THEN 1 ELSE (k - 1 - {d}) / k END) OVER (ORDER BY k) AS w FROM k)"
+_WIDE = "WITH h AS (SELECT symbol, ts, close AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM {hourly}), " + _BINOMIAL.format(d="0.4e0") + ", fw AS (SELECT k, w FROM bw WHERE k < (SELECT min(k) FROM bw WHERE abs(w) < 1e-4)) --- SELECT a.symbol, a.ts, any_value(a.x) AS x, CASE WHEN count(*) = (SELECT count(*) FROM fw) THEN sum(w * b.x) END AS ffd FROM h a JOIN h b ON a.symbol = b.symbol AND b.pos BETWEEN a.pos - 20000 AND a.pos JOIN fw ON fw.k = a.pos - b.pos GROUP BY a.symbol, a.ts"
+_EXPANDING = "WITH " + _BINOMIAL.format(d="0.5e0") + ", n AS (SELECT symbol, max(pos) AS n FROM {pos} GROUP BY 1), ls AS (SELECT symbol, n, k, sum(abs(w)) OVER (PARTITION BY symbol ORDER BY k DESC) / sum(abs(w)) OVER (PARTITION BY symbol) AS loss FROM n JOIN bw ON k < n), sk AS (SELECT symbol, sum((loss < 0.01)::INTEGER) AS skip FROM ls GROUP BY 1) --- SELECT a.symbol, a.ts, any_value(a.close) AS x, CASE WHEN a.pos > any_value(skip) THEN sum(w * b.close) END AS fracdiff FROM {pos} a JOIN {pos} b ON a.symbol = b.symbol AND b.pos <= a.pos JOIN bw ON k = a.pos - b.pos JOIN sk ON sk.symbol = a.symbol GROUP BY a.symbol, a.ts, a.pos"
+
+
+@query("ffd_wide", _WIDE, "ffd")
 def _(spark, d):
     return fracdiff.ffd(_hourly_prices(spark, d).withColumnRenamed("close", "x"), 0.4, 1e-4)
 
 
-@query("fracdiff_expanding")
+@query("fracdiff_expanding", _EXPANDING, "fracdiff")
 def _(spark, d):
     return fracdiff.frac_diff_expanding(daily(spark, d).withColumnRenamed("close", "x"), 0.5)
 
@@ -1023,8 +1030,51 @@ def _(spark, d):
 
 @query("hrp_weights")
 def _(spark, d):
-    c = _driver_cov(spark, d)
-    return _weights(spark, matrix.hierarchical_risk_parity(c, matrix.cov_to_corr(c)))
+    return _weights(spark, matrix.hierarchical_weights(_cov(spark, d), DIMS))
+
+
+#: The spanning tree grown from the first item, by its least edge in each step.
+_TREE = f"WITH RECURSIVE {_COV}, ed AS (SELECT i, j, sqrt(greatest((1 - v) / 2, 0)) AS v FROM cr WHERE i <> j), p AS (SELECT [1] AS seen, NULL::STRUCT(v DOUBLE, i INTEGER, j INTEGER) AS e UNION ALL SELECT list_append(seen, CASE WHEN list_contains(seen, e.i) THEN e.j ELSE e.i END), e FROM (SELECT p.seen, min({{'v': ed.v, 'i': least(ed.i, ed.j), 'j': greatest(ed.i, ed.j)}}) AS e FROM p JOIN ed ON list_contains(p.seen, ed.i) AND NOT list_contains(p.seen, ed.j) GROUP BY p.seen)) --- SELECT e.i, e.j, e.v FROM p WHERE e IS NOT NULL"
+
+
+@query("asset_tree", _TREE, "v")
+def _(spark, d):
+    return spark.createDataFrame([(i, j, v) for v, i, j in matrix.spanning_tree(matrix.distances(_cov(spark, d)))], "i int, j int, v double")
+
+
+def _orthogonal(spark, d, threshold):
+    return matrix.orthogonal_rows(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", DIMS, threshold)
+
+
+_STANDARD = f"z AS (SELECT vec_id, i, (x - avg(x) OVER (PARTITION BY i)) / stddev_samp(x) OVER (PARTITION BY i) AS z FROM (SELECT vec_id, unnest(range(1, {DIMS + 1})) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings))"
+
+
+@query("orthogonal_features", f"WITH {_STANDARD} --- SELECT vec_id, sum(z * z) AS squares FROM z GROUP BY 1", "squares")
+def _(spark, d):
+    """All components: a rotation keeps each row's squares."""
+    return _orthogonal(spark, d, 1.0).select("vec_id", F.aggregate("components", F.lit(0.0), lambda a, x: a + x * x).alias("squares"))
+
+
+@query("orthogonal_gram", f"WITH n AS (SELECT unnest(range(1, {DIMS + 1}))::INTEGER AS i) --- SELECT a.i, b.i AS j, 0e0 AS v FROM n a JOIN n b ON a.i < b.i")
+def _(spark, d):
+    """The components' covariances with each other, all of which are nought."""
+    return matrix.covariance(_orthogonal(spark, d, 1.0), "components", DIMS).filter("i < j").select("i", "j", "v")
+
+
+_TAU = f"""WITH e AS (SELECT label, unnest(range(1, {DIMS + 1})) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), o AS (SELECT i, avg(x) AS m, row_number() OVER (ORDER BY stddev_samp(x) DESC, i) AS rk FROM e GROUP BY i),
+  t AS (SELECT e.label, e.i, abs(avg(e.x) - any_value(o.m)) AS x, any_value(1e0 / o.rk) AS y FROM e JOIN o USING (i) GROUP BY 1, 2),
+  r AS (SELECT *, 1e0 / row_number() OVER (PARTITION BY label ORDER BY x DESC) AS wx, 1e0 / row_number() OVER (PARTITION BY label ORDER BY y DESC) AS wy FROM t),
+  q AS (SELECT a.label, sum((a.wx + b.wx) * sign(a.x - b.x) * sign(a.y - b.y)) / sum(a.wx + b.wx) AS tx, sum((a.wy + b.wy) * sign(a.x - b.x) * sign(a.y - b.y)) / sum(a.wy + b.wy) AS ty FROM r a JOIN r b ON a.label = b.label AND a.i < b.i GROUP BY 1) --- SELECT label, (tx + ty) / 2 AS tau FROM q"""
+
+
+@query("weighted_tau", _TAU, "tau")
+def _(spark, d):
+    """How far the features that set a label apart are those of large deviation."""
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    rank = F.row_number().over(Window.orderBy(F.desc("sd"), "i"))  # as many rows as an embedding has values
+    overall = e.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd")).withColumn("rank", rank)
+    scores = e.groupBy("label", "i").agg(F.avg("x").alias("own")).join(overall, "i").select("label", F.abs(F.col("own") - F.col("m")).alias("importance"), "rank")
+    return importance.weighted_taus(scores, "importance", "rank", "label")
 
 
 @query("nco_weights")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions.special import digamma, ols_t
-from fathomline.operators import breaks, dependence, neighbours
+from fathomline.operators import breaks, dependence, fracdiff, importance, matrix, neighbours
 
 
 def points(spark, groups):
@@ -150,3 +150,114 @@ def test_psy_over_several_tiles(spark, monkeypatch):
     for k in range(70):
         if np.isfinite(b[k]):
             assert (got[k + 1].sadf, got[k + 1].bsadf) == pytest.approx((a[k], b[k]), rel=1e-6)
+
+
+@pytest.mark.parametrize("width", [16, 1 << 13])
+def test_differences_over_the_past_by_blocks(spark, monkeypatch, width):
+    monkeypatch.setattr(fracdiff, "BLOCK", width)
+    monkeypatch.setattr(fracdiff, "MOST_LAGS", 3)
+    rng = np.random.default_rng(9)
+    x, y = 50 + np.cumsum(rng.standard_normal(150)), rng.standard_normal(40)
+    gaps = x.copy()
+    gaps[[5, 70]] = np.nan
+    s = series(spark, x).union(series(spark, y, "b")).union(series(spark, [1.0], "c"))
+    s = s.union(spark.createDataFrame([("g", k, None if math.isnan(v) else float(v)) for k, v in enumerate(gaps)], s.schema)).union(spark.createDataFrame([(None, 1, 2.0)], s.schema))
+    for got, plain in ((fracdiff.frac_diff_expanding(s, 0.4, 0.3), lambda v: fracdiff.expanding_difference(v, 0.4, 0.3)), (fracdiff.ffd(s, 0.4, 0.01), lambda v: fracdiff.fixed_difference(v, 0.4, 0.01))):
+        found = {(r.symbol, r.ts): r[3] for r in got.collect()}
+        assert len(found) == 150 + 40 + 1 + 150
+        for name, v in (("a", x), ("b", y), ("c", np.ones(1)), ("g", gaps)):
+            for k, want in enumerate(plain(v)):
+                have = found[name, k]
+                assert (have is None) == bool(np.isnan(want)), (name, k)
+                assert have is None or have == pytest.approx(want, abs=1e-8)
+        assert any(v is not None for (g, _), v in found.items() if g == "a")
+
+
+def long_table(spark, d):
+    n = len(d)
+    return spark.createDataFrame([(i + 1, j + 1, float(d[i, j])) for i in range(n) for j in range(n)], "i int, j int, v double")
+
+
+def plain_linkage(d):
+    """Merges by repeated search of the two nearest clusters; of equals, the ones with the least pair of items."""
+    groups = {i: (i,) for i in range(len(d))}
+    out = []
+    while len(groups) > 1:
+        v, i, j = min((d[i, j], min(i, j), max(i, j)) for a in groups for b in groups if a < b for i in groups[a] for j in groups[b])
+        a, b = sorted(g for g, items in groups.items() if i in items or j in items)
+        out.append((a, b, v, len(groups[a]) + len(groups[b])))
+        groups[len(d) + len(out) - 1] = groups.pop(a) + groups.pop(b)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_spanning_trees_and_linkage(spark, ties):
+    rng = np.random.default_rng(10)
+    d = rng.integers(1, 4, (14, 14)).astype(float) if ties else rng.random((14, 14))
+    d = np.minimum(d, d.T)
+    np.fill_diagonal(d, 0)
+    tree = matrix.spanning_tree(long_table(spark, d))
+    own = matrix.matrix_tree(d)
+    assert [(v, i - 1, j - 1) for v, i, j in tree] == own and len(tree) == 13
+    assert matrix.linkage(own, 14).tolist() == plain_linkage(d).tolist()
+    assert sorted(matrix.quasi_diagonal(matrix.single_linkage(d))) == list(range(1, 15))
+    # items that nothing joins stay apart
+    apart = long_table(spark, d).filter("(i <= 7) = (j <= 7)")
+    assert len(matrix.spanning_tree(apart)) == 12
+    assert matrix.spanning_tree(apart.filter("false")) == []
+
+
+def test_hierarchical_weights_of_a_table(spark):
+    x = np.random.default_rng(11).standard_normal((60, 8)) @ np.random.default_rng(12).standard_normal((8, 8))
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+    cov = np.cov(x.T)
+    assert matrix.hierarchical_weights(matrix.covariance(rows, "v", 8), 8) == pytest.approx(matrix.hierarchical_risk_parity(cov, matrix.cov_to_corr(cov)), rel=1e-9)
+
+
+def test_two_thousand_assets():
+    x = np.random.default_rng(13).standard_normal((300, 2000))
+    cov = np.cov(x.T)
+    began = time.process_time()
+    w = matrix.hierarchical_risk_parity(cov, matrix.cov_to_corr(cov))
+    assert w.sum() == pytest.approx(1) and (w > 0).all() and time.process_time() - began < 60
+
+
+def test_rows_are_projected_where_they_lie(spark):
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((80, 5)) * [1, 2, 3, 0, 5] + 7
+    x[:, 2] = x[:, 1] + 0.01 * x[:, 2]
+    rows = [(k, v.tolist(), "kept") for k, v in enumerate(x)] + [(90, None, "n"), (91, [1.0, None, 1.0, 1.0, 1.0], "n"), (92, [1.0], "n")]
+    df = spark.createDataFrame(rows, "id int, v array<double>, components string").repartition(3)
+    for threshold in (0.8, 0.95, 1.0):
+        got = {r["id"]: r for r in matrix.orthogonal_rows(df.drop("components"), "v", 5, threshold).collect()}
+        assert [got[k].components for k in (90, 91, 92)] == [None] * 3
+        z, w, _, _ = matrix.orthogonal_features(x[:, [0, 1, 2, 4]], threshold)
+        own = np.array([got[k].components for k in range(80)])[:, : z.shape[1]]
+        assert np.abs(own) == pytest.approx(np.abs(z), abs=1e-7)  # vectors' signs are free
+        assert own.T @ own == pytest.approx(np.diag(w), abs=1e-6)
+    assert matrix.orthogonal_rows(df.drop("components").filter("false"), "v", 5).collect() == []
+
+
+def plain_tau(x, y):
+    def one(key):
+        w = np.empty(len(x))
+        w[np.argsort(-key, kind="stable")] = 1.0 / np.arange(1, len(x) + 1)
+        pair = np.triu(w[:, None] + w, 1)
+        sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+        return (pair * sx * sy).sum() / math.sqrt((pair * np.abs(sx)).sum() * (pair * np.abs(sy)).sum())
+
+    return (one(x) + one(y)) / 2
+
+
+def test_weighted_tau_by_merging(spark):
+    rng = np.random.default_rng(15)
+    for n in (2, 5, 33, 200):
+        for x, r in ((rng.random(n), rng.permutation(n) + 1), (np.append(rng.integers(0, 4, n - 1), 9.0), np.append(rng.integers(1, 5, n - 1), 7))):
+            assert importance.weighted_tau(x, r) == pytest.approx(plain_tau(np.asarray(x, float), 1.0 / r), abs=1e-9)
+    assert math.isnan(importance.weighted_tau([1, 1, 1], [1, 2, 3]))
+    began = time.process_time()
+    importance.weighted_tau(rng.random(200_000), rng.permutation(200_000) + 1)
+    assert time.process_time() - began < 60
+    rows = [("a", 1, 0.5), ("a", 2, 0.2), ("a", 3, 0.8), ("a", 4, 0.1), ("a", None, 1.0), ("a", 5, None), ("b", 1, 1.0), (None, 1, 1.0)]
+    got = {r.k: r.tau for r in importance.weighted_taus(spark.createDataFrame(rows, "k string, rank int, importance double"), "importance", "rank", "k").collect()}
+    assert got == {"a": pytest.approx(0.2), "b": None}
