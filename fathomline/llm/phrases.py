@@ -35,9 +35,9 @@ MOST_SLOTS = 4_000_000
 #: Bits of a bitmap of frequent words or pairs: so many a key, but no more than MOST_BITS; parts that it is built in.
 KEY_BITS, LEAST_BITS, MOST_BITS, PARTS = 32, 1 << 16, 1 << 27, 64
 #: Bytes of text that are parsed at a time, and bytes of a word that are numbered by the vectorised rule.
-CHUNK, LONGEST = 1 << 21, 64
+CHUNK, LONGEST = 1 << 20, 64
 #: Keys that a task adds up before it passes them on, and slots of a row of counts.
-HELD, SLICE = 1_000_000, 1 << 16
+HELD, SLICE = 400_000, 1 << 16
 #: Sums that tasks' arrays meet in before they are added up once more.
 LEGS = 64
 #: Rows that a salted share of a language's phrases is ranked in, in parts.
