@@ -10,7 +10,7 @@ isolated word counts by its role in its clause and not by itself.
 
 The insult lexicon has a seed list and is extended by word beginnings that mark toxic documents among
 labelled training rows; the arcs' weights are fitted to the same rows.  Fitting reads a sample of at most
-SAMPLE_TOXIC + SAMPLE_CLEAN labelled rows of at most FIT_BYTES each, chosen by hash; everything else
+SAMPLE_TOXIC + SAMPLE_CLEAN labelled documents chosen by hash, those of FIT_BYTES first and FIT_TOTAL a class at most; everything else
 covers all rows and whole texts.
 """
 
@@ -32,7 +32,7 @@ from ..runtime import ship
 from .common import OWN, crc_remainder
 from .tokens import rows_of
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, FIT_BYTES = 3000, 9000, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, FIT_BYTES, FIT_TOTAL = 3000, 9000, 20_000, 100 << 20
 #: A word beginning enters the lexicon if it is in nearly only toxic sample rows, by rates, and so many
 #: of them that chance among all beginnings tried doesn't explain it (a likelihood ratio).
 PURITY, MARGIN = 0.97, 10.0
@@ -142,7 +142,7 @@ class Grammar:
         for end, _size in self.spotter.iter(low):
             if end <= done:
                 continue
-            first = max((low.rfind(c, 0, end) for c in ".,;:!?\n|"), default=-1) + 1
+            first = max(low.rfind(c, max(done, 0), end) for c in ".,;:!?\n|") + 1  # the last clause's end is a mark
             after = _CLAUSE.search(low, end)
             done = after.start() if after else len(low)
             state, path = self.start, [0] * len(self.names)
@@ -228,15 +228,37 @@ def fit_weights(paths: np.ndarray, row: np.ndarray, y: np.ndarray, ridge: float
     return w
 
 
+def chosen_rows(text: DataFrame, y: DataFrame) -> list[tuple]:
+    """(id, hash of the text, label) of the rows to learn from, among documents that have a label.
+
+    Of each class by hash of the identifier, at most SAMPLE_TOXIC or SAMPLE_CLEAN; texts of FIT_BYTES come before
+    longer ones, and those before ones of twice the length, as far as FIT_TOTAL bytes a class go, but one at least.
+    """
+    keys = text.filter(F.col(OWN + "id").isNotNull()).select(OWN + "id", "hash", F.octet_length("text").alias("size")).distinct().join(y, OWN + "id")
+    longer = F.greatest(F.ceil(F.log2(F.col("size") / FIT_BYTES)), F.lit(0))
+    order = [F.coalesce(longer, F.lit(0)), F.xxhash64(OWN + "id"), F.col(OWN + "id"), F.col("hash")]
+    out = []
+    for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
+        total = 0
+        for k, r in enumerate(keys.filter(F.col("y") == label).orderBy(*order).limit(most).collect()):
+            total += r["size"]
+            if k and total > FIT_TOTAL:
+                break
+            out.append((r[OWN + "id"], r["hash"], label))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0) -> dict:
     """The model as plain values: stems and weights, from rows whose crc remainder isn't held_out."""
     y = labels.select(F.col(id_col).alias(OWN + "id"), F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (crc_remainder(F.col(OWN + "id"), folds) != held_out))
     y = y.groupBy(OWN + "id").agg(F.max("y").alias("y"))
-    text = docs.select(F.col(id_col).alias(OWN + "id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = [F.xxhash64(F.col(OWN + "id")), F.col(OWN + "id")]
-    chosen = y.filter("y = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(y.filter("y = 0").orderBy(*order).limit(SAMPLE_CLEAN))
-    # at most SAMPLE_TOXIC + SAMPLE_CLEAN pairs, and as many texts of FIT_BYTES
-    rows = text.filter(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(chosen), OWN + "id").select(OWN + "id", "text", "y").toArrow().sort_by([(OWN + "id", "ascending"), ("text", "ascending")])
+    text = docs.select(F.col(id_col).alias(OWN + "id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    chosen = chosen_rows(text, y)
+    if not chosen:
+        return {"stems": [], "weights": list(UNTAUGHT)}
+    # a text a chosen pair, whose number and bytes are bounded, however often rows repeat
+    wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([text.schema[OWN + "id"], text.schema["hash"], T.StructField("y", T.IntegerType())]))
+    rows = text.join(F.broadcast(wanted), [OWN + "id", "hash"]).dropDuplicates([OWN + "id", "hash"]).select(OWN + "id", "text", "y").toArrow().sort_by([(OWN + "id", "ascending"), ("text", "ascending")])
     toxic = rows.column("y").to_numpy().astype(int)
     texts = rows.column("text").to_pylist()
     if not len(toxic) or toxic.min() == toxic.max():
@@ -256,10 +278,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     paths: how often each arc's weight is on the paths of the document's clauses, as JSON.  Only the text
     enters a score.  A null text counts as empty; an empty text has no match and gets the score of the
-    constant.  Where labels clash, a document that any row marks toxic is toxic.  Without labels of both
+    constant.  Where labels clash, a document that any row marks toxic is toxic.  Without documents of both
     classes among the rows that may be learned from, the seed lists and the weights UNTAUGHT are used.
-    Identifiers that repeat among documents are learned from with each of their texts.  A null identifier's remainder is that of empty text.  Repeated rows are
-    scored each; an empty table gives an empty result; labels of other documents, null labels and an
+    Identifiers that repeat among documents are learned from with each of their texts, once each.  A null
+    identifier's remainder is that of empty text, and no label is its.  Repeated rows are scored each; an empty table gives an empty result; labels of other documents, null labels and an
     empty label table are allowed.  With keep_columns, docs' own columns come with toxic_score and
     toxic_predicted added.
     """

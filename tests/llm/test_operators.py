@@ -668,6 +668,59 @@ def test_grammar():
         assert at(text) == [dict(c) for c in plain_clauses(text, ["zarg"])], text
 
 
+def taught_scene(spark, words, n=200):
+    """Documents with labels, a quarter toxic by a word that no list has."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("bdfgklmnprstaeiou") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
+    rows = []
+    for k in range(n):
+        text = " ".join(rng.choice(vocabulary) for _ in range(words))
+        rows.append((k, text + (f" you zorglak{rng.choice('aeiou')}. and more" if k % 4 == 0 else "."), int(k % 4 == 0)))
+    return spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string"), spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int")
+
+
+def test_toxicity_learns_beside_labels_of_other_documents(spark):
+    few, own = taught_scene(spark, 30)
+    alone = toxicity.fit(few, own)
+    others = spark.range(1000, 201000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    assert alone["stems"] and toxicity.fit(few, own.union(others)) == alone
+    # rows and labels that repeat teach nothing more
+    assert toxicity.fit(few.union(few), own.union(own)) == alone
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    few, own = taught_scene(spark, 4000)
+    assert few.selectExpr("min(length(text))").first()[0] > toxicity.FIT_BYTES
+    model = toxicity.fit(few, own)
+    assert model["stems"] and model["weights"] != list(toxicity.UNTAUGHT)
+    got = toxicity.score_toxicity(few, own).join(own, "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in got) > 0.95 * len(got)
+
+
+def test_rows_to_learn_from_are_bounded(spark, monkeypatch):
+    few, own = taught_scene(spark, 30, 80)
+    text = few.select(F.col("doc_id").alias("__fl_id"), "text").withColumn("hash", F.xxhash64("text"))
+    y = own.select(F.col("doc_id").alias("__fl_id"), F.col("toxic").alias("y"))
+    monkeypatch.setattr(toxicity, "FIT_TOTAL", 1000)
+    sizes = {r[0]: len(r[1]) for r in few.collect()}
+    chosen = toxicity.chosen_rows(text, y)
+    for label in (0, 1):
+        assert 1 < sum(c[2] == label for c in chosen) and sum(sizes[c[0]] for c in chosen if c[2] == label) <= 1000
+    monkeypatch.setattr(toxicity, "FIT_TOTAL", 1)
+    assert sorted(c[2] for c in toxicity.chosen_rows(text, y)) == [0, 1]
+
+
+def test_clauses_of_a_long_text_take_linear_time():
+    import time
+
+    g = toxicity.Grammar([])
+    text = ("word " * 8 + "you idiot. ") * 100_000
+    began = time.process_time()
+    assert len(g.clauses(text)) == 100_000
+    assert time.process_time() - began < 40
+    assert g.clauses("a b " * 1_000_000 + "you idiot") == g.clauses("a b a b a b a b a b you idiot")
+
+
 def test_toxicity_scores_against_a_plain_version(spark):
     """Scores from the fitted arcs' weights, clause by clause; clashing labels and identifiers that repeat."""
     rng = random.Random(7)
