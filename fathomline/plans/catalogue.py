@@ -234,11 +234,66 @@ def _(spark, d):
     return S.text_floats(spark, _written(rows, "text", "_seq"))
 
 
+_METRICS = {"tick": "1e0", "volume": "volume", "dollar": "price * volume"}
+#: What a tick's metric signed by the tick rule is, and for each place among the signed ones (all, or those of a side)
+#: the exponential mean of the last 50 at most, whose smoothing follows their number.
+_IMBALANCES = """t AS (SELECT *, sign * {metric} AS b FROM {{signed}}),
+  o AS (SELECT symbol, tick_index, {side} AS side, {size} AS b, row_number() OVER (PARTITION BY symbol, {side} ORDER BY tick_index) AS c FROM t {only}),
+  m AS (SELECT x.symbol, x.side, x.c, sum(y.b * pow(1 - 2e0 / (least(x.c, 50) + 1), x.c - y.c)) / sum(pow(1 - 2e0 / (least(x.c, 50) + 1), x.c - y.c)) AS e FROM o x JOIN o y ON x.symbol = y.symbol AND x.side = y.side AND y.c BETWEEN x.c - 49 AND x.c GROUP BY 1, 2, 3)"""
+#: The exponential mean of the last values of a list, by a window of so many.
+_LAST_EWMA = "list_sum(list_transform({l}, lambda v, k: v * pow(1 - 2e0 / ({w} + 1), len({l}) - k))) / list_sum(list_transform({l}, lambda v, k: pow(1 - 2e0 / ({w} + 1), len({l}) - k)))"
+_CLOSED_BARS = """ --- SELECT {bar} FROM (SELECT t.*, f.bar_id, last_value(CASE WHEN f.closed THEN f.lim END IGNORE NULLS) OVER g AS lim, bool_or(f.closed) OVER g AS is_full FROM t JOIN f USING (symbol, tick_index) WINDOW g AS (PARTITION BY t.symbol, f.bar_id ORDER BY t.tick_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE is_full GROUP BY symbol, bar_id"""
+
+
+def _expected_ticks(expected: bool) -> str:
+    """Of a row of f that has closed a bar: what the next one is expected to last, or is as before."""
+    return f"CASE WHEN f.closed THEN least(greatest({_LAST_EWMA.format(l='f.lengths', w=5)}, 5e0), 100e0) ELSE f.et END" if expected else "20e0"
+
+
+def _imbalance_sql(metric: str, expected: bool) -> str:
+    """One signed sum a bar, against the expected length times the expected size of an imbalance."""
+    ticks = "CASE WHEN f.closed THEN 1 ELSE f.ticks + 1 END"
+    theta = "CASE WHEN f.closed THEN 0 ELSE f.theta END + i.b"
+    mean = "coalesce(CASE WHEN f.closed THEN f.own ELSE f.e END, CASE WHEN i.tick_index >= 20 THEN i.own END)"
+    return f"""WITH RECURSIVE {_IMBALANCES.format(metric=_METRICS[metric], side="0", size="b", only="")},
+      i AS (SELECT t.symbol, t.tick_index, t.b, m.e AS own FROM t JOIN m ON m.symbol = t.symbol AND m.c = t.tick_index),
+      f AS (SELECT symbol, tick_index, 0::BIGINT AS bar_id, 1 AS ticks, b AS theta, NULL::DOUBLE AS e, own, 20e0 AS et, []::INTEGER[] AS lengths, NULL::DOUBLE AS lim, FALSE AS closed FROM i WHERE tick_index = 1
+      UNION ALL SELECT symbol, tick_index, bar_id, ticks, theta, e, own, et, CASE WHEN abs(theta) >= et * abs(e) THEN list_append(lengths, ticks)[-5:] ELSE lengths END, et * abs(e), coalesce(abs(theta) >= et * abs(e), FALSE)
+      FROM (SELECT i.symbol, i.tick_index, f.bar_id + f.closed::BIGINT AS bar_id, {ticks} AS ticks, {theta} AS theta, {mean} AS e, i.own, {_expected_ticks(expected)} AS et, f.lengths FROM f JOIN i ON i.symbol = f.symbol AND i.tick_index = f.tick_index + 1))"""
+
+
+def _run_sql(metric: str, expected: bool) -> str:
+    """A sum for buys and one for sells a bar, against the expected length times the greater expected side."""
+    reset = lambda c, more: f"CASE WHEN f.closed THEN 0 ELSE f.{c} END + {more}"
+    share = _LAST_EWMA.format(l="f.shares", w=5 if expected else 50)
+    # what a closed bar leaves; where any of it is unknown, all are estimated anew with this tick
+    carried = {"e0": "CASE WHEN f.closed THEN f.own0 ELSE f.e0 END", "e1": "CASE WHEN f.closed THEN f.own1 ELSE f.e1 END", "bs": f"CASE WHEN f.closed THEN {share} ELSE f.bs END"}
+    limit = "et * greatest(bs * e0, (1 - bs) * e1)"
+    known = "et + e0 + e1 + bs IS NOT NULL"
+    return f"""WITH RECURSIVE {_IMBALANCES.format(metric=_METRICS[metric], side="(sign < 0)::INTEGER", size="abs(b)", only="WHERE b <> 0")},
+      n AS (SELECT symbol, tick_index, b, sum((b > 0)::INTEGER) OVER w AS n0, sum((b < 0)::INTEGER) OVER w AS n1 FROM t WINDOW w AS (PARTITION BY symbol ORDER BY tick_index)),
+      i AS (SELECT n.*, p.e AS own0, q.e AS own1 FROM n LEFT JOIN m p ON p.symbol = n.symbol AND p.side = 0 AND p.c = n.n0 LEFT JOIN m q ON q.symbol = n.symbol AND q.side = 1 AND q.c = n.n1),
+      f AS (SELECT symbol, tick_index, 0::BIGINT AS bar_id, 1::BIGINT AS ticks, (b > 0)::BIGINT AS buys, greatest(b, 0)::DOUBLE AS up, greatest(-b, 0)::DOUBLE AS dn, NULL::DOUBLE AS e0, NULL::DOUBLE AS e1, (b > 0)::DOUBLE AS bs, own0, own1, 20e0 AS et, []::BIGINT[] AS lengths, []::DOUBLE[] AS shares, NULL::DOUBLE AS lim, FALSE AS closed FROM i WHERE tick_index = 1
+      UNION ALL SELECT symbol, tick_index, bar_id, ticks, buys, up, dn, e0, e1, bs, own0, own1, et, CASE WHEN {known} AND greatest(up, dn) >= {limit} THEN list_append(lengths, ticks)[-5:] ELSE lengths END, CASE WHEN {known} AND greatest(up, dn) >= {limit} THEN list_append(shares, buys / ticks::DOUBLE)[-{5 if expected else 50}:] ELSE shares END, {limit}, {known} AND coalesce(greatest(up, dn) >= {limit}, FALSE)
+      FROM (SELECT symbol, tick_index, bar_id, ticks, buys, up, dn, own0, own1, et, lengths, shares, CASE WHEN fresh THEN CASE WHEN n0 >= et THEN own0 END ELSE e0 END AS e0, CASE WHEN fresh THEN CASE WHEN n1 >= et THEN own1 END ELSE e1 END AS e1, CASE WHEN fresh THEN buys / ticks::DOUBLE ELSE bs END AS bs
+      FROM (SELECT i.symbol, i.tick_index, i.n0, i.n1, f.bar_id + f.closed::BIGINT AS bar_id, {reset("ticks", "1")} AS ticks, {reset("buys", "(i.b > 0)::BIGINT")} AS buys, {reset("up", "greatest(i.b, 0)")} AS up, {reset("dn", "greatest(-i.b, 0)")} AS dn, {carried["e0"]} AS e0, {carried["e1"]} AS e1, {carried["bs"]} AS bs, {carried["e0"]} + {carried["e1"]} + {carried["bs"]} IS NULL AS fresh, i.own0, i.own1, {_expected_ticks(expected)} AS et, f.lengths, f.shares
+      FROM f JOIN i ON i.symbol = f.symbol AND i.tick_index = f.tick_index + 1)))"""
+
+
+def _information_bars(metric: str, family: str, expected: bool) -> None:
+    name = f"{metric}_{family}_{'expected' if expected else 'fixed'}"
+    more = {"ticks_window": 5, "bounds": (5.0, 100.0)} if expected else {}
+    sql = (_imbalance_sql if family == "imbalance" else _run_sql)(metric, expected)
+
+    @query(name, sql + _CLOSED_BARS.format(bar=_BAR.format(stamp="max(ts)", limit="any_value(lim)")), _BAR_DOUBLES + " threshold")
+    def _(spark, d):
+        return bars.build_bars(name, events_ticks(spark, d), expected_ticks=20.0, window=50, **more)
+
+
 for _metric in bars.METRICS:
-    QUERIES[f"{_metric}_imbalance_fixed"] = lambda spark, d, m=_metric: rounded(bars.build_bars(f"{m}_imbalance_fixed", events_ticks(spark, d), expected_ticks=20.0, window=50))
-    QUERIES[f"{_metric}_imbalance_expected"] = lambda spark, d, m=_metric: rounded(bars.build_bars(f"{m}_imbalance_expected", events_ticks(spark, d), expected_ticks=20.0, window=50, ticks_window=5, bounds=(5.0, 100.0)))
-    QUERIES[f"{_metric}_run_fixed"] = lambda spark, d, m=_metric: rounded(bars.build_bars(f"{m}_run_fixed", events_ticks(spark, d), expected_ticks=20.0, window=50))
-    QUERIES[f"{_metric}_run_expected"] = lambda spark, d, m=_metric: rounded(bars.build_bars(f"{m}_run_expected", events_ticks(spark, d), expected_ticks=20.0, window=50, ticks_window=5, bounds=(5.0, 100.0)))
+    for _family in ("imbalance", "run"):
+        for _expected in (False, True):
+            _information_bars(_metric, _family, _expected)
 
 
 @query("ewma_full", "WITH RECURSIVE t AS (SELECT symbol, seq, tick_index, price FROM {signed}), f AS (SELECT symbol, seq, tick_index, price AS s, 1e0 AS w FROM t WHERE tick_index = 1 UNION ALL SELECT t.symbol, t.seq, t.tick_index, f.s * 0.9e0 + t.price, f.w * 0.9e0 + 1 FROM f JOIN t ON t.symbol = f.symbol AND t.tick_index = f.tick_index + 1) --- SELECT symbol, seq, s / w AS ewma FROM f", "ewma")
