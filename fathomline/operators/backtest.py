@@ -110,7 +110,31 @@ def expected_drawdown(returns: np.ndarray, horizon: int, alpha: float = 0.9) ->
 
 
 def conditional_expected_drawdown(returns: DataFrame, horizon: int, alpha: float = 0.9, value: str = "x") -> DataFrame:
-    return per_series(returns.select("symbol", "ts", value), "symbol", ["ts"], lambda rows: scalars(ced=expected_drawdown(rows[value].to_numpy(float), horizon, alpha)), "ced double")
+    """symbol, ced: mean of the worst 1 - alpha of the greatest drawdowns of all windows of `horizon` rows, the last one
+    in part; a series shorter than that, or a horizon below 2, is one window.
+
+    Each row of wealth goes to the windows that hold it, `horizon` copies, and windows are what is aggregated; wealth
+    is a sum of logarithms, so a return of -1 or less makes it 0 from there on, which is a drawdown of 1.
+    """
+    if not 0 < alpha < 1:
+        raise ValueError("alpha is between 0 and 1")
+    o = ordered("symbol", "ts")
+    run = o.rowsBetween(Window.unboundedPreceding, 0)
+    s = returns.filter(F.col("symbol").isNotNull() & F.col(value).isNotNull()).select("symbol", F.row_number().over(o).alias("_pos"), F.sum(F.when(F.col(value) > -1, F.log1p(value)).otherwise(0.0)).over(run).alias("_log"), F.max((F.col(value) <= -1).cast("int")).over(run).alias("_lost"))
+    sizes = s.groupBy("symbol").agg(F.max("_pos").alias("_n"))
+    s = s.join(sizes, "symbol").withColumn("_h", F.when((F.lit(horizon) >= 2) & (F.lit(horizon) <= F.col("_n")), F.lit(horizon)).otherwise(F.col("_n")))
+    first = F.greatest(F.col("_pos") - F.col("_h") + 1, F.lit(1))
+    s = s.withColumn("_window", F.explode(F.sequence(first, F.least("_pos", F.col("_n") - F.col("_h") + 1))))
+    w = Window.partitionBy("symbol", "_window").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    top = F.max(F.when(F.col("_lost") == 0, F.col("_log"))).over(w)
+    drop = F.when(F.col("_lost") == 1, F.when(top.isNotNull(), 1.0).otherwise(0.0)).otherwise(1 - F.exp(F.col("_log") - top))
+    deepest = s.withColumn("_drop", drop).groupBy("symbol", "_window").agg(F.max("_drop").alias("_drop"))
+    # equal drawdowns are one row with their number, so ranks come from few rows
+    same = deepest.groupBy("symbol", "_drop").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("symbol").orderBy(F.desc("_drop")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    k = (1 - alpha) * (F.sum("_c").over(Window.partitionBy("symbol")))
+    taken = F.greatest(F.least(k - before, F.col("_c").cast("double")), F.lit(0.0))
+    return same.withColumn("_k", k).withColumn("_taken", taken).groupBy("symbol").agg((F.sum(F.col("_taken") * F.col("_drop")) / F.max("_k")).alias("ced"))
 
 
 # ---- Sharpe-ratio inference -----------------------------------------------------------------------
@@ -149,9 +173,31 @@ def sharpe_inference(r: np.ndarray, level: float = 0.95, lag: int | None = None,
     return {"sharpe_ratio": ratio, "standard_error": se, "lower": ratio - z * se, "upper": ratio + z * se, "test_statistic": t, "p_value": p, "significant": p < 1 - level, "lag": lag}
 
 
-def sharpe_inferences(returns: DataFrame, value: str = "x", **parameters) -> DataFrame:
-    schema = "sharpe_ratio double, standard_error double, lower double, upper double, test_statistic double, p_value double, significant boolean, lag long"
-    return per_series(returns.select("symbol", "ts", value), "symbol", ["ts"], lambda rows: scalars(**sharpe_inference(rows[value].to_numpy(float), **parameters)), schema)
+def sharpe_inferences(returns: DataFrame, value: str = "x", level: float = 0.95, lag: int | None = None, null: float = 0.0) -> DataFrame:
+    """symbol and the inference of its Sharpe ratio from influences and their long-run variance, as one plan.
+
+    Lags follow each series' length (or are given), and a row meets as many before it as the longest series has.
+    Series of fewer than three rows, or without deviation, have a ratio and nothing else.
+    """
+    o = ordered("symbol", "ts")
+    rows = returns.filter(F.col("symbol").isNotNull() & F.col(value).isNotNull()).select("symbol", "ts", F.col(value).alias("_x"))
+    stats = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("_m"), F.stddev_samp("_x").alias("_sd"))
+    lags = F.greatest(F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(2 / 9))), F.lit(1)).cast("long") if lag is None else F.lit(lag).cast("long")
+    good = (F.col("n") >= 3) & (F.col("_sd") > 0)
+    stats = stats.withColumn("sharpe_ratio", F.when(F.col("_sd") > 0, F.col("_m") / F.col("_sd")).otherwise(0.0)).withColumn("lag", F.when(good, lags).otherwise(F.lit(0)).cast("long"))
+    most = stats.agg(F.max(F.least("lag", F.col("n") - 1))).first()[0] or 0
+    z = (F.col("_x") - F.col("_m")) / F.col("_sd")
+    infl = rows.join(stats.filter(good), "symbol").withColumn("_i", z - 0.5 * F.col("sharpe_ratio") * (z * z - 1))
+    infl = infl.join(infl.groupBy("symbol").agg(F.avg("_i").alias("_mi")), "symbol").withColumn("_i", F.col("_i") - F.col("_mi"))
+    past = F.reverse(F.collect_list("_i").over(o.rowsBetween(-int(most), -1))) if most else F.array().cast("array<double>")
+    weighted = F.aggregate(F.transform(F.col("_past"), lambda v, k: F.when(k + 1 <= F.col("lag"), v * (1 - (k + 1) / (F.col("lag") + 1.0))).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
+    infl = infl.withColumn("_past", past).withColumn("_c", F.col("_i") * (F.col("_i") + 2 * weighted))
+    variance = infl.groupBy("symbol").agg(F.greatest(F.sum("_c") / F.count(F.lit(1)), F.lit(1e-12)).alias("_v"))
+    out = stats.join(variance, "symbol", "left").withColumn("standard_error", F.sqrt(F.col("_v") / F.col("n")))
+    width = norm_ppf(0.5 + level / 2)
+    out = out.withColumns({"lower": F.col("sharpe_ratio") - width * F.col("standard_error"), "upper": F.col("sharpe_ratio") + width * F.col("standard_error"), "test_statistic": (F.col("sharpe_ratio") - null) / F.col("standard_error")})
+    out = out.withColumn("p_value", 2 * phi("-abs(test_statistic)")).withColumn("significant", F.coalesce(F.col("p_value") < 1 - level, F.lit(False)))
+    return out.select("symbol", "sharpe_ratio", "standard_error", "lower", "upper", "test_statistic", "p_value", "significant", "lag")
 
 
 def newey_west(returns: DataFrame, lag: int, value: str = "x") -> DataFrame:
@@ -236,6 +282,14 @@ def benchmark_sharpe(ratios) -> float:
     return 0.0 if not len(r) else float(r[0]) if len(r) == 1 else expected_max(len(r), 0.0, float(r.std()), EULER)
 
 
+def benchmark_sharpes(ratios: DataFrame, value: str = "sr") -> DataFrame:
+    """One row, benchmark: the expected greatest of as many ratios of no mean as there are; one ratio is its own, none
+    gives 0."""
+    known = ratios.filter(F.col(value).isNotNull() & ~F.isnan(value)).agg(F.count(F.lit(1)).cast("double").alias("n"), F.stddev_pop(value).alias("sd"), F.max(value).alias("only"))
+    top = (1 - EULER) * phi_inv("1e0 - 1e0 / n") + EULER * phi_inv(f"1e0 - 1e0 / (n * {math.e!r})")
+    return known.select(F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("only")).otherwise(F.col("sd") * top).alias("benchmark"))
+
+
 def sharpe_z(sr: float, n: int, true: float = 0.0, skew: float = 0.0, kurt: float = 3.0) -> float:
     d = 1 - skew * sr + (kurt - 1) / 4 * sr * sr
     return (sr - true) * math.sqrt(n - 1) / math.sqrt(d) if d > 0 else math.nan

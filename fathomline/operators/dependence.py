@@ -21,16 +21,23 @@ def number_of_bins(n: int, correlation: float | None = None) -> int:
     return round(2**-0.5 * math.sqrt(1 + math.sqrt(1 + 24 * n / rest)))
 
 
-def bin_of(x: str, bins: int, key: str) -> Column:
-    """Equal-width bins from 1; the last is closed, and a constant is bin 1."""
-    w = Window.partitionBy(key)
-    lo, hi = F.min(x).over(w), F.max(x).over(w)
+def bin_of(x: str, low: str, high: str, bins: int) -> Column:
+    """Equal-width bins from 1 between columns low and high; the last is closed, and a constant is bin 1."""
+    lo, hi = F.col(low), F.col(high)
     return F.when(hi == lo, F.lit(1)).otherwise(F.least(F.floor(F.try_divide(F.col(x) - lo, hi - lo) * bins) + 1, F.lit(bins)))
 
 
 def information(pairs: DataFrame, x: str, y: str, bins: int, key: str = "symbol") -> DataFrame:
-    """key, h_x, h_y, mi in nats of the two-way histogram, and variation of information, plain and normed."""
-    cells = pairs.select(key, bin_of(x, bins, key).alias("bx"), bin_of(y, bins, key).alias("by")).groupBy(key, "bx", "by").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    """key, h_x, h_y, mi in nats of the two-way histogram, and variation of information, plain and normed.
+
+    Ranges are aggregated and joined back, and rows are counted by cell where they lie, so no key's rows meet in a
+    task.  Rows without a key or with an unknown value are left out.
+    """
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    rows = pairs.filter(F.col(key).isNotNull() & known(x) & known(y)).select(key, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ends = rows.groupBy(key).agg(*(f(c).alias(c + n) for c in ("_x", "_y") for f, n in ((F.min, "_low"), (F.max, "_high"))))
+    cells = rows.join(ends, key).groupBy(key, bin_of("_x", "_x_low", "_x_high", bins).alias("bx"), bin_of("_y", "_y_low", "_y_high", bins).alias("by")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # at most bins * bins rows a key from here on
     g = lambda *c: F.sum("n").over(Window.partitionBy(key, *c))
     c = cells.withColumns({"nx": g("bx"), "ny": g("by"), "total": g()})
     p = F.col("n") / F.col("total")

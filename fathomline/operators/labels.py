@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.grouped import fold_series, per_series
+from ..functions.grouped import fold_series
 from ..functions.series import ordered
 from .joins import asof
 
@@ -46,11 +46,25 @@ def daily_volatility(prices: DataFrame, span: int = 100) -> DataFrame:
     earlier = asof(probes, prices.select("symbol", F.col("ts").alias("past_ts"), F.col("close").alias("past")), "symbol", "before", "past_ts", ["past"], inclusive=False)
     returns = earlier.filter(F.col("past").isNotNull()).select("symbol", "ts", F.ln(F.try_divide("close", "past")).alias("r"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        v = rows["r"].ewm(span=span, adjust=True).std(bias=False)
-        return pd.DataFrame({"ts": rows["ts"], "volatility": v.astype(object).where(v.notna(), None)})
+    keep = 1 - 2 / (span + 1)
 
-    return per_series(returns, "symbol", ["ts"], run, "ts timestamp_ntz, volatility double")
+    def step(state: dict, rows: pd.DataFrame) -> list:
+        # weights' sum and squares' sum, mean and weighted squares about it, of all returns so far
+        w, ww, mean, squares = state.get("now", (0.0, 0.0, 0.0, 0.0))
+        out = []
+        for ts, r in zip(rows["ts"], rows["r"].to_numpy(float)):
+            w, ww, squares = w * keep, ww * keep * keep, squares * keep
+            if r == r:
+                off = r - mean
+                squares += w / (w + 1) * off * off
+                w, ww = w + 1, ww + 1
+                mean += off / w
+            left = w * w - ww
+            out.append((ts, float(np.sqrt(squares / w * w * w / left)) if w and left > 1e-12 * w * w else None))
+        state["now"] = (w, ww, mean, squares)
+        return out
+
+    return fold_series(returns, "symbol", ["ts"], dict, step, ["ts", "volatility"], "ts timestamp_ntz, volatility double")
 
 
 def vertical_barriers(prices: DataFrame, events: DataFrame, days: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import ship
-from .backtest import expected_max, probabilistic_sharpe_ratio, sharpe
+from .backtest import expected_max, probabilistic_sharpe_ratio, psr_sql, sharpe
 
 
 def folds(rows: DataFrame, k: int, order: str = "pos", key: str | None = None) -> DataFrame:
@@ -240,4 +240,22 @@ def deflated_sharpe_gate(r: np.ndarray, trials: int, spread: float, threshold: f
     return {"observed_sharpe": observed, "benchmark_sharpe": bar, "n_trials": trials, "deflated_sharpe": p, "passes": p > threshold}
 
 
+def deflated_sharpe_gates(returns: DataFrame, trials: int, spread: float, threshold: float = 0.5, value: str = "x", key: str = "symbol") -> DataFrame:
+    """key, observed_sharpe, benchmark_sharpe, n_trials, deflated_sharpe and passes of each series, by aggregations of
+    central moments; a series without deviation has ratio 0."""
+    known = returns.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, F.col(value).alias("_x"))
+    centred = known.join(known.groupBy(key).agg(F.avg("_x").alias("_m")), key).withColumn("_d", F.col("_x") - F.col("_m"))
+    power = lambda k: F.avg(F.pow("_d", F.lit(k)))
+    m = centred.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("_m").alias("_m"), power(2).alias("m2"), power(3).alias("m3"), power(4).alias("m4"))
+    moving = F.col("m2") > 0
+    m = m.withColumns({
+        "observed_sharpe": F.when(moving, F.col("_m") / F.sqrt("m2")).otherwise(0.0),
+        "skew": F.when(moving & (F.col("n") > 2), F.col("m3") / F.pow("m2", F.lit(1.5))).otherwise(0.0),
+        "kurt": F.when(moving & (F.col("n") > 3), F.col("m4") / (F.col("m2") * F.col("m2"))).otherwise(3.0),
+        "benchmark_sharpe": F.lit(float(expected_max(trials, 0.0, spread))), "n_trials": F.lit(trials).cast("long"),
+    })
+    m = m.withColumn("deflated_sharpe", F.expr(psr_sql("observed_sharpe", "benchmark_sharpe", "n", "skew", "kurt")))
+    return m.select(key, "observed_sharpe", "benchmark_sharpe", "n_trials", "deflated_sharpe", (F.col("deflated_sharpe") > threshold).alias("passes"))
+
+
 default_metric = sharpe

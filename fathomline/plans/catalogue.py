@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.normal import phi, phi_inv, phi_inv_sql, phi_sql
 from ..functions.series import ordered
+from ..functions.special import EULER, norm_ppf
 from ..operators import backtest as B
 from ..operators import bars, breaks, dependence, entropy, fracdiff, importance, labels, matrix, microstructure, neighbours, ou, pde, synthetic
 from ..operators import validation as V
@@ -395,7 +396,19 @@ def _(spark, d):
     return labels.meta_labels(p, labels.triple_barrier(p, _barrier_events(spark, d), 1.0, 1.0).drop("side"))
 
 
-@query("meta_events")
+_HOURLY_CUSUM = (_CUSUM % {"h": "60e0"}).replace("{pos}", "hp").split("RECURSIVE ")[1].split("---")[0]
+_META = (
+    f"WITH RECURSIVE hp AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos, ts, close FROM {{hourly}}), {_HOURLY_CUSUM}, "
+    + _VOL.split("WITH ", 1)[1].replace("  --- ", ", vol AS (")
+    + """), ev AS (SELECT f.symbol, f.ts AS event_start, v.volatility AS base_width, f.close AS p0 FROM f JOIN vol v ON v.symbol = f.symbol AND v.ts = f.ts WHERE hit AND volatility > 0.01),
+  vb AS (SELECT ev.symbol, event_start, min(h.ts) AS barrier FROM ev JOIN {hourly} h ON h.symbol = ev.symbol AND h.ts >= event_start + INTERVAL 1 DAY GROUP BY 1, 2),
+  tb AS (SELECT ev.symbol, ev.event_start, any_value(base_width) AS base_width, any_value(barrier) AS barrier, min(CASE WHEN ln(h.close / p0) > base_width THEN h.ts END) AS won, min(CASE WHEN ln(h.close / p0) < -base_width THEN h.ts END) AS lost
+    FROM ev LEFT JOIN vb ON vb.symbol = ev.symbol AND vb.event_start = ev.event_start JOIN {hourly} h ON h.symbol = ev.symbol AND h.ts >= ev.event_start AND (barrier IS NULL OR h.ts <= barrier) GROUP BY ev.symbol, ev.event_start)
+  --- SELECT symbol, event_start, least(barrier, won, lost) AS end_time, base_width FROM tb"""
+)
+
+
+@query("meta_events", _META, "base_width")
 def _(spark, d):
     p = _hourly_prices(spark, d)
     vol = labels.daily_volatility(p, 20)
@@ -772,7 +785,13 @@ def _(spark, d):
     return B.drawdowns(daily(spark, d), "pnl", True)
 
 
-@query("expected_drawdown")
+_DRAWDOWN = """WITH r AS (SELECT symbol, row_number() OVER w AS pos, exp(sum(ln(1 + x / 20)) OVER w) AS v FROM {returns} WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+  w AS (SELECT a.symbol, a.pos AS s, b.pos, 1 - b.v / max(b.v) OVER (PARTITION BY a.symbol, a.pos ORDER BY b.pos) AS dd FROM r a JOIN r b ON a.symbol = b.symbol AND b.pos BETWEEN a.pos AND a.pos + 9 JOIN r z ON z.symbol = a.symbol AND z.pos = a.pos + 9),
+  m AS (SELECT symbol, s, max(dd) AS dd FROM w GROUP BY 1, 2), k AS (SELECT symbol, dd, row_number() OVER (PARTITION BY symbol ORDER BY dd DESC) AS rk, 0.1e0 * count(*) OVER (PARTITION BY symbol) AS k FROM m)
+  --- SELECT symbol, sum(dd * greatest(least(k - rk + 1, 1), 0)) / any_value(k) AS ced FROM k GROUP BY symbol"""
+
+
+@query("expected_drawdown", _DRAWDOWN, "ced")
 def _(spark, d):
     return B.conditional_expected_drawdown(returns(spark, d).withColumn("x", F.col("x") / 20), 10)
 
@@ -785,7 +804,16 @@ def _(spark, d):
     return B.newey_west(returns(spark, d), 2)
 
 
-@query("sharpe_inference")
+_INFERENCE = f"""WITH m AS (SELECT symbol, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd, greatest(floor(4 * pow(count(*) / 100e0, 2e0 / 9)), 1)::BIGINT AS lag FROM {{returns}} GROUP BY 1),
+  p AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos, (x - m) / sd - 0.5e0 * (m / sd) * (pow((x - m) / sd, 2) - 1) AS i FROM {{returns}} JOIN m USING (symbol)),
+  c AS (SELECT symbol, pos, i - avg(i) OVER (PARTITION BY symbol) AS i FROM p),
+  v AS (SELECT a.symbol, greatest(sum(CASE WHEN a.pos = b.pos THEN 1 ELSE 2 * (1 - (a.pos - b.pos) / (lag + 1e0)) END * a.i * b.i) / any_value(n), 1e-12) AS v FROM c a JOIN m ON m.symbol = a.symbol JOIN c b ON b.symbol = a.symbol AND b.pos BETWEEN a.pos - lag AND a.pos GROUP BY 1),
+  s AS (SELECT symbol, lag, m / sd AS sharpe_ratio, sqrt(v / n) AS standard_error FROM m JOIN v USING (symbol)),
+  t AS (SELECT *, sharpe_ratio - {norm_ppf(0.975)!r} * standard_error AS lower, sharpe_ratio + {norm_ppf(0.975)!r} * standard_error AS upper, sharpe_ratio / standard_error AS test_statistic FROM s),
+  u AS (SELECT *, 2 * {phi_sql("-abs(test_statistic)")} AS p_value FROM t) --- SELECT symbol, sharpe_ratio, standard_error, lower, upper, test_statistic, p_value, p_value < 0.05 AS significant, lag FROM u"""
+
+
+@query("sharpe_inference", _INFERENCE, "sharpe_ratio standard_error lower upper test_statistic p_value")
 def _(spark, d):
     return B.sharpe_inferences(returns(spark, d))
 
@@ -885,7 +913,10 @@ def _(spark, d):
     return p.select("symbol", "pos", B.limit_price(F.col("target"), F.col("cur"), F.lit(100.0), F.lit(2.0), F.lit(10.0)).alias("price"))
 
 
-@query("concurrent_sides")
+_SIDES = f"WITH {_BETS}, pt AS (SELECT symbol, start AS at FROM bets UNION SELECT symbol, fin FROM bets WHERE fin IS NOT NULL) --- SELECT a.symbol, a.at, sum((prediction > 0)::INTEGER)::DOUBLE AS long, sum((prediction < 0)::INTEGER)::DOUBLE AS short FROM pt a JOIN bets b ON a.symbol = b.symbol AND b.start <= a.at AND (b.fin IS NULL OR a.at < b.fin) GROUP BY 1, 2"
+
+
+@query("concurrent_sides", _SIDES)
 def _(spark, d):
     return B.concurrent_sides(_bets(spark, d).withColumn("signal", F.col("prediction")))
 
@@ -1001,6 +1032,19 @@ def _perf_matrix(spark, d) -> np.ndarray:
     return p.pivot(index="t", columns="strategy", values="x").fillna(0.0).to_numpy()
 
 
+_MOMENTS = "WITH c AS (SELECT symbol, x, x - avg(x) OVER (PARTITION BY symbol) AS d FROM {returns}), g AS (SELECT symbol, count(*)::DOUBLE AS n, avg(x) / sqrt(avg(d * d)) AS observed_sharpe, avg(d * d * d) / pow(avg(d * d), 1.5) AS skew, avg(d * d * d * d) / pow(avg(d * d), 2) AS kurt FROM c GROUP BY 1)"
+
+
+@query("deflated_sharpe_gate", _MOMENTS + f", b AS (SELECT *, {float(B.expected_max(10, 0.0, 0.2))!r}::DOUBLE AS benchmark_sharpe FROM g), p AS (SELECT *, {B.psr_sql('observed_sharpe', 'benchmark_sharpe', 'n', 'skew', 'kurt')} AS deflated_sharpe FROM b) --- SELECT symbol, observed_sharpe, benchmark_sharpe, 10::BIGINT AS n_trials, deflated_sharpe, deflated_sharpe > 0.5 AS passes FROM p", "observed_sharpe benchmark_sharpe deflated_sharpe")
+def _(spark, d):
+    return V.deflated_sharpe_gates(returns(spark, d), 10, 0.2)
+
+
+@query("benchmark_sharpe_ratio", _MOMENTS + f", s AS (SELECT count(*)::DOUBLE AS n, stddev_pop(observed_sharpe) AS sd FROM g) --- SELECT sd * ({1 - EULER!r} * {phi_inv_sql('1e0 - 1e0 / n')} + {EULER!r} * {phi_inv_sql(f'1e0 - 1e0 / (n * {math.e!r})')}) AS benchmark FROM s", "benchmark")
+def _(spark, d):
+    return B.benchmark_sharpes(returns(spark, d).groupBy("symbol").agg(B.sharpe("x").alias("sr")))
+
+
 @query("bagged_pbo")
 def _(spark, d):
     return V.bagged_overfitting(spark, _perf_matrix(spark, d), 4, 20)

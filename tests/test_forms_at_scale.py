@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions.special import digamma, ols_t
-from fathomline.operators import breaks, dependence, fracdiff, importance, matrix, neighbours
+from fathomline.operators import backtest, breaks, dependence, fracdiff, importance, labels, matrix, neighbours, validation
 
 
 def points(spark, groups):
@@ -261,3 +261,77 @@ def test_weighted_tau_by_merging(spark):
     rows = [("a", 1, 0.5), ("a", 2, 0.2), ("a", 3, 0.8), ("a", 4, 0.1), ("a", None, 1.0), ("a", 5, None), ("b", 1, 1.0), (None, 1, 1.0)]
     got = {r.k: r.tau for r in importance.weighted_taus(spark.createDataFrame(rows, "k string, rank int, importance double"), "importance", "rank", "k").collect()}
     assert got == {"a": pytest.approx(0.2), "b": None}
+
+
+def returns_of(rng, n):
+    return rng.standard_normal(n) / 20
+
+
+def test_expected_drawdowns_by_windows(spark):
+    rng = np.random.default_rng(16)
+    groups = {"a": returns_of(rng, 60), "b": returns_of(rng, 6), "c": np.zeros(20), "d": np.array([0.1, -1.0, 0.5, 0.2, -0.1, 0.3, 0.4, 0.1, 0.2, 0.1, 0.3, 0.2]), "e": np.array([0.1])}
+    s = spark.createDataFrame([(g, k, float(v)) for g, x in groups.items() for k, v in enumerate(x)] + [("a", 999, None), (None, 1, 0.5)], "symbol string, ts long, x double")
+    for horizon, alpha in ((10, 0.9), (5, 0.55), (1, 0.9)):
+        got = {r.symbol: r.ced for r in backtest.conditional_expected_drawdown(s, horizon, alpha).collect()}
+        for g in "abce":
+            assert got[g] == pytest.approx(backtest.expected_drawdown(groups[g], horizon, alpha), abs=1e-9), (g, horizon)
+    # all is lost in the second row: a drawdown of 1 for the window that begins before it, none for those after
+    assert {r.symbol: r.ced for r in backtest.conditional_expected_drawdown(s, 10, 0.9).collect()}["d"] == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        backtest.conditional_expected_drawdown(s, 5, 1.0)
+    assert backtest.conditional_expected_drawdown(s.filter("false"), 5).count() == 0
+
+
+@pytest.mark.parametrize("lag", [None, 3, 0])
+def test_sharpe_inference_as_a_plan(spark, lag):
+    rng = np.random.default_rng(17)
+    groups = {"a": returns_of(rng, 300), "b": returns_of(rng, 12) + 0.1, "c": np.ones(9), "d": np.array([0.1, 0.2]), "e": np.array([1.0])}
+    s = spark.createDataFrame([(g, k, float(v)) for g, x in groups.items() for k, v in enumerate(x)] + [("a", 999, None)], "symbol string, ts long, x double")
+    got = {r.symbol: r.asDict() for r in backtest.sharpe_inferences(s, lag=lag).collect()}
+    assert sorted(got) == sorted(groups)
+    for g, x in groups.items():
+        for k, want in backtest.sharpe_inference(x, lag=lag).items():
+            if isinstance(want, float) and math.isnan(want):
+                assert got[g][k] is None, (g, k)
+            else:
+                assert got[g][k] == pytest.approx(want, rel=1e-8, abs=1e-9), (g, k)
+
+
+def test_gates_and_benchmarks(spark):
+    rng = np.random.default_rng(18)
+    groups = {"a": returns_of(rng, 200) + 0.03, "b": returns_of(rng, 3), "c": np.ones(5), "d": np.array([2.0])}
+    s = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [(None, 1.0), ("a", None)], "symbol string, x double")
+    for r in validation.deflated_sharpe_gates(s, 20, 0.1).collect():
+        want = validation.deflated_sharpe_gate(groups[r.symbol], 20, 0.1)
+        for k, v in want.items():
+            assert r[k] == pytest.approx(v, abs=1e-7), (r.symbol, k)
+    for ratios in ([0.1, 0.5, -0.2, 0.7], [0.4], []):
+        df = spark.createDataFrame([(v,) for v in ratios] + [(None,)], "sr double")
+        assert backtest.benchmark_sharpes(df).first()[0] == pytest.approx(backtest.benchmark_sharpe(ratios), abs=1e-7)
+
+
+def test_information_passes_over_unknown_values(spark):
+    rows = [("a", float(k % 5), float(k % 3)) for k in range(40)]
+    clean = spark.createDataFrame(rows, "symbol string, x double, y double")
+    dirty = clean.union(spark.createDataFrame([("a", None, 1.0), ("a", 1.0, math.nan), (None, 9.0, 9.0), ("b", 1.0, 1.0), ("b", 1.0, 2.0)], clean.schema))
+    want = dependence.information(clean, "x", "y", 4).collect()[0]
+    got = {r.symbol: r for r in dependence.information(dirty, "x", "y", 4).collect()}
+    assert sorted(got) == ["a", "b"] and got["a"].mi == pytest.approx(want.mi) and got["b"].mi == 0
+
+
+def test_daily_volatility_is_a_fold(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(19)
+    start = pd.Timestamp("2024-01-01")
+    close = np.exp(np.cumsum(rng.standard_normal(80)) / 10)
+    rows = [("a", (start + pd.Timedelta(hours=7 * k)).to_pydatetime(), None if k in (20, 50) else float(c)) for k, c in enumerate(close)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double")
+    got = sorted((r.ts, r.volatility) for r in labels.daily_volatility(df, 10).collect())
+    x = pd.Series([np.nan if c is None else c for _, _, c in rows], index=[t for _, t, _ in rows])
+    past = pd.Series([next((x.iloc[j] for j in range(k, -1, -1) if x.index[j] < x.index[k] - pd.Timedelta(days=1)), None) for k in range(80)], index=x.index, dtype=float)
+    r = np.log(x / past)[past.notna()]
+    want = r.ewm(span=10, adjust=True).std(bias=False)
+    assert [t for t, _ in got] == list(want.index)
+    for (_, v), w in zip(got, want):
+        assert (v is None) == bool(np.isnan(w)) and (v is None or v == pytest.approx(w, rel=1e-9))
