@@ -233,25 +233,53 @@ def simulate_critical_values(spark: SparkSession, n: int, least: int | None = No
     return by_end, sups.agg(F.percentile("s", level).alias("sadf_cv"), F.percentile("g", level).alias("gsadf_cv"))
 
 
+def _sups(x: np.ndarray, least: int) -> tuple[float, float]:
+    return tuple(float(np.nanmax(s)) if np.isfinite(s).any() else math.nan for s in sup_adf(x, least))
+
+
+def _wild_path(x: np.ndarray, seed: int, path: int) -> np.ndarray:
+    """The series itself as path 0; else one whose steps keep their size and get random signs."""
+    if not path:
+        return x
+    steps = np.diff(x) - np.diff(x).mean()
+    return np.concatenate([[x[0]], x[0] + np.cumsum(steps * np.random.default_rng([seed, path]).choice([-1.0, 1.0], len(steps)))])
+
+
+def _verdict(seen: tuple, drawn: list[tuple]) -> dict:
+    p = [(1 + sum(d[k] >= seen[k] for d in drawn)) / (len(drawn) + 1) for k in (0, 1)]
+    return {"sadf": seen[0], "gsadf": seen[1], "sadf_pvalue": p[0], "gsadf_pvalue": p[1], "reject_sadf": p[0] < 0.05, "reject_gsadf": p[1] < 0.05}
+
+
 def wild_bootstrap_sadf(x: np.ndarray, least: int | None = None, paths: int = 99, seed: int = 0) -> dict:
-    """SADF and GSADF with p-values from paths whose steps keep their size and get random signs."""
+    """SADF and GSADF with p-values from wild bootstrap paths."""
     if len(x) < 8:
         raise ValueError("at least 8 values are needed")
     least = least or minimum_window(len(x))
-    top = lambda v: tuple(np.nanmax(s) if np.isfinite(s).any() else np.nan for s in sup_adf(v, least))
-    seen = top(x)
-    steps = np.diff(x) - np.diff(x).mean()
-    rng = np.random.default_rng(seed)
-    drawn = [top(np.concatenate([[x[0]], x[0] + np.cumsum(steps * rng.choice([-1.0, 1.0], len(steps)))])) for _ in range(paths)]
-    p = [(1 + sum(d[k] >= seen[k] for d in drawn)) / (paths + 1) for k in (0, 1)]
-    return {"sadf": float(seen[0]), "gsadf": float(seen[1]), "sadf_pvalue": p[0], "gsadf_pvalue": p[1], "reject_sadf": p[0] < 0.05, "reject_gsadf": p[1] < 0.05}
+    return _verdict(_sups(x, least), [_sups(_wild_path(x, seed, k), least) for k in range(1, paths + 1)])
 
 
 def volatility_robust_sadf(series: DataFrame, least: int | None = None, paths: int = 99, seed: int = 0, value: str = "x") -> DataFrame:
-    def run(rows):
-        return scalars(**wild_bootstrap_sadf(rows[value].to_numpy(float), least, paths, seed))
+    """symbol and the same: a row of (symbol, path) is a unit of work, so paths are spread over tasks, and p-values
+    are counted from their statistics.  A symbol of fewer than 8 known values has null statistics."""
+    ship(series.sparkSession)
+    known = series.filter(F.col("symbol").isNotNull() & F.col(value).isNotNull() & ~F.isnan(value))
+    x = known.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", F.col(value).alias("x")))).alias("v")).select("symbol", F.col("v.x").alias("x"))
+    work = x.filter(F.size("x") >= 8).withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths)))).repartition("symbol", "path")
 
-    return per_series(series.select("symbol", "ts", value), "symbol", ["ts"], run, "sadf double, gsadf double, sadf_pvalue double, gsadf_pvalue double, reject_sadf boolean, reject_gsadf boolean")
+    def run(batches):
+        for b in batches:
+            found = []
+            for v, k in zip(b["x"], b["path"]):
+                v = np.asarray(v, float)
+                found.append(_sups(_wild_path(v, seed, int(k)), least or minimum_window(len(v))))
+            yield pd.DataFrame({"symbol": b["symbol"], "path": b["path"], "s": nan_to_none([f[0] for f in found]), "g": nan_to_none([f[1] for f in found])})
+
+    stats = work.mapInPandas(run, "symbol string, path int, s double, g double")
+    seen = stats.filter("path = 0").select("symbol", F.col("s").alias("sadf"), F.col("g").alias("gsadf"))
+    p = lambda c, own: ((1 + F.sum(F.when((F.col("path") > 0) & (F.col(c) >= F.col(own)), 1).otherwise(0))) / F.lit(paths + 1.0)).alias(own + "_pvalue")
+    counted = stats.join(seen, "symbol").groupBy("symbol", "sadf", "gsadf").agg(p("s", "sadf"), p("g", "gsadf"))
+    out = x.select("symbol").join(counted, "symbol", "left")
+    return out.select("symbol", "sadf", "gsadf", "sadf_pvalue", "gsadf_pvalue", (F.col("sadf_pvalue") < 0.05).alias("reject_sadf"), (F.col("gsadf_pvalue") < 0.05).alias("reject_gsadf"))
 
 
 def chu_stinchcombe_white(series: DataFrame, value: str = "x") -> DataFrame:

@@ -80,17 +80,16 @@ def triple_barrier(prices: DataFrame, events: DataFrame, profit: float, loss: fl
     A multiplier of 0 or less takes its horizontal barrier away.  Without a vertical barrier prices are
     looked at to the end, and end_time is null if nothing is touched.
 
-    Events with a vertical barrier meet prices by (symbol, bucket of time), a copy of the event for each
-    bucket it spans, so a long price series is never crossed with all its events; only events that stay
-    open are joined by symbol alone.
+    Events meet prices by (symbol, bucket of time), a copy of the event for each bucket up to its barrier or else to
+    the symbol's last price, so a long price series is never crossed with all its events.
     """
     bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
     start = prices.select("symbol", F.col("ts").alias("event_start"), F.col("close").alias("p0"))
-    begun = events.join(start, ["symbol", "event_start"])
-    points = prices.select("symbol", "ts", "close")
-    closed = begun.filter(F.col("barrier").isNotNull()).withColumn("_b", F.explode(F.sequence(bucket("event_start"), bucket("barrier"))))
-    within = closed.join(points.withColumn("_b", bucket("ts")), ["symbol", "_b"]).drop("_b").filter(F.col("ts") <= F.col("barrier"))
-    path = within.unionByName(begun.filter(F.col("barrier").isNull()).join(points, "symbol")).filter(F.col("ts") >= F.col("event_start"))
+    last = prices.groupBy("symbol").agg(F.max("ts").alias("_last"))
+    begun = events.join(start, ["symbol", "event_start"]).join(last, "symbol").withColumn("_until", F.coalesce("barrier", "_last"))
+    begun = begun.filter(F.col("_until") >= F.col("event_start")).withColumn("_b", F.explode(F.sequence(bucket("event_start"), bucket("_until"))))
+    points = prices.select("symbol", "ts", "close").withColumn("_b", bucket("ts"))
+    path = begun.join(points, ["symbol", "_b"]).filter((F.col("ts") >= F.col("event_start")) & (F.col("ts") <= F.col("_until")))
     move = F.ln(F.try_divide("close", "p0")) * F.col("side")
     won = F.min(F.when(move > profit * F.col("base_width"), F.col("ts"))) if profit > 0 else F.lit(None).cast("timestamp_ntz")
     lost = F.min(F.when(move < -loss * F.col("base_width"), F.col("ts"))) if loss > 0 else F.lit(None).cast("timestamp_ntz")

@@ -335,3 +335,24 @@ def test_daily_volatility_is_a_fold(spark):
     assert [t for t, _ in got] == list(want.index)
     for (_, v), w in zip(got, want):
         assert (v is None) == bool(np.isnan(w)) and (v is None or v == pytest.approx(w, rel=1e-9))
+
+
+def test_bootstrap_paths_are_rows(spark):
+    rng = np.random.default_rng(20)
+    groups = {"a": np.cumsum(rng.standard_normal(40)), "b": np.exp(np.arange(30) / 12), "c": np.arange(5.0)}
+    s = spark.createDataFrame([(g, k, float(v)) for g, x in groups.items() for k, v in enumerate(x)] + [("a", 999, None)], "symbol string, ts long, x double").repartition(3)
+    got = {r.symbol: r.asDict() for r in breaks.volatility_robust_sadf(s, None, 29, 5).collect()}
+    for g in "ab":
+        for k, v in breaks.wild_bootstrap_sadf(groups[g], None, 29, 5).items():
+            assert got[g][k] == pytest.approx(v), (g, k)
+    assert got["c"]["sadf"] is None and got["c"]["reject_sadf"] is None
+
+
+def test_open_barriers_meet_prices_by_time(spark):
+    from datetime import datetime, timedelta
+
+    at = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    prices = spark.createDataFrame([("a", at(k), p) for k, p in enumerate([100.0, 101.0, 90.0, 130.0, 70.0])] + [("b", at(0), 1.0)], "symbol string, ts timestamp_ntz, close double")
+    events = spark.createDataFrame([("a", at(0), None, 0.2, 1.0), ("a", at(1), None, 9.0, 1.0), ("a", at(2), at(3), 0.3, -1.0), ("a", at(3), at(4), 0.1, 1.0), ("b", at(0), None, 0.1, 1.0), ("b", at(7), None, 0.1, 1.0)], "symbol string, event_start timestamp_ntz, barrier timestamp_ntz, base_width double, side double")
+    got = {(r.symbol, r.event_start): r.end_time for r in labels.triple_barrier(prices, events, 1.0, 1.0).collect()}
+    assert got == {("a", at(0)): at(3), ("a", at(1)): None, ("a", at(2)): at(3), ("a", at(3)): at(4), ("b", at(0)): None, ("b", at(7)): None}
