@@ -10,7 +10,7 @@ isolated word counts by its role in its clause and not by itself.
 
 The insult lexicon has a seed list and is extended by word beginnings that mark toxic documents among
 labelled training rows; the arcs' weights are fitted to the same rows.  Fitting reads a sample of at most
-SAMPLE_TOXIC + SAMPLE_CLEAN labelled documents chosen by hash, those of FIT_BYTES first and FIT_TOTAL a class at most; everything else
+SAMPLE_TOXIC + SAMPLE_CLEAN labelled documents of FIT_BYTES (longer ones where those are few), chosen by hash; everything else
 covers all rows and whole texts.
 """
 
@@ -32,7 +32,7 @@ from ..runtime import ship
 from .common import OWN, crc_remainder
 from .tokens import rows_of
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, FIT_BYTES, FIT_TOTAL = 3000, 9000, 20_000, 100 << 20
+SAMPLE_TOXIC, SAMPLE_CLEAN, FIT_BYTES, FIT_LEAST, FIT_TOTAL = 3000, 9000, 20_000, 20, 100 << 20
 #: A word beginning enters the lexicon if it is in nearly only toxic sample rows, by rates, and so many
 #: of them that chance among all beginnings tried doesn't explain it (a likelihood ratio).
 PURITY, MARGIN = 0.97, 10.0
@@ -231,19 +231,21 @@ def fit_weights(paths: np.ndarray, row: np.ndarray, y: np.ndarray, ridge: float
 def chosen_rows(text: DataFrame, y: DataFrame) -> list[tuple]:
     """(id, hash of the text, label) of the rows to learn from, among documents that have a label.
 
-    Of each class by hash of the identifier, at most SAMPLE_TOXIC or SAMPLE_CLEAN; texts of FIT_BYTES come before
-    longer ones, and those before ones of twice the length, as far as FIT_TOTAL bytes a class go, but one at least.
+    Of each class by hash of the identifier, at most SAMPLE_TOXIC or SAMPLE_CLEAN among texts of FIT_BYTES.  Where
+    these are fewer than FIT_LEAST, those of up to twice the length are taken too, and so on, as far as FIT_TOTAL bytes
+    a class go, but one at least.
     """
     keys = text.filter(F.col(OWN + "id").isNotNull()).select(OWN + "id", "hash", F.octet_length("text").alias("size")).distinct().join(y, OWN + "id")
-    longer = F.greatest(F.ceil(F.log2(F.col("size") / FIT_BYTES)), F.lit(0))
-    order = [F.coalesce(longer, F.lit(0)), F.xxhash64(OWN + "id"), F.col(OWN + "id"), F.col("hash")]
+    keys = keys.withColumn("longer", F.coalesce(F.greatest(F.ceil(F.log2(F.col("size") / FIT_BYTES)), F.lit(0)), F.lit(0)))
+    order = [F.col("longer"), F.xxhash64(OWN + "id"), F.col(OWN + "id"), F.col("hash")]
     out = []
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        total = 0
+        total, reached = 0, 0
         for k, r in enumerate(keys.filter(F.col("y") == label).orderBy(*order).limit(most).collect()):
             total += r["size"]
-            if k and total > FIT_TOTAL:
+            if k and total > FIT_TOTAL or k >= FIT_LEAST and r["longer"] > reached:
                 break
+            reached = r["longer"]
             out.append((r[OWN + "id"], r["hash"], label))
     return out
 

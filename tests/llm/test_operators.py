@@ -706,6 +706,12 @@ def test_rows_to_learn_from_are_bounded(spark, monkeypatch):
     chosen = toxicity.chosen_rows(text, y)
     for label in (0, 1):
         assert 1 < sum(c[2] == label for c in chosen) and sum(sizes[c[0]] for c in chosen if c[2] == label) <= 1000
+    # longer texts only where the others are few
+    monkeypatch.setattr(toxicity, "FIT_TOTAL", 10**9)
+    longer = text.withColumn("text", F.when(F.col("__fl_id") % 8 == 0, F.expr("repeat('a b ', 20000)")).otherwise(F.col("text"))).withColumn("hash", F.xxhash64("text"))
+    assert sum(c[2] for c in toxicity.chosen_rows(longer, y)) == 20
+    monkeypatch.setattr(toxicity, "FIT_LEAST", 5)
+    assert sum(c[2] for c in toxicity.chosen_rows(longer, y)) == 10
     monkeypatch.setattr(toxicity, "FIT_TOTAL", 1)
     assert sorted(c[2] for c in toxicity.chosen_rows(text, y)) == [0, 1]
 
