@@ -21,28 +21,40 @@ def number_of_bins(n: int, correlation: float | None = None) -> int:
     return round(2**-0.5 * math.sqrt(1 + math.sqrt(1 + 24 * n / rest)))
 
 
-def bin_of(x: str, low: str, high: str, bins: int) -> Column:
-    """Equal-width bins from 1 between columns low and high; the last is closed, and a constant is bin 1."""
+def bins_of(n: Column, correlation: Column) -> Column:
+    """number_of_bins of a pair as a Column."""
+    rest = 1 - correlation * correlation
+    least = F.when(F.abs(F.abs(correlation) - 1) < 1.5e-8, F.greatest(rest, F.lit(1e-10 * (2 - 1e-10)))).otherwise(rest)
+    return F.rint(2**-0.5 * F.sqrt(1 + F.sqrt(1 + F.try_divide(24 * n, least)))).cast("long")
+
+
+def bin_of(x: str, low: str, high: str, bins: str) -> Column:
+    """Equal-width bins from 1 between columns low and high, as many as column bins says; the last is closed, and a
+    constant is bin 1."""
     lo, hi = F.col(low), F.col(high)
-    return F.when(hi == lo, F.lit(1)).otherwise(F.least(F.floor(F.try_divide(F.col(x) - lo, hi - lo) * bins) + 1, F.lit(bins)))
+    return F.when(hi == lo, F.lit(1)).otherwise(F.least(F.floor(F.try_divide(F.col(x) - lo, hi - lo) * F.col(bins)) + 1, F.col(bins)))
+
 
+def information(pairs: DataFrame, x: str, y: str, bins: int | None, key: str = "symbol") -> DataFrame:
+    """key, bins, h_x, h_y, mi in nats of the two-way histogram, and variation of information, plain and normed.
 
-def information(pairs: DataFrame, x: str, y: str, bins: int, key: str = "symbol") -> DataFrame:
-    """key, h_x, h_y, mi in nats of the two-way histogram, and variation of information, plain and normed.
+    bins: None for each key's own number, from its rows and their correlation (a side without deviation has none: 0).
 
     Ranges are aggregated and joined back, and rows are counted by cell where they lie, so no key's rows meet in a
     task.  Rows without a key or with an unknown value are left out.
     """
     known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
     rows = pairs.filter(F.col(key).isNotNull() & known(x) & known(y)).select(key, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ends = rows.groupBy(key).agg(*(f(c).alias(c + n) for c in ("_x", "_y") for f, n in ((F.min, "_low"), (F.max, "_high"))))
-    cells = rows.join(ends, key).groupBy(key, bin_of("_x", "_x_low", "_x_high", bins).alias("bx"), bin_of("_y", "_y_low", "_y_high", bins).alias("by")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    ends = rows.groupBy(key).agg(*(f(c).alias(c + n) for c in ("_x", "_y") for f, n in ((F.min, "_low"), (F.max, "_high"))), F.count(F.lit(1)).cast("double").alias("_n"), F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("_r"))
+    r = F.greatest(F.least(F.coalesce("_r", F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
+    ends = ends.withColumn("bins", bins_of(F.col("_n"), r) if bins is None else F.lit(bins).cast("long"))
+    cells = rows.join(ends, key).groupBy(key, "bins", bin_of("_x", "_x_low", "_x_high", "bins").alias("bx"), bin_of("_y", "_y_low", "_y_high", "bins").alias("by")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     # at most bins * bins rows a key from here on
     g = lambda *c: F.sum("n").over(Window.partitionBy(key, *c))
     c = cells.withColumns({"nx": g("bx"), "ny": g("by"), "total": g()})
     p = F.col("n") / F.col("total")
     part = lambda m: -p * F.ln(F.col(m) / F.col("total"))  # noqa: E731  summed over cells this is the margin's entropy
-    s = c.groupBy(key).agg(F.sum(part("nx")).alias("h_x"), F.sum(part("ny")).alias("h_y"), F.sum(part("n")).alias("h_xy"))
+    s = c.groupBy(key, "bins").agg(F.sum(part("nx")).alias("h_x"), F.sum(part("ny")).alias("h_y"), F.sum(part("n")).alias("h_xy"))
     s = s.withColumn("mi", F.col("h_x") + F.col("h_y") - F.col("h_xy"))
     s = s.withColumn("mi_norm", F.coalesce(F.try_divide("mi", F.least("h_x", "h_y")), F.lit(0.0)))
     s = s.withColumn("vi", F.col("h_x") + F.col("h_y") - 2 * F.col("mi"))
@@ -116,17 +128,8 @@ def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def variation_of_information_extended(pairs: DataFrame, x: str, y: str, key: str = "symbol") -> DataFrame:
-    """The same information with each key's own number of bins, from its rows and correlation."""
-
-    def run(rows):
-        a, b = rows[x].to_numpy(float), rows[y].to_numpy(float)
-        bins = number_of_bins(len(a), float(np.corrcoef(a, b)[0, 1]))
-        h, *_ = np.histogram2d(a, b, bins)
-        ent = lambda v: float(-(v[v > 0] / v.sum() * np.log(v[v > 0] / v.sum())).sum())
-        hx, hy, hxy = ent(h.sum(1)), ent(h.sum(0)), ent(h.ravel())
-        return scalars(bins=bins, vi=2 * hxy - hx - hy)
-
-    return per_series(pairs.select(key, x, y), key, [x, y], run, "bins long, vi double")
+    """key, bins, vi: the same information with each key's own number of bins."""
+    return information(pairs, x, y, None, key).select(key, "bins", "vi")
 
 
 def distance_correlations(pairs: DataFrame, x: str, y: str, key: str = "symbol") -> DataFrame:

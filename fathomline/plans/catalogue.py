@@ -691,7 +691,14 @@ def _(spark, d):
     return dependence.information(_pairs(spark, d), "x", "y", 10).select("symbol", "h_x", "h_y", "mi", "mi_norm")
 
 
-@query("vi_extended")
+_OWN_BINS = """WITH n AS (SELECT symbol, count(*) AS n, corr(price, volume) AS r, min(price) AS x0, max(price) AS x1, min(volume) AS y0, max(volume) AS y1 FROM {ticks} GROUP BY 1),
+  k AS (SELECT *, round_even(pow(2e0, -0.5e0) * sqrt(1 + sqrt(1 + 24 * n / (1 - r * r))), 0)::BIGINT AS bins FROM n),
+  b AS (SELECT symbol, bins, least(floor((price - x0) / (x1 - x0) * bins) + 1, bins) AS bx, least(floor((volume - y0) / (y1 - y0) * bins) + 1, bins) AS vy FROM {ticks} JOIN k USING (symbol)),
+  c AS (SELECT symbol, bins, bx, vy, count(*)::DOUBLE AS n FROM b GROUP BY ALL), e AS (SELECT *, sum(n) OVER (PARTITION BY symbol, bx) AS nx, sum(n) OVER (PARTITION BY symbol, vy) AS ny, sum(n) OVER (PARTITION BY symbol) AS t FROM c)
+  --- SELECT symbol, bins, sum(n / t * (ln(nx / t) + ln(ny / t) - 2 * ln(n / t))) AS vi FROM e GROUP BY 1, 2"""
+
+
+@query("vi_extended", _OWN_BINS, "vi")
 def _(spark, d):
     return dependence.variation_of_information_extended(_pairs(spark, d), "x", "y")
 

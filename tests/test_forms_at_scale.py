@@ -319,6 +319,22 @@ def test_information_passes_over_unknown_values(spark):
     assert sorted(got) == ["a", "b"] and got["a"].mi == pytest.approx(want.mi) and got["b"].mi == 0
 
 
+def test_each_key_has_its_number_of_bins(spark):
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal(500)
+    groups = {"a": (x, x + rng.standard_normal(500)), "b": (x[:60], x[:60]), "c": (np.ones(9), x[:9]), "d": ([1.0], [2.0])}
+    got = {r.symbol: r for r in dependence.variation_of_information_extended(points(spark, [(g, *v) for g, v in groups.items()]), "x", "y").collect()}
+    assert sorted(got) == sorted(groups)
+    for g, (a, b) in groups.items():
+        r = float(np.corrcoef(a, b)[0, 1]) if g in "ab" else 0.0
+        bins = dependence.number_of_bins(len(a), r)
+        assert got[g].bins == bins
+        if g in "ab":
+            h, *_ = np.histogram2d(a, b, bins)
+            ent = lambda v: float(-(v[v > 0] / v.sum() * np.log(v[v > 0] / v.sum())).sum())
+            assert got[g].vi == pytest.approx(2 * ent(h.ravel()) - ent(h.sum(0)) - ent(h.sum(1)), abs=1e-9)
+
+
 def test_daily_volatility_is_a_fold(spark):
     import pandas as pd
 

@@ -1,4 +1,8 @@
-"""Asserted results of the operators on small fixed inputs."""
+"""Asserted results of the operators on small fixed inputs.
+
+Fixed values: the numbers written out in this file's tests, inputs and results alike, are those that the operators must
+give; results that a test computes by a plain version are not.
+"""
 
 import math
 from datetime import datetime, timedelta
