@@ -250,6 +250,29 @@ def sharpe_differences(pairs: DataFrame, **parameters) -> DataFrame:
     return per_series(pairs.select("symbol", "ts", "a", "b"), "symbol", ["ts"], lambda rows: scalars(**sharpe_difference(rows["a"].to_numpy(float), rows["b"].to_numpy(float), **parameters)), "delta double, se double, stat double, pvalue double, reject boolean")
 
 
+def sharpe_difference_tests(pairs: DataFrame, band: int | None = None) -> DataFrame:
+    """symbol, delta, se, stat, pvalue, reject: the test of columns a and b against the normal distribution, as one plan.
+
+    The standard error is that of the difference's influences with Bartlett weights over band lags: 0 takes rows as
+    independent, None the cube root of each series' length.  Rows that lack a value are left out; where a series has
+    no deviation, delta and what follows from it are null and nothing is rejected.
+    """
+    whole = lambda c: F.when(~F.isnan(c), F.col(c))
+    rows = pairs.select("symbol", "ts", whole("a").alias("a"), whole("b").alias("b")).filter("symbol IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL")
+    stats = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *[f(e).alias(c + k) for c in "ab" for k, f, e in (("m", F.avg, F.col(c)), ("g", F.avg, F.col(c) * F.col(c)), ("s", F.stddev_pop, F.col(c)))])
+    stats = stats.withColumn("lag", (F.ceil(F.round(F.pow("n", F.lit(1 / 3)), 12)) if band is None else F.lit(band)).cast("long"))
+    good = stats.filter((F.col("as") > 0) & (F.col("bs") > 0))
+    most = stats.agg(F.max(F.least("lag", F.col("n") - 1))).first()[0] or 0
+    of = lambda c: F.col(f"{c}g") / F.pow(f"{c}s", F.lit(3)) * (F.col(c) - F.col(f"{c}m")) - F.col(f"{c}m") / (2 * F.pow(f"{c}s", F.lit(3))) * (F.col(c) * F.col(c) - F.col(f"{c}g"))
+    infl = rows.join(good, "symbol").select("symbol", "ts", "lag", (of("a") - of("b")).alias("_i"))
+    past = F.reverse(F.collect_list("_i").over(ordered("symbol", "ts").rowsBetween(-int(most), -1))) if most else F.array().cast("array<double>")
+    weighted = F.aggregate(F.transform("_past", lambda v, k: F.when(k < F.col("lag"), v * (1 - (k + 1) / (F.col("lag") + 1.0))).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
+    variance = infl.withColumn("_past", past).groupBy("symbol").agg(F.greatest(F.avg(F.col("_i") * (F.col("_i") + 2 * weighted)), F.lit(1e-300)).alias("_v"))
+    out = stats.join(variance, "symbol", "left").withColumns({"delta": F.when(F.col("_v").isNotNull(), F.col("am") / F.col("as") - F.col("bm") / F.col("bs")), "se": F.sqrt(F.col("_v") / F.col("n"))})
+    out = out.withColumn("stat", F.col("delta") / F.col("se")).withColumn("pvalue", 2 * phi("-abs(stat)"))
+    return out.select("symbol", "delta", "se", "stat", "pvalue", F.coalesce(F.col("pvalue") < 0.05, F.lit(False)).alias("reject"))
+
+
 def sharpe_denominator_sql(sr: str, skew: str, kurt: str) -> str:
     return f"(1e0 - {skew} * {sr} + ({kurt} - 1e0) / 4e0 * {sr} * {sr})"
 

@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 
 from ..functions.grouped import fold_series, nan_to_none, per_series, scalars
 from ..functions.series import ordered
-from ..functions.special import ols_t
 from ..runtime import ship
 
 
@@ -306,11 +305,25 @@ def brown_durbin_evans(series: DataFrame, constant: str = "c", lags: int = 1, va
     return errors.join(scale, "symbol").select("symbol", "pos", (F.sum("error").over(w) / F.col("_scale")).alias("cusum"))
 
 
-def chow_dickey_fuller(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Break positions and t values of the level after the break."""
-    d, level = np.diff(x), x[:-1]
-    at = np.arange(least, len(d) - least)
-    return at, np.array([ols_t(d, (level * (np.arange(len(d)) >= k))[:, None]) for k in at])
+def chow_dickey_fuller(series: DataFrame, least: int, value: str = "x") -> DataFrame:
+    """symbol, pos (from 0), dfc: t value of the level after a break there, for breaks at least so many steps from both ends.
+
+    The differences are regressed on the level from the break on and on nought before it, so sums from each row to the
+    end give all breaks in one sorted pass.  Where a symbol has a missing value all its statistics are null, as is one
+    without residuals or whose level is nought after the break; symbols too short for any break have no row.
+    """
+    w = ordered("symbol", F.desc("ts"))
+    x = F.when(~F.isnan(value), F.col(value))
+    steps = series.select("symbol", "ts", x.alias("_x")).select("symbol", "ts", "_x", (F.lag("_x").over(w) - F.col("_x")).alias("_d"), F.row_number().over(w).alias("_back"))
+    level = F.when(F.col("_back") > 1, F.col("_x"))
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = steps.select("symbol", "_back", F.sum(level * level).over(past).alias("_xx"), F.sum(level * F.col("_d")).over(past).alias("_xd"))
+    # as many rows as the series has, of which all but the last have a step
+    totals = steps.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"), F.count("_d").alias("_known"), F.sum(F.col("_d") * F.col("_d")).alias("_dd"))
+    j = sums.join(totals, "symbol").withColumn("pos", (F.col("_n") - F.col("_back")).cast("long")).filter((F.col("pos") >= least) & (F.col("pos") < F.col("_n") - 1 - least))
+    beta = F.try_divide(F.col("_xd"), F.col("_xx"))
+    variance = F.try_divide((F.col("_dd") - beta * F.col("_xd")) / (F.col("_n") - 2), F.col("_xx"))
+    return j.select("symbol", "pos", F.when((F.col("_known") == F.col("_n") - 1) & (variance > 0), beta / F.sqrt(variance)).alias("dfc"))
 
 
 def change_points(x: np.ndarray, model: str = "normal", penalty: float = 3.0, least: int = 10, jump: int = 5) -> list[int]:
@@ -356,13 +369,3 @@ def pelt(series: DataFrame, value: str = "x", **parameters) -> DataFrame:
         return pd.DataFrame({"change_point": change_points(rows[value].to_numpy(float), **parameters)}, dtype="int64")
 
     return per_series(series.select("symbol", "ts", value), "symbol", ["ts"], run, "change_point long")
-
-
-def by_position(series: DataFrame, fn, name: str, value: str = "x") -> DataFrame:
-    """symbol, pos and a statistic, for kernels that return (positions, values)."""
-
-    def run(rows):
-        pos, v = fn(rows[value].to_numpy(float))
-        return pd.DataFrame({"pos": np.asarray(pos, "int64"), name: nan_to_none(v)})
-
-    return per_series(series.select("symbol", "ts", value), "symbol", ["ts"], run, f"pos long, {name} double")

@@ -523,6 +523,16 @@ def _(spark, d):
     return entropy.mass_function(messages(spark, d), 2)
 
 
+#: G(1) = G(0) = -gamma - ln 2, and G grows by 2 / (2 j - 1) at each even number 2 j, as a table over all counts met.
+_GRASSBERGER = _NGRAM.format(w=1).replace(" --- ", f""", o AS (SELECT j, {-EULER - math.log(2)!r} + sum(CASE WHEN j > 0 THEN 2e0 / (2 * j - 1) ELSE 0 END) OVER (ORDER BY j) AS g FROM range((SELECT max(n) FROM g) // 2 + 1) r(j)),
+  q AS (SELECT id, ln(sum(n)) - sum(n * o.g) / sum(n) AS nats FROM g JOIN o ON o.j = g.n // 2 GROUP BY 1) --- """)
+
+
+@query("entropy_grassberger", _GRASSBERGER + f"SELECT id, coalesce(nats, 0) / {math.log(2)!r} AS entropy FROM {{msgs}} LEFT JOIN q USING (id)", "entropy")
+def _(spark, d):
+    return entropy.grassberger_entropy(messages(spark, d))
+
+
 for _name in entropy.ESTIMATORS:
     QUERIES[f"entropy_{_name}"] = lambda spark, d, n=_name: rounded(entropy.message_entropy(messages(spark, d), n))
 
@@ -640,9 +650,14 @@ def _(spark, d):
     return breaks.brown_durbin_evans(_log_daily(spark, d))
 
 
-@query("chow_dickey_fuller")
+_CHOW = """WITH v AS (SELECT symbol, pos - 1 AS t, ln(close) AS x, lead(ln(close)) OVER (PARTITION BY symbol ORDER BY pos) - ln(close) AS d, count(*) OVER (PARTITION BY symbol) AS n FROM {pos}),
+  s AS (SELECT k.symbol, k.t AS pos, any_value(k.n) AS n, sum(v.x * v.x) FILTER (v.t >= k.t) AS xx, sum(v.x * v.d) FILTER (v.t >= k.t) AS xd, sum(v.d * v.d) AS dd FROM v k JOIN v ON v.symbol = k.symbol AND v.d IS NOT NULL WHERE k.t >= 5 AND k.t < k.n - 6 GROUP BY 1, 2)
+  --- SELECT symbol, pos, xd / xx / sqrt((dd - xd * xd / xx) / (n - 2) / xx) AS dfc FROM s"""
+
+
+@query("chow_dickey_fuller", _CHOW, "dfc")
 def _(spark, d):
-    return breaks.by_position(_log_daily(spark, d), lambda x: breaks.chow_dickey_fuller(x, 5), "dfc")
+    return breaks.chow_dickey_fuller(_log_daily(spark, d), 5)
 
 
 @query("expanding_adf", _least_squares_sql(_CT, "ASC") + "SELECT symbol, pos, t AS adf FROM t", "adf")
@@ -825,10 +840,32 @@ def _(spark, d):
     return B.sharpe_inferences(returns(spark, d))
 
 
+def _return_pairs(spark, d):
+    return returns(spark, d).withColumn("b", F.lag("x").over(ordered("symbol", "ts"))).filter("b IS NOT NULL").withColumnRenamed("x", "a")
+
+
 @query("sharpe_difference")
 def _(spark, d):
-    w = ordered("symbol", "ts")
-    return B.sharpe_differences(returns(spark, d).withColumn("b", F.lag("x").over(w)).filter("b IS NOT NULL").withColumnRenamed("x", "a"), draws=199)
+    return B.sharpe_differences(_return_pairs(spark, d), draws=199)
+
+
+def _sharpe_difference_sql(band: str) -> str:
+    influence = lambda c: f"g{c} / pow(s{c}, 3) * ({c} - m{c}) - m{c} / (2 * pow(s{c}, 3)) * ({c} * {c} - g{c})"
+    return f"""WITH ab AS (SELECT symbol, ts, x AS a, lag(x) OVER (PARTITION BY symbol ORDER BY ts) AS b FROM {{returns}} QUALIFY b IS NOT NULL),
+  mo AS (SELECT symbol, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(a * a) AS ga, avg(b * b) AS gb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, {band} AS band FROM ab GROUP BY 1),
+  i AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, n, band, ma / sa - mb / sb AS delta, {influence("a")} - ({influence("b")}) AS v FROM ab JOIN mo USING (symbol)),
+  lr AS (SELECT x.symbol, any_value(x.delta) AS delta, sqrt(sum(x.v * y.v * CASE WHEN x.k = y.k THEN 1 ELSE 2 * (1 - (x.k - y.k) / (x.band + 1e0)) END) / any_value(x.n) / any_value(x.n)) AS se FROM i x JOIN i y ON x.symbol = y.symbol AND y.k BETWEEN x.k - x.band AND x.k GROUP BY 1),
+  z AS (SELECT *, delta / se AS stat, -abs(delta / se) AS down FROM lr), pv AS (SELECT *, 2 * {phi_sql("down")} AS pvalue FROM z) --- SELECT symbol, delta, se, stat, pvalue, pvalue < 0.05 AS reject FROM pv"""
+
+
+@query("sharpe_difference_naive", _sharpe_difference_sql("0"), "delta se stat pvalue")
+def _(spark, d):
+    return B.sharpe_difference_tests(_return_pairs(spark, d), 0)
+
+
+@query("sharpe_difference_hac", _sharpe_difference_sql("ceil(round(pow(count(*), 1e0 / 3), 12))"), "delta se stat pvalue")
+def _(spark, d):
+    return B.sharpe_difference_tests(_return_pairs(spark, d))
 
 
 _MOM = "m AS (SELECT symbol, count(*)::DOUBLE AS n, avg(x) AS mu, stddev_pop(x) AS sd FROM {returns} GROUP BY 1), k AS (SELECT r.symbol, m.n, m.mu / m.sd AS sr, avg(pow((r.x - m.mu) / m.sd, 3)) AS sk, avg(pow((r.x - m.mu) / m.sd, 4)) AS ku FROM {returns} r JOIN m USING (symbol) GROUP BY ALL)"
@@ -1129,14 +1166,18 @@ def _(spark, d):
     return matrix.nercome_rows(spark, _perf_matrix(spark, d), 20)
 
 
-@query("optimal_portfolio")
-def _(spark, d):
-    return _weights(spark, matrix.optimal_portfolio(_driver_cov(spark, d)))
+def _eliminated(rows: str) -> str:
+    """CTE s whose last row has the covariances, each row with more columns after it, reduced to the unit matrix."""
+    return f"""WITH RECURSIVE {_COV}, mx AS (SELECT list({rows} ORDER BY i) AS a FROM (SELECT i, list(v ORDER BY j) AS r FROM cv GROUP BY i)),
+  s AS (SELECT 1 AS k, a FROM mx UNION ALL SELECT k + 1, list_transform(a, lambda r, i: CASE WHEN i = k THEN list_transform(a[k], lambda v: v / a[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] / a[k][k] * a[k][j]) END) FROM s WHERE k <= {DIMS})"""
+
 
+_SOLVED = _eliminated("list_append(r, 1e0)") + f" --- SELECT asset, w / sum(w) OVER () AS weight FROM (SELECT unnest(range(1, {DIMS + 1})) AS asset, unnest(list_transform(a, lambda r: r[-1])) AS w FROM s WHERE k = {DIMS + 1})"
 
-@query("hrp_weights")
+
+@query("optimal_portfolio", _SOLVED, "weight")
 def _(spark, d):
-    return _weights(spark, matrix.hierarchical_weights(_cov(spark, d), DIMS))
+    return _weights(spark, matrix.optimal_portfolio(_driver_cov(spark, d)))
 
 
 #: The spanning tree grown from the first item, by its least edge in each step.
@@ -1148,6 +1189,26 @@ def _(spark, d):
     return spark.createDataFrame([(i, j, v) for v, i, j in matrix.spanning_tree(matrix.distances(_cov(spark, d)))], "i int, j int, v double")
 
 
+#: Leaves joined along the tree's edges, shortest first, the cluster of the lesser number in front; then halves of that
+#: order share weight by the variances of their inverse-variance portfolios.
+_PARITY = _TREE.split(" --- ")[0] + f""",
+  te AS (SELECT e.i AS i, e.j AS j, row_number() OVER (ORDER BY e.v, e.i, e.j) AS k FROM p WHERE e IS NOT NULL),
+  mg AS (SELECT 1 AS k, list_transform(range(1, {DIMS + 1}), lambda x: {{'no': x, 'leaves': [x::INTEGER]}}) AS parts UNION ALL
+    SELECT k + 1, list_append(list_filter(parts, lambda q: q.no <> a.no AND q.no <> b.no), CASE WHEN a.no < b.no THEN {{'no': {DIMS} + k, 'leaves': list_concat(a.leaves, b.leaves)}} ELSE {{'no': {DIMS} + k, 'leaves': list_concat(b.leaves, a.leaves)}} END)
+    FROM (SELECT mg.k, parts, list_filter(parts, lambda q: list_contains(q.leaves, te.i))[1] AS a, list_filter(parts, lambda q: list_contains(q.leaves, te.j))[1] AS b FROM mg JOIN te ON te.k = mg.k)),
+  lv AS (SELECT unnest(parts[1].leaves) AS asset, unnest(range(0, {DIMS})) AS place FROM mg WHERE k = {DIMS}),
+  sp AS (SELECT 0 AS lo, {DIMS} AS hi, 0 AS parent, 0 AS side UNION ALL SELECT CASE WHEN h.side = 0 THEN lo ELSE mid END, CASE WHEN h.side = 0 THEN mid ELSE hi END, lo * 1000 + hi, h.side + 1 FROM (SELECT *, lo + (hi - lo) // 2 AS mid FROM sp WHERE hi - lo > 1), (VALUES (0), (1)) h(side)),
+  iv AS (SELECT lo, hi, parent, lv.asset, (1 / cv.v) / sum(1 / cv.v) OVER (PARTITION BY lo, hi) AS w FROM sp JOIN lv ON place >= lo AND place < hi JOIN cv ON cv.i = lv.asset AND cv.j = lv.asset WHERE side > 0),
+  cl AS (SELECT a.lo, a.hi, any_value(a.parent) AS parent, sum(a.w * b.w * cv.v) AS var FROM iv a JOIN iv b ON a.lo = b.lo AND a.hi = b.hi JOIN cv ON cv.i = a.asset AND cv.j = b.asset GROUP BY 1, 2),
+  sh AS (SELECT lo, hi, 1 - var / sum(var) OVER (PARTITION BY parent) AS share FROM cl)
+  --- SELECT lv.asset::BIGINT AS asset, product(share) AS weight FROM lv JOIN sh ON place >= lo AND place < hi GROUP BY 1"""
+
+
+@query("hrp_weights", _PARITY, "weight")
+def _(spark, d):
+    return _weights(spark, matrix.hierarchical_weights(_cov(spark, d), DIMS))
+
+
 def _orthogonal(spark, d, threshold):
     return matrix.orthogonal_rows(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", DIMS, threshold)
 
@@ -1194,7 +1255,18 @@ def _(spark, d):
     return spark.createDataFrame(pd.DataFrame({"item": np.arange(1, DIMS + 1), "cluster": labels_, "silhouette": s}))
 
 
-@query("pca_hedge")
+#: The inverse squared over and over leaves the last component alone; its greatest entry is positive.
+_LAST_COMPONENT = (
+    _eliminated(f"list_concat(r, list_transform(range(1, {DIMS + 1}), lambda j: (i = j)::INTEGER::DOUBLE))")
+    + f""",
+  pw AS (SELECT 0 AS k, list_transform(a, lambda r: r[{DIMS + 1}:]) AS m FROM s WHERE k = {DIMS + 1} UNION ALL
+    SELECT k + 1, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c) / t)) FROM (SELECT k, m, list_sum(list_transform(m, lambda r: list_dot_product(r, r))) AS t FROM pw WHERE k < 24)),
+  fl AS (SELECT unnest(range(1, {DIMS + 1})) AS asset, unnest(m[list_position(list_transform(m, lambda r, i: r[i]), list_max(list_transform(m, lambda r, i: r[i])))]) AS v FROM pw WHERE k = 24)
+  --- SELECT f.asset, f.v / sqrt(any_value(q.risk)) AS weight FROM fl f, (SELECT sum(a.v * b.v * cv.v) AS risk FROM fl a JOIN cv ON cv.i = a.asset JOIN fl b ON cv.j = b.asset) q GROUP BY f.asset, f.v"""
+)
+
+
+@query("pca_hedge", _LAST_COMPONENT, "weight")
 def _(spark, d):
     w = matrix.pca_weights(_driver_cov(spark, d))
     return _weights(spark, w * np.sign(w[np.abs(w).argmax()]))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions.special import digamma, ols_t
-from fathomline.operators import backtest, breaks, dependence, fracdiff, importance, labels, matrix, neighbours, validation
+from fathomline.operators import backtest, breaks, dependence, entropy, fracdiff, importance, labels, matrix, neighbours, validation
 
 
 def points(spark, groups):
@@ -372,3 +372,65 @@ def test_open_barriers_meet_prices_by_time(spark):
     events = spark.createDataFrame([("a", at(0), None, 0.2, 1.0), ("a", at(1), None, 9.0, 1.0), ("a", at(2), at(3), 0.3, -1.0), ("a", at(3), at(4), 0.1, 1.0), ("b", at(0), None, 0.1, 1.0), ("b", at(7), None, 0.1, 1.0)], "symbol string, event_start timestamp_ntz, barrier timestamp_ntz, base_width double, side double")
     got = {(r.symbol, r.event_start): r.end_time for r in labels.triple_barrier(prices, events, 1.0, 1.0).collect()}
     assert got == {("a", at(0)): at(3), ("a", at(1)): None, ("a", at(2)): at(3), ("a", at(3)): at(4), ("b", at(0)): None, ("b", at(7)): None}
+
+
+def series_rows(spark, groups, columns="x double"):
+    rows = [(g, k, *(v if isinstance(v, tuple) else (v,))) for g, xs in groups.items() for k, v in enumerate(xs)]
+    return spark.createDataFrame(rows, f"symbol string, ts long, {columns}")
+
+
+def test_chow_breaks_by_suffix_sums(spark):
+    rng = np.random.default_rng(8)
+    walks = {"a": np.cumsum(rng.standard_normal(60)).tolist(), "b": rng.random(13).tolist()}
+    odd = {"null": [1.0, None, *range(2, 30)], "nan": [*map(float, range(20)), math.nan], "nought": [0.0] * 20, "short": [1.0, 2.0, 4.0], "one": [1.0]}
+    odd = {g: [None if v is None else float(v) for v in xs] for g, xs in odd.items()}
+    s = series_rows(spark, walks | odd)
+    got = {(r.symbol, r.pos): r.dfc for r in breaks.chow_dickey_fuller(s, 5).collect()}
+    for g, xs in walks.items():
+        x = np.array(xs)
+        d, level = np.diff(x), x[:-1]
+        for k in range(5, len(d) - 5):
+            assert got.pop((g, k)) == pytest.approx(ols_t(d, (level * (np.arange(len(d)) >= k))[:, None]), rel=1e-9), (g, k)
+    assert {g for g, _ in got} == {"null", "nan", "nought"} and set(got.values()) == {None}
+    assert breaks.chow_dickey_fuller(s.filter("false"), 5).count() == 0
+
+
+def plain_grassberger(message, width):
+    words = [message[i : i + width] for i in range(len(message) - width + 1)]
+    if not words:
+        return 0.0
+    c = np.array([words.count(w) for w in set(words)], float)
+    g = digamma(c) + 0.5 * (-1) ** c * (digamma((c + 1) / 2) - digamma(c / 2))
+    return (math.log(c.sum()) - (c * g).sum() / c.sum()) / math.log(2) / width
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_grassberger_by_counts(spark, width):
+    rng = np.random.default_rng(9)
+    texts = ["", "a", "ab", "aaaa", "\u00e9\U0001f600" * 7, "abc" * 5000, "".join(rng.choice(list("abcdef "), 3000)), None]
+    m = spark.createDataFrame(list(enumerate(texts)), "id int, message string")
+    got = {r.id: r.entropy for r in entropy.grassberger_entropy(m, width).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(plain_grassberger(t or "", width), abs=1e-10), t
+    assert entropy.grassberger_entropy(m.filter("false"), width).count() == 0
+
+
+def test_sharpe_differences_as_a_plan(spark):
+    rng = np.random.default_rng(10)
+    pairs = {g: [(float(a), float(0.4 * a + b)) for a, b in zip(0.1 + rng.standard_normal(n), rng.standard_normal(n))] for g, n in (("a", 300), ("b", 27), ("c", 4))}
+    odd = {"flat": [(1.0, float(k)) for k in range(9)], "one": [(1.0, 2.0)], "bare": [(None, 1.0), (math.nan, 2.0)]}
+    gaps = {"a": [*pairs["a"], (None, 1.0), (math.nan, 2.0)]}
+    p = series_rows(spark, pairs | gaps | odd, "a double, b double")
+    for band in (0, None, 2):
+        got = {r.symbol: r for r in backtest.sharpe_difference_tests(p, band).collect()}
+        assert sorted(got) == ["a", "b", "c", "flat", "one"]
+        for g, rows in pairs.items():
+            a, b = np.array(rows).T
+            lag = band if band is not None else math.ceil(round(len(a) ** (1 / 3), 12))
+            delta, influence = backtest._difference(a, b)
+            se = math.sqrt(backtest.long_run_variance(influence, lag, 1e-300) / len(a))
+            assert got[g].delta == pytest.approx(delta, rel=1e-9) and got[g].se == pytest.approx(se, rel=1e-7), (g, band)
+            assert got[g].pvalue == pytest.approx(math.erfc(abs(delta / se) / math.sqrt(2)), abs=1e-6) and got[g].reject == (got[g].pvalue < 0.05)
+        assert got["flat"].stat is None and got["one"].pvalue is None and not got["flat"].reject
+    assert backtest.sharpe_difference_tests(p.filter("false")).count() == 0
