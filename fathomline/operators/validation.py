@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import ship
 from .backtest import expected_max, probabilistic_sharpe_ratio, psr_sql, sharpe
 
 
@@ -113,11 +112,44 @@ def backtest_paths(rows: DataFrame, groups: int, chosen: int, key: str = "symbol
 
 
 def half_splits(spark: SparkSession, parts: int) -> DataFrame:
-    """split_id, part, is_train for all choices of half of the parts."""
+    """split_id, part, is_train for all choices of half of the parts, numbered as sorted lists of parts are.
+
+    Choices are the bit masks with half of the bits, the first part's on top, which tasks enumerate and number by
+    counting the choices before each.
+    """
     if parts % 2:
         raise ValueError("the number of partitions is even")
-    rows = [(j, p, p in c) for j, c in enumerate(combinations(range(1, parts + 1), parts // 2), 1) for p in range(1, parts + 1)]
-    return spark.createDataFrame(rows, "split_id int, part int, is_train boolean")
+    half = parts // 2
+    number = F.lit(1)
+    for p in range(1, parts + 1):
+        # where p is passed over, all choices that take it there come before
+        left = half - F.bit_count(F.shiftright("id", parts - p + 1))
+        before = F.array(*[F.lit(math.comb(parts - p, r - 1) if r else 0).cast("long") for r in range(half + 1)])
+        number = number + F.when(F.col("id").bitwiseAND(F.lit(1 << (parts - p))) == 0, F.get(before, left)).otherwise(F.lit(0))
+    masks = spark.range(1 << parts).filter(F.bit_count("id") == half).select("id", number.cast("int").alias("split_id"))
+    return masks.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(parts)))).select("split_id", "part", F.expr(f"(shiftright(id, {parts} - part) & 1) = 1").alias("is_train"))
+
+
+#: Rows up to which the table of splits is broadcast.
+BROADCAST_SPLITS = 1 << 20
+
+
+def _splits(spark: SparkSession, parts: int) -> DataFrame:
+    s = half_splits(spark, parts)
+    return F.broadcast(s) if math.comb(parts, parts // 2) * parts <= BROADCAST_SPLITS else s
+
+
+def _centred(perf: DataFrame) -> DataFrame:
+    """perf with each strategy's mean c and the difference d from it."""
+    return perf.join(perf.groupBy("strategy").agg(F.avg("x").alias("c")), "strategy").withColumn("d", F.col("x") - F.col("c"))
+
+
+def _ratios(sums: DataFrame, *keys: str) -> DataFrame:
+    """keys, split_id, is_train, strategy, m: Sharpe ratios from centred sums per part that have met the splits."""
+    g = sums.groupBy(*keys, "split_id", "is_train", "strategy").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.first("c").alias("c"))
+    mean = F.col("s1") / F.col("n")
+    sd = F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)))
+    return g.select(*keys, "split_id", "is_train", "strategy", F.when(sd < 1e-14, F.lit(0.0)).otherwise(F.try_divide(mean + F.col("c"), sd)).alias("m"))
 
 
 def split_metrics(perf: DataFrame, parts: int, metric=None) -> DataFrame:
@@ -126,29 +158,27 @@ def split_metrics(perf: DataFrame, parts: int, metric=None) -> DataFrame:
     The Sharpe ratio comes from centred sums per part and strategy, so the splits touch parts x
     strategies rows and not all observations; another metric (Column factory) reads the rows.
     """
-    spark = perf.sparkSession
     # parts are cut over distinct times, which are few against the observations
     times = folds(perf.select("t").distinct(), parts, "t").withColumnRenamed("fold", "part")
-    p = perf.join(times, "t")
-    s = F.broadcast(half_splits(spark, parts))
+    s = _splits(perf.sparkSession, parts)
     if metric is not None:
-        return p.join(s, "part").groupBy("split_id", "is_train", "strategy").agg(metric("x").alias("m"))
-    centre = p.groupBy("strategy").agg(F.avg("x").alias("c"))
-    sums = p.join(centre, "strategy").withColumn("d", F.col("x") - F.col("c")).groupBy("part", "strategy").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("s1"), F.sum(F.col("d") * F.col("d")).alias("s2"), F.first("c").alias("c"))
-    g = sums.join(s, "part").groupBy("split_id", "is_train", "strategy").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.first("c").alias("c"))
-    mean = F.col("s1") / F.col("n")
-    sd = F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)))
-    return g.select("split_id", "is_train", "strategy", F.when(sd < 1e-14, F.lit(0.0)).otherwise(F.try_divide(mean + F.col("c"), sd)).alias("m"))
+        return perf.join(times, "t").join(s, "part").groupBy("split_id", "is_train", "strategy").agg(metric("x").alias("m"))
+    sums = _centred(perf.join(times, "t")).groupBy("part", "strategy").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("s1"), F.sum(F.col("d") * F.col("d")).alias("s2"), F.first("c").alias("c"))
+    return _ratios(sums.join(s, "part"))
+
+
+def _logits(m: DataFrame, *keys: str) -> DataFrame:
+    best = m.filter("is_train").groupBy(*keys, "split_id").agg(F.max_by("strategy", F.struct("m", -F.col("strategy"))).alias("best"))
+    w = Window.partitionBy(*keys, "split_id")
+    ranked = m.filter("NOT is_train").withColumn("rank", F.row_number().over(w.orderBy("m", "strategy"))).withColumn("n", F.count(F.lit(1)).over(w))
+    share = F.col("rank") / (F.col("n") + 1.0)
+    j = ranked.join(best, [*keys, "split_id"]).filter(F.col("strategy") == F.col("best"))
+    return j.select(*keys, "split_id", F.ln(share / (1 - share)).alias("logit")).withColumn("overfit", F.col("logit") <= 0)
 
 
 def pbo_logits(perf: DataFrame, parts: int = 16, metric=None) -> DataFrame:
     """split_id, logit, overfit: where the strategy that was best in training ranks in testing."""
-    m = split_metrics(perf, parts, metric)
-    best = m.filter("is_train").groupBy("split_id").agg(F.max_by("strategy", F.struct("m", -F.col("strategy"))).alias("best"))
-    ranked = m.filter("NOT is_train").withColumn("rank", F.row_number().over(Window.partitionBy("split_id").orderBy("m", "strategy"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("split_id")))
-    w = F.col("rank") / (F.col("n") + 1.0)
-    j = ranked.join(best, "split_id").filter(F.col("strategy") == F.col("best"))
-    return j.select("split_id", F.ln(w / (1 - w)).alias("logit")).withColumn("overfit", F.col("logit") <= 0)
+    return _logits(split_metrics(perf, parts, metric))
 
 
 def probability_of_overfitting(perf: DataFrame, parts: int = 16, metric=None) -> DataFrame:
@@ -188,43 +218,39 @@ def adaptive_overfitting(perf: DataFrame, parts: int = 16, target: float = 0.25,
     return pbo, ranking
 
 
-def bootstrap_rows(n: int, block: int, rng: np.random.Generator) -> np.ndarray:
-    """0-based rows of wrapped blocks."""
-    block = max(block, 1)
-    return (rng.integers(0, n, -(-n // block))[:, None] + np.arange(block)).ravel()[:n] % n
-
-
-def overfitting_of(p: np.ndarray, parts: int) -> float:
-    """The same probability for one small matrix in memory: sums per part, then all splits at once."""
-    cuts = np.array_split(np.arange(len(p)), parts)
-    n = np.array([len(c) for c in cuts], float)
-    c = p - p.mean(0)
-    s1, s2 = np.array([c[k].sum(0) for k in cuts]), np.array([(c[k] ** 2).sum(0) for k in cuts])
-    train = np.array([[k in t for k in range(parts)] for t in combinations(range(parts), parts // 2)], float)
-
-    def ratio(m):
-        size = (m @ n)[:, None]
-        mean = m @ s1 / size
-        sd = np.sqrt(np.maximum(m @ s2 / size - mean**2, 0))
-        return np.where(sd > 1e-14, (mean + p.mean(0)) / np.where(sd > 1e-14, sd, 1), 0.0)
-
-    best, test = ratio(train).argmax(1), ratio(1 - train)
-    rank = test.argsort(1, kind="stable").argsort(1)[np.arange(len(best)), best] + 1
-    return float((rank / (p.shape[1] + 1) <= 0.5).mean())
+def block_bootstrap(spark: SparkSession, n: int, block: int, draws: int, seed: int = 0) -> DataFrame:
+    """draw, pos, row (from 0): each draw fills n positions with wrapped blocks of consecutive rows of n.
 
+    A block's start is a hash of seed, draw and block, so a task that runs again draws the same rows.
+    """
+    block = max(block, 1)
+    count = -(-n // block)
+    b = spark.range(draws * count).select(F.floor(F.col("id") / count).alias("draw"), (F.col("id") % count).alias("b"))
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("b").cast("string"))), 1, 15), 16, 10).cast("long") % n
+    k = b.withColumn("start", start).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+    return k.select("draw", (F.col("b") * block + F.col("k")).alias("pos"), ((F.col("start") + F.col("k")) % n).alias("row")).filter(F.col("pos") < n)
 
-def bagged_overfitting(spark: SparkSession, perf: np.ndarray, parts: int = 16, bags: int = 30, block: int | None = None, seed: int = 0) -> DataFrame:
-    """bag, pbo of block-bootstrap resamples; each bag is a row, and the matrix goes along with the function."""
-    import pandas as pd
-
-    ship(spark)
-    size = block or max(len(perf) // 20, 5)
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"bag": b["id"], "pbo": [overfitting_of(perf[bootstrap_rows(len(perf), size, np.random.default_rng([seed, int(k)]))], parts) for k in b["id"]]})
+def bagged_overfitting(perf: DataFrame, parts: int = 16, bags: int = 30, block: int | None = None, seed: int = 0) -> DataFrame:
+    """bag, pbo of block-bootstrap resamples of t, strategy, x: the drawn times meet the observations in a join, whose
+    sums per bag, part and strategy are all that the splits touch.
 
-    return spark.range(bags).repartition(min(bags, 32)).mapInPandas(run, "bag long, pbo double")
+    Blocks are a twentieth of the times long, at least 5.  A time without a row of a strategy is left out for it.
+    """
+    spark = perf.sparkSession
+    # distinct times are few against the observations
+    times = perf.select("t").distinct().withColumn("row", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("t")) - 1).cast("long"))
+    n = times.count()
+    if n < parts:
+        raise ValueError("there are fewer observations than partitions")
+    base, extra = divmod(n, parts)
+    cut, pos = extra * (base + 1), F.col("pos")
+    part = F.when(pos < cut, F.floor(pos / (base + 1))).otherwise(extra + F.floor((pos - cut) / base)) + 1
+    drawn = block_bootstrap(spark, n, block or max(n // 20, 5), bags, seed).groupBy(F.col("draw").alias("bag"), part.cast("int").alias("part"), "row").agg(F.count(F.lit(1)).alias("w"))
+    rows = _centred(perf).join(times, "t").join(drawn, "row")
+    sums = rows.groupBy("bag", "part", "strategy").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("d")).alias("s1"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("s2"), F.first("c").alias("c"))
+    over = _logits(_ratios(sums.join(_splits(spark, parts), "part"), "bag"), "bag")
+    return over.groupBy("bag").agg(F.avg(F.col("overfit").cast("double")).alias("pbo"))
 
 
 def deflated_sharpe_gate(r: np.ndarray, trials: int, spread: float, threshold: float = 0.5) -> dict:

@@ -1089,9 +1089,20 @@ def _(spark, d):
     return B.benchmark_sharpes(returns(spark, d).groupBy("symbol").agg(B.sharpe("x").alias("sr")))
 
 
-@query("bagged_pbo")
+#: Twenty bags of wrapped blocks of five times, whose starts are hashes.
+_BAGGED = """WITH tm AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS row FROM (SELECT DISTINCT t FROM {perf})), nt AS (SELECT count(*) AS n FROM tm),
+  dr AS (SELECT bag, b * 5 + k AS pos, (('0x' || substr(md5('0:' || bag || ':' || b), 1, 15))::BIGINT % n + k) % n AS row, n FROM nt, range(20) x(bag), range((n + 4) // 5) y(b), range(5) z(k) WHERE b * 5 + k < n),
+  fo AS (SELECT bag, row, ntile(4) OVER (PARTITION BY bag ORDER BY pos) AS part FROM dr),
+  c AS (SELECT row_number() OVER (ORDER BY a, b) AS s, a, b FROM range(1, 5) x(a), range(1, 5) y(b) WHERE a < b),
+  m AS (SELECT bag, s, part IN (a, b) AS tr, strategy, CASE WHEN stddev_pop(x) < 1e-14 THEN 0 ELSE avg(x) / stddev_pop(x) END AS m FROM fo JOIN tm USING (row) JOIN {perf} USING (t), c GROUP BY ALL),
+  best AS (SELECT bag, s, arg_max(strategy, (m, -strategy)) AS strategy FROM m WHERE tr GROUP BY 1, 2),
+  k AS (SELECT bag, s, strategy, row_number() OVER (PARTITION BY bag, s ORDER BY m, strategy) / (count(*) OVER (PARTITION BY bag, s) + 1e0) AS w FROM m WHERE NOT tr)
+  --- SELECT bag, avg((w <= 0.5)::INTEGER::DOUBLE) AS pbo FROM k JOIN best USING (bag, s, strategy) GROUP BY 1"""
+
+
+@query("bagged_pbo", _BAGGED, "pbo")
 def _(spark, d):
-    return V.bagged_overfitting(spark, _perf_matrix(spark, d), 4, 20)
+    return V.bagged_overfitting(S.performances(spark, d), 4, 20)
 
 
 # ---- matrices --------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import math
 import time
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -434,3 +435,43 @@ def test_sharpe_differences_as_a_plan(spark):
             assert got[g].pvalue == pytest.approx(math.erfc(abs(delta / se) / math.sqrt(2)), abs=1e-6) and got[g].reject == (got[g].pvalue < 0.05)
         assert got["flat"].stat is None and got["one"].pvalue is None and not got["flat"].reject
     assert backtest.sharpe_difference_tests(p.filter("false")).count() == 0
+
+
+def plain_overfitting(p, parts):
+    cuts = np.array_split(np.arange(len(p)), parts)
+    n = np.array([len(c) for c in cuts], float)
+    c = p - p.mean(0)
+    s1, s2 = np.array([c[k].sum(0) for k in cuts]), np.array([(c[k] ** 2).sum(0) for k in cuts])
+    train = np.array([[k in t for k in range(parts)] for t in combinations(range(parts), parts // 2)], float)
+
+    def ratio(m):
+        size = (m @ n)[:, None]
+        mean = m @ s1 / size
+        sd = np.sqrt(np.maximum(m @ s2 / size - mean**2, 0))
+        return np.where(sd > 1e-14, (mean + p.mean(0)) / np.where(sd > 1e-14, sd, 1), 0.0)
+
+    best, test = ratio(train).argmax(1), ratio(1 - train)
+    rank = test.argsort(1, kind="stable").argsort(1)[np.arange(len(best)), best] + 1
+    return float((rank / (p.shape[1] + 1) <= 0.5).mean())
+
+
+@pytest.mark.parametrize("parts", [2, 6, 10])
+def test_half_splits_are_numbered_as_sorted_choices(spark, parts):
+    want = {(k, p, p in c) for k, c in enumerate(combinations(range(1, parts + 1), parts // 2), 1) for p in range(1, parts + 1)}
+    assert {tuple(r) for r in validation.half_splits(spark, parts).collect()} == want
+
+
+def test_bags_of_overfitting(spark):
+    p = np.random.default_rng(11).standard_normal((43, 7))
+    p[:, 2] = 0.25
+    perf = spark.createDataFrame([(t, s, float(x)) for t, row in enumerate(p) for s, x in enumerate(row)], "t long, strategy int, x double")
+    drawn = validation.block_bootstrap(spark, 43, 5, 6, 3).collect()
+    at = {b: [r.row for r in sorted(drawn, key=lambda r: r.pos) if r.draw == b] for b in range(6)}
+    assert all(len(v) == 43 and all((b - a) % 43 == 1 for k, (a, b) in enumerate(zip(v, v[1:]), 1) if k % 5) for v in at.values())
+    assert len({tuple(v) for v in at.values()}) == 6
+    got = {r.bag: r.pbo for r in validation.bagged_overfitting(perf, 6, 6, 5, 3).collect()}
+    assert sorted(got) == list(range(6))
+    for b, v in at.items():
+        assert got[b] == pytest.approx(plain_overfitting(p[v], 6)), b
+    with pytest.raises(ValueError):
+        validation.bagged_overfitting(perf.filter("t < 3"), 6)
