@@ -608,7 +608,21 @@ def _(spark, d):
     return breaks.adf_design(daily(spark, d).withColumnRenamed("close", "x"), "ct", 1).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("pelt_change_points")
+#: The same search on lists: places met, their least costs and origins, and the starts kept after each.
+_PELT = """WITH RECURSIVE sr AS (SELECT symbol, count(*) AS n, 3 * ln(count(*)) AS beta, list_prepend(0e0, list(c1 ORDER BY ts)) AS c1, list_prepend(0e0, list(c2 ORDER BY ts)) AS c2
+    FROM (SELECT symbol, ts, sum(close) OVER w AS c1, sum(close * close) OVER w AS c2 FROM {hourly} WINDOW w AS (PARTITION BY symbol ORDER BY ts)) GROUP BY 1 HAVING count(*) >= 20),
+  st AS (SELECT symbol, 0::BIGINT AS stop, [0::BIGINT] AS met, [0e0] AS best, [NULL::BIGINT] AS origin, []::BIGINT[] AS starts FROM sr UNION ALL
+    SELECT symbol, stop, list_append(met, stop), list_append(best, least_cost), list_append(origin, usable[list_position(total, least_cost)]),
+      list_transform(list_filter(list_zip(starts, total), lambda z: z[2] <= least_cost + beta), lambda z: z[1])
+    FROM (SELECT *, list_min(total) AS least_cost FROM (SELECT *, list_transform(usable, lambda s: best[list_position(met, s)] + beta + (stop - s) * ln(greatest((c2[stop + 1] - c2[s + 1]) / (stop - s) - pow((c1[stop + 1] - c1[s + 1]) / (stop - s), 2), 0) + 1e-6)) AS total
+      FROM (SELECT *, list_filter(starts, lambda s: list_contains(met, s)) AS usable
+        FROM (SELECT symbol, n, beta, c1, c2, met, best, origin, next AS stop, list_append(starts, (next - 10) // 5 * 5) AS starts
+          FROM (SELECT st.*, sr.n, sr.beta, sr.c1, sr.c2, CASE WHEN greatest(stop + 5, 10) < sr.n THEN greatest(stop + 5, 10) ELSE sr.n END AS next FROM st JOIN sr USING (symbol) WHERE stop < sr.n)))))),
+  tr AS (SELECT symbol, met, origin, n AS place FROM st JOIN sr USING (symbol) WHERE stop = n UNION ALL SELECT symbol, met, origin, origin[list_position(met, place)] FROM tr WHERE place > 0)
+  --- SELECT symbol, place AS change_point FROM tr JOIN sr USING (symbol) WHERE place > 0 AND place < n"""
+
+
+@query("pelt_change_points", _PELT)
 def _(spark, d):
     return breaks.pelt(_hourly_prices(spark, d).withColumnRenamed("close", "x"))
 
