@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.grouped import nan_to_none, per_series, scalars
+from ..functions.normal import horner, phi
 from ..functions.series import ordered
-from ..functions.special import adf_pvalue, adf_statistic
+from ..functions.special import DF_LARGE, DF_MAX, DF_MIN, DF_SMALL, DF_STAR, adf_pvalue, adf_statistic
 from ..runtime import materialise, ship, small_batches
 
 ANCHOR_THRESHOLDS = (1e-3, 1e-4, 1e-5)
@@ -59,8 +62,12 @@ def ffd(series: DataFrame, d: float, threshold: float = 1e-5, value: str = "x")
     if len(w) > MOST_LAGS:
         return _over_past(series, d, value, "ffd", lambda n: fixed_weights(d, threshold, max(2, n + 2)), None)
     o = ordered("symbol", "ts")
-    total = sum((F.lag(value, k).over(o) * float(v) for k, v in enumerate(w) if k), F.col(value) * float(w[0]))
-    return series.withColumn("ffd", total)
+    return series.withColumn("ffd", _lag_sum(w, value, o))
+
+
+def _lag_sum(weights, value: str, o) -> Column:
+    """Weights, the newest value's first, times a value and those before it; null where any is missing."""
+    return sum((F.lag(value, k).over(o) * float(v) for k, v in enumerate(weights) if k), F.col(value) * float(weights[0]))
 
 
 def apply(series: DataFrame, fn, name: str, value: str = "x") -> DataFrame:
@@ -167,24 +174,42 @@ def memory_kept(diffed: np.ndarray, level: np.ndarray) -> float:
     return abs(np.corrcoef(a, b)[0, 1]) if len(a) >= 5 and a.std() > 0 and b.std() > 0 else np.nan
 
 
-def optimal_ffd_table(close: np.ndarray, threshold: float = 0.01) -> pd.DataFrame:
-    """d from 0 to 1 in tenths: ADF statistic and p-value of the difference, correlation with the level."""
-    level = np.log(close)
-    rows = []
-    for d in np.linspace(0, 1, 11):
-        x = fixed_difference(level, d, threshold)
-        v = x[np.isfinite(x)]
-        t = adf_statistic(v) if len(v) > 5 else np.nan
-        rows.append((d, t, adf_pvalue(t), memory_kept(x, level)))
-    return pd.DataFrame(rows, columns=["d", "adf", "p_value", "correlation"])
+def fixed_differences(series: DataFrame, orders, threshold: float, value: str) -> DataFrame:
+    """symbol, ts, value, d, x: the fixed-window difference of each order; short windows come from one sorted pass."""
+    weights = {float(d): fixed_weights(d, threshold) for d in orders}
+    o = ordered("symbol", "ts")
+    short = [d for d, w in weights.items() if len(w) <= MOST_LAGS]
+    kinds = F.array(*[F.struct(F.lit(d).alias("d"), _lag_sum(weights[d], value, o).alias("x")) for d in short])
+    parts = [series.withColumn("_k", kinds).withColumn("_k", F.explode("_k")).select("symbol", "ts", value, "_k.d", "_k.x")] if short else []
+    parts += [ffd(series, d, threshold, value).select("symbol", "ts", value, F.lit(d).alias("d"), F.col("ffd").alias("x")) for d in weights if d not in short]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def optimal_ffd(prices: DataFrame, threshold: float = 0.01) -> DataFrame:
-    def run(rows):
-        t = optimal_ffd_table(rows["close"].to_numpy(float), threshold)
-        return t.assign(**{c: nan_to_none(t[c]) for c in ("adf", "p_value", "correlation")})
+    """symbol, d (0 to 1 in tenths), adf, p_value, correlation: of the log price's difference of that order its ADF
+    statistic with a constant and one lag, and its absolute correlation with the log price.
 
-    return per_series(prices.select("symbol", "ts", "close"), "symbol", ["ts"], run, "d double, adf double, p_value double, correlation double")
+    The regression needs only second moments of the difference, its level and its lagged step, so all is one
+    aggregation.  Values that are missing, or whose window holds a price that isn't positive, are left out; statistics
+    of fewer than six values (five for the correlation) or without variation are null.
+    """
+    level = prices.filter("symbol IS NOT NULL").select("symbol", "ts", F.when((F.col("close") > 0) & ~F.isnan("close"), F.ln("close")).alias("level"))
+    x = fixed_differences(level, np.linspace(0, 1, 11), threshold, "level").withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    o = Window.partitionBy("symbol", "d", F.col("x").isNull()).orderBy("ts")
+    steps = x.withColumns({"_y": F.col("x") - F.lag("x").over(o), "_l": F.lag("x").over(o), "_z": F.lag("x").over(o) - F.lag("x", 2).over(o)})
+    both = F.col("_z").isNotNull()
+    moments = {a + b: F.covar_pop(F.when(both, F.col("_" + a)), F.when(both, F.col("_" + b))).alias(a + b) for a, b in ("ll", "zz", "yy", "lz", "ly", "zy")}
+    g = steps.groupBy("symbol", "d").agg(F.count("_z").alias("n"), F.count("x").alias("values"), F.try_divide(F.covar_pop("x", "level"), F.stddev_pop("x") * F.stddev_pop(F.when(F.col("x").isNotNull(), F.col("level")))).alias("r"), *moments.values())
+    det = F.col("ll") * F.col("zz") - F.col("lz") * F.col("lz")
+    slope = F.try_divide(F.col("ly") * F.col("zz") - F.col("zy") * F.col("lz"), det)
+    other = F.try_divide(F.col("zy") * F.col("ll") - F.col("ly") * F.col("lz"), det)
+    variance = F.try_divide((F.col("yy") - slope * F.col("ly") - other * F.col("zy")) * F.col("zz"), det * (F.col("n") - 3))
+    t = g.withColumn("adf", F.when((F.col("n") >= 4) & (variance > 0), slope / F.sqrt(variance)))
+    small, large = (horner(tuple(f"{c!r}D" for c in reversed(p)), "adf") for p in (DF_SMALL, DF_LARGE))
+    t = t.withColumn("_tail", F.expr(f"CASE WHEN adf <= {DF_STAR!r}D THEN {small} ELSE {large} END"))
+    p = F.when(F.col("adf") > DF_MAX, 1.0).when(F.col("adf") < DF_MIN, 0.0).when(F.col("adf").isNotNull(), phi("_tail"))
+    r = F.when(F.col("values") >= 5, F.abs("r"))
+    return t.select("symbol", "d", "adf", p.alias("p_value"), r.alias("correlation"))
 
 
 def least_stationary_difference(close: np.ndarray, threshold: float = 1e-5, step: float = 0.01, p: float = 0.05) -> np.ndarray:

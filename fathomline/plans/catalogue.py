@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.normal import phi, phi_inv, phi_inv_sql, phi_sql
 from ..functions.series import ordered
-from ..functions.special import EULER, norm_ppf
+from ..functions.special import DF_LARGE, DF_MAX, DF_MIN, DF_SMALL, DF_STAR, EULER, norm_ppf
 from ..operators import backtest as B
 from ..operators import bars, breaks, dependence, entropy, fracdiff, importance, labels, matrix, microstructure, neighbours, ou, pde, synthetic
 from ..operators import validation as V
@@ -485,7 +485,21 @@ def _(spark, d):
     return fracdiff.frac_diff_expanding(daily(spark, d).withColumnRenamed("close", "x"), 0.5)
 
 
-@query("optimal_ffd")
+def _orders_sql() -> str:
+    """A difference of each order in tenths, and the least-squares statistics of its steps from second moments."""
+    orders = " UNION ALL ".join(f"SELECT symbol, ts, close AS level, {float(v)!r}::DOUBLE AS d, {_lags(fracdiff.fixed_weights(v, 0.01))} AS x FROM lp" for v in np.linspace(0, 1, 11))
+    tail = lambda c: " + ".join(f"{float(v)!r}::DOUBLE * pow(adf, {k})" for k, v in enumerate(c))
+    return f"""WITH lp AS (SELECT symbol, ts, CASE WHEN close > 0 THEN ln(close) END AS close FROM {{hourly}}), u AS ({orders}),
+  s AS (SELECT *, x - lag(x) OVER w AS y, lag(x) OVER w AS l, lag(x) OVER w - lag(x, 2) OVER w AS z FROM u WHERE x IS NOT NULL WINDOW w AS (PARTITION BY symbol, d ORDER BY ts)),
+  c AS (SELECT symbol, d, abs(corr(x, level)) AS correlation, count(z) AS n, avg(y) FILTER (z IS NOT NULL) AS my, avg(l) FILTER (z IS NOT NULL) AS ml, avg(z) AS mz FROM s GROUP BY 1, 2),
+  q AS (SELECT s.symbol, s.d, any_value(n) AS n, any_value(correlation) AS correlation, sum((l - ml) * (l - ml)) AS ll, sum((z - mz) * (z - mz)) AS zz, sum((y - my) * (y - my)) AS yy, sum((l - ml) * (z - mz)) AS lz, sum((l - ml) * (y - my)) AS ly, sum((z - mz) * (y - my)) AS zy FROM s JOIN c USING (symbol, d) WHERE z IS NOT NULL GROUP BY 1, 2),
+  -- the level's step that the lagged step doesn't tell
+  p AS (SELECT *, ll - lz * lz / zz AS own, ly - lz * zy / zz AS with_y, yy - zy * zy / zz AS rest FROM q), t AS (SELECT symbol, d, correlation, with_y / own / sqrt((rest - with_y * with_y / own) / (n - 3) / own) AS adf FROM p),
+  f AS (SELECT *, CASE WHEN adf <= {DF_STAR!r} THEN {tail(DF_SMALL)} ELSE {tail(DF_LARGE)} END AS tail FROM t)
+  --- SELECT symbol, d, adf, CASE WHEN adf > {DF_MAX!r} THEN 1 WHEN adf < {DF_MIN!r} THEN 0 ELSE {phi_sql("tail")} END AS p_value, correlation FROM f"""
+
+
+@query("optimal_ffd", _orders_sql(), "d adf p_value correlation")
 def _(spark, d):
     return fracdiff.optimal_ffd(_hourly_prices(spark, d))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.functions.special import digamma, ols_t
+from fathomline.functions.special import adf_pvalue, adf_statistic, digamma, ols_t
 from fathomline.operators import backtest, breaks, dependence, entropy, fracdiff, importance, labels, matrix, neighbours, validation
 
 
@@ -475,3 +475,33 @@ def test_bags_of_overfitting(spark):
         assert got[b] == pytest.approx(plain_overfitting(p[v], 6)), b
     with pytest.raises(ValueError):
         validation.bagged_overfitting(perf.filter("t < 3"), 6)
+
+
+def plain_orders(close, threshold):
+    level = np.log(close)
+    rows = []
+    for d in np.linspace(0, 1, 11):
+        x = fracdiff.fixed_difference(level, d, threshold)
+        v = x[np.isfinite(x)]
+        t = adf_statistic(v) if len(v) > 5 else np.nan
+        rows.append((d, t, adf_pvalue(t), fracdiff.memory_kept(x, level)))
+    return rows
+
+
+@pytest.mark.parametrize("threshold", [0.01, 1e-3])
+def test_orders_of_differences_from_moments(spark, threshold):
+    rng = np.random.default_rng(12)
+    walk = np.exp(np.cumsum(0.1 * rng.standard_normal(260)))
+    holes = [float(v) for v in walk[:200]]
+    holes[90] = holes[150] = math.nan
+    groups = {"a": [float(v) for v in walk], "b": [float(v) for v in 2 + rng.random(180)], "holes": holes, "few": [1.0, 2.0, 3.0, 5.0], "flat": [3.0] * 30}
+    s = series_rows(spark, groups | {"holes": [None if k == 150 else v for k, v in enumerate(holes)]}, "close double")
+    got = {(r.symbol, r.d): r for r in fracdiff.optimal_ffd(s, threshold).collect()}
+    assert len(got) == 11 * len(groups)
+    for g in ("a", "b", "holes", "few"):
+        for d, *want in plain_orders(np.array(groups[g]), threshold):
+            r = got[g, d]
+            for x, y in zip((r.adf, r.p_value, r.correlation), want):
+                assert (x is None) if not math.isfinite(y) else x == pytest.approx(y, rel=1e-6, abs=1e-7), (g, d, r, want)
+    assert all(got["flat", d].correlation is None or d > 0 for d in np.linspace(0, 1, 11))
+    assert fracdiff.optimal_ffd(s.filter("false"), threshold).count() == 0
