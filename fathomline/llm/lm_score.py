@@ -10,7 +10,8 @@ Both steps are log-bilinear: the sum of the two context embeddings times an outp
 bias.  They are trained in numpy against noise drawn from the frequencies, on every token of every training
 document: in each round every task goes on from the same weights over its documents of that round, and the
 tasks' weights are averaged by their tokens.  For scores, matrix products over batches of tokens give all
-alternatives of a step at once, so each probability has its exact normaliser.
+alternatives of a step at once, so each probability has its exact normaliser; contexts that occur more
+than once among the texts of a slice have it computed once.
 
 Words beyond the HOT most frequent ones get their counts by a join, the others by lookup; a document's
 words are counted before that join, so a word that no training document has is one row a document.
@@ -19,11 +20,10 @@ words are counted before that join, so a word that no training document has is o
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,42 +40,81 @@ ENDINGS, HEAD, DIM = 128, 128, 32
 OWN_WORDS = 4096
 #: Tokens that a task trains on, at least, and tasks at most; so weights that tasks pass on stay small beside the input.
 TASK_TOKENS, TASKS = 8_000_000, 256
-#: Tokens that a task holds and shuffles at a time while it trains, and tokens that are scored together.
-CHUNK, SCORED = 1 << 18, 1 << 16
+#: Tokens that a task holds and shuffles at a time while it trains.
+CHUNK = 1 << 18
+#: Bytes of texts that are cut into words together, where a longer text is by itself, and tokens that are scored together.
+TOGETHER, SCORED = 3 << 20, 1 << 19
 #: Parts that the weights are cut into to be averaged.
 SLICES = 64
 NOISE, BATCH, RATE = 128, 1024, 0.15
 #: Passes over the training tokens, each in ROUNDS parts by hash, after each of which weights are averaged.
 EPOCHS, ROUNDS = 1, 3
-#: Tokens of one matrix product, whose result then stays in a core's cache.
-ROWS = 512
+#: Scores of one matrix product, which then stay in a core's cache.
+IN_CACHE = 1 << 17
+#: Rows that are multiplied pair by pair at a time.
+ROWS = 4096
+#: Sums of exponentials within these bounds have lost nothing; others are taken again from their greatest term.
+LEAST_SUM, MOST_SUM = 1e-20, 1e20
 #: Stands for the end of a text; no word contains white space.
 END = b"\n"
 FLUSH = 300_000
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased, split at ASCII white space, then the end."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    words.append(END)
-    return words
+class Coded:
+    """Texts as numbers of their distinct words: A-Z lower-cased, split at ASCII white space, then the end."""
+
+    def __init__(self, texts: pa.Array):
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        found = cut.flatten().dictionary_encode()
+        numbers, ends = found.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        # white space at either side of a text leaves an empty word there
+        inside = (pc.binary_length(found.dictionary).to_numpy(zero_copy_only=False) > 0)[numbers]
+        ends = np.concatenate([[0], np.cumsum(inside)])[ends]
+        words = found.dictionary.cast(pa.binary())
+        #: Distinct words, the end last; an empty one among them has no token.
+        self.words = pa.concat_arrays([words, pa.array([END], pa.binary())])
+        #: Tokens of each text, and where its first one is.
+        self.lengths = np.diff(ends) + 1
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        #: The word of each token.
+        self.numbers = np.insert(numbers[inside], ends[1:], len(words))
+
+    def distinct(self) -> list[bytes]:
+        return self.words.to_numpy(zero_copy_only=False).tolist()
+
+
+def parts_of(batch, column: str):
+    """Slices of a batch of about TOGETHER bytes of texts each."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // TOGETHER
+    begins = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for begin, end in zip(begins, [*begins[1:], len(part)]):
+        yield batch.slice(begin, end - begin)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (bytes), n over the texts of OWN text: counted per task before the shuffle."""
 
     def run(batches):
-        seen: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for (text,) in rows_of(batch, OWN + "text"):
-                seen.update(tokens_of(text))
-                if len(seen) > FLUSH:
-                    yield out(seen)
-                    seen = Counter()
-        yield out(seen)
+            for part in parts_of(batch, OWN + "text"):
+                coded = Coded(part.column(OWN + "text"))
+                n = np.bincount(coded.numbers, minlength=len(coded.words))
+                held.append(pa.table([coded.words, pa.array(n)], ["word", "n"]).filter(pa.array(n > 0)))
+                size += len(held[-1])
+                if size > 2 * FLUSH:
+                    held = [summed(held)]
+                    size = len(held[0])
+                    if size > FLUSH:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from summed(held).to_batches()
 
-    def out(seen):
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+    def summed(held):
+        found = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+        return pa.table([found["word"], found["n_sum"]], ["word", "n"])
 
     return docs.select(OWN + "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -137,7 +176,7 @@ class Units:
         c = self.first[unit]
         at = np.flatnonzero(unit >= self.head)
         at = at[self.sizes[c[at]] > 1]
-        return at[np.argsort(c[at], kind="stable")]
+        return at[np.argsort(c[at].astype(np.uint16), kind="stable")]
 
     def runs(self, unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of sorted places, where each class begins, and the classes."""
@@ -150,10 +189,6 @@ def _smoothed(counts: np.ndarray) -> np.ndarray:
     return (counts + 0.5) / (counts + 0.5).sum()
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.negative(np.clip(x, -30, 30, out=x), out=x), out=x))
-
-
 class LogBilinear:
     """Two context tables and the outputs of both steps; all are float32 tables with a row per unit."""
 
@@ -171,38 +206,70 @@ class LogBilinear:
         outputs = [np.hstack([new(len(p)), np.log(np.maximum(p, 1e-30)).astype(np.float32)[:, None]]) for p in chance]
         self.tables = [new(n + 1), new(n + 1), *outputs]
         self.past = [np.ones(len(t), np.float32) for t in self.tables]
+        self.slot = np.empty(max(map(len, self.tables)), np.int64)
+
+    def _added_up(self, rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rows and the sums of their gradients."""
+        at, slot = np.arange(len(rows)), self.slot
+        slot[rows] = at  # of equal rows one stays
+        stays = slot.take(rows) == at
+        first, again = np.flatnonzero(stays), np.flatnonzero(~stays)
+        distinct, total, width = rows.take(first), grad.take(first, 0), grad.shape[1]
+        slot[distinct] = at[: len(first)]
+        to = slot.take(rows.take(again))[:, None] * width + np.arange(width)
+        np.add.at(total.reshape(-1), to.ravel(), grad.take(again, 0).ravel())
+        return distinct, total
 
     def _step(self, k: int, rows: np.ndarray, grad: np.ndarray) -> None:
         """Adagrad by row; rows may repeat."""
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        fresh = np.diff(ordered, prepend=-1) != 0
-        place = np.empty(len(rows), np.int64)
-        place[order] = np.cumsum(fresh) - 1
-        rows, width = ordered[fresh], grad.shape[1]
-        at = (place[:, None] * width + np.arange(width)).ravel()
-        grad = np.bincount(at, grad.ravel(), len(rows) * width).astype(np.float32).reshape(-1, width)
-        past = self.past[k][rows] + np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+        rows, grad = self._added_up(rows, grad)
+        past = self.past[k].take(rows) + np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
         self.past[k][rows] = past
-        self.tables[k][rows] -= grad * (RATE / np.sqrt(past))[:, None]
+        grad *= (RATE / np.sqrt(past))[:, None]
+        self.tables[k][rows] = np.subtract(self.tables[k].take(rows, 0), grad, out=grad)
 
     def _query(self, older: np.ndarray, newer: np.ndarray) -> np.ndarray:
         """What outputs are multiplied with: the sum of the contexts' embeddings, and 1 for the bias."""
-        q = np.ones((len(older), DIM + 1), np.float32)
-        np.add(self.tables[0][older], self.tables[1][newer], out=q[:, :DIM])
+        q = np.empty((len(older), DIM + 1), np.float32)
+        q[:, DIM] = 1
+        np.add(self.tables[0].take(older, 0), self.tables[1].take(newer, 0), out=q[:, :DIM])
         return q
 
-    def _contrast(self, step: int, q: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Tell targets from the same noise for all of them; moves a step's outputs, gives the gradient of q."""
-        out = self.tables[2 + step]
-        units, ends, log_p = self.noise[step]
-        noise = units[np.searchsorted(ends[:-1], self.rng.random(NOISE))]
-        far, own = out[noise], out[target]
-        false = _sigmoid(q @ far.T - log_p[noise])
-        true = _sigmoid(np.einsum("ij,ij->i", q, own) - log_p[target]) - 1
-        gq = false @ far[:, :DIM]
-        gq += true[:, None] * own[:, :DIM]
-        self._step(2 + step, np.concatenate([target, noise]), np.concatenate([true[:, None] * q, false.T @ q]))
+    def _contrast(self, q: np.ndarray, targets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Tell each step's targets from the same noise for all of them; moves the outputs, gives the gradient of q.
+
+        Targets are the rows of q that a step has and what it should predict there.  The logistic function of x is
+        half of 1 + tanh(x / 2), so its sums follow from those of tanh; both steps' are one matrix, with -1
+        where a row has no second step.
+        """
+        noise = [units.take(np.searchsorted(ends[:-1], self.rng.random(NOISE))) for units, ends, _ in self.noise]
+        far = np.concatenate([out.take(rows, 0) for out, rows in zip(self.tables[2:], noise)])
+        half = far * np.float32(0.5)
+        half[:, DIM] -= np.concatenate([log_p.take(rows) for (*_, log_p), rows in zip(self.noise, noise)]) * np.float32(0.5)
+        absent = np.ones(len(q), bool)
+        absent[targets[1][0]] = False
+        gq, of_noise, half = np.empty((len(q), DIM), np.float32), np.tile(q.sum(0), (len(far), 1)), np.ascontiguousarray(half.T)
+        for i in range(0, len(q), IN_CACHE // len(far)):
+            k = slice(i, i + IN_CACHE // len(far))
+            false = q[k] @ half
+            np.tanh(false, out=false)
+            false[absent[k], NOISE:] = -1
+            np.matmul(false, far[:, :DIM], out=gq[k])
+            of_noise += false.T @ q[k]
+        gq += far[:, :DIM].sum(0)
+        for step, (at, target) in enumerate(targets):
+            log_p, own, x, n = self.noise[step][2], self.tables[2 + step].take(target, 0), q if len(at) == len(q) else q.take(at, 0), len(at)
+            true = np.tanh((np.einsum("ij,ij->i", x, own) - log_p.take(target)) * np.float32(0.5)) - 1
+            own *= true[:, None]
+            if x is q:
+                gq += own[:, :DIM]
+            else:
+                gq[at] += own[:, :DIM]
+            grad = np.empty((n + NOISE, DIM + 1), np.float32)
+            np.multiply((0.5 * true)[:, None], x, out=grad[:n])
+            np.multiply(of_noise[step * NOISE : (step + 1) * NOISE], 0.5, out=grad[n:])
+            self._step(2 + step, np.concatenate([target, noise[step]]), grad)
+        gq *= 0.5
         return gq
 
     def train(self, older: np.ndarray, newer: np.ndarray, unit: np.ndarray) -> None:
@@ -214,31 +281,55 @@ class LogBilinear:
         order = self.rng.permutation(len(unit))
         for i in range(0, len(order), BATCH):
             k = order[i : i + BATCH]
-            a, b, t = older[k], newer[k], unit[k]
-            q = self._query(a, b)
-            gq = self._contrast(0, q, self.units.first[t])
-            at = np.flatnonzero(t >= self.units.head)
-            if len(at):
-                gq[at] += self._contrast(1, q[at], t[at])
-            self._step(0, a, gq)
+            a, b, t = older.take(k), newer.take(k), unit.take(k)
+            inner = np.flatnonzero(t >= self.units.head)
+            gq = self._contrast(self._query(a, b), [(np.arange(len(t)), self.units.first.take(t)), (inner, t.take(inner))])
+            self._step(0, a, gq.copy())
             self._step(1, b, gq)
 
     def log_probability(self, older: np.ndarray, newer: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """Natural logarithm of each unit's normalised probability after its two."""
-        u, out = self.units, np.empty(len(unit))
-        outputs = np.ascontiguousarray(self.tables[2].T)
-        for i in range(0, len(unit), ROWS):
-            k = slice(i, i + ROWS)
-            out[k] = _log_share(self._query(older[k], newer[k]) @ outputs, u.first[unit[k]])
+        blocks = [slice(i, i + SCORED) for i in range(0, len(unit), SCORED)]
+        return np.concatenate([np.empty(0), *(self._log_probability(older[k], newer[k], unit[k]) for k in blocks)])
+
+    def _log_probability(self, older: np.ndarray, newer: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        u, (first, second) = self.units, self.tables[2:]
+        # in order of contexts, as one that occurs again has the same sums
+        pair = older * (u.start + 1) + newer
+        order = np.argsort(pair)
+        fresh = _fresh(pair.take(order))
+        context, one, unit = np.cumsum(fresh) - 1, order[fresh], unit.take(order)
+        q = self._query(older.take(one), newer.take(one))
+        log = _scores(q, context, first, u.first.take(unit)) - self._log_sums(q, first).take(context)
         inner = u.inner(unit)
         begins, classes = u.runs(unit, inner)
         for c, at in zip(classes, np.split(inner, begins[1:])):
-            m = u.members[c]
-            outputs = np.ascontiguousarray(self.tables[3][m].T)
-            for part in np.split(at, range(ROWS, len(at), ROWS)):
-                out[part] += _log_share(self._query(older[part], newer[part]) @ outputs, u.place[unit[part]])
+            outputs, of_class = second.take(u.members[c], 0), context.take(at)
+            fresh = _fresh(of_class)
+            sums = self._log_sums(q.take(of_class[fresh], 0), outputs)
+            log[at] += _scores(q, of_class, outputs, u.place.take(unit.take(at))) - sums.take(np.cumsum(fresh) - 1)
+        out = np.empty(len(unit))
+        out[order] = log
         return out
 
+    @staticmethod
+    def _log_sums(q: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum of the exponentials of each row's scores."""
+        powers, log = np.ascontiguousarray(outputs.T) * np.float32(1 / np.log(2)), np.empty(len(q))
+        ones, step = np.ones(len(outputs), np.float32), max(1, IN_CACHE // len(outputs))
+        for i in range(0, len(q), step):
+            scores = q[i : i + step] @ powers
+            with np.errstate(over="ignore"):
+                sums = np.exp2(scores, out=scores) @ ones
+            lost = np.flatnonzero(~((sums > LEAST_SUM) & (sums < MOST_SUM)))
+            sums[lost] = 1
+            log[i : i + step] = np.log(sums)
+            if len(lost):
+                scores = (q[i + lost] @ outputs.T).astype(np.float64)
+                top = scores.max(1)
+                log[i + lost] = top + np.log(np.exp(scores - top[:, None]).sum(1))
+        return log
+
     def state(self) -> np.ndarray:
         """Weights, then sums of squared gradients, in one vector."""
         return np.concatenate([x.ravel() for x in (*self.tables, *self.past)])
@@ -250,13 +341,20 @@ class LogBilinear:
             at += x.size
 
 
-def _log_share(scores: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """log softmax of each row of scores at its place; scores are overwritten."""
-    own = scores[np.arange(len(scores)), place].astype(np.float64)
-    top = scores.max(1)
-    scores -= top[:, None]
-    np.exp(scores, out=scores)
-    return own - top - np.log(scores @ np.ones(scores.shape[1], np.float32))
+def _fresh(ordered: np.ndarray) -> np.ndarray:
+    """Which of some ordered numbers differ from the one before."""
+    fresh = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    return fresh
+
+
+def _scores(q: np.ndarray, rows: np.ndarray, outputs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Products of rows of q and of outputs, pair by pair."""
+    out = np.empty(len(rows))
+    for i in range(0, len(rows), ROWS):
+        k = slice(i, i + ROWS)
+        out[k] = np.einsum("ij,ij->i", q.take(rows[k], 0), outputs.take(places[k], 0))
+    return out
 
 
 def unit_streams(docs: DataFrame, shared) -> DataFrame:
@@ -265,10 +363,11 @@ def unit_streams(docs: DataFrame, shared) -> DataFrame:
     def run(batches):
         own = shared.value["rank"]
         for batch in batches:
-            out = []
-            for (text,) in rows_of(batch, OWN + "text"):
-                out.append(np.array([own[w] if w in own else len(own) + ending_class(w) for w in tokens_of(text)], np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(out, pa.binary())], ["part", "units"])
+            for part in parts_of(batch, OWN + "text"):
+                coded = Coded(part.column(OWN + "text"))
+                unit = np.array([own[w] if w in own else len(own) + ending_class(w) for w in coded.distinct()], np.int32)[coded.numbers]
+                out = [x.tobytes() for x in np.split(unit, coded.begins[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("part"), pa.array(out, pa.binary())], ["part", "units"])
 
     # by identifier and not by content, as copies should be spread over the rounds
     part = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col(OWN + "text"))), F.lit(ROUNDS)).cast("int")
@@ -413,42 +512,38 @@ def _partial_scores(read: DataFrame, shared) -> DataFrame:
     def run(batches):
         t = shared.value
         place = {w: k for k, w in enumerate(t["words"])}
-        logs, within, units = t["log"], t["within"], t["units"]
+        logs, within, units = np.append(t["log"], 0.0), t["within"], t["units"]
         model = LogBilinear(units)
         model.restore(t["state"])
         row = TaskContext.get().partitionId() << 40
-        held: list = []
-        size = 0
-
-        def scored():
-            nonlocal row
-            older, newer, unit = contexts([u for *_, u in held], units.start)
-            sums = np.add.reduceat(model.log_probability(older, newer, unit), np.concatenate([[0], np.cumsum([len(u) for *_, u in held])[:-1]])) / np.log(10)
-            cols: list[list] = [[] for _ in range(8)]
-            for (doc, out, at, rare, u), log in zip(held, sums):
-                near = at[at >= 0]
-                # an own word is its unit; others have their smoothed share of their class
-                shared_out = u[u >= units.own] - units.own
-                own = float(logs[near[near >= units.own]].sum()) - float(within[shared_out].sum())
-                for col, v in zip(cols, (row, doc, out, len(u), len(near), float(logs[near].sum()), float(log) + own, [{"word": w, "n": k} for w, k in rare.items()])):
-                    col.append(v)
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "model_log", "rare"])
-
         for batch in batches:
-            for doc, out, text in rows_of(batch, "doc_id", "held_out", OWN + "text"):
-                words = tokens_of(text)
-                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                u = at.copy()
+            for part in parts_of(batch, OWN + "text"):
+                coded = Coded(part.column(OWN + "text"))
+                words = coded.distinct()
+                # by distinct word: its place among the hot ones, its unit, its part of both scores
+                at = np.array([place.get(w, -1) for w in words], np.int64)
+                unit = at.copy()
                 far = np.flatnonzero((at < 0) | (at >= units.own))
-                u[far] = [units.own + ending_class(words[k]) for k in far]
-                held.append((doc, out, at, Counter(words[k] for k in np.flatnonzero(at < 0)), u))
-                size += len(words)
-                if size >= SCORED:
-                    yield scored()
-                    held, size = [], 0
-        if held:
-            yield scored()
+                unit[far] = [units.own + ending_class(words[k]) for k in far]
+                base = logs[at]  # none for a word that isn't hot
+                # an own word is its unit; others have their smoothed share of their class
+                share = np.zeros(len(words))
+                share[far] = base[far] - within[unit[far] - units.own]
+                streams = unit[coded.numbers]
+                chance = model.log_probability(*contexts(np.split(streams, coded.begins[1:]), units.start)) / np.log(10)
+                hot, hot_log, model_log = (np.add.reduceat(x, coded.begins) for x in ((at >= 0)[coded.numbers].astype(np.int64), base[coded.numbers], chance + share[coded.numbers]))
+                rows = np.arange(row, row + len(part))
+                row += len(part)
+                names = ["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "model_log", "rare"]
+                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("doc_id"), part.column("held_out"), *map(pa.array, (coded.lengths, hot, hot_log, model_log)), rare_words(coded, at)], names)
+
+    def rare_words(coded, at):
+        """Per text an array of its words beyond the hot ones and how often it has each."""
+        text = np.repeat(np.arange(len(coded.lengths)), coded.lengths)
+        rare = at[coded.numbers] < 0
+        found, n = np.unique(text[rare] * len(at) + coded.numbers[rare], return_counts=True)
+        ends = np.searchsorted(found, np.arange(len(coded.lengths) + 1) * len(at))
+        pairs = pa.StructArray.from_arrays([coded.words.take(pa.array(found % len(at))), pa.array(n.astype(np.int64))], ["word", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)
 
     return read.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_log double, model_log double, rare array<struct<word:binary,n:long>>")

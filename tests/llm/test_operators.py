@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +308,42 @@ def test_lm_is_normalised_and_learns():
     assert p.sum() == pytest.approx(1, abs=1e-4) and p.argmax() == 451
 
 
+@pytest.mark.parametrize("scale", [1, 80])
+def test_lm_sums_of_a_context_are_taken_once(monkeypatch, scale):
+    """Contexts that occur again cost nothing more, and scores beyond the range of float32 lose nothing."""
+    words = [b"w%d" % k for k in range(900)]
+    m = lm_score.LogBilinear(lm_score.Units(words, np.linspace(900, 1, len(words)), np.full(lm_score.ENDINGS, 5000.0)))
+    for table in m.tables:
+        table *= scale**0.5
+    rng = np.random.default_rng(0)
+    older, newer, unit = np.tile([3, 4, 5], 900), np.tile([7, 8, 9], 900), rng.integers(0, m.units.start, 2700)
+    rows, sums = [], lm_score.LogBilinear._log_sums
+    monkeypatch.setattr(lm_score.LogBilinear, "_log_sums", staticmethod(lambda q, outputs: rows.append(len(q)) or sums(q, outputs)))
+    got = m.log_probability(older, newer, unit)
+    assert max(rows) == 3 and sum(rows) <= 3 * (1 + lm_score.ENDINGS)
+    for a, b, t, p in list(zip(older, newer, unit, got))[:300]:
+        q = np.append(m.tables[0][a].astype(float) + m.tables[1][b], 1.0)
+
+        def log_share(outputs, place):
+            x = outputs.astype(float) @ q
+            return x[place] - x.max() - np.log(np.exp(x - x.max()).sum())
+
+        want = log_share(m.tables[2], m.units.first[t])
+        if t >= m.units.head:
+            want += log_share(m.tables[3][m.units.members[m.units.first[t]]], m.units.place[t])
+        assert p == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_lm_words_of_texts():
+    texts = [None, "", " ", "A b\tA\x1c\xa0\u00c0 ", "\n x\r\x0bX\x0c\u0130 end"]
+    for some in ([None], texts, texts[3:]):
+        coded = lm_score.Coded(pa.array(some, pa.string()))
+        words = coded.distinct()
+        assert [[words[k] for k in x] for x in np.split(coded.numbers, coded.begins[1:])] == [(t or "").encode().lower().split() + [b"\n"] for t in some]
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * (lm_score.TOGETHER // 2)] * 5 + [None]})
+    assert [len(x) for x in lm_score.parts_of(batch, "t")] == [2, 2, 2]
+
+
 def test_lm_contexts():
     older, newer, unit = lm_score.contexts([np.array([5, 6, 7], np.int32), np.array([8], np.int32)], 99)
     assert older.tolist() == [99, 99, 5, 99] and newer.tolist() == [99, 5, 6, 99] and unit.tolist() == [5, 6, 7, 8]
