@@ -1,8 +1,8 @@
 """Whole-text encoding by a public tokenizer, fast on texts whose words recur.
 
 Pre-tokenization never joins what white space separates, so a text is cut before each run of ASCII
-white space and each unit is encoded by itself; units that recur are looked up.  Units of Latin
-letters and plain punctuation go straight to the tokenizer's model, all others to the tokenizer; strings
+white space and each unit is encoded by itself; units that recur are looked up.  Of units of Latin letters and plain
+punctuation each distinct word goes straight to the tokenizer's model, all other units to the tokenizer; strings
 of special tokens hold no white space, so they stay within a unit.
 Texts with other white space are cut only between letters or digits of ASCII, where no rule looks across.
 """
@@ -10,6 +10,7 @@ Texts with other white space are cut only between letters or digits of ASCII, wh
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -26,9 +27,10 @@ TOGETHER = 1 << 18
 
 #: White space beyond ASCII's, and controls that some tables count as such.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-_PLAIN = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:|]*)")
+_PLAIN = re.compile("(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:|#$%&*]*)")
 _SPACED_UNIT = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-_BARE_UNIT = re.compile(r"[^\t-\r ]+")
+#: Without these each white space is a single space or line's end, before which a text is cut by plain replacement.
+_NOT_SINGLE = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r", "\0")
 _SAFE_CUT = re.compile(r"(?<=[0-9A-Za-z])[\t-\r ]+(?=[0-9A-Za-z])")
 
 def byte_letters() -> dict[int, str]:
@@ -43,15 +45,14 @@ class Encoder:
     added, and the string of a special token within a text is that token."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: The same model on words that are already in the model's letters, one a line.
-        self.lines = Tokenizer(self.tokenizer.model)
-        self.lines.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         #: With a normalizer white space is dropped and case folded, without one it stays.
         self.folds = self.tokenizer.normalizer is not None
         self.letters = {k: v for k, v in byte_letters().items() if k != ord("\n")}
+        #: The model by itself, for words that are already in its letters.
+        self.model = self.tokenizer.model
         self.units: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
@@ -61,30 +62,45 @@ class Encoder:
 
     def _learn(self, units: set[str]) -> None:
         """Put the ids of units into the table."""
-        plain, words, tails = [], [], []
+        table, marks, match = self.units, self.marks, _PLAIN.fullmatch
+        words, composed = set(), []
         for u in units:
-            if m := _PLAIN.fullmatch(u):
-                plain.append(u)
-                words.append(m[1])
-                tails.append(m[2])
+            if m := match(u):
+                head, word, tail = m.groups()
+                if word not in table:
+                    words.add(word)
+                if head or tail:
+                    composed.append((u, head, word, tail))
             else:
-                self.units[u] = self.whole(u)
-        if not plain:
-            return
+                table[u] = self.whole(u)
+        found = self._words(words)
+        for u, head, word, tail in composed:
+            for mark in (head, tail):
+                if mark not in marks:
+                    marks[mark] = self.whole(mark)
+            table[u] = marks[head] + (found.get(word) or table[word]) + marks[tail]
+        for word in words & units:
+            table[word] = found[word]
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words without or with a space before them."""
         shown = "\n".join(words)
         shown = (shown.lower() if self.folds else shown).encode("utf-8").decode("latin-1").translate(self.letters)
-        found = self.lines.encode(shown, add_special_tokens=False)
-        ids = np.asarray(found.ids, dtype="<u4").tobytes()
-        ends = (4 * np.searchsorted(np.asarray(found.word_ids), np.arange(len(plain) + 1))).tolist()
-        for k, (u, tail) in enumerate(zip(plain, tails)):
-            if tail not in self.marks:
-                self.marks[tail] = self.whole(tail)
-            self.units[u] = ids[ends[k] : ends[k + 1]] + self.marks[tail]
+        cut = self.model.tokenize
+        return {w: array("I", [t.id for t in cut(x)]).tobytes() for w, x in zip(words, shown.split("\n"))}
+
+    def _units(self, text: str) -> list[str]:
+        """Units of a text without odd white space: bare ones where case is folded, else with the white space before them."""
+        if self.folds:
+            return text.split()
+        if any(x in text for x in _NOT_SINGLE):
+            return _SPACED_UNIT.findall(text)
+        cut = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        return cut if cut[0] else cut[1:]
 
     def _segments(self, texts: list[str]) -> list[bytes]:
         odd = [bool(_ODD_SPACE.search(t)) for t in texts]
-        find = (_BARE_UNIT if self.folds else _SPACED_UNIT).findall
-        cut = [[] if o else find(t) for t, o in zip(texts, odd)]
+        cut = [[] if o else self._units(t) for t, o in zip(texts, odd)]
         wanted = set().union(*cut)
         new = wanted.difference(self.units)
         full = len(self.units) + len(new) > MOST_UNITS

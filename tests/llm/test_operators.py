@@ -235,6 +235,26 @@ def test_store_format():
         b"".join(b"".join(x.document(k)) for x in [token_store.StoreReader(io.BytesIO(bytes(broken)), frame_ids=4)] for k in range(4))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_word_is_encoded_once_with_all_its_marks(monkeypatch, name):
+    """Symbols behind a word and a line's end before it don't take another call, and ids are the library's."""
+    import public_tokenizers
+
+    code = tokens.Encoder(public_tokenizers.path(name))
+    whole, calls, words = tokens.Encoder.whole, [], []
+    monkeypatch.setattr(tokens.Encoder, "whole", lambda self, text: calls.append(text) or whole(self, text))
+    cut = code._words
+    monkeypatch.setattr(code, "_words", lambda some: words.extend(some) or cut(some))
+    text = " Beach###. Beach Beach&&& Beach***!\nBeach Beach%%%,\n Beach$$$"
+    assert code.encode(text) == whole(code, text)
+    assert not any("each" in c for c in calls) and len(set(words)) == len(words) <= 2
+    rng = random.Random(3)
+    pieces = ["a", "B", "\u00e9", "\u00df", "###", "$", "%", "&", "*", "|", ".", " ", "\n", "\n\n", " \n", "\t", "1", "'s", "<|endoftext|>", "_", "("]
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        assert code.encode(text) == whole(code, text), text
+
+
 def test_lm_scores(docs, empty):
     rows = lm_score.score_documents(docs).collect()
     words = lambda t: (t or "").encode().lower().split() + [b"\n"]
