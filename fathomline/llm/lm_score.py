@@ -9,7 +9,9 @@ others a word has its smoothed share.  So each word, seen or not, has a normalis
 Both steps are log-bilinear: the sum of the two context embeddings times an output embedding, plus a
 bias.  They are trained in numpy against noise drawn from the frequencies, on every token of every training
 document: in each round every task goes on from the same weights over its documents of that round, and the
-tasks' weights are averaged by their tokens.  For scores, matrix products over batches of tokens give all
+tasks' weights are averaged by their tokens.  Tokens of one context meet the same noise as one row, times
+their number, which gives the same gradient.  Texts are cut into words twice: to count words, and to number them
+for training and scores.  For scores, matrix products over batches of tokens give all
 alternatives of a step at once, so each probability has its exact normaliser; contexts that occur more
 than once among the texts of a slice have it computed once.
 
@@ -19,6 +21,8 @@ words are counted before that join, so a word that no training document has is o
 
 from __future__ import annotations
 
+import functools
+import itertools
 import zlib
 
 import numpy as np
@@ -41,12 +45,14 @@ OWN_WORDS = 4096
 #: Tokens that a task trains on, at least, and tasks at most; so weights that tasks pass on stay small beside the input.
 TASK_TOKENS, TASKS = 8_000_000, 256
 #: Tokens that a task holds and shuffles at a time while it trains.
-CHUNK = 1 << 18
+CHUNK = 1 << 20
 #: Bytes of texts that are cut into words together, where a longer text is by itself, and tokens that are scored together.
-TOGETHER, SCORED = 3 << 20, 1 << 19
+TOGETHER, SCORED = 3 << 20, 1 << 20
 #: Parts that the weights are cut into to be averaged.
 SLICES = 64
 NOISE, BATCH, RATE = 128, 1024, 0.15
+#: Tokens of one context that are learned from together.
+SAME = 4
 #: Passes over the training tokens, each in ROUNDS parts by hash, after each of which weights are averaged.
 EPOCHS, ROUNDS = 1, 3
 #: Scores of one matrix product, which then stay in a core's cache.
@@ -200,13 +206,17 @@ class LogBilinear:
         inner = units.frequency.copy()
         inner[: units.head] = -0.5  # the second step never gives these
         chance = [_smoothed(units.first_frequency), _smoothed(inner)]
-        #: Units to draw from, their cumulated chances, and the logarithm of how often each is drawn for a batch.
-        self.noise = [(np.flatnonzero(p), np.cumsum(p[p > 0]), np.log(np.maximum(NOISE * p, 1e-30)).astype(np.float32)) for p in chance]
-        #: Context embeddings of the older and the newer token, and both steps' outputs with their biases last.
         outputs = [np.hstack([new(len(p)), np.log(np.maximum(p, 1e-30)).astype(np.float32)[:, None]]) for p in chance]
-        self.tables = [new(n + 1), new(n + 1), *outputs]
-        self.past = [np.ones(len(t), np.float32) for t in self.tables]
-        self.slot = np.empty(max(map(len, self.tables)), np.int64)
+        #: Context embeddings of the older and then the newer token, and both steps' outputs with their biases last.
+        self.stacked = [new(2 * (n + 1)), np.concatenate(outputs)]
+        self.past = [np.ones(len(t), np.float32) for t in self.stacked]
+        self.second = len(chance[0])
+        #: The same by token and by step.
+        self.tables = [x for t, k in zip(self.stacked, (n + 1, self.second)) for x in (t[:k], t[k:])]
+        #: Each step's outputs to draw from with their cumulated chances, and the logarithm of how often each is drawn for a batch.
+        self.noise = [(np.flatnonzero(p) + k, np.cumsum(p[p > 0])) for p, k in zip(chance, (0, self.second))]
+        self.log_drawn = np.log(np.maximum(NOISE * np.concatenate(chance), 1e-30)).astype(np.float32)
+        self.slot = np.empty(max(map(len, self.stacked)), np.int64)
 
     def _added_up(self, rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct rows and the sums of their gradients."""
@@ -221,12 +231,12 @@ class LogBilinear:
         return distinct, total
 
     def _step(self, k: int, rows: np.ndarray, grad: np.ndarray) -> None:
-        """Adagrad by row; rows may repeat."""
+        """Adagrad by row of a stacked table; rows may repeat."""
         rows, grad = self._added_up(rows, grad)
         past = self.past[k].take(rows) + np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
         self.past[k][rows] = past
         grad *= (RATE / np.sqrt(past))[:, None]
-        self.tables[k][rows] = np.subtract(self.tables[k].take(rows, 0), grad, out=grad)
+        self.stacked[k][rows] = np.subtract(self.stacked[k].take(rows, 0), grad, out=grad)
 
     def _query(self, older: np.ndarray, newer: np.ndarray) -> np.ndarray:
         """What outputs are multiplied with: the sum of the contexts' embeddings, and 1 for the bias."""
@@ -235,57 +245,84 @@ class LogBilinear:
         np.add(self.tables[0].take(older, 0), self.tables[1].take(newer, 0), out=q[:, :DIM])
         return q
 
-    def _contrast(self, q: np.ndarray, targets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Tell each step's targets from the same noise for all of them; moves the outputs, gives the gradient of q.
+    def _contrast(self, q: np.ndarray, of: np.ndarray, inner: np.ndarray, target: np.ndarray, noise: np.ndarray) -> np.ndarray:
+        """Tell targets from the same noise for all of them; moves the outputs, gives the gradient of q.
 
-        Targets are the rows of q that a step has and what it should predict there.  The logistic function of x is
-        half of 1 + tanh(x / 2), so its sums follow from those of tanh; both steps' are one matrix, with -1
-        where a row has no second step.
+        q has a row per context and `of` the context of each token: first of every context's first token, then of the
+        second ones of those that have one, and so on, the contexts with most tokens being first.  Targets are the
+        first step's output for each token, then the second's for the tokens at `inner`; noise has NOISE of
+        either.  Against noise the tokens of a context are alike, so their sum is one product times their number.
+        The logistic function of x is half of 1 + tanh(x / 2), so its sums follow from those of tanh.
         """
-        noise = [units.take(np.searchsorted(ends[:-1], self.rng.random(NOISE))) for units, ends, _ in self.noise]
-        far = np.concatenate([out.take(rows, 0) for out, rows in zip(self.tables[2:], noise)])
+        n, outputs = len(of), self.stacked[1]
+        far = outputs.take(noise, 0)
         half = far * np.float32(0.5)
-        half[:, DIM] -= np.concatenate([log_p.take(rows) for (*_, log_p), rows in zip(self.noise, noise)]) * np.float32(0.5)
-        absent = np.ones(len(q), bool)
-        absent[targets[1][0]] = False
-        gq, of_noise, half = np.empty((len(q), DIM), np.float32), np.tile(q.sum(0), (len(far), 1)), np.ascontiguousarray(half.T)
-        for i in range(0, len(q), IN_CACHE // len(far)):
-            k = slice(i, i + IN_CACHE // len(far))
+        half[:, DIM] -= self.log_drawn.take(noise) * np.float32(0.5)
+        half = np.ascontiguousarray(half.T)
+        of_inner = of.take(inner)
+        many = np.stack([np.bincount(x, minlength=len(q)) for x in (of, of_inner)], 1).astype(np.float32)
+        grad = np.empty((len(target) + len(noise), DIM + 1), np.float32)
+        of_noise, gq = grad[len(target) :], many @ far.reshape(2, NOISE, DIM + 1).sum(1)
+        of_noise.reshape(2, NOISE, DIM + 1)[...] = (many.T @ q)[:, None]
+        step = -(-len(q) // -(-len(q) * len(far) // IN_CACHE))
+        for i in range(0, len(q), step):
+            k = slice(i, i + step)
             false = q[k] @ half
             np.tanh(false, out=false)
-            false[absent[k], NOISE:] = -1
-            np.matmul(false, far[:, :DIM], out=gq[k])
+            by_step = false.reshape(len(false), 2, NOISE)
+            by_step *= many[k, :, None]
+            gq[k] += false @ far
             of_noise += false.T @ q[k]
-        gq += far[:, :DIM].sum(0)
-        for step, (at, target) in enumerate(targets):
-            log_p, own, x, n = self.noise[step][2], self.tables[2 + step].take(target, 0), q if len(at) == len(q) else q.take(at, 0), len(at)
-            true = np.tanh((np.einsum("ij,ij->i", x, own) - log_p.take(target)) * np.float32(0.5)) - 1
-            own *= true[:, None]
-            if x is q:
-                gq += own[:, :DIM]
-            else:
-                gq[at] += own[:, :DIM]
-            grad = np.empty((n + NOISE, DIM + 1), np.float32)
-            np.multiply((0.5 * true)[:, None], x, out=grad[:n])
-            np.multiply(of_noise[step * NOISE : (step + 1) * NOISE], 0.5, out=grad[n:])
-            self._step(2 + step, np.concatenate([target, noise[step]]), grad)
-        gq *= 0.5
-        return gq
+        x, own = q.take(np.concatenate([of, of_inner]), 0), outputs.take(target, 0)
+        true = np.tanh((np.einsum("ij,ij->i", x, own) - self.log_drawn.take(target)) * np.float32(0.5)) - 1
+        own *= true[:, None]
+        np.multiply(true[:, None], x, out=grad[: len(target)])
+        grad *= np.float32(0.5)
+        self._step(1, np.concatenate([target, noise]), grad)
+        own[inner] += own[n:]
+        begins = np.flatnonzero(of == 0).tolist()
+        for i, j in zip(begins, [*begins[1:], n]):
+            gq[: j - i] += own[i:j]
+        gq *= np.float32(0.5)
+        return gq[:, :DIM]
 
     def train(self, older: np.ndarray, newer: np.ndarray, unit: np.ndarray) -> None:
         """Noise-contrastive estimation over all tokens once, in batches of shuffled order.
 
-        The second step is taught to tell a unit from those of all classes, which teaches it to tell it from
-        those of its class.
+        Tokens of one context, up to SAME of them, are in a batch together, where their context is multiplied
+        with the noise once.  The second step is taught to tell a unit from those of all classes, which teaches it to
+        tell it from those of its class.
         """
-        order = self.rng.permutation(len(unit))
-        for i in range(0, len(order), BATCH):
-            k = order[i : i + BATCH]
-            a, b, t = older.take(k), newer.take(k), unit.take(k)
-            inner = np.flatnonzero(t >= self.units.head)
-            gq = self._contrast(self._query(a, b), [(np.arange(len(t)), self.units.first.take(t)), (inner, t.take(inner))])
-            self._step(0, a, gq.copy())
-            self._step(1, b, gq)
+        context = older * (self.units.start + 1) + newer
+        # by unit too, so the order of texts is of no account
+        order = np.argsort(context * self.units.start + unit)
+        sizes = np.diff(np.flatnonzero(_fresh(context.take(order))), append=len(order))
+        groups, place = -(-sizes // SAME), _places(sizes)
+        # a context's tokens are dealt to its groups in turn
+        place, turn = np.divmod(place, np.repeat(groups, sizes))
+        group = np.repeat(np.cumsum(groups) - groups, sizes) + turn
+        sizes = np.bincount(group)
+        shuffled = self.rng.permutation(len(sizes))
+        batch = (np.cumsum(sizes.take(shuffled)) - 1) // BATCH
+        shuffled = shuffled.take(np.lexsort((-sizes.take(shuffled), batch)))
+        rank = np.empty_like(shuffled)
+        rank[shuffled] = np.arange(len(shuffled))
+        sizes, group = sizes.take(shuffled), rank.take(group)
+        by_place = np.argsort((batch.take(group) * SAME + place) * len(sizes) + group)
+        order, group = order.take(by_place), group.take(by_place)
+        older, newer, unit = older.take(order), newer.take(order) + (self.units.start + 1), unit.take(order)
+        inner, first = np.flatnonzero(unit >= self.units.head), self.units.first.take(unit)
+        groups = np.append(np.flatnonzero(_fresh(batch)), len(batch))
+        tokens = np.append(0, np.cumsum(sizes))[groups]
+        inners = np.searchsorted(inner, tokens)
+        noise = np.hstack([units.take(np.searchsorted(ends[:-1], self.rng.random((len(groups) - 1, NOISE)))) for units, ends in self.noise])
+        for k, (g, h, i, j, u, v) in enumerate(zip(groups, groups[1:], tokens, tokens[1:], inners, inners[1:])):
+            rows = np.concatenate([older[i : i + h - g], newer[i : i + h - g]])
+            q = np.ones((h - g, DIM + 1), np.float32)
+            both = self.stacked[0].take(rows, 0)
+            np.add(both[: h - g], both[h - g :], out=q[:, :DIM])
+            gq = self._contrast(q, group[i:j] - g, inner[u:v] - i, np.concatenate([first[i:j], unit[inner[u:v]] + self.second]), noise[k])
+            self._step(0, rows, np.concatenate([gq, gq]))
 
     def log_probability(self, older: np.ndarray, newer: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """Natural logarithm of each unit's normalised probability after its two."""
@@ -332,11 +369,11 @@ class LogBilinear:
 
     def state(self) -> np.ndarray:
         """Weights, then sums of squared gradients, in one vector."""
-        return np.concatenate([x.ravel() for x in (*self.tables, *self.past)])
+        return np.concatenate([x.ravel() for x in (*self.stacked, *self.past)])
 
     def restore(self, state: np.ndarray) -> None:
         at = 0
-        for x in (*self.tables, *self.past):
+        for x in (*self.stacked, *self.past):
             x[...] = state[at : at + x.size].reshape(x.shape)
             at += x.size
 
@@ -348,6 +385,11 @@ def _fresh(ordered: np.ndarray) -> np.ndarray:
     return fresh
 
 
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """The numbers from 0 within groups of these sizes, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _scores(q: np.ndarray, rows: np.ndarray, outputs: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Products of rows of q and of outputs, pair by pair."""
     out = np.empty(len(rows))
@@ -357,21 +399,60 @@ def _scores(q: np.ndarray, rows: np.ndarray, outputs: np.ndarray, places: np.nda
     return out
 
 
-def unit_streams(docs: DataFrame, shared) -> DataFrame:
-    """Each text's units as signed 32-bit integers, and the round that it is learned in."""
+@functools.cache
+def _class_table() -> np.ndarray:
+    """The class of each ending of two bytes, then of each one of one byte."""
+    return np.array([ending_class(bytes(x)) for x in (*itertools.product(range(256), repeat=2), *zip(range(256)))])
+
+
+def ending_classes(words: pa.BinaryArray) -> np.ndarray:
+    """The class of each word; any number for an empty one."""
+    ends, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1], np.frombuffer(words.buffers()[2], np.uint8)
+    last, before = data.take(ends[1:] - 1, mode="wrap").astype(np.int64), data.take(ends[1:] - 2, mode="wrap").astype(np.int64)
+    return _class_table().take(np.where(np.diff(ends) > 1, before * 256 + last, 65536 + last))
+
+
+def coded_texts(docs: DataFrame, shared) -> DataFrame:
+    """Per document its units as signed 32-bit integers, the round that it is learned in, and all of its scores
+    that the model has no part in: of the hot words and of words' shares of their class; words beyond the hot ones
+    come as an array with their counts."""
 
     def run(batches):
-        own = shared.value["rank"]
+        t = shared.value
+        place = {w: k for k, w in enumerate(t["words"])}
+        logs, within, own = np.append(t["log"], 0.0), t["within"], t["own"]
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in parts_of(batch, OWN + "text"):
                 coded = Coded(part.column(OWN + "text"))
-                unit = np.array([own[w] if w in own else len(own) + ending_class(w) for w in coded.distinct()], np.int32)[coded.numbers]
-                out = [x.tobytes() for x in np.split(unit, coded.begins[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("part"), pa.array(out, pa.binary())], ["part", "units"])
+                # by distinct word: its place among the hot ones, its unit, its part of both scores
+                at = np.array([place.get(w, -1) for w in coded.distinct()], np.int64)
+                far = (at < 0) | (at >= own)
+                ending = ending_classes(coded.words)
+                unit = np.where(far, own + ending, at).astype(np.int32)
+                base = logs[at]  # none for a word that isn't hot
+                # an own word is its unit; others have their smoothed share of their class
+                share = np.where(far, base - within[ending], 0.0)
+                streams = [x.tobytes() for x in np.split(unit[coded.numbers], coded.begins[1:])]
+                hot, hot_log, share_log = (np.add.reduceat(x[coded.numbers], coded.begins) for x in ((at >= 0).astype(np.int64), base, share))
+                rows = np.arange(row, row + len(part))
+                row += len(part)
+                names = ["row", "doc_id", "held_out", "part", "n_tokens", "hot_known", "hot_log", "share_log", "rare", "units"]
+                yield pa.RecordBatch.from_arrays([pa.array(rows), *map(part.column, names[1:4]), *map(pa.array, (coded.lengths, hot, hot_log, share_log)), rare_words(coded, at), pa.array(streams, pa.binary())], names)
+
+    def rare_words(coded, at):
+        """Per text an array of its words beyond the hot ones and how often it has each."""
+        text = np.repeat(np.arange(len(coded.lengths)), coded.lengths)
+        rare = at[coded.numbers] < 0
+        found, n = np.unique(text[rare] * len(at) + coded.numbers[rare], return_counts=True)
+        ends = np.searchsorted(found, np.arange(len(coded.lengths) + 1) * len(at))
+        pairs = pa.StructArray.from_arrays([coded.words.take(pa.array(found % len(at))), pa.array(n.astype(np.int64))], ["word", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)
 
     # by identifier and not by content, as copies should be spread over the rounds
     part = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col(OWN + "text"))), F.lit(ROUNDS)).cast("int")
-    return docs.select(part.alias("part"), OWN + "text").mapInArrow(run, "part int, units binary")
+    schema = "row long, doc_id long, held_out boolean, part int, n_tokens long, hot_known long, hot_log double, share_log double, rare array<struct<word:binary,n:long>>, units binary"
+    return docs.select("doc_id", "held_out", part.alias("part"), OWN + "text").mapInArrow(run, schema)
 
 
 def contexts(streams: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -469,15 +550,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     train = read.filter(~F.col("held_out"))
     with small_batches(spark):
         counts = materialise(word_counts(train), "lm-counts")
-    model, hot, total, distinct = fit(spark, train, counts)
-    shared = spark.sparkContext.broadcast(hot | {"units": model.units, "state": model.state()})
+    units, hot, total, distinct = lay_out(counts)
+    coded = _coded(read, units, hot)
+    model = train_everywhere(coded.filter(~F.col("held_out")), units, total)
+    shared = spark.sparkContext.broadcast((units, model.state()))
     with small_batches(spark):
-        partial = materialise(_partial_scores(read, shared), "lm-partial")
-    rare = partial.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("tf"))
+        partial = materialise(_model_scores(coded, shared), "lm-partial")
+    rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("tf"))
     known = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("rare_log"), F.sum("tf").alias("rare_known"))
     n, base_unit = F.col("n_tokens"), float(np.log10(total + distinct + 1))
     rare_log = F.coalesce("rare_log", F.lit(0.0))
-    return partial.drop("rare").join(known, "row", "left").select(
+    return partial.join(known, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("hot_log") + rare_log - n * F.lit(base_unit)).alias("base_score"), (F.col("model_log") + rare_log).alias("score"),
     )
@@ -485,6 +568,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def fit(spark, train: DataFrame, counts: DataFrame) -> tuple[LogBilinear, dict, int, int]:
     """The trained model, what tasks need of the hot words, and the numbers of training tokens and words."""
+    units, hot, total, distinct = lay_out(counts)
+    coded = _coded(train.withColumn("held_out", F.lit(False)), units, hot)
+    return train_everywhere(coded, units, total), hot, total, distinct
+
+
+def lay_out(counts: DataFrame) -> tuple[Units, dict, int, int]:
+    """What has an embedding, what tasks need of the hot words, and the numbers of training tokens and words."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     found = counts.filter(F.col("n") >= least_hot_count(counts)).toArrow()  # at most HOT rows
     words, n = [bytes(w) for w in found.column("word").to_pylist()], found.column("n").to_numpy().astype(np.float64)
@@ -497,53 +587,44 @@ def fit(spark, train: DataFrame, counts: DataFrame) -> tuple[LogBilinear, dict,
         ending_counts[c], members[c] = tokens, kinds
     units = Units(own, n[: len(own)], ending_counts)
     members -= np.bincount([ending_class(w) for w in own], minlength=ENDINGS) if own else 0
-    rank = spark.sparkContext.broadcast({"rank": {w: k for k, w in enumerate(own)}})
-    with small_batches(spark):
-        streams = materialise(unit_streams(train, rank), "lm-units")
-    model = train_everywhere(streams, units, total)
     # an unseen word counts once in its class, and so does each seen one more
     within = np.log10(units.frequency[units.own :] + members + 1)
-    return model, {"words": words, "log": np.log10(n + 1), "within": within}, total, distinct
+    return units, {"words": words, "log": np.log10(n + 1), "within": within}, total, distinct
+
 
+def _coded(docs: DataFrame, units: Units, hot: dict) -> DataFrame:
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(hot | {"own": units.own})
+    with small_batches(spark):
+        return materialise(coded_texts(docs, shared), "lm-coded")
 
-def _partial_scores(read: DataFrame, shared) -> DataFrame:
-    """Per document all but the words beyond the hot ones, which come as an array with their counts."""
+
+def _model_scores(coded: DataFrame, shared) -> DataFrame:
+    """Per document the model's part of its score added to the words' shares of their class."""
+    names = ["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log"]
 
     def run(batches):
-        t = shared.value
-        place = {w: k for k, w in enumerate(t["words"])}
-        logs, within, units = np.append(t["log"], 0.0), t["within"], t["units"]
+        units, state = shared.value
         model = LogBilinear(units)
-        model.restore(t["state"])
-        row = TaskContext.get().partitionId() << 40
+        model.restore(state)
+        for part in slices(batches):
+            lengths = part.column("n_tokens").to_numpy()
+            chance = model.log_probability(*contexts([np.frombuffer(s, np.int32) for s in part.column("units").to_pylist()], units.start)) / np.log(10)
+            model_log = np.add.reduceat(chance, np.cumsum(lengths) - lengths) + part.column("share_log").to_numpy()
+            yield from pa.table([*map(part.column, names), pa.array(model_log)], [*names, "model_log"]).to_batches()
+
+    def slices(batches):
+        """Tables of at least SCORED tokens, but for the last one."""
+        waiting, held = [], 0
         for batch in batches:
-            for part in parts_of(batch, OWN + "text"):
-                coded = Coded(part.column(OWN + "text"))
-                words = coded.distinct()
-                # by distinct word: its place among the hot ones, its unit, its part of both scores
-                at = np.array([place.get(w, -1) for w in words], np.int64)
-                unit = at.copy()
-                far = np.flatnonzero((at < 0) | (at >= units.own))
-                unit[far] = [units.own + ending_class(words[k]) for k in far]
-                base = logs[at]  # none for a word that isn't hot
-                # an own word is its unit; others have their smoothed share of their class
-                share = np.zeros(len(words))
-                share[far] = base[far] - within[unit[far] - units.own]
-                streams = unit[coded.numbers]
-                chance = model.log_probability(*contexts(np.split(streams, coded.begins[1:]), units.start)) / np.log(10)
-                hot, hot_log, model_log = (np.add.reduceat(x, coded.begins) for x in ((at >= 0)[coded.numbers].astype(np.int64), base[coded.numbers], chance + share[coded.numbers]))
-                rows = np.arange(row, row + len(part))
-                row += len(part)
-                names = ["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "model_log", "rare"]
-                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("doc_id"), part.column("held_out"), *map(pa.array, (coded.lengths, hot, hot_log, model_log)), rare_words(coded, at)], names)
-
-    def rare_words(coded, at):
-        """Per text an array of its words beyond the hot ones and how often it has each."""
-        text = np.repeat(np.arange(len(coded.lengths)), coded.lengths)
-        rare = at[coded.numbers] < 0
-        found, n = np.unique(text[rare] * len(at) + coded.numbers[rare], return_counts=True)
-        ends = np.searchsorted(found, np.arange(len(coded.lengths) + 1) * len(at))
-        pairs = pa.StructArray.from_arrays([coded.words.take(pa.array(found % len(at))), pa.array(n.astype(np.int64))], ["word", "n"])
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)
+            begin = 0
+            for end, n in enumerate(batch.column("n_tokens").to_pylist(), 1):
+                held += n
+                if held >= SCORED:
+                    yield pa.Table.from_batches([*waiting, batch.slice(begin, end - begin)])
+                    waiting, held, begin = [], 0, end
+            waiting.append(batch.slice(begin))
+        if held:
+            yield pa.Table.from_batches(waiting)
 
-    return read.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_log double, model_log double, rare array<struct<word:binary,n:long>>")
+    return coded.select(*names, "share_log", "units").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_log double, model_log double")

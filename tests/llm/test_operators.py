@@ -354,6 +354,46 @@ def test_lm_sums_of_a_context_are_taken_once(monkeypatch, scale):
         assert p == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
+def test_lm_tokens_of_a_context_meet_the_noise_together(monkeypatch):
+    """Each group of a context's tokens is one row; the order of tokens is of no account; gradients are those token by token."""
+    words = [b"w%d" % k for k in range(900)]
+    new = lambda: lm_score.LogBilinear(lm_score.Units(words, np.linspace(900, 1, len(words)), np.full(lm_score.ENDINGS, 5000.0)))
+    m, other, rng = new(), new(), np.random.default_rng(0)
+    older, newer, unit = np.tile([3, 4, 5], 900), np.tile([7, 8, 9], 900), rng.integers(0, m.units.start, 2700)
+    rows, learn = [], m._contrast
+    monkeypatch.setattr(m, "_contrast", lambda q, *rest: rows.append(len(q)) or learn(q, *rest))
+    m.train(older, newer, unit)
+    assert sum(rows) == 2700 / lm_score.SAME
+    k = rng.permutation(2700)
+    other.train(older[k], newer[k], unit[k])
+    assert (other.state() == m.state()).all()
+
+    few, drawn, steps = rng.choice(2700, 60), [], []
+    older, newer, unit, tables = older[few], newer[few], unit[few], [t.astype(float) for t in m.tables]
+    monkeypatch.setattr(m, "_contrast", lambda q, *rest: drawn.append(rest[-1]) or learn(q, *rest))
+    monkeypatch.setattr(m, "_step", lambda k, at, grad: steps.append((k, *m._added_up(at, grad))))
+    m.train(older, newer, unit)
+    (noise,), want = drawn, [np.zeros(t.shape) for t in m.stacked]
+    outputs = np.concatenate(tables[2:])
+    for a, b, t in zip(older, newer, unit):
+        q = np.append(tables[0][a] + tables[1][b], 1.0)
+        chosen = [(m.units.first[t], noise[: lm_score.NOISE])] + [(t + m.second, noise[lm_score.NOISE :])] * int(t >= m.units.head)
+        for target, false in chosen:
+            for o, is_target in [(target, 1), *((x, 0) for x in false)]:
+                g = 1 / (1 + np.exp(m.log_drawn[o] - q @ outputs[o])) - is_target
+                want[1][o] += g * q
+                want[0][[a, b + m.units.start + 1]] += g * outputs[o][:-1]
+    for k, at, grad in steps:
+        got = np.zeros(want[k].shape)
+        got[at] = grad
+        assert np.allclose(got, want[k], atol=1e-3, rtol=1e-3), k
+
+
+def test_lm_classes_of_words():
+    words = [b"a", b"ab", b"\xc3\xa9", b"xyz", lm_score.END]
+    assert lm_score.ending_classes(pa.array(words, pa.binary())).tolist() == [lm_score.ending_class(w) for w in words]
+
+
 def test_lm_words_of_texts():
     texts = [None, "", " ", "A b\tA\x1c\xa0\u00c0 ", "\n x\r\x0bX\x0c\u0130 end"]
     for some in ([None], texts, texts[3:]):
