@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,13 +85,28 @@ def time_bars(ticks: DataFrame, resolution: str, units: int = 1) -> DataFrame:
     return bars.withColumn("_last", F.max("bar_id").over(Window.partitionBy("symbol"))).filter(F.col("bar_id") < F.col("_last")).drop("_last")
 
 
-def last_ewma(values: list[float], window: int) -> float:
-    """Last value of the adjusted exponential mean with smoothing 2 / (window + 1)."""
+@lru_cache(maxsize=256)
+def _powers(window: int, n: int) -> tuple[tuple[float, ...], float]:
+    """Weights of n values, oldest first, and their sum."""
     keep = 1 - 2 / (window + 1)
-    num = den = 0.0
-    for v in values:
-        num, den = num * keep + v, den * keep + 1
-    return num / den if den else math.nan
+    weights = tuple(keep ** (n - 1 - k) for k in range(n))
+    total = 0.0
+    for w in weights:
+        total += w
+    return weights, total
+
+
+def last_ewma(values: list[float], window: int) -> float:
+    """Last value of the adjusted exponential mean with smoothing 2 / (window + 1).
+
+    Powers of the smoothing, added one after another as SQL adds them: bars close where a whole number reaches a
+    product of such means, so their last digits matter.
+    """
+    weights, total = _powers(window, len(values))
+    num = 0.0
+    for v, w in zip(values, weights):
+        num += v * w
+    return num / total if total else math.nan
 
 
 @dataclass
