@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.grouped import per_series, scalars
 from ..functions.special import digamma, sums_below
+from ..runtime import materialise, ship
+from .neighbours import ranked
 
 
 def number_of_bins(n: int, correlation: float | None = None) -> int:
@@ -132,11 +134,100 @@ def variation_of_information_extended(pairs: DataFrame, x: str, y: str, key: str
     return information(pairs, x, y, None, key).select(key, "bins", "vi")
 
 
-def distance_correlations(pairs: DataFrame, x: str, y: str, key: str = "symbol") -> DataFrame:
-    """key and dcor; rows with a value that is null or no number are left out, a constant side gives 0."""
+#: Rows of a block at least, and blocks of a key at most: longer keys have longer blocks.
+LEAST_BLOCK, MOST_BLOCKS = 1 << 15, 1024
 
-    def run(rows):
-        return scalars(dcor=distance_correlation(rows[x].to_numpy(float), rows[y].to_numpy(float)))
 
+def _blocks(df: DataFrame, axis: str, least: int) -> DataFrame:
+    """df (key, id, x, y, n and others) with rank along an axis, block, and the axis' sums before the block and in all.
+
+    Blocks are runs of equal length in order of the axis, so their number is bounded for each key.
+    """
+    number = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.floor(F.col("n") / least)))
+    dealt = ranked(df, "key", [axis, "id"], f"ranked-{axis}").withColumn("block", F.floor(F.col("rank") * number / F.col("n")).cast("long"))
+    w = Window.partitionBy("key")
+    sums = dealt.groupBy("key", "block").agg(F.sum(axis).alias("_sum"))
+    sums = sums.select("key", "block", F.coalesce(F.sum("_sum").over(w.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.sum("_sum").over(w).alias("total"))
+    return dealt.join(sums, ["key", "block"])
+
+
+def _from_ranks(v: np.ndarray, rows) -> np.ndarray:
+    """Mean distance of each value of a sorted block to all values of its key."""
+    rank, n, total = rows["rank"].to_numpy(), rows["n"].to_numpy(), rows["total"].to_numpy()
+    before = rows["before"].to_numpy() + np.cumsum(v) - v
+    return (v * rank - before + (total - before - v) - v * (n - 1 - rank)) / n
+
+
+def _concordant(x: np.ndarray, y: np.ndarray, other: np.ndarray) -> float:
+    """Sum of (x - x')(y - y') over the pairs of a place and one before it whose value of other is smaller."""
+    s = sums_below(other, np.stack([np.ones(len(x)), x, y, x * y]))
+    return float((x * y * s[0] - x * s[2] - y * s[1] + s[3]).sum())
+
+
+def _along_x(rows: pd.DataFrame) -> pd.DataFrame:
+    """Mean distances along x, and on the first row what the block's own pairs add to the concordant ones."""
+    rows = rows.sort_values("rank")
+    x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+    part = np.zeros(len(rows))
+    part[0] = _concordant(x, y, y)
+    return rows[["key", "id", "x", "y", "n", "block"]].rename(columns={"block": "x_block"}).assign(mx=_from_ranks(x, rows), part=part)
+
+
+_SUMS = ("x", "y", "xx", "yy", "xy", "mx", "my", "mxx", "myy", "mxy", "part")
+
+
+def _along_y(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums of each block of x within the block of y, and on the first row those of the whole block, with what pairs
+    in different blocks of x add to the concordant ones."""
+    rows = rows.sort_values("rank")
+    x, y, mx, at = (rows[c].to_numpy() for c in ("x", "y", "mx", "x_block"))
+    my = _from_ranks(y, rows)
+    whole = dict(zip(_SUMS, (float(v.sum()) for v in (x, y, x * x, y * y, x * y, mx, my, mx * mx, my * my, mx * my, rows["part"].to_numpy()))))
+    whole["part"] += _concordant(x, y, at)
+    blocks, place = np.unique(at, return_inverse=True)
+    cells = {f"c_{c}": np.bincount(place, v) for c, v in (("1", np.ones(len(x))), ("x", x), ("y", y), ("xy", x * y))}
+    out = pd.DataFrame({"key": rows["key"].iloc[0], "n": rows["n"].iloc[0], "x_block": blocks, "y_block": rows["block"].iloc[0], **cells})
+    first = np.arange(len(blocks)) == 0
+    return out.assign(**{c: np.where(first, v, 0.0) for c, v in whole.items()})
+
+
+def _of_cells(rows: pd.DataFrame) -> float:
+    """Distance correlation of a key from its cells: pairs whose blocks of x and of y both differ are added up here."""
+    n, s = float(rows["n"].iloc[0]), {c: float(rows[c].sum()) for c in _SUMS}
+    at = rows["x_block"].to_numpy(), rows["y_block"].to_numpy()
+    grid = {}
+    for c in ("1", "x", "y", "xy"):
+        grid[c] = np.zeros((at[0].max() + 1, at[1].max() + 1))
+        grid[c][at] = rows[f"c_{c}"]
+    below = {c: np.pad(g.cumsum(0).cumsum(1), ((1, 0), (1, 0)))[:-1, :-1] for c, g in grid.items()}
+    concordant = s["part"] + float((grid["xy"] * below["1"] - grid["x"] * below["y"] - grid["y"] * below["x"] + grid["1"] * below["xy"]).sum())
+    # of all pairs the concordant ones count as they are, the others with the opposite sign
+    together = 2 * (2 * concordant - (n * s["xy"] - s["x"] * s["y"]))
+    covariance = together / n**2 - 2 * s["mxy"] / n + s["mx"] * s["my"] / n**2
+    var = [2 * (s[a + a] / n - (s[a] / n) ** 2) - 2 * s[f"m{a}{a}"] / n + (s[f"m{a}"] / n) ** 2 for a in "xy"]
+    scale = math.sqrt(max(var[0], 0.0) * max(var[1], 0.0))
+    return math.sqrt(max(covariance, 0.0) / scale) if scale > 0 else 0.0
+
+
+def distance_correlations(pairs: DataFrame, x: str, y: str, key: str = "symbol", least_block: int | None = None) -> DataFrame:
+    """key and dcor; rows with a value that is null or no number are left out, a constant side gives 0.
+
+    Rows are sorted along x and then along y and dealt into blocks each time.  The sum over pairs of both distances
+    is merge counting within a block of x, within a block of y for rows of different blocks of x, and between the
+    cells that both make for the rest.  So no task has more than a block, or the table of a key's cells.
+    """
+    ship(pairs.sparkSession)
+    kind, least = dict(pairs.dtypes)[key], least_block or LEAST_BLOCK
     known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
-    return per_series(pairs.filter(F.col(key).isNotNull() & known(x) & known(y)).select(key, x, y), key, [x, y], run, "dcor double")
+    rows = pairs.filter(F.col(key).isNotNull() & known(x) & known(y)).select(F.col(key).alias("key"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    means = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    points = materialise(rows.join(means, "key").select("key", F.monotonically_increasing_id().alias("id"), (F.col("_x") - F.col("_mx")).alias("x"), (F.col("_y") - F.col("_my")).alias("y"), "n"), "pairs")
+    columns = f"key {kind}, id long, x double, y double, n long, x_block long, mx double, part double"
+    met = materialise(_blocks(points, "x", least).groupBy("key", "block").applyInPandas(_along_x, columns), "along-x")
+    columns = f"key {kind}, n long, x_block long, y_block long, " + ", ".join(f"{c} double" for c in ("c_1", "c_x", "c_y", "c_xy", *_SUMS))
+    cells = _blocks(met, "y", least).groupBy("key", "block").applyInPandas(_along_y, columns)
+
+    def run(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: [name[0]], "dcor": [_of_cells(rows)]})
+
+    return cells.groupBy("key").applyInPandas(run, f"{key} {kind}, dcor double")

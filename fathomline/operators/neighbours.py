@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 from ..functions.special import digamma
 from ..runtime import materialise, ship
 
-#: Points of a stripe at least, and rows of distances that are held at a time.
-LEAST_STRIPE, BLOCK = 256, 256
+#: Points of a stripe at least, rows of so many distances that are held at a time, and points of a first window.
+LEAST_STRIPE, BLOCK, WINDOW = 256, 256, 64
 #: Factors of row numbers that make the jitter which breaks ties, and its share of the standard deviation.
 JITTER = {"x": 2654435761, "y": 2246822519}
 JITTER_SHARE = 1e-10
@@ -70,15 +70,33 @@ def jittered(pairs: DataFrame, x: str, y: str, key: str, row: str) -> DataFrame:
 
 
 def _nearest(ax, ay, bx, by, k: int, own: bool) -> np.ndarray:
-    """The k least distances (greater of both axes) from each a to the b's, ascending; own: a's are the b's."""
+    """The k least distances (greater of both axes) from each a to the b's, ascending; own: a's are the b's.
+
+    Each a meets a window of b's around it in order of y.  Where the next b on either side may be nearer than the
+    last of those found, the a meets a window of four times that width, up to all.
+    """
     k = min(k + own, len(bx))
-    out = np.empty((len(ax), k - own))
-    for i in range(0, len(ax), BLOCK):
-        d = np.maximum(np.abs(ax[i : i + BLOCK, None] - bx), np.abs(ay[i : i + BLOCK, None] - by))
-        if k < len(bx):
-            d = np.partition(d, k - 1, axis=1)[:, :k]
-        out[i : i + BLOCK] = np.sort(d, axis=1)[:, int(own) :]  # a point's distance to itself comes first
-    return out
+    order = np.argsort(by, kind="stable")
+    bx, by = bx[order], by[order]
+    out = np.empty((len(ax), k))
+    left, width = np.arange(len(ax)), WINDOW
+    place = np.searchsorted(by, ay)
+    while len(left):
+        size = min(max(width, k), len(by))
+        again = []
+        rows = max(1, BLOCK * LEAST_STRIPE // size)
+        for at in (left[i : i + rows] for i in range(0, len(left), rows)):
+            first = np.clip(place[at] - size // 2, 0, len(by) - size)
+            window = first[:, None] + np.arange(size)
+            d = np.maximum(np.abs(ax[at, None] - bx[window]), np.abs(ay[at, None] - by[window]))
+            if k < size:
+                d = np.partition(d, k - 1, axis=1)[:, :k]
+            out[at] = d = np.sort(d, axis=1)
+            below = np.where(first > 0, np.abs(ay[at] - by[np.maximum(first - 1, 0)]), np.inf)
+            above = np.where(first + size < len(by), np.abs(ay[at] - by[np.minimum(first + size, len(by) - 1)]), np.inf)
+            again.append(at[np.minimum(below, above) < d[:, -1]])
+        left, width = np.concatenate(again), 4 * width
+    return out[:, int(own) :]  # a point's distance to itself comes first
 
 
 NEAR = "key string, id long, x double, y double, stripe long, near array<double>"
